@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill import session
-from lexmill.llm import chat
+from lexmill.llm import chat, exact_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,5 +59,20 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
-QUERIES = {"op1_chat_format": op1_chat_format}
-ORACLE_SQL = {"op1_chat_format": OP1_SQL}
+def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts over all `documents`; the largest id of each stays."""
+    return exact_dedup.content_groups(table(spark, sf_dir, "documents"), keep="max").withColumnRenamed("id", "doc_id")
+
+
+OP8_SQL = """
+WITH n AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents
+)
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+  doc_id = max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
+FROM n WINDOW g AS (PARTITION BY t)
+"""
+
+QUERIES = {"op1_chat_format": op1_chat_format, "op8_exact_dedup": op8_exact_dedup}
+ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op8_exact_dedup": OP8_SQL}
