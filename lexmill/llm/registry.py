@@ -9,7 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill import session
-from lexmill.llm import chat, exact_dedup
+from lexmill.llm import chat, exact_dedup, packing, token_file
+
+
+def tokenizer_path(name: str) -> str:
+    """Where a public tokenizer's file lies; the same on driver and executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +66,20 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
+def op2_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All `documents` as token files, written and read back."""
+    place = session.scratch_path(spark, "token-files")
+    token_file.write(table(spark, sf_dir, "documents"), place, tokenizer_path("word_bpe_49k.json"), end_id=1)
+    return token_file.read(spark, place).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All `documents` in sequences of at most 2048 tokens."""
+    rows = packing.pieces(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=0, capacity=2048)
+    rows = session.cut(rows.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "pieces")
+    return packing.pack(rows, 2048, ["doc_id", "piece", "start"])
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts over all `documents`; the largest id of each stays."""
     return exact_dedup.content_groups(table(spark, sf_dir, "documents"), keep="max").withColumnRenamed("id", "doc_id")
@@ -74,5 +95,10 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM n WINDOW g AS (PARTITION BY t)
 """
 
-QUERIES = {"op1_chat_format": op1_chat_format, "op8_exact_dedup": op8_exact_dedup}
+QUERIES = {
+    "op1_chat_format": op1_chat_format,
+    "op2_token_binary": op2_token_binary,
+    "op5_best_fit_packing": op5_best_fit_packing,
+    "op8_exact_dedup": op8_exact_dedup,
+}
 ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op8_exact_dedup": OP8_SQL}
