@@ -26,7 +26,7 @@ from lexmill.functions.ordinals import gapless
 from lexmill.llm.tokens import encode_column
 
 #: Groups of equal cardinality that the large lengths are rounded in.
-GROUPS = 64
+GROUPS = 512
 #: A length is large if it is over this share of the capacity.
 LARGE = 0.2
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill import session
-from lexmill.llm import chat, exact_dedup, packing, token_file
+from lexmill.llm import chat, exact_dedup, language, packing, quality, token_file
 
 
 def tokenizer_path(name: str) -> str:
@@ -95,10 +95,30 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM n WINDOW g AS (PARTITION BY t)
 """
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all `documents`, learned from two thirds of them."""
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.filter(language.learned_from()))
+    found = language.classify(docs.select("doc_id", "text"), model)
+    held_out = F.col("doc_id").isNotNull() & ~language.learned_from()
+    return found.select("doc_id", held_out.alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"), F.col("language.languages").alias("languages"))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of all `documents`, learned from three quarters of the labels."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels").filter(quality.learned_from()))
+    found = quality.classify(docs.select("doc_id", "text"), model, out="score")
+    held_out = F.col("doc_id").isNotNull() & ~quality.learned_from()
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_token_binary": op2_token_binary,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_language_id": op9_language_id,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op8_exact_dedup": OP8_SQL}
