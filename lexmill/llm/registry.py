@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill import session
-from lexmill.llm import chat, exact_dedup, language, packing, quality, token_file
+from lexmill.llm import chat, exact_dedup, language, near_dedup, packing, quality, token_file
 
 
 def tokenizer_path(name: str) -> str:
@@ -80,6 +80,11 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(rows, 2048, ["doc_id", "piece", "start"])
 
 
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-duplicates over all `documents`."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts over all `documents`; the largest id of each stays."""
     return exact_dedup.content_groups(table(spark, sf_dir, "documents"), keep="max").withColumnRenamed("id", "doc_id")
@@ -117,6 +122,7 @@ QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_token_binary": op2_token_binary,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_minhash_dedup": op6_minhash_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_language_id": op9_language_id,
     "op10_quality_classifier": op10_quality_classifier,
