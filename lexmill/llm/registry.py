@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill import session
-from lexmill.llm import chat, exact_dedup, language, near_dedup, packing, quality, token_file
+from lexmill.llm import chat, exact_dedup, hnsw, language, near_dedup, packing, quality, sharding, token_file
 
 
 def tokenizer_path(name: str) -> str:
@@ -73,6 +73,18 @@ def op2_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.read(spark, place).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All `documents` in 16 shards whose counts are at most one apart, equal texts together where they fit."""
+    placed = sharding.shard_texts(table(spark, sf_dir, "documents"), 16)
+    return placed.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op4_hnsw_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every 20th of all `embeddings`."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return hnsw.nearest(vectors, vectors.filter("vec_id % 20 = 0"), 20)
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All `documents` in sequences of at most 2048 tokens."""
     rows = packing.pieces(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=0, capacity=2048)
@@ -121,6 +133,8 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_token_binary": op2_token_binary,
+    "op3_sharding": op3_sharding,
+    "op4_hnsw_search": op4_hnsw_search,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_minhash_dedup": op6_minhash_dedup,
     "op8_exact_dedup": op8_exact_dedup,
