@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,6 +33,10 @@ def build(master: str = "local[*]", partitions: int = 8, **conf: str) -> SparkSe
 def tune(spark: SparkSession) -> SparkSession:
     """Settings that operators with Python stages rely on; they apply to the running session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    root = str(Path(__file__).resolve().parent.parent)
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:  # Python workers import this package, wherever the driver was started
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [*paths, root]))
     return spark
 
 
