@@ -117,7 +117,7 @@ def _least_estimate() -> float:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """id, n_shingles, set_print (null for an empty set), bands and planes of every row of (id, text)."""
+    """id, text_key, n_shingles, set_print (null for an empty set), bands and planes of every row of (id, text, text_key)."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,9 +134,9 @@ def signatures(docs: DataFrame) -> DataFrame:
                     prints.append(None)
                     bands.append(None)
                     planes.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(planes, pa.list_(pa.int64()))], names=["id", "n_shingles", "set_print", "bands", "planes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(planes, pa.list_(pa.int64()))], names=["id", "text_key", "n_shingles", "set_print", "bands", "planes"])
 
-    return docs.mapInArrow(task, "id long, n_shingles long, set_print binary, bands array<long>, planes array<long>")
+    return docs.mapInArrow(task, "id long, text_key long, n_shingles long, set_print binary, bands array<long>, planes array<long>")
 
 
 def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -218,13 +218,16 @@ def components(edges: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, n_shingles, component_id (smallest id reachable over links) and kept (id = component_id)."""
+    """One row per input row: id, text_key, n_shingles, component_id (smallest id reachable over links), kept (id = component_id).
+
+    text_key is xxhash64 of the text; with the id it tells a row's document apart from others that repeat its id.
+    """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = session.cut(signatures(docs), "signatures")
+    rows = session.cut(signatures(docs.withColumn("text_key", F.xxhash64("text"))), "signatures")
     classes = rows.filter("set_print is not null").groupBy("set_print").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("planes").alias("planes"))
     classes = session.cut(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
     found = components(links(docs, classes), classes.select("class", F.col("rep").alias("label")))
     whole = classes.select("class", "set_print", "rep").join(found, "class", "left").select("set_print", F.coalesce("label", "rep").alias("label"))
-    out = rows.select("id", "n_shingles", "set_print").join(whole, "set_print", "left")
+    out = rows.select("id", "text_key", "n_shingles", "set_print").join(whole, "set_print", "left")
     component = F.when(F.col("set_print").isNull(), F.col("id")).otherwise(F.col("label"))
-    return out.select("id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+    return out.select("id", "text_key", "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill import session
-from lexmill.llm import chat, exact_dedup, hnsw, language, near_dedup, packing, quality, sharding, token_file
+from lexmill.llm import chat, exact_dedup, hnsw, language, near_dedup, packing, quality, sharding, token_file, unigram
 
 
 def tokenizer_path(name: str) -> str:
@@ -94,7 +94,15 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near-duplicates over all `documents`."""
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id").drop("text_key")
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All `documents` encoded by unigram Viterbi and decoded again."""
+    encode, decode = unigram.columns(spark, unigram.Pieces.load(tokenizer_path("piece_bpe_32k.model")))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("ids", encode("text")).withColumn("decoded", decode("ids"))
+    return rows.select("doc_id", unigram.count_ids(F.col("ids")).alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.col("text")).alias("round_trip"))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,6 +145,7 @@ QUERIES = {
     "op4_hnsw_search": op4_hnsw_search,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_minhash_dedup": op6_minhash_dedup,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_language_id": op9_language_id,
     "op10_quality_classifier": op10_quality_classifier,
