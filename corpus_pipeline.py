@@ -1,8 +1,78 @@
-"""The corpus pipeline (stages follow)."""
+"""The corpus pipeline: five stages from raw documents to packed token sequences.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns the columns of documents;
+the last returns the pieces of the packed sequences.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexmill import session
+from lexmill.llm import exact_dedup, language, near_dedup, packing, quality
+from lexmill.llm.registry import table, tokenizer_path
+
+#: A document stays if its language has at least this share of its mixture.
+LEAST_SHARE = 0.5
+#: A document stays if its quality score is at least this.
+LEAST_QUALITY = 0.7
+SEQUENCE = 2048
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text has a language: those without letters, or without a leading language, go."""
+    session.tune(spark)
+    found = language.classify(docs, language.fit(docs), out="_language")
+    return found.filter((F.col("_language.lang") != language.UNDETERMINED) & (F.col("_language.score") >= LEAST_SHARE)).select(docs.columns)
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on `labels`, rates as good."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.classify(docs, model, out="_score").filter(F.col("_score") >= LEAST_QUALITY).select(docs.columns)
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts, the one with the smallest id."""
+    kept = exact_dedup.content_groups(docs).filter("kept").select("id", "text_sha256")
+    rows = docs.withColumn("_sha", F.sha2(exact_dedup.normalise(F.col("text")), 256))
+    rows = rows.join(kept, rows["doc_id"].eqNullSafe(kept["id"]) & (rows["_sha"] == kept["text_sha256"]), "left_semi")
+    return rows.dropDuplicates(["doc_id", "_sha"]).select(docs.columns)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates. Documents without an id, which no group can name, stay."""
+    session.tune(spark)
+    found = near_dedup.near_duplicates(docs)
+    kept = found.filter(F.col("kept") | F.col("component_id").isNull()).select("id", "text_key").distinct()
+    rows = docs.withColumn("_key", F.xxhash64("text"))
+    return rows.join(kept, rows["doc_id"].eqNullSafe(kept["id"]) & (rows["_key"] == kept["text_key"]), "left_semi").select(docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences."""
+    session.tune(spark)
+    rows = packing.pieces(docs, tokenizer_path("byte_bpe_50k.json"), end_id=0, capacity=SEQUENCE)
+    rows = session.cut(rows.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "pieces")
+    return packing.pack(rows, SEQUENCE, ["doc_id", "piece", "start"])
+
+
+STAGES = [
+    ("language_id", known_language),
+    ("quality_classifier", good_quality),
+    ("exact_dedup", without_copies),
+    ("minhash_near_dedup", without_near_copies),
+    ("best_fit_packing", packed),
+]
+
+#: SQL can't express language inference, the classifier or the tokenizer.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`, each written and read again before the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = session.cut(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
