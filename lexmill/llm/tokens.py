@@ -1,9 +1,9 @@
 """Token ids of whole texts by the `tokenizers` library, with a bounded memory of words already encoded.
 
 Byte-level and word-end BPE never merge across a white-space boundary, so a text is cut at single spaces and each
-distinct unit is encoded once by the library; the ids of a text are the ids of its units in order. A unit of letters
-and trailing punctuation is put together from the two, which the pre-tokenizer separates anyway. Texts where a space
-touches other white space on both sides, where the cut could differ, are encoded whole.
+distinct unit is encoded once by the library; the ids of a text are the ids of its units in order. A unit of plain
+letters, digits, marks and line breaks is put together from these, which the pre-tokenizer separates anyway. Texts
+where a space touches other white space on both sides, where the cut could differ, are encoded whole.
 """
 
 from __future__ import annotations
@@ -13,16 +13,22 @@ import re
 import sys
 from array import array
 
-#: Entries that the memory of one Python worker may hold; it is emptied beyond.
-CACHE = 1_000_000
+#: Entries in each of the two generations of one Python worker's memory. When the young one is full it becomes the old
+#: one, whose entries live on if they are met again.
+CACHE = 750_000
 
-_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)\Z")
-_TANGLED = re.compile(r"\s \s")
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_WORD = re.compile(rf"([{_LETTERS}]+)([.,;:!?]*)\Z")
+#: What a unit may be put together from: runs of letters, of digits or of marks, and single line breaks.
+_PIECE = re.compile(rf"[{_LETTERS}]+|[0-9]+|[-.,;:!?#$%&*|()]+|\n(?!\s)")
+#: Stands before a unit that no space precedes.
+_INNER = "\x01"
+_SPACE = re.compile(r"[^\S \n]")
 
 #: Byte-level BPE spells byte b as chr(b) where that is visible, and the others as chr(256), chr(257), ... in order.
 _HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
 _SPELLING = {b: chr(256 + i) for i, b in enumerate(_HIDDEN)}
-_PROBES = ["a", "Word", "Élan", "straße", "íñ", "THE", "x", "Zzqqxv"]
+_PROBES = "a Word, Élan. straße!! íñ THE*** x|y Zzqqxv.\nÍsland 2024 a1b22 ###".split(" ")
 
 _encoders: dict[str, Encoder] = {}
 
@@ -34,61 +40,79 @@ def _packed(ids: list[int]) -> bytes:
     return packed.tobytes()
 
 
-class Encoder:
-    """Encodes texts to ids, as bytes of little-endian unsigned 32-bit integers. Special-token strings are plain text."""
+class Encoder(dict):
+    """Encodes texts to ids, as bytes of little-endian unsigned 32-bit integers. Special-token strings are plain text.
+
+    As a dict it holds the ids of units met before: of what follows a space, or of _INNER and what follows no space.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.units: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.model = self.library.model
-        parts = json.load(open(path, encoding="utf-8"))
-        self.lower = "Lowercase" in json.dumps(parts.get("normalizer"))
-        self.spaced = not self.lower
-        # a word of letters may go to the model at once, past the normaliser and pre-tokeniser, if that gives the same
-        self.direct = [b"".join(self._model_ids([f" {w}" for w in _PROBES]))] == [b"".join(self.whole([f" {w}" for w in _PROBES]))]
-
-    def _model_ids(self, words: list[str]) -> list[bytes]:
-        """Ids of words of letters, each after a space, by the library's model alone."""
-        tokenize, out = self.model.tokenize, []
-        for w in words:
-            text = w if self.spaced else w[1:].lower()
-            out.append(_packed([t.id for t in tokenize(text.encode().decode("latin-1").translate(_SPELLING))]))
-        return out
+        self.tokenize = self.library.model.tokenize
+        with open(path, encoding="utf-8") as found:
+            self.lower = "Lowercase" in json.dumps(json.load(found).get("normalizer"))
+        self.old: dict[str, bytes] = {}
+        # pieces may go to the model at once, past the normaliser and pre-tokeniser, if that gives the same
+        self.direct = True
+        self.direct = [self[u] for u in _PROBES] == self.whole([f" {u}" for u in _PROBES])
+        self.clear()
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [_packed(e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, units: set[str]) -> None:
-        split = {u: m for u in units if (m := _WORD.match(u))}
-        words = self.words
-        letters = [w for w in {f" {m[1]}" for m in split.values()} if w not in words]
-        others = [w for w in {m[2] for m in split.values() if m[2]} | {f" {u}" for u in units if u not in split} if w not in words]
-        words.update(zip(letters, self._model_ids(letters) if self.direct else self.whole(letters), strict=True))
-        words.update(zip(others, self.whole(others), strict=True))
-        for u in units:
-            m = split.get(u)
-            self.units[u] = words[f" {u}"] if m is None else words[f" {m[1]}"] + words[m[2]] if m[2] else words[f" {m[1]}"]
+    def __missing__(self, unit: str) -> bytes:
+        if (found := self.old.get(unit)) is None:
+            if self.direct and (m := _WORD.match(unit)):
+                word, marks = m.groups()
+                found = self[word] + self[_INNER + marks] if marks else self._ids(unit, True)
+            elif (found := self._composed(unit)) is None:
+                found = self.whole([unit[1:] if unit[:1] == _INNER else f" {unit}"])[0]
+        if len(self) >= CACHE:
+            self.old = dict(self)
+            self.clear()
+        self[unit] = found
+        return found
+
+    def _composed(self, unit: str) -> bytes | None:
+        """Ids of a unit, put together from pieces; None if they don't cover it."""
+        inner = unit[:1] == _INNER
+        text = unit[1:] if inner else unit
+        if inner and not text:
+            return b""
+        pieces = _PIECE.findall(text)
+        if not pieces or not self.direct or pieces[0] == "\n" and not inner or sum(map(len, pieces)) != len(text):
+            return None
+        if len(pieces) == 1:
+            return self._ids(text, not inner)
+        return b"".join([self[p if i == 0 and not inner else _INNER + p] for i, p in enumerate(pieces)])
+
+    def _ids(self, piece: str, spaced: bool) -> bytes:
+        """Ids of a piece by the library's model."""
+        if self.lower:
+            if piece == "\n":
+                return b""
+            if piece[0].isdigit() and len(piece) > 1:
+                return b"".join([self._ids(d, spaced) for d in piece])
+            if piece != (small := piece.lower()):
+                return self[small if spaced else _INNER + small]
+        if not piece.isascii() or piece == "\n":
+            piece = piece.encode().decode("latin-1").translate(_SPELLING)
+        return _packed([t.id for t in self.tokenize(_SPELLING[32] + piece if spaced and not self.lower else piece)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if _TANGLED.search(t) else t.split(" ") for t in texts]
-        seen: set[str] = set()
-        for units in split:
-            if units is not None:
-                seen.update(units[1:])
-        unknown = seen.difference(self.units)
-        if unknown:
-            if len(self.units) + len(self.words) + len(unknown) > CACHE:
-                self.units.clear()
-                self.words.clear()
-                unknown = seen
-            self._learn(unknown)
-        heads = iter(self.whole([t if u is None else u[0] for t, u in zip(texts, split, strict=True)]))
-        known = self.units.__getitem__
-        return [next(heads) if u is None else next(heads) + b"".join(map(known, u[1:])) for u in split]
+        known, out = self.__getitem__, []
+        for text in texts:
+            if _SPACE.search(text) or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or _INNER in text:
+                out += self.whole([text])
+                continue
+            if "\n" in text:
+                text = text.replace("\n", f" {_INNER}\n {_INNER}")
+            out.append(b"".join(map(known, f"{_INNER}{text}".split(" "))))
+        return out
 
 
 def encoder(path: str) -> Encoder:
