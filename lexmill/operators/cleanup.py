@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lexmill.functions.expressions import let
+
 # Blocks of scripts that count as recognition errors, and how many of their characters condemn a line.
 FOREIGN = r"[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{0600}-\x{06FF}\x{0E00}-\x{0E7F}\x{0900}-\x{097F}]"
 MOST_FOREIGN = 4
@@ -76,10 +78,16 @@ def drop_repeated_lines(text: Column) -> Column:
 
     The keys are sorted, so a key is frequent if it equals the one two places on: no join, no shuffle.
     """
-    keys = F.transform(_lines(text), _key)
-    counted = F.array_sort(F.filter(keys, lambda k: (k != "") & ~k.rlike(STRUCTURE)))
-    frequent = F.array_distinct(F.filter(counted, lambda k, i: k == F.get(counted, i + (REPEATS - 1))))
-    return F.when(F.size(frequent) == 0, text).otherwise(_joined(F.filter(_lines(text), lambda line: ~F.array_contains(frequent, _key(line)))))
+    keyed = F.transform(_lines(text), lambda line: F.struct(line.alias("line"), _key(line).alias("key")))
+
+    def frequent(lines: Column) -> Column:
+        keys = F.transform(F.filter(lines, lambda x: (x["key"] != "") & ~x["key"].rlike(STRUCTURE)), lambda x: x["key"])
+        return let(F.array_sort(keys), lambda k: F.array_distinct(F.filter(k, lambda key, i: key == F.get(k, i + (REPEATS - 1)))))
+
+    def without(lines: Column, gone: Column) -> Column:
+        return F.transform(F.filter(lines, lambda x: ~F.array_contains(gone, x["key"])), lambda x: x["line"])
+
+    return F.when(text.isNotNull(), _joined(let(keyed, lambda lines: let(frequent(lines), lambda gone: without(lines, gone)))))
 
 
 def strip_boilerplate(text: Column) -> Column:
@@ -98,16 +106,26 @@ def strip_boilerplate(text: Column) -> Column:
         # 3: boilerplate, 2: fragment, 1: blank, 0: content
         return F.when(i >= HEAD_LINES, 0).when(boiler, 3).when(stripped == "", 1).when(stripped.rlike(FRAGMENT), 2).otherwise(0)
 
-    lines = _lines(text)
-    head = F.slice(F.transform(lines, kind), 1, HEAD_LINES)
-    last = F.size(head) - F.array_position(F.reverse(head), 3)  # place of the last line of boilerplate, from 0
-    content = F.array_position(head, 0) - 1  # -1 if there is none
-    limit = F.when(content < 0, F.size(head)).otherwise(content)
-    scattered = F.filter(lines, lambda line, i: ~((F.get(head, i) == 3) & (i < HEAD_LINES) | (F.get(head, i) == 2) & (i < limit)) | (i >= HEAD_LINES))
-    kept = F.when(content > last, F.slice(lines, content + 1, F.size(lines))).otherwise(scattered)
-    blank = F.filter(F.transform(kept, lambda line, i: F.when(_strip(line) != "", i)), lambda i: i.isNotNull())
-    trimmed = F.when(F.size(blank) == 0, F.array().cast("array<string>")).otherwise(F.slice(kept, F.element_at(blank, 1) + 1, F.greatest(F.size(kept), F.lit(1))))
-    return F.when(~F.array_contains(head, 3), text).otherwise(_joined(trimmed))
+    def trimmed(kept: Column) -> Column:
+        said = F.filter(F.transform(kept, lambda line, i: F.when(_strip(line) != "", i)), lambda i: i.isNotNull())
+        return F.when(F.size(said) == 0, F.array().cast("array<string>")).otherwise(F.slice(kept, F.element_at(said, 1) + 1, F.greatest(F.size(kept), F.lit(1))))
+
+    def kept(lines: Column, head: Column) -> Column:
+        last = F.size(head) - F.array_position(F.reverse(head), 3)  # place of the last line of boilerplate, from 0
+        content = F.array_position(head, 0) - 1  # -1 if there is none
+
+        def cut(at: Column) -> Column:
+            limit = F.when(at["content"] < 0, F.size(head)).otherwise(at["content"])
+            stays = lambda line, i: (i >= HEAD_LINES) | ~((F.get(head, i) == 3) | (F.get(head, i) == 2) & (i < limit))
+            return F.when(at["content"] > at["last"], F.slice(lines, (at["content"] + 1).cast("int"), F.size(lines))).otherwise(F.filter(lines, stays))
+
+        return let(F.struct(last.alias("last"), content.alias("content")), cut)
+
+    def cleaned(both: Column) -> Column:
+        return F.when(~F.array_contains(both["head"], 3), text).otherwise(_joined(let(kept(both["lines"], both["head"]), trimmed)))
+
+    kinds = lambda lines: F.transform(F.slice(lines, 1, HEAD_LINES), kind)
+    return let(let(_lines(text), lambda lines: F.struct(lines.alias("lines"), kinds(lines).alias("head"))), cleaned)
 
 
 def coerce_html(text: Column) -> Column:

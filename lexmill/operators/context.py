@@ -1,0 +1,48 @@
+"""Context for a language model: blocks with their sources, and messages."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+RULE = "\n\n---\n\n"
+NO_RESULTS = "Nothing was found on this question."
+
+
+def block(key: Column, section: Column, text: Column) -> Column:
+    """`[@key, §section] text`; without a key `unknown source`, without a section none."""
+    source = F.when(F.coalesce(key, F.lit("")) != "", F.concat(F.lit("@"), key)).otherwise("unknown source")
+    part = F.when(F.coalesce(section, F.lit("")) != "", F.concat(F.lit(", §"), section)).otherwise("")
+    return F.concat(F.lit("["), source, part, F.lit("] "), text)
+
+
+def assemble(rows: DataFrame, order: str, key: Column, section: Column, text: Column, by: list[str] | None = None) -> DataFrame:
+    """One context string per group (or in all) of a result list, in its order. The rows are a cut list."""
+    made = rows.select(*(by or []), F.struct(F.col(order).alias("at"), block(key, section, text).alias("block")).alias("b"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list("b")), lambda b: b["block"]), RULE)
+    return made.groupBy(*(by or [])).agg(joined.alias("context"), F.count("*").alias("chunks"))
+
+
+def user_message(context: Column, question: Column) -> Column:
+    """The context first, the question last."""
+    asked = F.concat(F.lit("Question: "), question)
+    return F.when(F.coalesce(context, F.lit("")) != "", F.concat(F.lit("Context:\n"), context, F.lit("\n\n"), asked)).otherwise(asked)
+
+
+@dataclass(frozen=True)
+class Answer:
+    text: str
+    chunks: list[dict]
+
+
+def ask(results: DataFrame, question: str, client: Callable[[list[dict]], Iterator[str]], system: str, order: str = "rank") -> Answer:
+    """Answer a question from a cut result list with key, section and text. Without results the client isn't asked."""
+    rows = [r.asDict() for r in results.orderBy(order).collect()]
+    if not rows:
+        return Answer(NO_RESULTS, [])
+    context = RULE.join(f"[{'@' + r['key'] if r.get('key') else 'unknown source'}{', §' + r['section'] if r.get('section') else ''}] {r['text']}" for r in rows)
+    messages = [{"role": "system", "content": system}, {"role": "user", "content": f"Context:\n{context}\n\nQuestion: {question}"}]
+    return Answer("".join(client(messages)), rows)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lexmill.plans import search
+from lexmill.plans import library, search, texts
 
-_MODULES = (search,)
+_MODULES = (search, texts, library)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
