@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.operators import chunking, cleanup, context, fulltext, quality, ranking
-from lexmill.plans.search import _bm25_sql, _batch, _BATCH_SQL, _read, _WORD_PHRASES, WORDS
+from lexmill.operators import chunking, cleanup, context, fulltext, quality, ranking, titles
+from lexmill.plans.search import _BATCH_SQL, _WORD_PHRASES, WORDS, _batch, _bm25_sql, _read
+from lexmill.streaming import ingest
 
 
 def _cleaned(column, prepare=None):
@@ -221,6 +222,35 @@ def regression_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("item_id", "metric", F.round("change", 6).alias("change"), "regression")
 
 
+def title_heuristic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents under two headings, asked for their title."""
+    docs = _read(spark, sf_dir, "documents")
+    text = F.concat(F.lit("## Contents\n\n# A Study Of "), F.col("source"), F.lit(" And Its Many Words\n\n"), F.col("text"))
+    found = docs.select("doc_id", titles.title(text).alias("t"))
+    return found.select("doc_id", F.col("t.value").alias("title"), F.col("t.confidence").alias("confidence"), F.col("t.reasoning").alias("reasoning"))
+
+
+def heading_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headings of the sectioned documents with their places."""
+    found = _sectioned(spark, sf_dir).select("doc_id", F.explode(titles.headings(F.col("text"))).alias("h"))
+    return found.select("doc_id", F.col("h.level").cast("long").alias("level"), "h.title", F.col("h.start").cast("long").alias("start"))
+
+
+_ANCHOR_SQL = """
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+s AS (SELECT *, repeat('#', CAST(i % 4 + 1 AS INT)) || ' H' || i AS head FROM l)
+SELECT doc_id, CAST(i % 4 + 1 AS BIGINT) AS level, 'H' || i AS title,
+  CAST(coalesce(sum(length(head) + 1 + length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM s
+"""
+
+
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly counts and sums of events, by the plan that also runs on streams."""
+    events = _read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    found = ingest.windowed_counts(events)
+    return found.select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "event_type", "events", F.round("total", 4).alias("total"))
+
+
 def rag_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best five hits as a context."""
     docs = _read(spark, sf_dir, "documents")
@@ -253,6 +283,9 @@ QUERIES = {
     "structural_validators": structural_validators,
     "ir_metrics_by_query": ir_metrics_by_query,
     "ir_metrics_rollup": ir_metrics_rollup,
+    "title_heuristic": title_heuristic,
+    "heading_anchors": heading_anchors,
+    "event_windows": event_windows,
     "rag_context": rag_context,
     "conversation_messages": conversation_messages,
 }
@@ -274,6 +307,8 @@ ORACLE_SQL = {
     "structural_validators": _VALID_SQL,
     "ir_metrics_by_query": _METRICS + f"SELECT query_id, {_ROUNDED} FROM m",
     "ir_metrics_rollup": _METRICS + f"SELECT 'all' AS category, count(*) AS queries, {_MEANS} FROM m UNION ALL SELECT CAST(own AS VARCHAR), count(*), {_MEANS} FROM m GROUP BY own",
+    "heading_anchors": _ANCHOR_SQL,
+    "event_windows": "SELECT strftime(ts, '%Y-%m-%d %H') AS hour, event_type, count(*) AS events, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "rag_context": _bm25_sql(_WORD_PHRASES, 5, tail=f"""SELECT count(*) AS chunks, sha256('Context:' || chr(10) || string_agg('[@doc' || doc_id || ', §' || source || '] ' || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY bm25, doc_id) || chr(10) || chr(10) || 'Question: {WORDS}') AS message_sha256 FROM hits"""),
     "conversation_messages": "SELECT conv_id, count(*) AS chunks, sha256(string_agg('[@' || role || '] ' || coalesce(text, ''), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn)) AS context_sha256 FROM conversations GROUP BY conv_id",
 }
