@@ -116,9 +116,7 @@ def retrieval_metrics(run: DataFrame, grades: DataFrame, k: int, query: str = "q
     )
 
 
-def exact_percentile(rows: DataFrame, value: str, shares: list[float]) -> DataFrame:
-    """The values at index int(share * n) of the sorted values, per share."""
-    n = rows.filter(F.col(value).isNotNull()).count()
-    ranked = rows.filter(F.col(value).isNotNull()).select(value, F.row_number().over(Window.orderBy(value)).alias("_at"))
-    places = F.create_map(*[F.lit(x) for s in shares for x in (min(int(s * n), max(n - 1, 0)) + 1, s)])
-    return ranked.filter(F.col("_at").isin([min(int(s * n), max(n - 1, 0)) + 1 for s in shares])).select(places[F.col("_at")].alias("share"), F.col(value).alias("value"))
+def percentiles(rows: DataFrame, value: str, shares: list[float], accuracy: int = 100_000) -> DataFrame:
+    """share and value of percentiles, by a sketch whose ranks are off by at most 1 / accuracy of the rows."""
+    found = rows.agg(F.percentile_approx(value, shares, accuracy).alias("v"))
+    return found.select(F.explode(F.arrays_zip(F.array(*[F.lit(s) for s in shares]).alias("share"), F.col("v").alias("value"))).alias("p")).select("p.share", "p.value")

@@ -54,3 +54,15 @@ def test_ingest_takes_each_content_once(spark, tmp_path):
         ingest.ingest(spark, source, store, check, "doc_id long, text string").awaitTermination(60)
     got = sorted((r.doc_id, r.status) for r in spark.read.parquet(store).collect())
     assert got == [(1, "ready"), (3, "needs_review"), (5, "ready")]
+
+
+def test_extract(spark):
+    from lexmill.sources import extract
+
+    rows = [("a.txt", b"word " * 30), ("b.HTML", b"<style>x</style><p>A &amp; B</p><p>c</p>"), ("c.txt", b"\xff"), ("d.pdf", b"%PDF"), ("e.txt", None), (None, b"x")]
+    df = spark.createDataFrame(rows, "path string, content binary")
+    got = {r.path: r for r in extract.extract(df).collect()}
+    assert got["a.txt"].status == "ready" and got["b.HTML"].text == "A & B\nc" and got["b.HTML"].status == "needs_review"
+    assert got["c.txt"].error.startswith("UnicodeDecodeError") and got["d.pdf"].status == "failed" and got["e.txt"].text == "" and got[None].status == "failed"
+    mine = extract.extract(df.filter("path = 'd.pdf'"), [((".pdf",), lambda data: "pdf " * 50), *extract.DEFAULTS]).first()
+    assert mine.status == "ready" and mine.error is None
