@@ -6,10 +6,10 @@
 2. Classes that share a band key are candidates. In each such bucket every class is paired with one hub. The matching
    low bits, counted by xor and bit count and corrected for chance collisions, estimate the similarity; pairs far below
    the threshold go, the others are confirmed on their full sets.
-3. A class that is not linked with the hub of one of its buckets is then compared with all classes of that bucket, in
-   the same way. So every pair of a bucket is compared, or both sides are already linked with the hub; a large group of
+3. Links are joined to components by minimum labels and pointer jumping. Buckets that hold more than one component
+   get a second hub, and its links join components of components; then what is not in a bucket's largest component is compared with all of that bucket that is in
+   another component. So every pair of a bucket is compared, or both sides are connected already, and a large group of
    near copies costs its size, not its square.
-4. Links are joined to components by minimum labels and pointer jumping.
 
 Two sets with a similarity of exactly 0.75 share no band with probability 5e-6; the estimate drops a pair at the
 threshold with probability below 1e-7.
@@ -173,48 +173,65 @@ def _near(n: Column, m: Column, planes: Column, other: Column) -> Column:
     return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & (estimate(planes, other) >= _least_estimate())
 
 
-def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Confirmed links (a, b) between classes: enough of them to connect all that are connected."""
+def parts_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(class, part) of all classes that share a bucket: equal parts are connected, by confirmed links."""
     facts = classes.select("class", F.col("n_shingles").alias("n"), "planes")
     keys = classes.filter("rep is not null").select("class", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("class").alias("hub"), F.count("*").alias("size")).filter("size > 1").drop("size")
+    shared = keys.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key")
     members = session.cut(keys.join(shared, "key"), "buckets")
+    buckets, parts = members.withColumn("part", F.col("class")), None
+    near = _near(F.col("n_a"), F.col("n_b"), F.col("planes_a"), F.col("planes_b"))
 
     def facts_of(name: str) -> DataFrame:
         return facts.select(F.col("class").alias(name), F.col("n").alias(f"n_{name}"), F.col("planes").alias(f"planes_{name}"))
 
-    near = _near(F.col("n_a"), F.col("n_b"), F.col("planes_a"), F.col("planes_b"))
-    star = members.filter("class != hub").select(F.col("hub").alias("a"), F.col("class").alias("b")).distinct()
-    star = session.cut(star.join(facts_of("b"), "b").join(facts_of("a"), "a").filter(near).select("a", "b"), "star")
-    wanted = star.select(F.col("a").alias("class")).union(star.select(F.col("b").alias("class")))
-    first = session.cut(_confirm(star, session.cut(_sets(docs, classes, wanted), "sets")), "links")
-
-    # classes that aren't linked with the hub of a bucket, against all of that bucket
-    to_hub = first.select(F.col("a").alias("hub"), F.col("b").alias("class"))
-    apart = members.filter("class != hub").join(to_hub, ["hub", "class"], "left_anti")
-    apart = apart.join(facts_of("a").withColumnRenamed("a", "class"), "class").select("key", F.col("class").alias("a"), "n_a", "planes_a", "hub")
-    others = members.join(apart.select("key").distinct(), "key", "left_semi").filter("class != hub")
-    others = others.join(facts_of("b").withColumnRenamed("b", "class"), "class").select("key", F.col("class").alias("b"), "n_b", "planes_b")
-    pairs = apart.join(others, "key").filter((F.col("a") != F.col("b")) & near)
-    pairs = session.cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class")))
-    return first.union(_confirm(pairs, session.cut(_sets(docs, classes, wanted), "sets")))
-
-
-def components(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """(class, label): the smallest label reachable, for the classes that edges (a, b) touch. `labels` has one per class."""
+    def merged(pairs: DataFrame) -> DataFrame:
+        """The parts when the pairs that are links are joined. Only links between different parts go on."""
+        pairs = session.cut(pairs, "pairs")
+        wanted = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class")))
+        found = _confirm(pairs, session.cut(_sets(docs, classes, wanted), "sets"))
+        if parts is None:
+            now = members.select("class").distinct().withColumn("part", F.col("class"))
+        else:
+            side = lambda name: parts.select(F.col("class").alias(name), F.col("part").alias(f"part_{name}"))
+            found = found.join(side("a"), "a").join(side("b"), "b").select(F.col("part_a").alias("a"), F.col("part_b").alias("b"))
+            now = parts
+        roots = components(found.filter("a <> b").distinct())
+        return session.cut(now.join(roots.select(F.col("class").alias("part"), "label"), "part", "left").select("class", F.coalesce("label", "part").alias("part")), "parts")
+
+    def mixed() -> DataFrame:
+        """Members of the buckets that still hold more than one part."""
+        known = members.join(parts, "class")
+        open_ = known.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most")).filter("least <> most").select("key")
+        return session.cut(known.join(open_, "key"), "buckets")
+
+    for hub in (F.min, F.max):
+        hubs = buckets.groupBy("key").agg(hub(F.struct("class", "part")).alias("hub")).select("key", F.col("hub.class").alias("a"), F.col("hub.part").alias("part_a"))
+        star = buckets.join(hubs, "key").filter("part <> part_a").select("a", F.col("class").alias("b")).distinct()
+        parts = merged(star.join(facts_of("b"), "b").join(facts_of("a"), "a").filter(near).select("a", "b"))
+        buckets = mixed()
+
+    # what is not in a bucket's largest part, against all of the bucket that is not in its own part
+    largest = buckets.groupBy("key", "part").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("largest"))
+    apart = buckets.join(largest, "key").filter("part <> largest").join(facts_of("a"), F.col("class") == F.col("a")).select("key", "a", "n_a", "planes_a", F.col("part").alias("part_a"))
+    others = buckets.join(facts_of("b"), F.col("class") == F.col("b")).select("key", "b", "n_b", "planes_b", F.col("part").alias("part_b"))
+    pairs = apart.join(others, "key").filter((F.col("part_a") != F.col("part_b")) & near)
+    return merged(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(class, label) of all that edges (a, b) touch: the label is the smallest class reachable."""
     both = session.cut(edges.select(F.col("a").alias("class"), F.col("b").alias("to")).union(edges.select(F.col("b"), F.col("a"))), "edges")
-    now = session.cut(labels.join(both.select("class").distinct(), "class", "left_semi").select("class", "label"), "labels")
+    now = session.cut(both.groupBy("class").agg(F.least("class", F.min("to")).alias("label")), "labels")
     while True:
         offered = both.join(now, "class").select(F.col("to").alias("class"), "label")
         met = now.withColumn("was", F.col("label")).unionByName(offered, allowMissingColumns=True).groupBy("class").agg(F.min("label").alias("label"), F.min("was").alias("was"))
-        # a label leads to the label that its own document has by now
-        jump = met.groupBy(F.col("was").alias("label")).agg(F.min("label").alias("next"))
-        new = met.join(jump, "label", "left").select("class", F.least("label", "next").alias("label"), "was")
-        new = session.cut(new, "labels")
-        if not new.filter("label != was").limit(1).count():
-            return new.select("class", "label")
-        now = new.select("class", "label")
+        met = session.cut(met, "labels")
+        # a label is a class too: what that class has by now is as good
+        new = met.join(met.select(F.col("class").alias("label"), F.col("label").alias("next")), "label", "left").select("class", F.coalesce("next", "label").alias("label"))
+        if not met.filter("label <> was").limit(1).count():
+            return met.select("class", "label")
+        now = session.cut(new, "labels")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -226,8 +243,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = session.cut(signatures(docs.withColumn("text_key", F.xxhash64("text"))), "signatures")
     classes = rows.filter("set_print is not null").groupBy("set_print").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("planes").alias("planes"))
     classes = session.cut(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
-    found = components(links(docs, classes), classes.select("class", F.col("rep").alias("label")))
-    whole = classes.select("class", "set_print", "rep").join(found, "class", "left").select("set_print", F.coalesce("label", "rep").alias("label"))
+    parts = parts_of(docs, classes).join(classes.select("class", "rep"), "class")
+    smallest = parts.join(parts.groupBy("part").agg(F.min("rep").alias("label")), "part").select("class", "label")
+    whole = classes.select("class", "set_print", "rep").join(smallest, "class", "left").select("set_print", F.coalesce("label", "rep").alias("label"))
     out = rows.select("id", "text_key", "n_shingles", "set_print").join(whole, "set_print", "left")
     component = F.when(F.col("set_print").isNull(), F.col("id")).otherwise(F.col("label"))
     return out.select("id", "text_key", "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
