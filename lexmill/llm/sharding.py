@@ -21,6 +21,8 @@ from lexmill.functions.ordinals import gapless
 
 #: Rounds of propagation.
 ROUNDS = 4
+#: Tasks that the nodes of one group are dealt to.
+SALTS = 16
 
 
 def _targets(n: int, shards: int) -> list[int]:
@@ -61,13 +63,12 @@ def propagate(nodes: DataFrame, edges: DataFrame, shards: int, rounds: int = ROU
     # linked documents stay up to the target; all others fill the rest
     held = gapless(now, ["shard"], ["node"], ["node"], "place").join(F.broadcast(spark.createDataFrame(list(enumerate(targets)), "shard int, target long")), "shard")
     pool = alone.select("node").union(held.filter("place >= target").select("node"))
-    ends, at = [], 0
+    ends, at = [], 0  # of the pool's places that each shard takes
     for s in range(shards):
-        need = targets[s] - min(sizes.get(s, 0), targets[s])
-        ends.append((s, at, at + need))
-        at += need
-    room = F.broadcast(spark.createDataFrame(ends, "shard int, first long, last long"))
-    filled = gapless(pool, [], ["node"], ["node"], "place").join(room, (F.col("place") >= F.col("first")) & (F.col("place") < F.col("last")))
+        at += targets[s] - min(sizes.get(s, 0), targets[s])
+        ends.append(at)
+    taker = F.size(F.filter(F.array(*[F.lit(e) for e in ends]), lambda end: end <= F.col("place")))
+    filled = gapless(pool, [], ["node"], ["node"], "place").withColumn("shard", taker)
     return held.filter("place < target").select("node", "shard").union(filled.select("node", "shard"))
 
 
@@ -92,13 +93,13 @@ def star_links(keys: DataFrame, most: int) -> DataFrame:
 
     A group that no shard can hold is cut into blocks that one can. Null keys link with nothing.
     """
-    known = keys.filter("key is not null")
-    sizes = known.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    grouped = known.join(sizes, "key")
+    known = keys.filter("key is not null").withColumn("salt", F.pmod(F.xxhash64("node", F.lit("salt")), F.lit(SALTS)).cast("int"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    sizes = known.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key", "size", salts)
     blocks = F.when(F.col("size") <= most, F.lit(0)).otherwise(F.pmod(F.xxhash64("node"), F.ceil(2 * F.col("size") / most)))
-    grouped = grouped.select("node", "key", blocks.alias("block"))
-    hubs = grouped.groupBy("key", "block").agg(F.min("node").alias("hub"))
-    return grouped.join(hubs, ["key", "block"]).filter("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    grouped = session.cut(known.join(sizes, ["key", "salt"]).select("node", "key", "salt", blocks.alias("block")), "groups")
+    hubs = grouped.groupBy("key", "block").agg(F.min("node").alias("hub")).select("key", "block", "hub", salts)
+    return grouped.join(hubs, ["key", "block", "salt"]).filter("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
 
 
 def shard_texts(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
