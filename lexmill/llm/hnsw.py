@@ -192,8 +192,8 @@ def search(index: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
     blocks = -(-asked.count() // BLOCK) or 1
     asked = asked.select(F.size("v").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), F.struct("id", "v").alias("q"))
     asked = asked.groupBy("dim", "block").agg(F.collect_list("q").alias("queries"))  # about BLOCK of them
-    every = index.select("dim", "shard").join(asked, "dim")
-    work = every.join(index, ["dim", "shard"])
+    shards = index.agg(F.max("shard")).first()[0]
+    work = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards or 0)))).join(index, ["dim", "shard"])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
