@@ -39,6 +39,8 @@ BANDS, ROWS, BITS = 32, 4, 4
 HASHES = BANDS * ROWS
 #: Estimates this many standard deviations below the threshold are dropped without confirmation.
 SIGMAS = 5.5
+#: Classes of a bucket that are compared at a time.
+BLOCK = 256
 #: Words whose hashes one Python worker remembers; it forgets them all beyond.
 CACHE = 500_000
 
@@ -186,10 +188,12 @@ def parts_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
         return facts.select(F.col("class").alias(name), F.col("n").alias(f"n_{name}"), F.col("planes").alias(f"planes_{name}"))
 
     def merged(pairs: DataFrame) -> DataFrame:
-        """The parts when the pairs that are links are joined. Only links between different parts go on."""
+        """The parts when the pairs that are links are joined."""
         pairs = session.cut(pairs, "pairs")
         wanted = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class")))
-        found = _confirm(pairs, session.cut(_sets(docs, classes, wanted), "sets"))
+        return merged_by(_confirm(pairs, session.cut(_sets(docs, classes, wanted), "sets")))
+
+    def merged_by(found: DataFrame) -> DataFrame:
         if parts is None:
             now = members.select("class").distinct().withColumn("part", F.col("class"))
         else:
@@ -214,9 +218,64 @@ def parts_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
     # what is not in a bucket's largest part, against all of the bucket that is not in its own part
     largest = buckets.groupBy("key", "part").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("largest"))
     apart = buckets.join(largest, "key").filter("part <> largest").join(facts_of("a"), F.col("class") == F.col("a")).select("key", "a", "n_a", "planes_a", F.col("part").alias("part_a"))
-    others = buckets.join(facts_of("b"), F.col("class") == F.col("b")).select("key", "b", "n_b", "planes_b", F.col("part").alias("part_b"))
-    pairs = apart.join(others, "key").filter((F.col("part_a") != F.col("part_b")) & near)
-    return merged(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    others = buckets.join(facts_of("b"), F.col("class") == F.col("b")).select(F.col("key").alias("key_b"), "b", "n_b", "planes_b", F.col("part").alias("part_b"))
+    likely = apart.join(others, (F.col("key") == F.col("key_b")) & (F.col("part_a") != F.col("part_b")) & near, "left_semi")
+    likely = session.cut(likely.select("key", F.col("a").alias("class")), "likely")
+    return merged_by(_links_in_blocks(docs, classes, buckets.join(likely.select("key").distinct(), "key", "left_semi"), likely))
+
+
+def _links_in_blocks(docs: DataFrame, classes: DataFrame, buckets: DataFrame, asked: DataFrame) -> DataFrame:
+    """Links (a, b) of the asked (key, class) with other parts (key, class, part) of their buckets, at least one per part.
+
+    A bucket is cut into blocks of about BLOCK classes, and every block of asked ones meets every block of the bucket in
+    one row; the pairs are tested inside of tasks. A pair is tested in the first bucket that it shares.
+    """
+    blocks = buckets.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    buckets = buckets.join(blocks, "key").join(asked.withColumn("asked", F.lit(True)), ["key", "class"], "left")
+    buckets = session.cut(buckets.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks"))), "buckets")
+    sets = session.cut(_sets(docs, classes, buckets), "sets")
+    facts = classes.select("class", "planes", "bands").join(sets, "class")
+    # the sets are dealt out twice: to the blocks, and those of the asked to all blocks of their buckets
+    rows = buckets.join(facts, "class").select("key", "block", "blocks", "asked", F.struct("class", "part", "planes", "bands", "codes").alias("m"))
+    whole = rows.groupBy("key", "block").agg(F.collect_list("m").alias("members"))
+    some = rows.filter("asked").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("block").alias("own"), "m")
+    some = some.groupBy("key", "block", "own").agg(F.collect_list("m").alias("asked"))
+    work = some.join(whole, ["key", "block"])
+    return work.select("key", "asked", "members").mapInArrow(_test_blocks, "a long, b long")
+
+
+def _test_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def unpacked(rows: list[dict]) -> tuple:
+        columns = (np.array([r[c] for r in rows], np.int64) for c in ("class", "part", "planes", "bands"))
+        return *columns, [np.frombuffer(r["codes"], np.uint64) for r in rows]
+
+    for batch in batches:
+        found = []
+        for i in range(batch.num_rows):
+            key, asked, members = (batch.column(c)[i].as_py() for c in range(3))
+            a, part_a, planes_a, bands_a, sets_a = unpacked(asked)
+            b, part_b, planes_b, bands_b, sets_b = unpacked(members)
+            size_a, size_b = (np.array([len(x) for x in sets]) for sets in (sets_a, sets_b))
+            differ = np.zeros((len(a), len(b)), np.int64)
+            for group in range(HASHES // 64):
+                word = np.zeros_like(differ)
+                for plane in range(group * BITS, (group + 1) * BITS):
+                    word |= planes_a[:, None, plane] ^ planes_b[None, :, plane]
+                differ += np.bitwise_count(word.view(np.uint64))
+            chance = 2.0**-BITS
+            near = ((1 - differ / HASHES) - chance) / (1 - chance) >= _least_estimate()
+            near &= part_a[:, None] != part_b[None, :]
+            near &= 100 * np.minimum(size_a[:, None], size_b[None, :]) >= PERCENT * np.maximum(size_a[:, None], size_b[None, :])
+            joined = set()
+            for x, y in zip(*np.nonzero(near), strict=True):
+                shared = bands_a[x] == bands_b[y]
+                if (x, part_b[y]) in joined or bands_a[x, shared.argmax()] != key:
+                    continue
+                common = len(np.intersect1d(sets_a[x], sets_b[y], assume_unique=True))
+                if 100 * common >= PERCENT * (size_a[x] + size_b[y] - common):
+                    joined.add((x, part_b[y]))
+                    found.append((int(a[x]), int(b[y])))
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
 
 def components(edges: DataFrame) -> DataFrame:
