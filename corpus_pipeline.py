@@ -42,12 +42,13 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates. Documents without an id, which no group can name, stay."""
+    """One document of each group of near-duplicates, whether its ids are null or repeat or not; equal rows are one document."""
     session.tune(spark)
     found = near_dedup.near_duplicates(docs)
-    kept = found.filter(F.col("kept") | F.col("component_id").isNull()).select("id", "text_key").distinct()
+    kept = found.filter("kept").select("id", "text_key").distinct()
     rows = docs.withColumn("_key", F.xxhash64("text"))
-    return rows.join(kept, rows["doc_id"].eqNullSafe(kept["id"]) & (rows["_key"] == kept["text_key"]), "left_semi").select(docs.columns)
+    rows = rows.join(kept, rows["doc_id"].eqNullSafe(kept["id"]) & (rows["_key"] == kept["text_key"]), "left_semi")
+    return rows.dropDuplicates(["doc_id", "_key"]).select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

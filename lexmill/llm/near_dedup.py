@@ -16,8 +16,9 @@ threshold with probability below 1e-7.
 
 Defined results: a null or wordless text has an empty set, is linked with nothing and is a component of its own; with
 fewer than five words the sequence is one shingle; texts are used whole; rows that repeat an id are rows of their own;
-a class whose ids are all null is not compared with others, and its component_id is null; an empty table gives an empty
-result; extra columns are left out, whatever their names.
+rows without an id are compared as all others, and component_id is null where no row of the component has one; one row of
+each component is kept, whatever ids repeat; an empty table gives an empty result; extra columns are left out, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -149,8 +150,9 @@ def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
             codes = [shingles(t).tobytes() for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(c) for c in codes], pa.binary()), pa.array(codes, pa.binary())], names=["set_print", "codes"])
 
-    known = classes.select("class", "set_print", "rep").join(wanted.select("class").distinct(), "class", "left_semi")
-    texts = docs.join(known.select(F.col("rep").alias("id")), "id", "left_semi").select("text")
+    known = classes.select("class", "set_print", "first").join(wanted.select("class").distinct(), "class", "left_semi")
+    keys = known.select(F.col("first.id").alias("rep"), F.col("first.text_key").alias("rep_key"))
+    texts = docs.join(keys, F.col("id").eqNullSafe(F.col("rep")) & (F.xxhash64("text") == F.col("rep_key")), "left_semi").select("text")
     found = texts.mapInArrow(task, "set_print binary, codes binary").dropDuplicates(["set_print"])
     return found.join(known.select("class", "set_print"), "set_print").select("class", "codes")
 
@@ -178,7 +180,7 @@ def _near(n: Column, m: Column, planes: Column, other: Column) -> Column:
 def parts_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(class, part) of all classes that share a bucket: equal parts are connected, by confirmed links."""
     facts = classes.select("class", F.col("n_shingles").alias("n"), "planes")
-    keys = classes.filter("rep is not null").select("class", F.explode("bands").alias("key"))
+    keys = classes.select("class", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key")
     members = session.cut(keys.join(shared, "key"), "buckets")
     buckets, parts = members.withColumn("part", F.col("class")), None
@@ -294,17 +296,21 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, text_key, n_shingles, component_id (smallest id reachable over links), kept (id = component_id).
+    """One row per input row: id, text_key, n_shingles, component_id (smallest id reachable over links), kept (one row per component).
 
-    text_key is xxhash64 of the text; with the id it tells a row's document apart from others that repeat its id.
+    text_key is xxhash64 of the text; with the id it tells a row's document apart from others that repeat its id. Kept is
+    the row with the smallest id; of rows that repeat it, the one with the smallest text_key; of equal rows, any one.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = session.cut(signatures(docs.withColumn("text_key", F.xxhash64("text"))), "signatures")
-    classes = rows.filter("set_print is not null").groupBy("set_print").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("planes").alias("planes"))
+    rows = signatures(docs.withColumn("text_key", F.xxhash64("text"))).withColumn("row", F.monotonically_increasing_id())
+    rows = session.cut(rows, "signatures")
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_key", "row")).alias("first")
+    classes = rows.filter("set_print is not null").groupBy("set_print").agg(first, F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("planes").alias("planes"))
     classes = session.cut(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
-    parts = parts_of(docs, classes).join(classes.select("class", "rep"), "class")
-    smallest = parts.join(parts.groupBy("part").agg(F.min("rep").alias("label")), "part").select("class", "label")
-    whole = classes.select("class", "set_print", "rep").join(smallest, "class", "left").select("set_print", F.coalesce("label", "rep").alias("label"))
-    out = rows.select("id", "text_key", "n_shingles", "set_print").join(whole, "set_print", "left")
-    component = F.when(F.col("set_print").isNull(), F.col("id")).otherwise(F.col("label"))
-    return out.select("id", "text_key", "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+    parts = parts_of(docs, classes).join(classes.select("class", "first"), "class")
+    smallest = parts.join(parts.groupBy("part").agg(F.min("first").alias("best")), "part").select("class", "best")
+    whole = classes.select("class", "set_print", "first").join(smallest, "class", "left").select("set_print", F.coalesce("best", "first").alias("best"))
+    out = rows.select("id", "text_key", "n_shingles", "set_print", "row").join(whole, "set_print", "left")
+    alone = F.col("set_print").isNull()
+    component = F.when(alone, F.col("id")).otherwise(F.col("best.id"))
+    return out.select("id", "text_key", "n_shingles", component.alias("component_id"), (alone | (F.col("row") == F.col("best.row"))).alias("kept"))

@@ -10,6 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import corpus_pipeline
 from lexmill import session
 from lexmill.llm import chat, exact_dedup, hnsw, language, near_dedup, packing, quality, sharding, token_file, unigram
 from lexmill.llm.tokens import Encoder
@@ -215,6 +216,19 @@ def test_near_dedup_of_a_large_group(spark):
     assert got == sorted(brute_components(rows))
 
 
+def test_near_dedup_without_ids_and_with_repeated_ids(spark):
+    """Near copies with null ids and under one id, against brute force; one row of each component is kept."""
+    words = lambda tag, n=60: [f"{tag}{i}" for i in range(n)]
+    near = lambda tag, k: " ".join(words(tag)[:-1] + [f"end{k}"])
+    rows = [(None, near("a", 1)), (None, near("a", 2)), (None, near("a", 2)), (None, near("b", 1)), (5, near("b", 2)), (7, near("c", 1)), (7, near("c", 2)), (7, near("c", 2)), (9, near("c", 3)), (None, " ".join(words("d")))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = near_dedup.near_duplicates(df).collect()
+    assert Counter((r.id, r.n_shingles, r.component_id) for r in got) == Counter(brute_components(rows))
+    assert Counter(r.id for r in got if r.kept) == {None: 2, 5: 1, 7: 1}
+    kept = [(r.doc_id, r.text[0]) for r in corpus_pipeline.without_near_copies(spark, df, "").collect()]
+    assert Counter(kept) == {(None, "a"): 1, (5, "b"): 1, (7, "c"): 1, (None, "d"): 1}
+
+
 def test_estimate_is_near_the_similarity(spark):
     a, b = np.arange(0, 4000, dtype=np.uint64), np.arange(500, 4500, dtype=np.uint64)
     mix = lambda x: (x + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
