@@ -2,11 +2,13 @@
 
 `fit` counts hashed letter trigrams of each language over a bounded sample of labelled documents. `classify` sees every
 document as a mixture of the languages: expectation-maximisation estimates the proportions from the trigrams'
-likelihoods, and among the sets of its strongest languages the one with the best penalised likelihood is selected. The
-predicted language is the strongest of that set; the score is its share in the mixture over all languages.
+likelihoods, until no share moves. A set of languages is selected for every document: the likeliest single one, and as
+long as the penalised likelihood rises, the one that raises it most. The predicted language is the strongest of that
+set; the score is its share in the mixture over all languages.
 
 Defined results: a null text, or one without a letter, is `und` with score 0 and no languages; so is every text if the
-model has learned no language; whole texts are used, however long; equal shares go to the language that sorts first;
+model has learned no language; languages fit a text unless equally likely trigrams explain it better, by more than the
+price of a language; whole texts are used, however long; equal shares go to the language that sorts first;
 documents with a null language or a null id aren't learned from; `classify` keeps every row and column of its input,
 repeated rows too, and refuses only a column that has the name it adds.
 """
@@ -29,13 +31,14 @@ PER_LANGUAGE = 2000
 SMOOTHING = 0.1
 #: Price in log-likelihood of each further language, times the logarithm of the number of trigrams.
 PENALTY = 2.0
-MOST_LANGUAGES = 3
+#: A mixture is found when ROUND steps of EM move no share by this.
+TOLERANCE, ROUND = 1e-4, 10
 UNDETERMINED = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")
 _SPACES = np.array([not chr(b).isalpha() for b in range(128)])
-RESULT = "lang string, score double, languages array<string>, shares array<double>"
-_ARROW = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("languages", pa.list_(pa.string())), ("shares", pa.list_(pa.float64()))])
+RESULT = "lang string, score double, languages array<string>, shares array<double>, fits boolean"
+_ARROW = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("languages", pa.list_(pa.string())), ("shares", pa.list_(pa.float64())), ("fits", pa.bool_())])
 
 
 @dataclass
@@ -102,13 +105,30 @@ def _likelihood(pi: np.ndarray, p: np.ndarray, n: np.ndarray, doc: np.ndarray, s
 
 def infer(model: Model, texts: list[str | None]) -> list[dict]:
     """The mixture of every text."""
-    out = [{"lang": UNDETERMINED, "score": 0.0, "languages": [], "shares": []} for _ in texts]
+    out = [{"lang": UNDETERMINED, "score": 0.0, "languages": [], "shares": [], "fits": False} for _ in texts]
     places = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if model.languages else []
     for i in range(0, len(places), 64):
         _infer(model, texts, places[i : i + 64], out)
     return out
 
 
+def _mixtures(pi: np.ndarray, which: np.ndarray, p: np.ndarray, n: np.ndarray, starts: np.ndarray, sizes: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Likeliest mixtures of the documents `which`, from their proportions `pi`, and the log-likelihoods; a share of 0 stays 0."""
+    pi, value, left = pi.copy(), np.empty(len(which)), np.arange(len(which))
+    while len(left):
+        some = which[left]
+        doc = np.repeat(np.arange(len(some)), sizes[some])
+        begin = np.concatenate(([0], np.cumsum(sizes[some])[:-1]))
+        at = np.arange(len(doc)) - begin[doc] + starts[some][doc]
+        rest = (p[at], n[at], doc, begin)
+        new = _em(pi[left], *rest, total[some], ROUND)
+        value[left] = _likelihood(new, *rest)
+        moved = np.abs(new - pi[left]).max(axis=1) >= TOLERANCE
+        pi[left] = new
+        left = left[moved]
+    return pi, value
+
+
 def _infer(model: Model, texts: list[str | None], places: list[int], out: list[dict]) -> None:
     used, counts = [], []
     for i in places:
@@ -117,42 +137,44 @@ def _infer(model: Model, texts: list[str | None], places: list[int], out: list[d
         counts.append(n[used[-1]])
     sizes = np.array([len(x) for x in used])
     starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    doc, n = np.repeat(np.arange(len(places)), sizes), np.concatenate(counts).astype(np.float32)
-    log_p = model.log_p[np.concatenate(used)]
+    n = np.concatenate(counts).astype(np.float64)
+    log_p = model.log_p[np.concatenate(used)].astype(np.float64)
     p, total = np.exp(log_p), np.add.reduceat(n, starts)
     alone = np.add.reduceat(n[:, None] * log_p, starts)  # log-likelihood under each language
     pi = np.exp(5 * (alone - alone.max(axis=1, keepdims=True)) / total[:, None]) + 1e-3
     pi /= pi.sum(axis=1, keepdims=True)
-    pi = _em(pi.astype(np.float32), p, n, doc, starts, total, 3)
-
-    mixed = np.flatnonzero(pi.max(axis=1) < 0.97)
-    chosen = [np.argmax(pi, axis=1)[:, None]] * 1
-    sets: dict[int, np.ndarray] = {}
-    if len(mixed):
-        keep = np.isin(doc, mixed)
-        part_p, part_n, part_sizes = p[keep], n[keep], sizes[mixed]
-        part_starts, part_doc = np.concatenate(([0], np.cumsum(part_sizes)[:-1])), np.repeat(np.arange(len(mixed)), part_sizes)
-        rest = (part_p, part_n, part_doc, part_starts)
-        full = _em(pi[mixed], *rest, total[mixed], 12)
-        pi[mixed] = full
-        order = np.argsort(-full, axis=1, kind="stable")
-        best = alone[mixed, order[:, 0]] - PENALTY * np.log(total[mixed])
-        size = np.ones(len(mixed), int)
-        for m in range(2, min(MOST_LANGUAGES, len(model.languages)) + 1):
-            some = np.zeros_like(full)
-            np.put_along_axis(some, order[:, :m], np.maximum(np.take_along_axis(full, order[:, :m], axis=1), 1e-3), axis=1)
-            some = _em(some / some.sum(axis=1, keepdims=True), *rest, total[mixed], 6)
-            value = _likelihood(some, *rest) - m * PENALTY * np.log(total[mixed])
-            size, best = np.where(value > best, m, size), np.maximum(value, best)
-        sets = {int(d): order[k, : size[k]] for k, d in enumerate(mixed)}
+    facts = (p, n, starts, sizes, total)
+    pi, most = _mixtures(pi, np.arange(len(places)), *facts)
+
+    price = PENALTY * np.log(total)
+    chosen = np.arange(len(model.languages)) == alone.argmax(axis=1)[:, None]
+    best = alone.max(axis=1)
+    # no set is likelier than the mixture of all languages: where that gains less than a further language costs, one is best
+    open_ = np.flatnonzero(most - best > price)
+    while len(open_):
+        value, add = np.full(len(open_), -np.inf), np.zeros(len(open_), int)
+        for j in range(len(model.languages)):
+            able = np.flatnonzero(~chosen[open_, j])
+            if len(able):
+                trial = chosen[open_[able]]
+                trial[:, j] = True
+                start = np.where(trial, np.maximum(pi[open_[able]], 1e-3), 0.0)
+                found = _mixtures(start / start.sum(axis=1, keepdims=True), open_[able], *facts)[1]
+                better = found > value[able]
+                value[able[better]], add[able[better]] = found[better], j
+        rises = value - best[open_] > price[open_]
+        open_, add, value = open_[rises], add[rises], value[rises]
+        chosen[open_, add], best[open_] = True, value
+
+    fits = best + price >= -total * np.log(BUCKETS)
     for k, i in enumerate(places):
-        which = sets.get(k, chosen[0][k])
-        top = int(which[0])
-        out[i] = {"lang": model.languages[top], "score": float(min(1.0, pi[k, top])), "languages": [model.languages[j] for j in which], "shares": [float(pi[k, j]) for j in which]}
+        which = [int(j) for j in np.argsort(-pi[k], kind="stable") if chosen[k, j]]
+        top = which[0]
+        out[i] = {"lang": model.languages[top], "score": float(min(1.0, pi[k, top])), "languages": [model.languages[j] for j in which], "shares": [float(pi[k, j]) for j in which], "fits": bool(fits[k])}
 
 
 def classify(docs: DataFrame, model: Model, text_col: str = "text", out: str = "language") -> DataFrame:
-    """`docs` with a struct column of lang, score, languages and their shares."""
+    """`docs` with a struct column of lang, score, languages and their shares, and whether these fit."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 4 bytes x BUCKETS x languages
 
     def task(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -282,6 +282,24 @@ def test_language(spark, odd, none):
     assert {r.language.lang for r in language.classify(odd, language.fit(train.limit(0))).collect()} == {"und"}
 
 
+@pytest.fixture(scope="module")
+def four():
+    """A model of four languages with words of their own."""
+    words = {lang: [f"{a}{b}{c}" for a in sounds for b in "aeiou" for c in sounds] for lang, sounds in (("de", "bdf"), ("en", "ghk"), ("es", "lmn"), ("fr", "prs"))}
+    n = np.full((language.BUCKETS, 4), language.SMOOTHING)
+    for k, lang in enumerate(sorted(words)):
+        n[:, k] += np.bincount(language.trigrams(" ".join(words[lang] * 20)), minlength=language.BUCKETS)
+    return language.Model(sorted(words), np.log(n / n.sum(axis=0)).astype(np.float32)), {lang: " ".join(w) for lang, w in words.items()}
+
+
+def test_every_language_of_a_text_is_selected(four):
+    model, text = four
+    small = (text["en"] + " ") * 98 + (text["de"] + " ") * 2
+    got = language.infer(model, [" ".join(text.values()), small, text["fr"], " ".join([text["de"], text["es"], text["fr"]])])
+    assert [sorted(r["languages"]) for r in got] == [["de", "en", "es", "fr"], ["de", "en"], ["fr"], ["de", "es", "fr"]]
+    assert got[1]["lang"] == "en" and got[1]["shares"][1] == pytest.approx(0.02, abs=0.005)
+
+
 def test_mixture_is_the_likeliest():
     """EM against a grid over the proportions of two languages."""
     random = np.random.default_rng(1)
