@@ -13,18 +13,16 @@ from lexmill import session
 from lexmill.llm import exact_dedup, language, near_dedup, packing, quality
 from lexmill.llm.registry import table, tokenizer_path
 
-#: A document stays if its language has at least this share of its mixture.
-LEAST_SHARE = 0.5
 #: A document stays if its quality score is at least this.
 LEAST_QUALITY = 0.7
 SEQUENCE = 2048
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language: those without letters, or without a leading language, go."""
+    """Documents whose text has a language: those without letters, or that no learned languages fit, go."""
     session.tune(spark)
     found = language.classify(docs, language.fit(docs), out="_language")
-    return found.filter((F.col("_language.lang") != language.UNDETERMINED) & (F.col("_language.score") >= LEAST_SHARE)).select(docs.columns)
+    return found.filter((F.col("_language.lang") != language.UNDETERMINED) & F.col("_language.fits")).select(docs.columns)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

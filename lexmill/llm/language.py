@@ -7,8 +7,8 @@ long as the penalised likelihood rises, the one that raises it most. The predict
 set; the score is its share in the mixture over all languages.
 
 Defined results: a null text, or one without a letter, is `und` with score 0 and no languages; so is every text if the
-model has learned no language; languages fit a text unless equally likely trigrams explain it better, by more than the
-price of a language; whole texts are used, however long; equal shares go to the language that sorts first;
+model has learned no language; languages fit a text unless equally likely trigrams explain it better, by more than
+UNFIT; whole texts are used, however long; equal shares go to the language that sorts first;
 documents with a null language or a null id aren't learned from; `classify` keeps every row and column of its input,
 repeated rows too, and refuses only a column that has the name it adds.
 """
@@ -31,6 +31,8 @@ PER_LANGUAGE = 2000
 SMOOTHING = 0.1
 #: Price in log-likelihood of each further language, times the logarithm of the number of trigrams.
 PENALTY = 2.0
+#: Log-likelihood by which equally likely trigrams must explain a text better before its languages don't fit.
+UNFIT = PENALTY * float(np.log(BUCKETS))
 #: A mixture is found when ROUND steps of EM move no share by this.
 TOLERANCE, ROUND = 1e-4, 10
 UNDETERMINED = "und"
@@ -166,7 +168,7 @@ def _infer(model: Model, texts: list[str | None], places: list[int], out: list[d
         open_, add, value = open_[rises], add[rises], value[rises]
         chosen[open_, add], best[open_] = True, value
 
-    fits = best + price >= -total * np.log(BUCKETS)
+    fits = best + UNFIT >= -total * np.log(BUCKETS)
     for k, i in enumerate(places):
         which = [int(j) for j in np.argsort(-pi[k], kind="stable") if chosen[k, j]]
         top = which[0]

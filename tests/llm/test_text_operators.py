@@ -288,7 +288,7 @@ def four():
     words = {lang: [f"{a}{b}{c}" for a in sounds for b in "aeiou" for c in sounds] for lang, sounds in (("de", "bdf"), ("en", "ghk"), ("es", "lmn"), ("fr", "prs"))}
     n = np.full((language.BUCKETS, 4), language.SMOOTHING)
     for k, lang in enumerate(sorted(words)):
-        n[:, k] += np.bincount(language.trigrams(" ".join(words[lang] * 20)), minlength=language.BUCKETS)
+        n[:, k] += 2000 * np.bincount(language.trigrams(" ".join(words[lang])), minlength=language.BUCKETS)
     return language.Model(sorted(words), np.log(n / n.sum(axis=0)).astype(np.float32)), {lang: " ".join(w) for lang, w in words.items()}
 
 
@@ -300,6 +300,15 @@ def test_every_language_of_a_text_is_selected(four):
     assert got[1]["lang"] == "en" and got[1]["shares"][1] == pytest.approx(0.02, abs=0.005)
 
 
+def test_language_stage_keeps_clean_texts(spark, four, monkeypatch):
+    """Texts in three and four languages at equal parts and very short ones stay; texts in no learned language go."""
+    model, text = four
+    monkeypatch.setattr(language, "fit", lambda docs: model)
+    rows = [" ".join([text["de"], text["es"], text["fr"]]), " ".join(text.values()), "gig", "hi", "Привет мир, это русский текст для проверки", "xq zvjw wqyx zzwq jjxw", "12"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.known_language(spark, docs, "").collect()) == [0, 1, 2, 3]
+
+
 def test_mixture_is_the_likeliest():
     """EM against a grid over the proportions of two languages."""
     random = np.random.default_rng(1)
