@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LEAST_CHARS, LEAST_PRINTABLE = 100, 0.8
 #: Relative change that counts as a regression.
 TOLERANCE = 0.05
-#: Distinct words that two texts compared by word may hold: code points from U+4E00 stand for them.
+#: Distinct words up to which code points from U+4E00 stand for the words of two texts; beyond, numbers do, in Python.
 WORD_CODES = 20_000
 _CODES = "".join(chr(0x4E00 + i) for i in range(WORD_CODES))
 
@@ -36,14 +38,33 @@ def character_error_rate(reference: Column, found: Column) -> Column:
     return F.when(F.length(a) == 0, 0.0).otherwise(F.levenshtein(a, b) / F.length(a))
 
 
+def _distance(a: list[str], b: list[str]) -> int:
+    """Edit distance of two lists of words."""
+    numbers: dict[str, int] = {}
+    x, y = (np.array([numbers.setdefault(w, len(numbers)) for w in words], np.int64) for words in (a, b))
+    places = np.arange(len(y) + 1)
+    row = places
+    for i, word in enumerate(x, 1):
+        least = np.concatenate(([i], np.minimum(row[1:] + 1, row[:-1] + (y != word))))
+        row = np.minimum.accumulate(least - places) + places
+    return int(row[-1])
+
+
+def _distances(a: pa.Array, b: pa.Array) -> pa.Array:
+    pairs = zip(a.to_pylist(), b.to_pylist(), strict=True)
+    return pa.array([None if x is None or y is None else _distance(x, y) for x, y in pairs], pa.int64())
+
+
 def word_error_rate(reference: Column, found: Column) -> Column:
-    """Edit distance by word over the reference's words: every distinct word becomes one code point."""
+    """Edit distance by word over the reference's words: every distinct word becomes one code point, or a number beyond WORD_CODES."""
     words = lambda text: F.filter(F.split(normalize(text), " "), lambda w: w != "")
     a, b = words(reference), words(found)
     known = F.array_union(a, b)
     coded = lambda ws: F.array_join(F.transform(ws, lambda w: F.substr(F.lit(_CODES), F.array_position(known, w).cast("int"), F.lit(1))), "")
     rate = F.levenshtein(coded(a), coded(b)) / F.size(a)
-    return F.when(F.size(a) == 0, 0.0).when(F.size(known) <= WORD_CODES, rate)
+    many = lambda ws: F.when(F.size(known) > WORD_CODES, ws)
+    distance = F.arrow_udf(_distances, "long")(many(a), many(b))
+    return F.when(F.size(a) == 0, 0.0).when(F.size(known) <= WORD_CODES, rate).otherwise(distance / F.size(a))
 
 
 #: What shows that a feature survived extraction.

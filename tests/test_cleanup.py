@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexmill.operators import chunking, cleanup, context, fulltext, metadata, quality
+from lexmill.plans import texts
 
 
 def one(spark, make, *values, types="string"):
@@ -135,3 +136,12 @@ def test_sanitize(spark):
         assert one(spark, fulltext.sanitize_column, bad) is None
     with pytest.raises(fulltext.QueryError):
         fulltext.operands(["a@b"])
+
+
+def test_word_errors_of_large_vocabularies_and_accents(spark, tmp_path):
+    words = [f"w{i}" for i in range(20_002)]
+    assert one(spark, quality.word_error_rate, " ".join(words), " ".join(["new", *words[1:-1]])) == pytest.approx(2 / 20_002)
+    for a, b, n in (("a b c", "a x c d", 2), ("", "a b", 2), ("a b", "", 2), ("a b c d", "b c d a", 2), ("a", "a", 0)):
+        assert quality._distance(a.split(), b.split()) == n
+    spark.createDataFrame([(1, "caf\u00e9 noir"), (2, "caf\u00e8 noir")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [r.wer for r in texts.word_errors(spark, str(tmp_path)).collect()] == [0.5]
