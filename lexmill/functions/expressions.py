@@ -4,10 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """`use` of a value that is computed once per row, however often it stands in the expression."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+class ClashingColumn(ValueError):
+    """An input has a column of a name that the operator adds."""
+
+
+def refuse_columns(rows: DataFrame, *added: str) -> None:
+    """Refuse an input that has a column, in whatever case, of a name to be added."""
+    taken = {c.lower() for c in rows.columns} & {a.lower() for a in added}
+    if taken:
+        raise ClashingColumn(f"the input has a column {sorted(taken)[0]!r}, which is to be added")

@@ -5,7 +5,10 @@ from __future__ import annotations
 import atexit
 import os
 import tempfile
+import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 #: Rows in one Arrow batch. Texts may be over 100 kB long, so a batch stays in the tens of MB.
 ARROW_ROWS = 500
 
+#: Days after which what a killed driver left in the shared folder is removed.
+SWEEP_DAYS = 7
+
 _own_dir: list[str] = []
+_runs: set[str] = set()
+_scopes: list[list[str]] = []
 
 
 def build(master: str = "local[*]", partitions: int = 8, **conf: str) -> SparkSession:
@@ -41,26 +49,62 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`, or a temporary one where that is unset."""
+    """The folder that driver and executors share: `spark.checkpoint.dir`, or a temporary one where that is unset and the master is local."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="lexmill-"))
     return f"file://{_own_dir[0]}"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path below the shared folder; it is removed when the driver ends."""
-    path = f"{shared_dir(spark)}/lexmill/{label}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    """A new path below the shared folder; it is removed at the end of the `scope` around it, else when the driver ends.
+
+    What drivers that were killed have left is removed after SWEEP_DAYS, by the next one.
+    """
+    base = f"{shared_dir(spark)}/lexmill"
+    run = f"{base}/{spark.sparkContext.applicationId}"
+    if run not in _runs:
+        _runs.add(run)
+        _sweep(spark, base)
+        atexit.register(_remove, spark, run)
+    path = f"{run}/{label}-{uuid.uuid4().hex}"
+    for paths in _scopes[-1:]:
+        paths.append(path)
     return path
 
 
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Remove the tables cut inside when the block ends. What was derived from them must have been written by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            _remove(spark, path)
+
+
+def _files(spark: SparkSession, path: str) -> tuple:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def _sweep(spark: SparkSession, base: str) -> None:
+    store, place = _files(spark, base)
+    if store.exists(place):
+        for found in store.listStatus(place):
+            if found.getModificationTime() < 1000 * (time.time() - SWEEP_DAYS * 86_400):
+                store.delete(found.getPath(), True)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        store, place = _files(spark, path)
+        store.delete(place, True)
     except Exception:  # noqa: BLE001  the JVM may be gone already
         pass
 
