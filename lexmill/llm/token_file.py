@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill import session
-from lexmill.llm.tokens import encode_column
+from lexmill.llm.tokens import encode_column, grouped
 
 BLOCK = 128
 SEGMENT = 1 << 20
@@ -113,7 +113,7 @@ def _store(path: str):
 def _write_part(place: str, part: int, attempt: int, batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int) -> tuple | None:
     store, root = _store(place)
     end = np.array([end_id], "<u4").tobytes()
-    name, mine = f"part-{part:06d}.pfor", f"{root}/_part-{part:06d}-{attempt}"
+    name = f"part-{part:06d}-{attempt}.pfor"  # what a failed attempt leaves is in no manifest
     segments, doc_ids, nulls, sizes, held, n_held, total, out = [], [], [], [], [], 0, 0, None
 
     def flush() -> None:
@@ -123,11 +123,11 @@ def _write_part(place: str, part: int, attempt: int, batches: Iterator[pa.Record
             out.write(pack_segment(np.frombuffer(b"".join(held), "<u4")))
             held, n_held = [], 0
 
-    for batch in batches:
+    for batch in grouped(batches):
         if not batch.num_rows:
             continue
         if out is None:
-            out = store.open_output_stream(mine)
+            out = store.open_output_stream(f"{root}/{name}")
             out.write(MAGIC)
         ids = batch.column(0)
         doc_ids.append(ids.fill_null(0).to_numpy())
@@ -149,7 +149,6 @@ def _write_part(place: str, part: int, attempt: int, batches: Iterator[pa.Record
     out.write(_FOOTER.pack(at, len(segments), total, MAGIC))
     size = out.tell()
     out.close()
-    store.move(mine, f"{root}/{name}")  # a task that runs again puts the same bytes in the same place
     return name, len(sizes), total, size
 
 

@@ -1,9 +1,10 @@
 """Token ids of whole texts by the `tokenizers` library, with a bounded memory of words already encoded.
 
-Byte-level and word-end BPE never merge across a white-space boundary, so a text is cut at single spaces and each
-distinct unit is encoded once by the library; the ids of a text are the ids of its units in order. A unit of plain
+Byte-level and word-end BPE never merge across a white-space boundary, so a batch of texts is cut at single spaces, and
+each distinct unit of the batch is encoded once; the ids of a text are the ids of its units in order. A unit of plain
 letters, digits, marks and line breaks is put together from these, which the pre-tokenizer separates anyway. Texts
-where a space touches other white space on both sides, where the cut could differ, are encoded whole.
+where a space touches other white space, where the cut could differ, and those with strings of special tokens, which
+the library takes as such (with `plain_specials`, as plain text), are encoded whole.
 """
 
 from __future__ import annotations
@@ -12,10 +13,19 @@ import json
 import re
 import sys
 from array import array
+from collections.abc import Iterator
 
-#: Entries in each of the two generations of one Python worker's memory. When the young one is full it becomes the old
-#: one, whose entries live on if they are met again.
-CACHE = 750_000
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from lexmill.llm import memory
+
+#: Entries in each of the two generations of one Python worker's memory, some 60 MB each. When the young one is full it
+#: becomes the old one, whose entries live on if they are met again.
+CACHE = 400_000
+#: Bytes of text that are encoded at a time.
+GROUP = 8 << 20
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _WORD = re.compile(rf"([{_LETTERS}]+)([.,;:!?]*)\Z")
@@ -23,14 +33,15 @@ _WORD = re.compile(rf"([{_LETTERS}]+)([.,;:!?]*)\Z")
 _PIECE = re.compile(rf"[{_LETTERS}]+|[0-9]+|[-.,;:!?#$%&*|()]+|\n(?!\s)")
 #: Stands before a unit that no space precedes.
 _INNER = "\x01"
-_SPACE = re.compile(r"[^\S \n]")
+#: What keeps a text from being cut at its spaces, but for special tokens.
+_UNEVEN = r"[\x01\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|  | \n|\n[ \n]"
 
 #: Byte-level BPE spells byte b as chr(b) where that is visible, and the others as chr(256), chr(257), ... in order.
 _HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
 _SPELLING = {b: chr(256 + i) for i, b in enumerate(_HIDDEN)}
 _PROBES = "a Word, Élan. straße!! íñ THE*** x|y Zzqqxv.\nÍsland 2024 a1b22 ###".split(" ")
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -41,20 +52,23 @@ def _packed(ids: list[int]) -> bytes:
 
 
 class Encoder(dict):
-    """Encodes texts to ids, as bytes of little-endian unsigned 32-bit integers. Special-token strings are plain text.
+    """Encodes texts to ids, as bytes of little-endian unsigned 32-bit integers.
 
     As a dict it holds the ids of units met before: of what follows a space, or of _INNER and what follows no space.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain_specials: bool = False):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = plain_specials
         self.tokenize = self.library.model.tokenize
         with open(path, encoding="utf-8") as found:
-            self.lower = "Lowercase" in json.dumps(json.load(found).get("normalizer"))
+            read = json.load(found)
+        self.lower = "Lowercase" in json.dumps(read.get("normalizer"))
+        special = [re.escape(x["content"]) for x in read.get("added_tokens") or []]
+        self.uneven = "(?i)" + "|".join([_UNEVEN, *special])
         self.old: dict[str, bytes] = {}
         # pieces may go to the model at once, past the normaliser and pre-tokeniser, if that gives the same
         self.direct = True
@@ -64,10 +78,15 @@ class Encoder(dict):
     def whole(self, texts: list[str]) -> list[bytes]:
         return [_packed(e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
     def __missing__(self, unit: str) -> bytes:
+        if self.direct and (m := _WORD.match(unit)):
+            word, marks = m.groups()
         if (found := self.old.get(unit)) is None:
-            if self.direct and (m := _WORD.match(unit)):
-                word, marks = m.groups()
+            if self.direct and m:
                 found = self[word] + self[_INNER + marks] if marks else self._ids(unit, True)
             elif (found := self._composed(unit)) is None:
                 found = self.whole([unit[1:] if unit[:1] == _INNER else f" {unit}"])[0]
@@ -103,25 +122,58 @@ class Encoder(dict):
             piece = piece.encode().decode("latin-1").translate(_SPELLING)
         return _packed([t.id for t in self.tokenize(_SPELLING[32] + piece if spaced and not self.lower else piece)])
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        known, out = self.__getitem__, []
-        for text in texts:
-            if _SPACE.search(text) or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or _INNER in text:
-                out += self.whole([text])
-                continue
-            if "\n" in text:
-                text = text.replace("\n", f" {_INNER}\n {_INNER}")
-            out.append(b"".join(map(known, f"{_INNER}{text}".split(" "))))
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        uneven = pc.match_substring_regex(texts, self.uneven)
+        out = self._cut(texts.filter(pc.invert(uneven)))
+        if pc.any(uneven).as_py():
+            cut, whole = iter(out), iter(self.whole(texts.filter(uneven).to_pylist()))
+            out = [next(whole if odd else cut) for odd in uneven.to_pylist()]
         return out
 
-
-def encoder(path: str) -> Encoder:
+    def _cut(self, texts: pa.Array) -> list[bytes]:
+        """Ids of texts that may be cut at their spaces."""
+        if not len(texts):
+            return []
+        lines = pc.replace_substring(pc.binary_join_element_wise(_INNER, texts, ""), "\n", f" {_INNER}\n {_INNER}")
+        units = pc.split_pattern(lines, " ")
+        coded = units.flatten().dictionary_encode()
+        known = list(map(self.__getitem__, coded.dictionary.to_pylist()))
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        starts = np.cumsum(sizes) - sizes
+        which = coded.indices.to_numpy()
+        lengths = sizes[which]
+        ends = np.cumsum(lengths)
+        places = np.arange(ends[-1]) + np.repeat(starts[which] - (ends - lengths), lengths)
+        ids = np.frombuffer(b"".join(known), "<u4")[places].tobytes()
+        offsets = units.offsets.to_numpy()
+        cuts = (4 * np.append(0, ends)[offsets - offsets[0]]).tolist()
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def encoder(path: str, plain_specials: bool = False) -> Encoder:
     """The encoder of this Python process for a tokenizer file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    key = path, plain_specials
+    if key not in _encoders:
+        _encoders.clear()  # one vocabulary at a time in a worker
+        _encoders[key] = Encoder(path, plain_specials)
+    memory.claim("tokens", _encoders[key].forget)
+    return _encoders[key]
 
 
-def encode_column(texts, path: str) -> list[bytes]:
+def encode_column(texts: pa.Array, path: str, plain_specials: bool = False) -> list[bytes]:
     """Ids of an Arrow column of texts; null counts as empty."""
-    return encoder(path).encode([t or "" for t in texts.to_pylist()])
+    return encoder(path, plain_specials).encode(texts.fill_null(""))
+
+
+def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about GROUP bytes, as distinct words are fewer in these."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= GROUP:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from lexmill.llm import memory
+
 MARKER = "▁"
 #: Entries in each of the two generations of one Python worker's memory of parts.
 CACHE = 600_000
@@ -176,6 +178,7 @@ def _codec(shared) -> Codec:
     if key not in _codecs:
         _codecs.clear()  # one vocabulary at a time in a worker
         _codecs[key] = Codec(shared.value)
+    memory.claim("unigram", _codecs.clear)
     return _codecs[key]
 
 
