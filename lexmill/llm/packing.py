@@ -9,7 +9,7 @@ in Spark and looks their run up.
 
 Defined results: a null text counts as empty (its document is the end id alone); ids may be null or repeated; pieces
 with a null length, or one below 1 or above the capacity, get null sequence_id and offset; an empty table gives an
-empty result; `pack` keeps all columns of its input, and refuses only those that it adds.
+empty result; `pack` keeps all columns of its input, and refuses only those that it adds, by a ClashingColumn error.
 """
 
 from __future__ import annotations
@@ -22,13 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.functions.expressions import refuse_columns
 from lexmill.functions.ordinals import gapless
-from lexmill.llm.tokens import encode_column
+from lexmill.llm.tokens import encode_column, grouped
 
-#: Groups of equal cardinality that the large lengths are rounded in.
-GROUPS = 512
-#: A length is large if it is over this share of the capacity.
-LARGE = 0.2
+#: Groups of equal cardinality that the large lengths are rounded in, and the share of the capacity that a large length
+#: is over. All settings are planned, until one needs no more sequences than the tokens fill, and the best is taken. By
+#: the last, no two large ones share a sequence, so none is worse than best-fit decreasing.
+SETTINGS = ((512, 0.2), (1024, 0.34), (2048, 0.2), (512, 0.5))
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -39,7 +40,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col:
     end = np.array([end_id], "<u4").tobytes()
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in grouped(batches):
             doc, piece, start, length, ids = [], [], [], [], []
             for i, found in zip(batch.column(0).to_pylist(), encode_column(batch.column(1), tokenizer), strict=True):
                 found += end
@@ -75,6 +76,18 @@ def _configuration(sizes: list[int], most: list[int], room: int) -> list[int]:
 
 def plan(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
     """Runs (length, first, last, sequence, per_sequence, offset) and the number of sequences, from counts of lengths."""
+    least = -(-sum(x * n for x, n in counts.items() if n > 0 and 1 <= x <= capacity) // capacity)
+    best = None
+    for groups, share in SETTINGS:
+        made = _plan(counts, capacity, groups, share)
+        if best is None or made[1] < best[1]:
+            best = made
+        if best[1] == least:
+            break
+    return best
+
+
+def _plan(counts: dict[int, int], capacity: int, most_groups: int, large_share: float) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
     runs: list[tuple[int, int, int, int, int, int]] = []
     sequences = 0
     lengths = sorted((x for x, n in counts.items() if n > 0 and 1 <= x <= capacity), reverse=True)
@@ -82,10 +95,10 @@ def plan(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, in
         runs.append((capacity, 0, counts[capacity], 0, 1, 0))
         sequences = counts[capacity]
         lengths.remove(capacity)
-    large = [x for x in lengths if x > LARGE * capacity]
+    large = [x for x in lengths if x > large_share * capacity]
 
     # groups of equal cardinality, each with its items as segments (length, first ordinal, count)
-    share = -(-sum(counts[x] for x in large) // GROUPS)
+    share = -(-sum(counts[x] for x in large) // most_groups)
     groups: list[list[tuple[int, int, int]]] = []
     room = 0
     for x in large:
@@ -179,14 +192,18 @@ def pack(rows: DataFrame, capacity: int, order: list[str], length_col: str = "le
     `rows` is read twice, so give it as a table. The lengths' counts (at most `capacity` rows) go to the driver; the
     runs, whose number depends on the capacity only, are broadcast.
     """
+    refuse_columns(rows, "sequence_id", "offset")
     spark = rows.sparkSession
+    own = rows.columns
     length = F.col(length_col)
     fits = length.between(1, capacity)
     counts = {r[0]: r[1] for r in rows.filter(fits).groupBy(length.cast("int").alias("n")).count().collect()}
     runs, _ = plan(counts, capacity)
-    table = spark.createDataFrame(runs, "_length long, _first long, _last long, _sequence long, _each long, _offset long")
-    numbered = gapless(rows, [length_col], list(order), list(order), "_ordinal")
-    found = numbered.join(F.broadcast(table), (length == F.col("_length")) & (F.col("_ordinal") >= F.col("_first")) & (F.col("_ordinal") < F.col("_last")), "left")
-    i = F.col("_ordinal") - F.col("_first")
-    out = found.withColumn("sequence_id", F.expr("_sequence + (_ordinal - _first) div _each")).withColumn("offset", F.col("_offset") + i % F.col("_each") * length)
-    return out.drop("_ordinal", "_length", "_first", "_last", "_sequence", "_each", "_offset")
+    # the columns of `rows` travel in one struct, so that no name of theirs can clash
+    held = rows.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), length.alias("length"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+    table = spark.createDataFrame(runs, "of long, first long, last long, sequence long, each long, at long")
+    keys = [f"o{i}" for i in range(len(order))]
+    numbered = gapless(held, ["length"], list(keys), keys, "ordinal", salts=64)
+    found = numbered.join(F.broadcast(table), (F.col("length") == F.col("of")) & (F.col("ordinal") >= F.col("first")) & (F.col("ordinal") < F.col("last")), "left")
+    sequence = F.expr("sequence + (ordinal - first) div each").alias("sequence_id")
+    return found.select("row.*", sequence, (F.col("at") + (F.col("ordinal") - F.col("first")) % F.col("each") * F.col("length")).alias("offset"))
