@@ -10,9 +10,10 @@ The fit uses at most SAMPLE labelled documents (the first by a hash of their ids
 map over all documents.
 
 Defined results: a null text counts as empty, which has no features and the score of the bare intercept; labels with a
-null id or label are ignored, repeated ones count as the lowest; without labels every score is 0.5, with one class alone
+null id or label are ignored, repeated ones count as the lowest, and of documents that repeat an id the smallest text
+is learned from; without labels every score is 0.5, with one class alone
 it is that class's smoothed share; `classify` keeps every row and column of its input, repeated rows too, and refuses
-only a column that has the name it adds.
+only a column that has the name it adds, by a ClashingColumn error.
 """
 
 from __future__ import annotations
@@ -22,10 +23,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.functions.expressions import refuse_columns
+from lexmill.llm import memory
+from lexmill.llm.words import lowered, word_codes
+
 #: Labelled documents that the classifier is fitted on, at most.
 SAMPLE = 8192
 BITS = 18
@@ -33,20 +37,7 @@ BITS = 18
 LEAST = 3
 COST = 1.0
 EPOCHS = 10
-#: Words whose hashes one Python worker remembers; it forgets them all beyond.
-CACHE = 500_000
-
-
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHE:
-            self.clear()
-        self[word] = found = xxhash.xxh3_64_intdigest(word) & 0xFFFFFFFF
-        return found
-
 
-_words = _Words()
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _CLASS = bytes(ord("A") if 65 <= b <= 90 else ord("0") if 48 <= b <= 57 else ord("a") if b >= 128 or 97 <= b <= 122 else 32 if b <= 32 else b for b in range(256))
 
 
@@ -57,24 +48,24 @@ def _bucket(codes: np.ndarray, salt: int) -> np.ndarray:
 
 def features(text: str | None) -> np.ndarray:
     """Distinct buckets of a text's n-grams, ascending."""
-    data = (text or "").encode("utf-8", "surrogatepass")
-    words = data.translate(_LOWER).split()
-    if not words:
+    codes = word_codes(lowered(text))
+    if not len(codes):
         return np.empty(0, np.int64)
-    codes = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
     pairs = (codes[:-1] << np.uint64(31)) ^ codes[1:]
-    classes = np.frombuffer(data.translate(_CLASS), np.uint8)
+    classes = np.frombuffer((text or "").encode("utf-8", "surrogatepass").translate(_CLASS), np.uint8)
     classes = classes[np.concatenate(([True], classes[1:] != classes[:-1]))].astype(np.uint64)
-    runs = [_bucket(np.unique(classes), 3)]
+    runs = [_bucket(classes, 3)]
     window = classes
     for k in range(1, 4):
         window = (window[:-1] << np.uint64(8)) | classes[k:]
-        runs.append(_bucket(np.unique(window), 3 + k))
+        runs.append(_bucket(window, 3 + k))
     repeated = int(16 * np.mean(codes[:-1] == codes[1:])) if len(codes) > 1 else 0
-    distinct = np.unique(codes)
-    known = int(16 * (1 - len(distinct) / len(codes)))
+    known = int(16 * (1 - len(np.unique(codes)) / len(codes)))
     steps = np.concatenate((np.arange(repeated + 1), 100 + np.arange(known + 1)))
-    return np.unique(np.concatenate((_bucket(distinct, 1), _bucket(pairs, 2), _bucket(steps, 9), *runs)))
+    seen = np.zeros(1 << BITS, bool)
+    for found in (_bucket(codes, 1), _bucket(pairs, 2), _bucket(steps, 9), *runs):
+        seen[found] = True
+    return np.flatnonzero(seen)
 
 
 @dataclass
@@ -157,6 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = texts.join(F.broadcast(known), "id").groupBy("id").agg(F.min("label").alias("label"), F.min("text").alias("text"))  # at most SAMPLE rows
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory.release()
         for batch in batches:
             found = [features(t).astype("<i4").tobytes() for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1).cast(pa.int32()), pa.array(found, pa.binary())], names=["id", "label", "found"])
@@ -175,9 +167,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def classify(docs: DataFrame, model: Model, text_col: str = "text", out: str = "quality_score") -> DataFrame:
     """`docs` with the probability of label 1."""
+    refuse_columns(docs, out)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 8 bytes x 2**BITS
 
     def task(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        memory.release()
         for batch in texts:
             yield pa.array([shared.value.score(t) for t in batch.to_pylist()], pa.float64())
 
