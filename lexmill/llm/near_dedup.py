@@ -32,6 +32,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill import session
+from lexmill.llm import memory
+from lexmill.llm.words import lowered, word_codes
 
 WORDS = 5
 #: Links need 100 * intersection >= PERCENT * union.
@@ -42,20 +44,7 @@ HASHES = BANDS * ROWS
 SIGMAS = 5.5
 #: Classes of a bucket that are compared at a time.
 BLOCK = 256
-#: Words whose hashes one Python worker remembers; it forgets them all beyond.
-CACHE = 500_000
 
-
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHE:
-            self.clear()
-        self[word] = found = xxhash.xxh3_64_intdigest(word)
-        return found
-
-
-_words = _Words()
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _random = np.random.default_rng(20240229)
 _MULTIPLIERS = (_random.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1))[:, None]
 _MASKS = _random.integers(0, 1 << 32, HASHES, dtype=np.uint32)[:, None]
@@ -64,10 +53,9 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 def shingles(text: str | None) -> np.ndarray:
     """Codes of a text's distinct shingles, ascending. Words are separated by ASCII white space; A-Z are lower-cased."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    if not words:
-        return np.empty(0, np.uint64)
-    codes = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    codes = word_codes(lowered(text))
+    if not len(codes):
+        return codes
     size = min(WORDS, len(codes))
     n = len(codes) - size + 1
     mixed = codes[:n] + np.uint64(size)
@@ -123,6 +111,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     """id, text_key, n_shingles, set_print (null for an empty set), bands and planes of every row of (id, text, text_key)."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory.release()
         for batch in batches:
             sizes, prints, bands, planes = [], [], [], []
             for text in batch.column(1).to_pylist():
@@ -181,7 +170,8 @@ def parts_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(class, part) of all classes that share a bucket: equal parts are connected, by confirmed links."""
     facts = classes.select("class", F.col("n_shingles").alias("n"), "planes")
     keys = classes.select("class", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key")
+    # what is joined with buckets by their keys is a table, so that Spark can split the rows of a large bucket over tasks
+    shared = session.cut(keys.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key"), "shared")
     members = session.cut(keys.join(shared, "key"), "buckets")
     buckets, parts = members.withColumn("part", F.col("class")), None
     near = _near(F.col("n_a"), F.col("n_b"), F.col("planes_a"), F.col("planes_b"))
@@ -207,23 +197,26 @@ def parts_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
     def mixed() -> DataFrame:
         """Members of the buckets that still hold more than one part."""
-        known = members.join(parts, "class")
+        known = session.cut(members.join(parts, "class"), "known")
         open_ = known.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most")).filter("least <> most").select("key")
-        return session.cut(known.join(open_, "key"), "buckets")
+        return session.cut(known.join(session.cut(open_, "open"), "key"), "buckets")
 
     for hub in (F.min, F.max):
         hubs = buckets.groupBy("key").agg(hub(F.struct("class", "part")).alias("hub")).select("key", F.col("hub.class").alias("a"), F.col("hub.part").alias("part_a"))
+        hubs = session.cut(hubs, "hubs")
         star = buckets.join(hubs, "key").filter("part <> part_a").select("a", F.col("class").alias("b")).distinct()
         parts = merged(star.join(facts_of("b"), "b").join(facts_of("a"), "a").filter(near).select("a", "b"))
         buckets = mixed()
 
     # what is not in a bucket's largest part, against all of the bucket that is not in its own part
     largest = buckets.groupBy("key", "part").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("largest"))
+    largest = session.cut(largest, "largest")
     apart = buckets.join(largest, "key").filter("part <> largest").join(facts_of("a"), F.col("class") == F.col("a")).select("key", "a", "n_a", "planes_a", F.col("part").alias("part_a"))
     others = buckets.join(facts_of("b"), F.col("class") == F.col("b")).select(F.col("key").alias("key_b"), "b", "n_b", "planes_b", F.col("part").alias("part_b"))
     likely = apart.join(others, (F.col("key") == F.col("key_b")) & (F.col("part_a") != F.col("part_b")) & near, "left_semi")
     likely = session.cut(likely.select("key", F.col("a").alias("class")), "likely")
-    return merged_by(_links_in_blocks(docs, classes, buckets.join(likely.select("key").distinct(), "key", "left_semi"), likely))
+    asked = session.cut(likely.select("key").distinct(), "asked")
+    return merged_by(_links_in_blocks(docs, classes, session.cut(buckets.join(asked, "key", "left_semi"), "buckets"), likely))
 
 
 def _links_in_blocks(docs: DataFrame, classes: DataFrame, buckets: DataFrame, asked: DataFrame) -> DataFrame:
@@ -232,7 +225,7 @@ def _links_in_blocks(docs: DataFrame, classes: DataFrame, buckets: DataFrame, as
     A bucket is cut into blocks of about BLOCK classes, and every block of asked ones meets every block of the bucket in
     one row; the pairs are tested inside of tasks. A pair is tested in the first bucket that it shares.
     """
-    blocks = buckets.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    blocks = session.cut(buckets.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "blocks")
     buckets = buckets.join(blocks, "key").join(asked.withColumn("asked", F.lit(True)), ["key", "class"], "left")
     buckets = session.cut(buckets.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks"))), "buckets")
     sets = session.cut(_sets(docs, classes, buckets), "sets")
