@@ -4,13 +4,13 @@
 document as a mixture of the languages: expectation-maximisation estimates the proportions from the trigrams'
 likelihoods, until no share moves. A set of languages is selected for every document: the likeliest single one, and as
 long as the penalised likelihood rises, the one that raises it most. The predicted language is the strongest of that
-set; the score is its share in the mixture over all languages.
+set; the score is its share in the likeliest mixture of the set.
 
 Defined results: a null text, or one without a letter, is `und` with score 0 and no languages; so is every text if the
 model has learned no language; languages fit a text unless equally likely trigrams explain it better, by more than
 UNFIT; whole texts are used, however long; equal shares go to the language that sorts first;
 documents with a null language or a null id aren't learned from; `classify` keeps every row and column of its input,
-repeated rows too, and refuses only a column that has the name it adds.
+repeated rows too, and refuses only a column that has the name it adds, by a ClashingColumn error.
 """
 
 from __future__ import annotations
@@ -24,6 +24,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.functions.expressions import refuse_columns
+from lexmill.llm import memory
+
 BUCKET_BITS = 15
 BUCKETS = 1 << BUCKET_BITS
 #: Documents that each language is learned from, about (a share of the labelled ones, chosen by a hash of their ids).
@@ -73,6 +76,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     sample = rows.filter(place < share[F.col("lang")])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory.release()
         found: dict[str, np.ndarray] = {}
         for batch in batches:
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -150,36 +154,37 @@ def _infer(model: Model, texts: list[str | None], places: list[int], out: list[d
 
     price = PENALTY * np.log(total)
     chosen = np.arange(len(model.languages)) == alone.argmax(axis=1)[:, None]
-    best = alone.max(axis=1)
+    best, shares = alone.max(axis=1), chosen.astype(np.float64)
     # no set is likelier than the mixture of all languages: where that gains less than a further language costs, one is best
     open_ = np.flatnonzero(most - best > price)
     while len(open_):
-        value, add = np.full(len(open_), -np.inf), np.zeros(len(open_), int)
+        value, add, mix = np.full(len(open_), -np.inf), np.zeros(len(open_), int), shares[open_]
         for j in range(len(model.languages)):
             able = np.flatnonzero(~chosen[open_, j])
             if len(able):
                 trial = chosen[open_[able]]
                 trial[:, j] = True
                 start = np.where(trial, np.maximum(pi[open_[able]], 1e-3), 0.0)
-                found = _mixtures(start / start.sum(axis=1, keepdims=True), open_[able], *facts)[1]
+                found_mix, found = _mixtures(start / start.sum(axis=1, keepdims=True), open_[able], *facts)
                 better = found > value[able]
-                value[able[better]], add[able[better]] = found[better], j
+                value[able[better]], add[able[better]], mix[able[better]] = found[better], j, found_mix[better]
         rises = value - best[open_] > price[open_]
-        open_, add, value = open_[rises], add[rises], value[rises]
-        chosen[open_, add], best[open_] = True, value
+        open_, add, value, mix = open_[rises], add[rises], value[rises], mix[rises]
+        chosen[open_, add], best[open_], shares[open_] = True, value, mix
 
     fits = best + UNFIT >= -total * np.log(BUCKETS)
     for k, i in enumerate(places):
-        which = [int(j) for j in np.argsort(-pi[k], kind="stable") if chosen[k, j]]
-        top = which[0]
-        out[i] = {"lang": model.languages[top], "score": float(min(1.0, pi[k, top])), "languages": [model.languages[j] for j in which], "shares": [float(pi[k, j]) for j in which], "fits": bool(fits[k])}
+        which = [int(j) for j in np.argsort(-shares[k], kind="stable") if chosen[k, j]]
+        out[i] = {"lang": model.languages[which[0]], "score": float(min(1.0, shares[k, which[0]])), "languages": [model.languages[j] for j in which], "shares": [float(shares[k, j]) for j in which], "fits": bool(fits[k])}
 
 
 def classify(docs: DataFrame, model: Model, text_col: str = "text", out: str = "language") -> DataFrame:
     """`docs` with a struct column of lang, score, languages and their shares, and whether these fit."""
+    refuse_columns(docs, out)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 4 bytes x BUCKETS x languages
 
     def task(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        memory.release()
         for batch in texts:
             yield pa.array(infer(shared.value, batch.to_pylist()), _ARROW)
 
