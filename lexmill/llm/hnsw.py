@@ -1,24 +1,26 @@
 """Approximate nearest neighbours by inner product: a hierarchical navigable small-world graph per shard.
 
 Vectors are dealt into shards by a hash; equal vectors of a shard are one node, which stands for the smallest of their
-ids (as many as a query could want). Each shard's graph is built by one task and stored as a row of flat arrays: the
-vectors, the ids of each node, and the neighbours of every node on every level. Queries go to all shards in blocks,
-and the shards' best are merged per query.
+ids (as many as a query could want). A shard's vectors are parted by their lengths, so that none is more than SPAN times
+as long as another of its part, and each part has a graph of its own. It is built by one task and stored as a row of flat arrays:
+the vectors, the ids of each node, and the neighbours of every node on every level. Queries go to all shards, many at
+a time, so that a task loads a shard once, and the shards' best are merged per query.
 
-Largest inner product becomes nearest by a further coordinate that gives all vectors of a shard the same length, so
-that the graph is navigated by one measure; scores are inner products of the original vectors in double precision.
+Largest inner product becomes nearest by a further coordinate that gives all vectors of a graph the same length, so
+that the graph is navigated by one measure. As lengths in a graph differ little, single precision is enough for that,
+whatever the lengths of all; scores are inner products of the original vectors in double precision.
 
 Defined results: vectors that are null, empty, zero, or hold a null or non-finite component take no part, as query or
 candidate; vectors are compared with those of their own dimension only; ids may repeat (each row is a candidate, but a
-query skips the rows with its own id); null ids are left out; ties go to the smaller id; with fewer than k candidates
-all are returned; an empty table gives an empty result; extra columns are left out, whatever their names.
+query skips the rows with its own id); queries that repeat id and vector are asked once, those that repeat the id alone
+one by one; null ids are left out; ties go to the smaller id; with fewer than k candidates all are returned; an empty
+table gives an empty result; extra columns are left out, whatever their names.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,15 +29,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill import session
+from lexmill.llm import memory
 
 #: Neighbours per node and level (twice as many on level 0), and the breadth of search while building and searching.
 DEGREE, BUILD_BREADTH, SEARCH_BREADTH = 16, 64, 96
 #: Shards at least, and vectors per shard at most, on average: this bounds a task's memory at any size.
 LEAST_SHARDS, SHARD_ROWS = 8, 100_000
-#: Queries in one block.
-BLOCK = 512
+#: The longest vector of a graph is less than this many times as long as the shortest, by their largest components.
+SPAN = 4.0
+#: Queries that meet a shard in one task; the shard is copied once for so many.
+BLOCK = 16_384
 
-_INDEX = "dim int, shard int, vectors binary, ids binary, id_starts binary, neighbours binary, levels binary, entry int"
+_INDEX = "dim int, shard int, band int, vectors binary, ids binary, id_starts binary, neighbours binary, levels binary, entry int"
 
 
 def valid(vector: Column) -> Column:
@@ -154,69 +159,87 @@ class Graph:
 
 
 def build(vectors: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """The index: a row of flat arrays per shard. Of equal vectors, the k + 1 smallest ids of a shard are kept."""
+    """The index: a row of flat arrays per shard and band of lengths. Of equal vectors, the k + 1 smallest ids are kept, each at most k times."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & valid(F.col("v")))
     shards = max(LEAST_SHARDS, -(-rows.count() // SHARD_ROWS))
     # equal vectors meet in one shard; how many of their ids a query can want is known, so each task drops the others early
+    rows = rows.groupBy("v", "id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("times"))
     twins = Window.partitionBy("v").orderBy("id")
     rows = rows.withColumn("at", F.row_number().over(twins)).filter(F.col("at") <= k + 1)
-    rows = rows.select(F.size("v").alias("dim"), F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int").alias("shard"), "id", "v")
+    rows = rows.select(F.size("v").alias("dim"), F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int").alias("shard"), "id", "v", "times")
 
     def make(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = np.stack(pdf["v"].to_numpy())
-        ids = pdf["id"].to_numpy()
-        order = np.lexsort((ids, *v.T[::-1]))
-        v, ids = v[order], ids[order]
-        new = np.concatenate(([True], (v[1:] != v[:-1]).any(axis=1)))
-        starts = np.flatnonzero(new)
-        nodes = v[starts]
-        mix = np.random.default_rng(len(nodes)).permutation(len(nodes))  # sorted insertion makes poor graphs
-        ends = np.append(starts[1:], len(ids))
-        members = [ids[starts[i] : ends[i]] for i in mix]
-        graph = Graph.empty(_level(nodes[mix])).build()
-        flat = np.concatenate([t.reshape(-1) for t in graph.tables])
-        return pd.DataFrame([{"dim": pdf["dim"].iloc[0], "shard": pdf["shard"].iloc[0], "vectors": nodes[mix].astype("<f8").tobytes(), "ids": np.concatenate(members).astype("<i8").tobytes(), "id_starts": np.cumsum([0] + [len(m) for m in members]).astype("<i8").tobytes(), "neighbours": flat.astype("<i4").tobytes(), "levels": graph.levels.astype("<i4").tobytes(), "entry": graph.entry}])
+        memory.release()
+        v, ids, times = np.stack(pdf["v"].to_numpy()), pdf["id"].to_numpy(), pdf["times"].to_numpy()
+        bands = np.floor(np.log2(np.abs(v).max(axis=1)) / math.log2(SPAN)).astype(int)
+        made = [_graph_row(v[bands == b], ids[bands == b], times[bands == b]) | {"band": int(b)} for b in np.unique(bands)]
+        return pd.DataFrame(made).assign(dim=pdf["dim"].iloc[0], shard=pdf["shard"].iloc[0])
 
     return rows.groupBy("dim", "shard").applyInPandas(make, _INDEX)
 
 
+def _graph_row(v: np.ndarray, ids: np.ndarray, times: np.ndarray) -> dict:
+    """Equal vectors as one node, and the graph of the nodes."""
+    order = np.lexsort((ids, *v.T[::-1]))
+    v, ids, times = v[order], ids[order], times[order]
+    new = np.concatenate(([True], (v[1:] != v[:-1]).any(axis=1)))
+    starts = np.flatnonzero(new)
+    ends = np.append(starts[1:], len(ids))
+    mix = np.random.default_rng(len(starts)).permutation(len(starts))  # sorted insertion makes poor graphs
+    nodes = v[starts][mix]
+    members = [np.repeat(ids[starts[i] : ends[i]], times[starts[i] : ends[i]]) for i in mix]
+    graph = Graph.empty(_level(nodes)).build()
+    flat = np.concatenate([t.reshape(-1) for t in graph.tables])
+    return {"vectors": nodes.astype("<f8").tobytes(), "ids": np.concatenate(members).astype("<i8").tobytes(), "id_starts": np.cumsum([0] + [len(m) for m in members]).astype("<i8").tobytes(), "neighbours": flat.astype("<i4").tobytes(), "levels": graph.levels.astype("<i4").tobytes(), "entry": graph.entry}
+
+
 def _level(v: np.ndarray) -> np.ndarray:
-    """Vectors with a further coordinate that makes them equally long, in single precision."""
+    """Vectors, as parts of the longest, with a further coordinate that makes them equally long; in single precision."""
+    v = v / np.abs(v).max()
     squares = (v * v).sum(axis=1)
     return np.concatenate((v, np.sqrt(np.maximum(squares.max() - squares, 0))[:, None]), axis=1).astype(np.float32)
 
 
+def _search_graph(row: dict, queries: list[tuple[int, np.ndarray]], k: int, breadth: int) -> list[list[tuple[float, int]]]:
+    """For every query (id, vector), its k best (minus the score, id) in a graph, other than itself, in order."""
+    original = np.frombuffer(row["vectors"], "<f8").reshape(-1, row["dim"])
+    ids, starts = (np.frombuffer(row[c], "<i8") for c in ("ids", "id_starts"))
+    graph = Graph(_level(original), np.frombuffer(row["neighbours"], "<i4"), np.frombuffer(row["levels"], "<i4"), row["entry"])
+    seen, out = np.zeros(len(original), np.int64), []
+    for stamp, (own, exact) in enumerate(queries, 1):
+        query = np.append(exact / np.abs(exact).max(), 0).astype(np.float32)
+        found = graph.search(query, graph.descend(query, 0), 0, max(breadth, 2 * k), seen, stamp)
+        nodes = np.array([x for _, x in found])
+        scores = original[nodes] @ exact
+        out.append(sorted((-s, int(j)) for x, s in zip(nodes.tolist(), scores.tolist(), strict=True) for j in ids[starts[x] : starts[x + 1]] if j != own)[:k])
+    return out
+
+
 def search(index: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", breadth: int = SEARCH_BREADTH) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: each query's k nearest over all shards."""
-    asked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & valid(F.col("v")))
+    """query_id, rank (from 1), vec_id, score: each query's k nearest over all shards. `index` is read three times, so give it as a table."""
+    asked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & valid(F.col("v"))).distinct()
     blocks = -(-asked.count() // BLOCK) or 1
-    asked = asked.select(F.size("v").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), F.struct("id", "v").alias("q"))
-    asked = asked.groupBy("dim", "block").agg(F.collect_list("q").alias("queries"))  # about BLOCK of them
+    asked = asked.select(F.size("v").alias("dim"), F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).alias("block"), "id", F.xxhash64("v").alias("print"), "v")
     shards = index.agg(F.max("shard")).first()[0]
-    work = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards or 0)))).join(index, ["dim", "shard"])
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {name: batch.column(name)[i] for name in batch.schema.names}
-                original = np.frombuffer(row["vectors"].as_buffer(), "<f8").reshape(-1, row["dim"].as_py())
-                ids, starts = (np.frombuffer(row[c].as_buffer(), "<i8") for c in ("ids", "id_starts"))
-                levels = np.frombuffer(row["levels"].as_buffer(), "<i4")
-                graph = Graph(_level(original), np.frombuffer(row["neighbours"].as_buffer(), "<i4"), levels, row["entry"].as_py())
-                seen, out = np.zeros(len(original), np.int64), []
-                for stamp, q in enumerate(row["queries"].as_py(), 1):
-                    exact = np.array(q["v"])
-                    query = np.append(exact, 0).astype(np.float32)
-                    found = graph.search(query, graph.descend(query, 0), 0, max(breadth, 2 * k), seen, stamp)
-                    nodes = np.array([x for _, x in found])
-                    scores = original[nodes] @ exact
-                    best = sorted((-s, int(j)) for x, s in zip(nodes.tolist(), scores.tolist(), strict=True) for j in ids[starts[x] : starts[x + 1]] if j != q["id"])[:k]
-                    out += [(q["id"], j, -s) for s, j in best]
-                columns = list(zip(*out, strict=True)) or [[], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["query_id", "vec_id", "score"])
-
-    found = work.mapInArrow(task, "query_id long, vec_id long, score double")
-    nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards or 0))))
+    copies = index.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+
+    def task(asked: pa.Table, graphs: pa.Table) -> pa.Table:
+        memory.release()
+        out: list[tuple[int, int, int, float]] = []
+        if len(graphs) and len(asked):
+            prints = asked["print"].to_pylist()
+            mine = list(zip(asked["id"].to_pylist(), map(np.array, asked["v"].to_pylist()), strict=True))
+            best: list[list[tuple[float, int]]] = [[] for _ in mine]
+            for row in graphs.to_pylist():
+                best = [sorted(a + b)[:k] for a, b in zip(best, _search_graph(row, mine, k, breadth), strict=True)]
+            out = [(q, x, j, -s) for (q, _), x, found in zip(mine, prints, best, strict=True) for s, j in found]
+        columns = list(zip(*out, strict=True)) or [[], [], [], []]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "print", "vec_id", "score"])
+
+    groups = ["dim", "shard", "block"]
+    found = asked.groupBy(*groups).cogroup(copies.groupBy(*groups)).applyInArrow(task, "query_id long, print long, vec_id long, score double")
+    nearest = Window.partitionBy("query_id", "print").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
