@@ -17,9 +17,11 @@ behind every `<` and `[`, so that no marker (nor `</s>` or `[INST]`) can come fr
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.functions.expressions import let
+
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 
 
@@ -33,37 +35,41 @@ def unescape(text: Column) -> Column:
 
 
 def fold(events: DataFrame) -> DataFrame:
-    """Final messages of a log with conv_id, message_id, seq, role, kind and text: conv_id, message_id, role, text.
+    """Final messages of a log with conv_id, message_id, seq, role, kind and text: conv_id, message_id, seq, role, text.
 
-    The events of one message meet in one row (its text needs them), those of a conversation don't.
+    The log is parted by conversation, and sorted by sequence within each message: what comes before the last replacing
+    event goes, and what is left is joined, in time linear in its length. seq and role are those of the first event.
     """
     appends = F.coalesce(F.col("kind"), F.lit("message")) == "delta"
-    event = F.struct(F.col("seq"), appends.alias("appends"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("role", F.lit("")).alias("role"))
-    logs = events.groupBy("conv_id", "message_id").agg(F.sort_array(F.collect_list(event)).alias("log"))
-    text = F.aggregate("log", F.lit(""), lambda done, e: F.when(e["appends"], F.concat(done, e["text"])).otherwise(e["text"]))
-    return logs.select("conv_id", "message_id", F.element_at("log", 1)["role"].alias("role"), text.alias("text"))
+    log = events.select("conv_id", "message_id", "seq", appends.alias("appends"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("role", F.lit("")).alias("role"))
+    log = log.repartition("conv_id")  # what follows needs no other exchange
+    message = Window.partitionBy("conv_id", "message_id")
+    ordered = message.orderBy("seq", "appends", "text", "role")
+    so_far = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marked = log.withColumn("replaced", F.count_if(~F.col("appends")).over(so_far)).withColumn("at", F.row_number().over(ordered))
+    marked = marked.withColumn("last", F.count_if(~F.col("appends")).over(message))
+    marked = marked.withColumn("role", F.first("role").over(so_far)).withColumn("first_seq", F.first("seq").over(so_far))
+    parts = marked.filter(F.col("replaced") == F.col("last")).groupBy("conv_id", "message_id").agg(F.first("first_seq").alias("seq"), F.first("role").alias("role"), F.sort_array(F.collect_list(F.struct("at", "text"))).alias("parts"))
+    return parts.select("conv_id", "message_id", "seq", "role", F.array_join(F.transform("parts", lambda p: p["text"]), "").alias("text"))
 
 
 def render(messages: DataFrame, loss_role: str = "assistant") -> DataFrame:
     """One row per conversation: conv_id, n_turns, formatted, loss_spans (array of start and end, in code points).
 
-    Messages go in the order of message_id. A span covers the escaped text of one message of `loss_role`.
+    Messages go in the order of seq, then of role and text. A span covers the escaped text of one message of `loss_role`.
+    Where a message begins is a running sum over its conversation, so the time is linear in the number of turns.
     """
-    turn = F.struct("message_id", "role", "text")
-    turns = messages.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    parts = F.transform("turns", lambda t: F.struct((t["role"] == loss_role).alias("loss"), F.concat(F.lit(TURN), escape(t["role"]), F.lit(TEXT)).alias("head"), escape(t["text"]).alias("body")))
-    turns = turns.select("conv_id", F.size("turns").cast("long").alias("n_turns"), parts.alias("parts"))
-    no_spans = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    start = F.struct(F.lit(0).cast("long").alias("at"), no_spans.alias("spans"))
-
-    def step(done: Column, part: Column) -> Column:
-        begin = done["at"] + F.length(part["head"])
-        end = begin + F.length(part["body"])
-        spans = F.when(part["loss"], F.concat(done["spans"], F.array(F.struct(begin.alias("start"), end.alias("end"))))).otherwise(done["spans"])
-        return F.struct((end + len(END)).alias("at"), spans.alias("spans"))
-
-    formatted = F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit(END))), "")
-    return turns.select("conv_id", "n_turns", formatted.alias("formatted"), F.aggregate("parts", start, step, lambda done: done["spans"]).alias("loss_spans"))
+    body, head = escape(F.col("text")), F.concat(F.lit(TURN), escape(F.col("role")), F.lit(TEXT))
+    turns = messages.select("conv_id", "seq", "role", "text", (F.col("role") == loss_role).alias("loss"), F.concat(head, body, F.lit(END)).alias("piece"), F.length(head).cast("long").alias("head"), F.length(body).cast("long").alias("body"))
+    order = Window.partitionBy("conv_id").orderBy("seq", "role", "text")
+    before = F.coalesce(F.sum(F.col("head") + F.col("body") + len(END)).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = turns.withColumn("at", F.row_number().over(order)).withColumn("start", before + F.col("head"))
+    whole = placed.groupBy("conv_id").agg(
+        F.count("*").alias("n_turns"),
+        F.sort_array(F.collect_list(F.struct("at", "piece"))).alias("pieces"),
+        F.sort_array(F.collect_list(F.when(F.col("loss"), F.struct("start", (F.col("start") + F.col("body")).alias("end"))))).alias("loss_spans"),
+    )
+    return whole.select("conv_id", "n_turns", F.array_join(F.transform("pieces", lambda p: p["piece"]), "").alias("formatted"), "loss_spans")
 
 
 def parse(formatted: Column) -> Column:
@@ -78,5 +84,23 @@ def parse(formatted: Column) -> Column:
 
 
 def masked_text(formatted: Column, spans: Column) -> Column:
-    """All text under the loss mask, unescaped, nothing between."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(formatted, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))), "")
+    """All text under the loss mask, unescaped, nothing between.
+
+    The string is cut as UTF-32, where a place is found without a walk from the start.
+    """
+    cut = lambda wide: F.transform(spans, lambda s: unescape(F.decode(F.substring(wide, (4 * s["start"] + 1).cast("int"), (4 * (s["end"] - s["start"])).cast("int")), "UTF-32")))
+    return F.array_join(let(F.encode(formatted, "UTF-32"), cut), "")
+
+
+def streamed(messages: DataFrame, size: int = 512) -> DataFrame:
+    """A log in which every message (conv_id, message_id, seq, role, text) is streamed: it starts empty, and deltas of `size` code points follow.
+
+    It is what `fold` turns into the same messages again. seq becomes a pair: that of the message, and the delta's place.
+    """
+    text = F.coalesce("text", F.lit(""))
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), (F.length(text) - 1) / size).cast("int"))
+    delta = lambda wide, i: F.struct((i + 1).alias("place"), F.lit("delta").alias("kind"), F.decode(F.substring(wide, i * (4 * size) + 1, F.lit(4 * size)), "UTF-32").alias("text"))
+    deltas = let(F.encode(text, "UTF-32"), lambda wide: F.transform(starts, lambda i: delta(wide, i)))
+    start = F.array(F.struct(F.lit(0).alias("place"), F.lit("message").alias("kind"), F.lit("").alias("text")))
+    spread = messages.select("conv_id", "message_id", "seq", "role", F.explode(F.concat(start, deltas)).alias("e"))
+    return spread.select("conv_id", "message_id", F.struct("seq", F.col("e.place").alias("place")).alias("seq"), "role", F.col("e.kind").alias("kind"), F.col("e.text").alias("text"))
