@@ -34,16 +34,39 @@ def plain_name(name: Column) -> Column:
 
 
 def names_match(a: Column, b: Column) -> Column:
-    """Equal `Family, Given` names, where one's given name may be the beginning of the other's."""
+    """Equal names, or two of the form `Family, Given` with one family name whose given names are one the beginning of the other, or have the first word in common.
+
+    Dots are left out of given names, so an initial is the beginning of a name.
+    """
     x, y = plain_name(a), plain_name(b)
     family = lambda n: F.trim(F.split(n, ",", 2)[0])
-    given = lambda n: F.trim(F.regexp_replace(F.coalesce(F.get(F.split(n, ",", 2), F.lit(1)), F.lit("")), r"\.", ""))
-    return (x == y) | (family(x) == family(y)) & (given(x).startswith(given(y)) | given(y).startswith(given(x)))
+    given = lambda n: F.trim(F.replace(F.get(F.split(n, ",", 2), F.lit(1)), F.lit("."), F.lit("")))
+    first = lambda n: F.split(given(n), " ")[0]
+    alike = given(x).startswith(given(y)) | given(y).startswith(given(x)) | (first(x) == first(y))
+    return (x == y) | F.coalesce(x.contains(",") & y.contains(",") & (family(x) == family(y)) & alike, F.lit(False))
+
+
+def author_score(found: Column, known: Column) -> Column:
+    """Share of the known names that a found one matches, each found one once, in order. Without known names: 1 if none was found, else 0."""
+    start = F.struct(F.coalesce(found, F.array().cast("array<string>")).alias("left"), F.lit(0).alias("hits"))
+
+    def step(done: Column, name: Column) -> Column:
+        at = F.array_position(F.transform(done["left"], lambda f: names_match(f, name)), True)
+        others = F.filter(done["left"], lambda _, i: i != at - 1)
+        return F.struct(F.when(at > 0, others).otherwise(done["left"]).alias("left"), (done["hits"] + F.when(at > 0, 1).otherwise(0)).alias("hits"))
+
+    none = F.coalesce(F.size(known), F.lit(0)) <= 0
+    return F.when(none, F.when(F.coalesce(F.size(found), F.lit(0)) <= 0, 1.0).otherwise(0.0)).otherwise(F.aggregate(known, start, step, lambda done: done["hits"] / F.size(known)))
 
 
 def authors_match(found: Column, known: Column) -> Column:
-    """Whether as many names were found as are known, and each known one has a match."""
-    return F.when(F.size(known) == 0, F.lit(None)).otherwise((F.size(found) == F.size(known)) & F.forall(known, lambda k: F.exists(found, lambda f: names_match(f, k))))
+    """Whether every known name has a match of its own."""
+    return author_score(found, known) == 1.0
+
+
+def years_match(found: Column, known: Column) -> Column:
+    """Equal years, as trimmed text; true where none is known."""
+    return F.when(known.isNull(), True).otherwise(F.coalesce(F.trim(found.cast("string")) == F.trim(known.cast("string")), F.lit(False)))
 
 
 def report(rows: DataFrame) -> DataFrame:

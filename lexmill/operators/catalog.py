@@ -8,11 +8,170 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-class CatalogError(ValueError):
-    """A request that contradicts itself."""
+STATUSES = ("pending", "ready", "failed", "needs_review")
+EMBEDDING_STATES = ("pending", "current", "stale")
+#: Bounds of a search's limit; chunks below which a document's whole text is given, and chunks of a preview.
+LEAST_LIMIT, MOST_LIMIT = 1, 100
+SHORT_DOCUMENT, PREVIEW = 50, 20
+#: Version of the documents' schema, and what each version added.
+SCHEMA_VERSION = 4
+_ADDED = {2: [("error_message", "string"), ("error_code", "string")], 3: [("embedding_status", "string")], 4: [("issued_year", "int")]}
 
 
-def listing(rows: DataFrame, equals: dict[str, object] | None = None, missing: list[str] | None = None, contains: dict[str, str] | None = None, prefix: dict[str, str] | None = None) -> DataFrame:
+class LibraryError(Exception):
+    """What goes wrong with a library: a code for programs, and details such as suggestions."""
+
+    code = "error"
+
+    def __init__(self, message: str, **details: object):
+        super().__init__(message)
+        self.details = details
+
+
+class CatalogError(LibraryError, ValueError):
+    """A request that contradicts itself, or is out of bounds."""
+
+    code = "invalid_request"
+
+
+class NotFound(LibraryError, LookupError):
+    code = "not_found"
+
+
+class Ambiguous(LibraryError, LookupError):
+    code = "ambiguous"
+
+
+class NotReady(LibraryError):
+    code = "document_not_ready"
+
+
+class MetadataInvalid(LibraryError, ValueError):
+    code = "metadata_invalid"
+
+
+class ClientFailed(LibraryError):
+    """A language model's client raised an error."""
+
+    code = "client_failed"
+
+
+def checked_limit(limit: int) -> int:
+    """The limit, if it is within its bounds."""
+    if not LEAST_LIMIT <= limit <= MOST_LIMIT:
+        raise CatalogError(f"limit must be from {LEAST_LIMIT} to {MOST_LIMIT}", limit=limit)
+    return limit
+
+
+def clamped_limit(limit: int) -> int:
+    """The limit within its bounds that is next to the given one."""
+    return max(LEAST_LIMIT, min(MOST_LIMIT, limit))
+
+
+def page(rows: DataFrame, order: list[Column | str], limit: int) -> DataFrame:
+    """The first rows in an order, with `total`: how many there were before the limit."""
+    total = rows.count()
+    return rows.orderBy(*order).limit(limit).withColumn("total", F.lit(total).cast("long"))
+
+
+def lookup(rows: DataFrame, column: str, value: object) -> DataFrame:
+    """Rows whose id, hash, path or key is the value."""
+    return rows.filter(F.col(column) == F.lit(value))
+
+
+def citekeys(rows: DataFrame, key_col: str = "citekey") -> DataFrame:
+    """All keys that are not null, sorted."""
+    return rows.filter(F.col(key_col).isNotNull()).select(key_col).orderBy(key_col)
+
+
+def resolve(rows: DataFrame, identifier: str, id_col: str = "doc_id", key_col: str = "citekey") -> DataFrame:
+    """The row that `@key`, an id or the beginning of an id names. NotFound has up to three suggestions for a key."""
+    if identifier.startswith("@"):
+        found = lookup(rows, key_col, identifier[1:]).limit(1)
+        if found.count():
+            return found
+        near = suggestions(rows.filter(F.col(key_col).isNotNull()), key_col, identifier[1:])
+        raise NotFound(f"no document has the key {identifier[1:]}", suggestions=[r[0] for r in near.collect()])
+    status, found = by_partial_id(rows, identifier, id_col)
+    if status != "found":
+        raise {"not found": NotFound, "ambiguous": Ambiguous}[status](f"{identifier}: {status}")
+    return found
+
+
+def with_status(rows: DataFrame, *statuses: str) -> DataFrame:
+    """Documents in any of the states."""
+    return rows.filter(F.col("status").isin(list(statuses)))
+
+
+def needing_embedding(rows: DataFrame, force: bool = False) -> DataFrame:
+    """Ready documents whose embeddings are pending or stale (with force, all ready ones), oldest first."""
+    ready = with_status(rows, "ready")
+    wanted = ready if force else ready.filter(F.coalesce("embedding_status", F.lit("pending")).isin("pending", "stale"))
+    return wanted.orderBy("created_at", "doc_id")
+
+
+def chunk_counts(docs: DataFrame, chunks: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Every document's key with chunks (0 if it has none) and has_embeddings."""
+    counts = chunks.groupBy(key).agg(F.count("*").alias("chunks"))
+    return docs.select(key).join(counts, key, "left").select(key, F.coalesce("chunks", F.lit(0)).alias("chunks"), F.col("chunks").isNotNull().alias("has_embeddings"))
+
+
+def outline(chunks: DataFrame, by: list[str], section: str = "section", index: str = "chunk_index") -> DataFrame:
+    """Distinct sections that have a name, in the order of their first chunk: section, first_chunk and place (from 1)."""
+    first = chunks.filter(F.coalesce(section, F.lit("")) != "").groupBy(*by, section).agg(F.min(index).alias("first_chunk"))
+    return first.withColumn("place", F.row_number().over(Window.partitionBy(*(by or [F.lit(0)])).orderBy("first_chunk", section)).cast("long"))
+
+
+def text_slice(chunks: DataFrame, total: int, start: int | None = None, end: int | None = None, index: str = "chunk_index") -> tuple[str, DataFrame]:
+    """What a reader gets of a document with `total` chunks: `whole` (a short one, whatever was asked), `range` or `preview`."""
+    rows = chunks.orderBy(index)
+    if total < SHORT_DOCUMENT:
+        return "whole", rows
+    if start is None and end is None:
+        return "preview", chunk_range(rows, index, 0, PREVIEW - 1)
+    low, high = start if start is not None else 0, end if end is not None else total - 1
+    if low < 0 or high < 0 or low > high or low >= total:
+        raise CatalogError(f"no chunks {low} to {high} of {total}", total=total)
+    return "range", chunk_range(rows, index, low, min(high, total - 1))
+
+
+def failed_records(paths: DataFrame, documents: DataFrame, path_col: str = "path") -> DataFrame:
+    """Records of files that could not be taken up: (path, error_message, error_code) gets a placeholder hash of the path, and state failed.
+
+    A path that a document has already gives none.
+    """
+    known = documents.select(F.col("original_path").alias(path_col)).distinct()
+    fresh = paths.join(known, path_col, "left_anti").groupBy(path_col).agg(F.first("error_message").alias("error_message"), F.first("error_code").alias("error_code"))
+    digest = F.sha2(F.col(path_col), 256)
+    return fresh.select(F.col(path_col).alias("original_path"), digest.alias("content_hash"), F.lit("failed").alias("status"), "error_message", "error_code")
+
+
+def reextracted(documents: DataFrame, texts: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Documents with the new texts (key, text, error): their embeddings become stale, and their state follows; others stay.
+
+    A fall-back extraction is named in error, and makes the state needs_review. Metadata does not change.
+    """
+    new = texts.select(F.col(key).alias("_key"), F.col("text").alias("_text"), F.col("error").alias("_error"))
+    both = documents.join(new, F.col(key) == F.col("_key"), "left")
+    hit = F.col("_key").isNotNull()
+    status = F.when(F.col("_error").isNotNull(), "needs_review").otherwise("ready")
+    changed = {"text": F.coalesce("_text", "text"), "status": status, "error_message": F.coalesce("_error", "error_message"), "embedding_status": F.lit("stale")}
+    return both.select(*[F.when(hit, changed[c]).otherwise(F.col(c)).alias(c) if c in changed else F.col(c) for c in documents.columns])
+
+
+def migrated(rows: DataFrame, version: int) -> DataFrame:
+    """Documents of an older schema in the present one: new columns are null, years are taken from dates that start with four digits."""
+    for v in range(version + 1, SCHEMA_VERSION + 1):
+        for name, kind in _ADDED.get(v, []):
+            if name not in rows.columns:
+                rows = rows.withColumn(name, F.lit(None).cast(kind))
+        if v == 4:
+            year = F.when(F.col("issued_date").rlike("^[0-9]{4}"), F.substring("issued_date", 1, 4).try_cast("int"))
+            rows = rows.withColumn("issued_year", F.coalesce("issued_year", year))
+    return rows
+
+
+def listing(rows: DataFrame, equals: dict[str, object] | None = None, missing: list[str] | None = None, contains: dict[str, str] | None = None, prefix: dict[str, str] | None = None, order: list[Column | str] | None = None, limit: int | None = None) -> DataFrame:
     """Rows that meet all conditions; `contains` and `prefix` disregard case, and no character is special in them."""
     if set(equals or {}) & set(missing or []):
         raise CatalogError("a column can't both equal a value and be missing")
@@ -20,7 +179,10 @@ def listing(rows: DataFrame, equals: dict[str, object] | None = None, missing: l
     tests += [F.col(c).isNull() for c in missing or []]
     tests += [F.lower(c).contains(v.lower()) for c, v in (contains or {}).items()]
     tests += [F.lower(c).startswith(v.lower()) for c, v in (prefix or {}).items()]
-    return rows.filter(reduce(lambda a, b: a & b, tests)) if tests else rows
+    found = rows.filter(reduce(lambda a, b: a & b, tests)) if tests else rows
+    if order:
+        found = found.orderBy(*order)
+    return found if limit is None else found.limit(limit)
 
 
 def by_partial_id(rows: DataFrame, start: str, id_col: str) -> tuple[str, DataFrame]:
@@ -58,11 +220,24 @@ def first_of_content(rows: DataFrame, content: str, order: list[str]) -> DataFra
     return found.withColumn("first_key", F.col(f"_first.{order[-1]}")).withColumn("is_first", F.struct(*order) == F.col("_first")).drop("_first")
 
 
-def duplicate_reason(new: DataFrame, stored: DataFrame, path: str, digest: str, key: str) -> DataFrame:
-    """`new` with reason (`path`, `content` or null) and the key of the stored row that it repeats."""
-    by_path = stored.groupBy(F.col(path).alias("_path")).agg(F.min(key).alias("_by_path"))
-    by_hash = stored.groupBy(F.col(digest).alias("_hash")).agg(F.min(key).alias("_by_hash"))
-    found = new.join(by_path, F.col(path) == F.col("_path"), "left").join(by_hash, F.col(digest) == F.col("_hash"), "left")
+def duplicate_reason(new: DataFrame, stored: DataFrame, path: str, digest: str, key: str, but_itself: bool = False) -> DataFrame:
+    """`new` with reason (`path`, `content` or null) and stored_key, the smallest key of a stored row that it repeats.
+
+    With `but_itself`, a stored row with its own key counts as another: `new` may then be among the stored rows.
+    """
+
+    def firsts(by: str, name: str) -> DataFrame:
+        # the two smallest keys are enough, as a row is left out at most
+        two = F.slice(F.array_sort(F.collect_set(key)), 1, 2) if but_itself else F.array(F.min(key))
+        rows = stored
+        if but_itself:
+            place = F.row_number().over(Window.partitionBy(by).orderBy(key))
+            rows = stored.select(by, key).distinct().withColumn("_place", place).filter("_place <= 2")
+        return rows.groupBy(F.col(by).alias(f"_{name}")).agg(two.alias(f"_by_{name}"))
+
+    found = new.join(firsts(path, "path"), F.col(path) == F.col("_path"), "left").join(firsts(digest, "hash"), F.col(digest) == F.col("_hash"), "left")
+    other = lambda keys: F.get(F.filter(keys, lambda k: ~k.eqNullSafe(F.col(key))) if but_itself else keys, F.lit(0))
+    found = found.withColumns({"_by_path": other(F.col("_by_path")), "_by_hash": other(F.col("_by_hash"))})
     reason = F.when(F.col("_by_path").isNotNull(), "path").when(F.col("_by_hash").isNotNull(), "content")
     return found.withColumn("reason", reason).withColumn("stored_key", F.coalesce("_by_path", "_by_hash")).drop("_path", "_hash", "_by_path", "_by_hash")
 
@@ -105,6 +280,46 @@ def library_names(libraries: DataFrame, groups: DataFrame) -> DataFrame:
     return found.select("libraryID", F.coalesce("_name", F.when(F.col("type") == "user", "My Library"), other).alias("name"))
 
 
+def attachments(attached: DataFrame, items: DataFrame, prefix: str = "storage:") -> DataFrame:
+    """Files of items: itemID of the parent, key, file_name, content_type and link_mode; what has no path, or a web address, is left out."""
+    found = attached.filter(F.col("path").isNotNull() & (F.col("path") != "") & ~F.lower("path").rlike("^[a-z]+://")).join(items.select("itemID", "key"), "itemID")
+    name = F.when(F.col("path").startswith(prefix), F.substr("path", F.lit(len(prefix) + 1))).otherwise(F.element_at(F.split("path", "/"), -1))
+    return found.select(F.col("parentItemID").alias("itemID"), "key", name.alias("file_name"), F.coalesce("contentType", F.lit("application/octet-stream")).alias("content_type"), F.coalesce("linkMode", F.lit(0)).alias("link_mode"))
+
+
+def library_keys(items: DataFrame, keys: DataFrame, records: DataFrame, library: int) -> DataFrame:
+    """Distinct keys of a library's items that have one (itemID, citekey) and whose record was exported (key)."""
+    own = items.filter(F.col("libraryID") == library).select("itemID").join(keys.filter(F.col("citekey").isNotNull()), "itemID")
+    return own.join(records.select(F.col("key").alias("citekey")), "citekey", "left_semi").select("citekey").distinct()
+
+
+def collection_keys(members: DataFrame, keys: DataFrame, within: DataFrame | None = None) -> DataFrame:
+    """Distinct keys of a collection's direct members (itemID), and of these the ones that `within` (citekey) has, if it is given."""
+    found = members.select("itemID").join(keys.filter(F.col("citekey").isNotNull()), "itemID").select("citekey").distinct()
+    return found if within is None else found.intersect(within.select("citekey"))
+
+
+def import_outcomes(wanted: DataFrame, existing: DataFrame, items: DataFrame, files: DataFrame, stored: DataFrame) -> DataFrame:
+    """`wanted` (citekey) with outcome, the first that holds: skipped_existing, failed (no item), skipped_no_file, failed (file lost), skipped_duplicate or added.
+
+    items: citekey, itemID; files: itemID, digest (null where the file is lost), of which the first counts; stored: content_hash.
+    """
+    known = existing.select("citekey").distinct().withColumn("_known", F.lit(True))
+    item = items.groupBy("citekey").agg(F.min("itemID").alias("itemID"))
+    first = files.groupBy("itemID").agg(F.min_by("digest", F.col("place")).alias("digest"), F.count("*").alias("_files"))
+    held = stored.select(F.col("content_hash").alias("digest")).distinct().withColumn("_held", F.lit(True))
+    rows = wanted.join(known, "citekey", "left").join(item, "citekey", "left").join(first, "itemID", "left").join(held, "digest", "left")
+    outcome = (
+        F.when(F.col("_known"), "skipped_existing")
+        .when(F.col("itemID").isNull(), "failed")
+        .when(F.col("_files").isNull(), "skipped_no_file")
+        .when(F.col("digest").isNull(), "failed")
+        .when(F.col("_held"), "skipped_duplicate")
+        .otherwise("added")
+    )
+    return rows.select(*wanted.columns, outcome.alias("outcome"))
+
+
 def import_plan(wanted: DataFrame, existing: DataFrame, key: str, has_file: Column) -> DataFrame:
     """`wanted` with outcome: skip (there already), no file, or import."""
     known = existing.select(F.col(key).alias("_key")).distinct()

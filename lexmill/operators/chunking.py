@@ -89,15 +89,37 @@ def hashed_vector(text: str, dim: int) -> list[float]:
     return (out / (np.linalg.norm(out) or 1)).astype(np.float32).tolist()
 
 
-def embed(rows: DataFrame, text_col: str = "text", dim: int = 768, prefix: str = "search_document: ", embedder: Callable[[str, int], list[float]] = hashed_vector, out: str = "embedding") -> DataFrame:
-    """`rows` with a vector of every text; null texts get null."""
+#: Texts that a model gets at a time.
+MODEL_BATCH = 32
+
+
+def embed(rows: DataFrame, text_col: str = "text", dim: int = 768, prefix: str = "search_document: ", embedder: Callable[[str, int], list[float]] = hashed_vector, out: str = "embedding", errors: str | None = None) -> DataFrame:
+    """`rows` with a vector of every text; null texts get null.
+
+    An embedder with a method `many` (texts, dim) is asked for MODEL_BATCH texts at a time. With `errors`, a column of that
+    name tells what an embedder raised on a text, whose vector is null then; without, the query fails.
+    """
+    kind = pa.struct([("vector", pa.list_(pa.float32())), ("error", pa.string())])
+
+    def vectors(texts: list[str]) -> list[dict]:
+        try:
+            return [{"vector": v, "error": None} for v in (embedder.many(texts, dim) if hasattr(embedder, "many") else [embedder(t, dim) for t in texts])]
+        except Exception as why:  # noqa: BLE001  whatever a model raises belongs to its texts
+            if errors is None:
+                raise
+            return vectors(texts[:1]) + vectors(texts[1:]) if len(texts) > 1 else [{"vector": None, "error": f"{type(why).__name__}: {why}"}]
 
     def task(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
-            yield pa.array([None if t is None else embedder(prefix + t, dim) for t in batch.to_pylist()], pa.list_(pa.float32()))
+            known = [prefix + t for t in batch.drop_null().to_pylist()]
+            made = iter([v for i in range(0, len(known), MODEL_BATCH) for v in vectors(known[i : i + MODEL_BATCH])])
+            yield pa.array([{"vector": None, "error": None} if t is None else next(made) for t in batch.to_pylist()], kind)
 
     task.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return rows.withColumn(out, F.arrow_udf(task, "array<float>")(F.col(text_col)))
+    found = rows.withColumn(out, F.arrow_udf(task, "struct<vector:array<float>,error:string>")(F.col(text_col)))
+    if errors is not None:
+        found = found.withColumn(errors, F.col(out)["error"])
+    return found.withColumn(out, F.col(out)["vector"])
 
 
 def checked_dimension(vector: Column, dim: int) -> Column:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.functions.expressions import let
@@ -148,29 +152,64 @@ def dehyphenate(text: Column) -> Column:
     return F.regexp_replace(text, rf"(?U)(\w+)(?:-\n\s*(?=(?:{endings}))|(-)\n\s*)([a-z]\w*)", "$1$2$3")
 
 
+#: Words that a word list for dehyphenation may have: it is broadcast to the tasks.
+MOST_WORDS = 2_000_000
+_BROKEN = re.compile(r"(\w+)-\n\s*([a-z]\w*)")
+
+
+def dehyphenator(spark: SparkSession, path: str) -> Callable[[Column], Column]:
+    """A column function that joins words cut at line ends by a word list, a word per line.
+
+    The hyphen goes where the joined word is listed; it stays where the hyphenated one is; else known endings decide, as in
+    `dehyphenate`. Lists of over MOST_WORDS words are refused.
+    """
+    listed = spark.read.text(path).select(F.lower(F.trim("value")).alias("word")).filter("word <> ''").distinct().limit(MOST_WORDS + 1)
+    words = frozenset(listed.toArrow()["word"].to_pylist())
+    if len(words) > MOST_WORDS:
+        raise ValueError(f"a word list may have {MOST_WORDS} words")
+    shared = spark.sparkContext.broadcast(words)
+
+    def joined(m: re.Match) -> str:
+        plain, hyphened = m[1] + m[2], f"{m[1]}-{m[2]}"
+        if plain.lower() in shared.value:
+            return plain
+        return hyphened if hyphened.lower() in shared.value or not m[2].startswith(tuple(ENDINGS)) else plain
+
+    def task(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in texts:
+            yield pa.array([None if t is None else _BROKEN.sub(joined, t) for t in batch.to_pylist()], pa.string())
+
+    task.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(task, "string")
+
+
 def is_structural(line: Column) -> Column:
     """Whether a line stands for itself: blank, heading, item, fence, table, quote or rule."""
     return _strip(line).rlike(r"^$|^#|^[-*+]\s|^\d+\.\s|^```|^~~~|^\||^>|^[-*_]{3,}\s*$")
 
 
+#: Stand around lines that stay as they are; Unicode has set them apart for such use, and texts don't hold them.
+_KEEP, _KEPT = "\ufdd0", "\ufdd1"
+
+
 def reflow(text: Column) -> Column:
-    """Join the lines of a paragraph by spaces; structural lines and fenced blocks stay as they are. A fold over lines."""
-    empty = F.array().cast("array<string>")
-    start = F.struct(empty.alias("out"), F.lit(None).cast("string").alias("held"), F.lit(False).alias("fenced"))
+    """Join the lines of a paragraph by spaces; structural lines and fenced blocks stay as they are.
 
-    def flushed(state: Column) -> Column:
-        held = F.regexp_replace(state["held"], "  +", " ")
-        return F.when(state["held"].isNull(), state["out"]).otherwise(F.concat(state["out"], F.array(held)))
+    The text is cut before its fences, so every second part is a fenced block. Lines that stay are marked, and line breaks
+    that touch no mark become spaces: linear in the length of the text.
+    """
 
-    def step(state: Column, line: Column) -> Column:
-        stripped = _strip(line)
-        fence = stripped.rlike("^```|^~~~")
-        alone = fence | state["fenced"] | is_structural(line)
-        out = F.when(alone, F.concat(flushed(state), F.array(line))).otherwise(state["out"])
-        held = F.when(~alone, F.concat_ws(" ", state["held"], stripped))
-        return F.struct(out.alias("out"), held.alias("held"), (state["fenced"] != fence).alias("fenced"))
+    def line(raw: Column) -> Column:
+        kept = F.concat(F.lit(_KEEP), raw, F.lit(_KEPT))
+        return F.when(is_structural(raw), kept).otherwise(F.regexp_replace(_strip(raw), "  +", " "))
+
+    def part(raw: Column, i: Column) -> Column:
+        block = F.concat(F.lit(_KEEP), F.replace(raw, F.lit("\n"), F.lit(f"{_KEPT}\n{_KEEP}")), F.lit(_KEPT))
+        return F.when(i % 2 == 1, block).otherwise(_joined(F.transform(_lines(raw), line)))
 
-    return _joined(F.aggregate(_lines(text), start, step, flushed))
+    parts = F.split(F.concat(F.lit("\n"), text), rf"(?md)(?=^[\s\x1c-\x1f\x85\x{{a0}}&&[^\n]]*(?:```|~~~))", -1)
+    marked = F.regexp_replace(F.array_join(F.transform(parts, part), ""), f"(?<!{_KEPT})\n(?!{_KEEP})", " ")
+    return F.substr(F.translate(marked, _KEEP + _KEPT, ""), F.lit(2))
 
 
 def clean_artifacts(text: Column) -> Column:

@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.operators.catalog import ClientFailed
+
 RULE = "\n\n---\n\n"
 NO_RESULTS = "Nothing was found on this question."
 
@@ -45,4 +47,7 @@ def ask(results: DataFrame, question: str, client: Callable[[list[dict]], Iterat
         return Answer(NO_RESULTS, [])
     context = RULE.join(f"[{'@' + r['key'] if r.get('key') else 'unknown source'}{', §' + r['section'] if r.get('section') else ''}] {r['text']}" for r in rows)
     messages = [{"role": "system", "content": system}, {"role": "user", "content": f"Context:\n{context}\n\nQuestion: {question}"}]
-    return Answer("".join(client(messages)), rows)
+    try:
+        return Answer("".join(client(messages)), rows)
+    except Exception as why:  # whatever a client raises is its failure
+        raise ClientFailed(f"{type(why).__name__}: {why}") from why

@@ -67,6 +67,35 @@ def csl_record(kind: Column, title: Column, authors: Column, year: Column) -> Co
     return F.to_json(F.struct(F.coalesce(kind, F.lit("article-journal")).alias("type"), F.when(title != "", title).alias("title"), F.when(F.size(people) > 0, people).alias("author"), issued.alias("issued")))
 
 
+def document_item(place: Column, citekey: Column, title: Column, authors: Column, year: Column, status: Column) -> Column:
+    """One document of a list as a numbered markdown line."""
+    by = F.when(authors.isNotNull(), F.concat(F.lit(" - "), truncated(authors, 60)))
+    when = F.when(year.isNotNull(), F.concat(F.lit(" ("), year.cast("string"), F.lit(")")))
+    named = F.concat(F.lit("**"), F.coalesce(F.concat(F.lit("@"), citekey), F.lit("(no key)")), F.lit("** "), truncated(F.coalesce(title, F.lit("Untitled")), 80))
+    return F.concat(place.cast("string"), F.lit(". "), named, F.coalesce(by, F.lit("")), F.coalesce(when, F.lit("")), F.lit(" ["), status, F.lit("]"))
+
+
+def documents_markdown(rows: DataFrame) -> DataFrame:
+    """A cut page of documents (place, total, citekey, title, authors, issued_year, status) as one markdown text."""
+    item = document_item(*[F.col(c) for c in ("place", "citekey", "title", "authors", "issued_year", "status")])
+    made = rows.agg(F.max("total").alias("total"), F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("place", item.alias("item")))).alias("items"))
+    head = F.when(F.col("n") == 0, "No documents.").otherwise(F.format_string("### Documents (%d of %d)", "n", "total"))
+    return made.select(F.concat_ws("\n", head, F.lit(""), F.array_join(F.transform("items", lambda i: i["item"]), "\n")).alias("markdown"))
+
+
+def document_markdown(key: Column, title: Column, fields: Column) -> Column:
+    """One document's fields (a map of strings; null values are left out) as markdown."""
+    lines = F.transform(F.filter(F.array_sort(F.map_entries(fields)), lambda f: f["value"].isNotNull()), lambda f: F.concat(F.lit("- **"), f["key"], F.lit(":** "), f["value"]))
+    return F.concat_ws("\n", F.concat(F.lit("## "), F.coalesce(title, F.lit("Untitled"))), F.concat(F.lit("@"), key), F.array_join(lines, "\n"))
+
+
+def run_log(queries: DataFrame, results: DataFrame, metrics: DataFrame) -> DataFrame:
+    """A row per query with its text, its metrics as a struct and its results as an array in order of rank."""
+    listed = results.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(F.col("rank").alias("rank"), F.col("doc_id").alias("doc_id"), F.col("score").alias("score")))).alias("results"))
+    names = [c for c in metrics.columns if c != "query_id"]
+    return queries.join(metrics.select("query_id", F.struct(*names).alias("metrics")), "query_id", "left").join(listed, "query_id", "left")
+
+
 def write_run_log(rows: DataFrame, path: str) -> None:
     """An evaluation's rows as JSON lines."""
     rows.write.mode("overwrite").json(path)

@@ -141,3 +141,31 @@ def percentiles(rows: DataFrame, value: str, shares: list[float], accuracy: int
     """share and value of percentiles, by a sketch whose ranks are off by at most 1 / accuracy of the rows."""
     found = rows.agg(F.percentile_approx(value, shares, accuracy).alias("v"))
     return found.select(F.explode(F.arrays_zip(F.array(*[F.lit(s) for s in shares]).alias("share"), F.col("v").alias("value"))).alias("p")).select("p.share", "p.value")
+
+
+def ranked_percentiles(rows: DataFrame, value: str, shares: list[float]) -> DataFrame:
+    """share and value: of n sorted values, the one at int(share * n), the last at most; exact, by ranks in ranges. Nulls are left out."""
+    from lexmill import session
+
+    spark = rows.sparkSession
+    dealt = session.cut(rows.select(F.col(value).alias("value")).filter("value is not null").repartitionByRange(session.n_partitions(spark), "value").withColumn("range", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy("range").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per range
+    total = sum(r["n"] for r in sizes.collect())
+    wanted = spark.createDataFrame([(float(s), min(int(s * total), total - 1)) for s in shares], "share double, place long")
+    ranked = dealt.withColumn("at", F.row_number().over(Window.partitionBy("range").orderBy("value")) - 1).join(sizes.withColumn("before", before).drop("n"), "range")
+    return ranked.withColumn("place", F.col("at") + F.col("before")).join(F.broadcast(wanted), "place").select("share", "value")
+
+
+def answerable(queries: DataFrame) -> DataFrame:
+    """Queries that can be answered; those not marked can."""
+    return queries.filter(~F.coalesce("unanswerable", F.lit(False)))
+
+
+def mode_comparison(runs: dict[str, DataFrame], grades: DataFrame, k: int) -> DataFrame:
+    """Means of the retrieval metrics by mode, over the queries of each run."""
+    parts = None
+    for mode, run in runs.items():
+        part = retrieval_metrics(run, grades, k).withColumn("mode", F.lit(mode))
+        parts = part if parts is None else parts.unionByName(part)
+    return parts.groupBy("mode").agg(F.count("*").alias("queries"), *[F.avg(c).alias(c) for c in ("precision", "recall", "mrr", "ndcg")])

@@ -35,12 +35,13 @@ def rrf(lists: list[tuple[DataFrame, str, float]], k: int, id_col: str = "doc_id
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "seen")).cast("long")).drop("seen")
 
 
-def hybrid(docs: DataFrame, vectors: DataFrame, text: str, query: list[float], k: int, doc_id: str = "doc_id", vec_id: str = "vec_id") -> DataFrame:
+def hybrid(index: fulltext.Index, vectors: DataFrame, text: str, query: list[float], k: int, vec_id: str = "vec_id") -> DataFrame:
     """Fusion of the nearest vectors and the best full-text hits; vectors alone where the text can't be searched for."""
+    doc_id = index.id_col
     near = vector.knn(vectors, query, POOL * k, id_col=vec_id).select(F.col(vec_id).alias(doc_id), "distance")
     lists = [(ranked(near, F.col("distance"), doc_id), "vector", 1.0)]
     try:
-        hits = fulltext.bm25(docs, text, POOL * k, doc_id)
+        hits = fulltext.bm25(index, text, POOL * k)
         lists.append((ranked(hits, F.col("bm25"), doc_id), "fts", FULLTEXT_WEIGHT))
     except fulltext.QueryError:
         pass
@@ -48,9 +49,14 @@ def hybrid(docs: DataFrame, vectors: DataFrame, text: str, query: list[float], k
 
 
 def cap_per_document(rows: DataFrame, group: str, score: str, tie: str, most: int = PER_DOCUMENT) -> DataFrame:
-    """The `most` best rows of every group."""
+    """The `most` best rows of every group; all rows if there is but one group.
+
+    `rows` is a cut list (a pool for reranking), so the count of its groups is a small window.
+    """
+    few = rows.withColumn("_low", F.min(group).over(Window.partitionBy(F.lit(0)))).withColumn("_high", F.max(group).over(Window.partitionBy(F.lit(0))))
+    rows = few.withColumn("_single", (F.col("_low") == F.col("_high")) & (F.count(group).over(Window.partitionBy(F.lit(0))) == F.count("*").over(Window.partitionBy(F.lit(0)))))
     order = Window.partitionBy(group).orderBy(F.desc(score), tie)
-    return rows.withColumn("_at", F.row_number().over(order)).filter(F.col("_at") <= most).drop("_at")
+    return rows.withColumn("_at", F.row_number().over(order)).filter(F.col("_single") | (F.col("_at") <= most)).drop("_at", "_low", "_high", "_single")
 
 
 def sigmoid(x: Column) -> Column:

@@ -16,9 +16,15 @@ def list_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def partial_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows that a partial id names: two at most, as more are ambiguous anyway."""
-    status, rows = catalog.by_partial_id(_read(spark, sf_dir, "customer"), "7", "c_custkey")
-    return rows.select("c_custkey", F.lit(status).alias("status"))
+    """The rows that beginnings of ids name: a whole id, one row, none, or two of more (then which two is open, so only their number is given)."""
+    customers = _read(spark, sf_dir, "customer").withColumn("id", F.concat(F.col("c_custkey") % 97, F.lit("-"), F.col("c_custkey")))
+    last = customers.agg(F.max("c_custkey")).first()[0]
+    found = None
+    for asked in (f"{last % 97}-{last}", f"{last % 97}-{last}"[:-1] + "x", "5-", f"{last % 97}-"):
+        status, rows = catalog.by_partial_id(customers, asked, "id")
+        part = rows.agg(F.count("*").alias("rows")).select(F.lit(asked).alias("asked"), F.lit(status).alias("status"), "rows")
+        found = part if found is None else found.union(part)
+    return found
 
 
 def range_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,9 +42,10 @@ def exact_dedupe_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def duplicate_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with odd ids against those with even ids, by id over 10 as the path and by content."""
+    """All documents against the first of every path (the id over 10) and of every content; none is its own duplicate."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", F.floor(F.col("doc_id") / 10).alias("path"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
-    found = catalog.duplicate_reason(docs.filter("doc_id % 2 = 1"), docs.filter("doc_id % 2 = 0 AND doc_id % 20 < 10"), "path", "digest", "doc_id")
+    firsts = catalog.ranked_first(docs, "path", ["doc_id"]).union(catalog.ranked_first(docs, "digest", ["doc_id"])).distinct()
+    found = catalog.duplicate_reason(docs, firsts, "path", "digest", "doc_id", but_itself=True)
     return found.select("doc_id", "reason", "stored_key")
 
 
@@ -154,18 +161,27 @@ FROM orders
 
 
 def doctype_heuristic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with a sign of a kind put before their text."""
+    """Documents as they are, with a line before them that holds signs of several kinds."""
     docs = _read(spark, sf_dir, "documents")
-    signs = ["PhD thesis, a dissertation\n", "Proceedings\n", "Technical Report TR-12\n", "Journal of X, vol. 3, pp. 5\n", ""]
-    head = F.element_at(F.array(*[F.lit(s) for s in signs]), (F.col("doc_id") % 5 + 1).cast("int"))
-    found = docs.select("doc_id", metadata.document_kind(F.concat(head, F.regexp_replace("text", "(?i)in: |issue|isbn", ""))).alias("k"))
+    head = F.element_at(F.array(*[F.lit(s) for s in _SIGNS]), (F.col("doc_id") % len(_SIGNS) + 1).cast("int"))
+    found = docs.select("doc_id", metadata.document_kind(F.concat(head, F.lit("\n"), "text")).alias("k"))
     return found.select("doc_id", "k.value", "k.confidence")
 
 
-_KIND_SQL = """
-SELECT doc_id, ['thesis', 'paper-conference', 'report', 'article-journal', 'article-journal'][doc_id % 5 + 1] AS value,
-  [0.95, 0.85, 0.95, 0.95, 0.4][doc_id % 5 + 1] AS confidence FROM documents
-"""
+#: Lines with one sign, several of a kind, of more than one kind, and none.
+_SIGNS = ["PhD thesis, a dissertation", "Proceedings of a Workshop, a short paper", "Technical Report TR-12, Journal of X", "Journal of X, vol. 3, issue 4, pp. 5", "Chapter 7", "In: Handbook. Editors: A, B. ISBN 1", "working paper, white paper", "Master's degree", "no sign at all", "Publisher: P, accepted at ICML 2020"]
+_SIGN_LIST = ", ".join("'" + s.replace("'", "''") + "'" for s in _SIGNS)
+
+
+def _kind_sql() -> str:
+    """The weighted signs, stated anew: every sign that the head of a text has gives its weight to its kind."""
+    tests = " UNION ALL ".join("SELECT doc_id, '{}' AS value, {} AS weight, {} AS place FROM h WHERE regexp_matches(head, '(?m){}')".format(kind, weight, i, sign.replace("'", "''")) for i, (sign, kind, weight) in enumerate(metadata.KINDS))
+    return f"""
+WITH t AS (SELECT doc_id, text IS NULL AS none, [{_SIGN_LIST}][doc_id % {len(_SIGNS)} + 1] || chr(10) || text AS t FROM documents), h AS (SELECT doc_id, lower(t[:3000]) AS head FROM t),
+s AS ({tests}),
+k AS (SELECT doc_id, value, CASE WHEN count(*) > 1 THEN least(0.95, max(weight) + 0.2 * (sum(weight) - max(weight))) ELSE max(weight) END AS score, max(weight) AS top, arg_min(place, (-weight, place)) AS place FROM s GROUP BY 1, 2),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, top DESC, place) AS rank FROM k)
+SELECT t.doc_id, coalesce(value, 'article-journal') AS value, CAST(CASE WHEN none THEN 0.2 ELSE coalesce(round(CAST(score AS DOUBLE), 2), 0.4) END AS DOUBLE) AS confidence FROM t LEFT JOIN b ON b.doc_id = t.doc_id AND rank = 1"""
 
 
 def left_join_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,11 +241,11 @@ def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bibliography_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers' records of before and after a change of some."""
-    c = _read(spark, sf_dir, "customer")
+    """Customers' records as they stand, and as a new export has them: those with orders are stored, those without debts exported, rich ones with a segment in small letters."""
+    c, orders = _read(spark, sf_dir, "customer"), _read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
     record = lambda segment: F.create_map(F.lit("name"), F.col("c_name"), F.lit("segment"), segment)
-    stored = c.filter("c_custkey % 5 <> 0").select("c_custkey", record(F.col("c_mktsegment")).alias("fields"))
-    new = c.filter("c_custkey % 7 <> 0").select("c_custkey", record(F.when(F.col("c_custkey") % 3 == 0, "OTHER").otherwise(F.col("c_mktsegment"))).alias("fields"))
+    stored = c.join(orders, "c_custkey", "left_semi").select("c_custkey", record(F.col("c_mktsegment")).alias("fields"))
+    new = c.filter("c_acctbal >= 0").select("c_custkey", record(F.when(F.col("c_acctbal") > 5000, F.lower("c_mktsegment")).otherwise(F.col("c_mktsegment"))).alias("fields"))
     found = catalog.upsert(stored, new, "c_custkey")
     return found.select("c_custkey", "action", F.array_join("fields", ",").alias("fields"))
 
@@ -271,18 +287,18 @@ QUERIES = {
 _IMPORT = "SELECT c_custkey, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 450000) THEN 'skip' WHEN c_acctbal >= 0 THEN 'import' ELSE 'no file' END AS outcome FROM customer"
 ORACLE_SQL = {
     "list_filter": "SELECT p_partkey, p_name, p_type FROM part WHERE p_size = 11 AND lower(p_type) LIKE '%con%' AND lower(p_name) LIKE 'small%'",
-    "partial_id": "SELECT c_custkey, 'found' AS status FROM customer WHERE c_custkey = 7",
+    "partial_id": "WITH i AS (SELECT (c_custkey % 97) || '-' || c_custkey AS id FROM customer), l AS (SELECT max(c_custkey) AS k FROM customer), a AS (SELECT unnest([(k % 97) || '-' || k, left((k % 97) || '-' || k, length((k % 97) || '-' || k) - 1) || 'x', '5-', (k % 97) || '-']) AS asked FROM l), n AS (SELECT asked, (SELECT count(*) FROM i WHERE id = asked) AS whole, (SELECT count(*) FROM i WHERE starts_with(id, asked)) AS n_some FROM a) SELECT asked, CASE WHEN whole > 0 OR n_some = 1 THEN 'found' WHEN n_some = 0 THEN 'not found' ELSE 'ambiguous' END AS status, CASE WHEN whole > 0 THEN 1 ELSE least(n_some, 2) END AS rows FROM n",
     "range_slice": "SELECT CAST(l_linenumber AS BIGINT) AS l_linenumber, count(*) AS rows FROM lineitem WHERE l_linenumber BETWEEN 2 AND 3 GROUP BY 1",
     "fuzzy_suggest": "WITH x AS (SELECT c_name, CASE WHEN starts_with(c_name, 'Customer#00000001') THEN 0 ELSE 1 END AS g, levenshtein('Customer#00000001', c_name) AS d FROM customer) SELECT c_name, CAST(g AS BIGINT) AS \"group\", CAST(CASE g WHEN 0 THEN 0 ELSE d END AS BIGINT) AS distance FROM x WHERE g = 0 OR d <= 3 ORDER BY 2, 3, 1 LIMIT 3",
     "exact_dedupe_first": "SELECT doc_id, sha256(coalesce(text, '')) AS content_sha256, min(doc_id) OVER w AS first_key, doc_id = min(doc_id) OVER w AS is_first FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))",
-    "duplicate_reason": "WITH d AS (SELECT doc_id, doc_id // 10 AS path, coalesce(text, '') AS t FROM documents), s AS (SELECT * FROM d WHERE doc_id % 2 = 0 AND doc_id % 20 < 10), p AS (SELECT path, min(doc_id) AS k FROM s GROUP BY 1), h AS (SELECT t, min(doc_id) AS k FROM s GROUP BY 1) SELECT d.doc_id, CASE WHEN p.k IS NOT NULL THEN 'path' WHEN h.k IS NOT NULL THEN 'content' END AS reason, coalesce(p.k, h.k) AS stored_key FROM d LEFT JOIN p USING (path) LEFT JOIN h ON h.t = d.t WHERE d.doc_id % 2 = 1",
+    "duplicate_reason": "WITH d AS (SELECT doc_id, doc_id // 10 AS path, coalesce(text, '') AS t FROM documents), f AS (SELECT DISTINCT doc_id, path, t FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY doc_id) AS a, row_number() OVER (PARTITION BY t ORDER BY doc_id) AS b FROM d) WHERE a = 1 OR b = 1), k AS (SELECT d.doc_id, (SELECT min(f.doc_id) FROM f WHERE f.path = d.path AND f.doc_id <> d.doc_id) AS p, (SELECT min(f.doc_id) FROM f WHERE f.t = d.t AND f.doc_id <> d.doc_id) AS h FROM d) SELECT doc_id, CASE WHEN p IS NOT NULL THEN 'path' WHEN h IS NOT NULL THEN 'content' END AS reason, coalesce(p, h) AS stored_key FROM k",
     "citekey_gen": f"WITH {_KEYS} SELECT o_orderkey, base AS citekey FROM k",
     "citekey_collision": f"WITH {_KEYS}, n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY o_orderkey) - 1 AS i FROM k) SELECT o_orderkey, base || CASE WHEN i = 0 THEN '' WHEN i <= 26 THEN chr(CAST(96 + i AS INT)) ELSE CAST(i - 26 AS VARCHAR) END AS citekey FROM n",
     "filename_parse": _FILENAME_SQL,
     "author_format": _AUTHOR_SQL,
     "issued_year_backfill": "SELECT o_orderkey, year(o_orderdate) AS issued_year, CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%Y') WHEN 1 THEN strftime(o_orderdate, '%Y-%m') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS issued_date FROM orders",
     "date_heuristic": _DATE_SQL,
-    "doctype_heuristic": _KIND_SQL,
+    "doctype_heuristic": _kind_sql(),
     "left_join_metadata": "SELECT o_orderkey, c_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_acctbal > 0",
     "anti_join_import": _IMPORT,
     "import_outcomes": f"SELECT outcome, count(*) AS rows FROM ({_IMPORT}) GROUP BY 1",
@@ -291,6 +307,6 @@ ORACLE_SQL = {
     "library_names": "SELECT n_nationkey AS \"libraryID\", coalesce(r_name, CASE WHEN n_nationkey = 7 THEN 'My Library' ELSE 'Library ' || n_nationkey END) AS name FROM nation LEFT JOIN region ON r_regionkey = n_nationkey",
     "coalesce_update": "WITH o AS (SELECT o_custkey, arg_max(o_orderpriority, (o_orderdate, o_orderkey)) AS p FROM orders GROUP BY 1) SELECT c_custkey, c_name, coalesce(p, c_mktsegment) AS c_mktsegment FROM customer LEFT JOIN o ON o_custkey = c_custkey",
     "cascade_delete": "SELECT 'customer' AS name, count(*) AS rows FROM customer WHERE c_acctbal >= 0 UNION ALL SELECT 'orders', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)",
-    "bibliography_upsert": "SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'append' WHEN c_custkey % 7 = 0 THEN 'keep' WHEN c_custkey % 3 = 0 THEN 'conflict' ELSE 'unchanged' END AS action, CASE WHEN c_custkey % 5 <> 0 AND c_custkey % 7 <> 0 AND c_custkey % 3 = 0 THEN 'segment' ELSE '' END AS fields FROM customer WHERE c_custkey % 5 <> 0 OR c_custkey % 7 <> 0",
+    "bibliography_upsert": "WITH x AS (SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders) AS stored, c_acctbal >= 0 AS new, c_acctbal > 5000 AND lower(c_mktsegment) <> c_mktsegment AS other FROM customer) SELECT c_custkey, CASE WHEN NOT stored THEN 'append' WHEN NOT new THEN 'keep' WHEN other THEN 'conflict' ELSE 'unchanged' END AS action, CASE WHEN stored AND new AND other THEN 'segment' ELSE '' END AS fields FROM x WHERE stored OR new",
     "event_props_json": "WITH x AS (SELECT event_type, unnest(json_keys(props)) AS field, props FROM events) SELECT event_type, field, count(*) AS rows, count(DISTINCT props ->> ('$.' || field)) AS values FROM x GROUP BY 1, 2",
 }

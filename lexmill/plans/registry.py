@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lexmill.plans import library, search, texts
+from lexmill.plans import library, records, search, texts
 
-_MODULES = (search, texts, library)
+_MODULES = (search, texts, library, records)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}

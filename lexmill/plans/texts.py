@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.operators import chunking, cleanup, context, fulltext, quality, ranking, titles
-from lexmill.plans.search import _BATCH_SQL, _WORD_PHRASES, WORDS, _batch, _bm25_sql, _read
+from lexmill.plans.search import _BATCH_SQL, _WORD_PHRASES, WORDS, _batch, _bm25_sql, _index, _read
 from lexmill.streaming import ingest
 
 
@@ -142,8 +142,8 @@ SELECT doc_id, array_to_string(list_transform(range(i - i % 4, i + 1), lambda j:
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each benchmark text against the next one. SQL counts edits by byte, so other letters than ASCII become `?`."""
-    items = _read(spark, sf_dir, "benchmark").withColumn("text", F.regexp_replace("text", r"[^\x00-\x7f]", "?"))
+    """Each benchmark text against the next one, as they are."""
+    items = _read(spark, sf_dir, "benchmark")
     other = items.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("found"))
     return items.join(other, "item_id")
 
@@ -153,17 +153,27 @@ def character_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def word_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each benchmark text against the next one, as they are."""
-    items = _read(spark, sf_dir, "benchmark")
-    other = items.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("found"))
-    return items.join(other, "item_id").select("item_id", F.round(quality.word_error_rate(F.col("text"), F.col("found")), 6).alias("wer"))
+    return _pairs(spark, sf_dir).select("item_id", F.round(quality.word_error_rate(F.col("text"), F.col("found")), 6).alias("wer"))
 
 
 _PLAIN = "lower(trim(regexp_replace(regexp_replace({}, '\\*{{1,3}}|_{{1,3}}|#{{1,6}}\\s|`{{1,3}}|~~', '', 'g'), '\\s+', ' ', 'g')))"
-_ASCII = "regexp_replace({}.text, '[^\\x00-\\x7f]', '?', 'g')"
+# SQL counts edits by byte: so letters of Latin-1, in lower case by then, become capitals and control characters, of one byte
+_LATIN = "".join(chr(c) for c in range(0xDF, 0x100))
+_BYTES = "".join(chr(65 + i) for i in range(26)) + "".join(chr(1 + i) for i in range(7))
+_AS_BYTES = f"translate({{}}, '{_LATIN}', '{_BYTES}')"
+_NORMAL = f"p AS (SELECT a.item_id, {_PLAIN.format('a.text')} AS a, {_PLAIN.format('b.text')} AS b FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1)"
 _ERROR_SQL = f"""
-WITH p AS (SELECT a.item_id, {_PLAIN.format(_ASCII.format("a"))} AS a, {_PLAIN.format(_ASCII.format("b"))} AS b FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1)
-SELECT item_id, CASE WHEN length(a) = 0 THEN 0 ELSE round(levenshtein(a, b) / length(a), 6) END AS cer FROM p
+WITH {_NORMAL}
+SELECT item_id, CASE WHEN length(a) = 0 THEN 0 ELSE round(levenshtein({_AS_BYTES.format("a")}, {_AS_BYTES.format("b")}) / length(a), 6) END AS cer FROM p
+"""
+# the table of edit distances row by row: what comes from above and aslant, then the running minimum of what comes from the left
+_WORD_ERROR_SQL = f"""
+WITH RECURSIVE {_NORMAL}, w AS (SELECT item_id, list_filter(string_split(a, ' '), lambda x: x <> '') AS a, list_filter(string_split(b, ' '), lambda x: x <> '') AS b FROM p),
+d AS (SELECT item_id, 0 AS i, range(0, len(b) + 1) AS line FROM w UNION ALL
+  SELECT d.item_id, d.i + 1, list_transform(range(0, len(b) + 1), lambda j: list_min(list_transform(range(0, j + 1), lambda k:
+    CASE WHEN k = 0 THEN d.i + 1 ELSE least(d.line[k + 1] + 1, d.line[k] + CASE WHEN b[k] = a[d.i + 1] THEN 0 ELSE 1 END) END + j - k)))
+  FROM d JOIN w USING (item_id) WHERE d.i < len(a))
+SELECT item_id, CASE WHEN len(a) = 0 THEN 0 ELSE round(line[len(b) + 1] / len(a), 6) END AS wer FROM d JOIN w USING (item_id) WHERE i = len(a)
 """
 
 
@@ -257,7 +267,7 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rag_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best five hits as a context."""
     docs = _read(spark, sf_dir, "documents")
-    hits = ranking.ranked(fulltext.bm25(docs, WORDS, 5).join(docs.select("doc_id", "source", "text"), "doc_id"), F.col("bm25"), "doc_id")
+    hits = ranking.ranked(F.broadcast(fulltext.bm25(_index(spark, sf_dir), WORDS, 5)).join(docs.select("doc_id", "source", "text"), "doc_id"), F.col("bm25"), "doc_id")
     found = context.assemble(hits, "rank", F.concat(F.lit("doc"), F.col("doc_id").cast("string")), F.col("source"), F.col("text"))
     return found.select("chunks", F.sha2(context.user_message(F.col("context"), F.lit(WORDS)), 256).alias("message_sha256"))
 
@@ -306,6 +316,7 @@ ORACLE_SQL = {
     "quality_gate": _GATE_SQL,
     "section_paths": _SECTION_SQL,
     "cer": _ERROR_SQL,
+    "wer": _WORD_ERROR_SQL,
     "regression_check": f"WITH z AS ({_ERROR_SQL}), x AS (SELECT n.item_id, unnest(['cer', 'square']) AS metric, unnest([n.cer, n.cer * n.cer]) AS now, unnest([b.cer, b.cer * b.cer]) AS before FROM z n JOIN z b ON b.item_id = n.item_id - 1) SELECT item_id, metric, round((now - before) / abs(before), 6) AS change, CASE WHEN metric = 'cer' THEN (now - before) / abs(before) > 0.05 ELSE (now - before) / abs(before) < -0.05 END AS regression FROM x WHERE before <> 0",
     "structural_validators": _VALID_SQL,
     "ir_metrics_by_query": _METRICS + f"SELECT query_id, {_ROUNDED} FROM m",

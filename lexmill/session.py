@@ -88,13 +88,14 @@ def scope(spark: SparkSession) -> Iterator[None]:
             _remove(spark, path)
 
 
-def _files(spark: SparkSession, path: str) -> tuple:
+def files(spark: SparkSession, path: str) -> tuple:
+    """The Hadoop file system of a path, and the path as it takes it."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
 def _sweep(spark: SparkSession, base: str) -> None:
-    store, place = _files(spark, base)
+    store, place = files(spark, base)
     if store.exists(place):
         for found in store.listStatus(place):
             if found.getModificationTime() < 1000 * (time.time() - SWEEP_DAYS * 86_400):
@@ -103,7 +104,7 @@ def _sweep(spark: SparkSession, base: str) -> None:
 
 def _remove(spark: SparkSession, path: str) -> None:
     try:
-        store, place = _files(spark, path)
+        store, place = files(spark, path)
         store.delete(place, True)
     except Exception:  # noqa: BLE001  the JVM may be gone already
         pass
@@ -117,5 +118,12 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """What changes when the files at a path do: their number, size and latest time."""
+    store, place = files(spark, path)
+    summary, status = store.getContentSummary(place), store.getFileStatus(place)
+    return f"{summary.getFileCount()}-{summary.getLength()}-{status.getModificationTime()}"
+
+
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

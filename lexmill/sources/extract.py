@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import html
 import re
 from collections.abc import Callable, Iterator, Sequence
+from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,11 +20,41 @@ def _plain(data: bytes) -> str:
     return data.decode("utf-8")
 
 
+class _Page(HTMLParser):
+    """Collects the text of a page: lines end at blocks, runs of white space are one space, and scripts and styles go."""
+
+    BLOCKS = {"p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "tr", "br", "ul", "ol", "table", "section", "article", "header", "footer", "pre", "blockquote", "title"}
+    HIDDEN = {"script", "style", "template", "noscript"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.parts: list[str] = []
+        self.hidden: list[str] = []
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag in self.HIDDEN:
+            self.hidden.append(tag)
+        if tag in self.BLOCKS:
+            self.parts.append("\n")
+
+    def handle_endtag(self, tag: str) -> None:
+        if self.hidden and self.hidden[-1] == tag:
+            self.hidden.pop()
+        if tag in self.BLOCKS:
+            self.parts.append("\n")
+
+    def handle_data(self, data: str) -> None:
+        if not self.hidden:
+            self.parts.append(re.sub(r"\s+", " ", data))
+
+
 def _page(data: bytes) -> str:
-    """Text of a web page, without scripts and styles; a line per block."""
-    text = re.sub(r"(?is)<(script|style)\b.*?</\1>", "", data.decode("utf-8", "replace"))
-    text = re.sub(r"(?i)</(p|div|h[1-6]|li|tr)>|<br\s*/?>", "\n", text)
-    return html.unescape(re.sub(r"<[^>]+>", "", text)).strip()
+    """Text of a web page, a line per block."""
+    page = _Page()
+    page.feed(data.decode("utf-8", "replace"))
+    page.close()
+    lines = (re.sub(" +", " ", line).strip() for line in "".join(page.parts).split("\n"))
+    return "\n".join(line for line in lines if line)
 
 
 #: The first handler that takes a file's ending is asked. A PDF extractor is put in front of these by its user.

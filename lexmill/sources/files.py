@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,10 +16,27 @@ def content_path(digest: Column, ending: Column, base: str) -> Column:
 
 
 def acquire(spark: SparkSession, paths: str | list[str], base: str = "store") -> DataFrame:
-    """original_path, length, content_hash (SHA-256), mime_type and storage_path of files. URLs of the web are refused; Spark does not list empty files."""
+    """original_path, length, content_hash (SHA-256), mime_type and storage_path of files.
+
+    Addresses (http:, https:, ftp:, file:) and paths that are not there or can't be read are refused with a reason; Spark
+    does not list empty files.
+    """
     for path in [paths] if isinstance(paths, str) else paths:
-        if path.lower().startswith(("http://", "https://", "ftp://")):
-            raise ValueError(f"not a file: {path}")
+        if path.lower().startswith(("http://", "https://", "ftp://", "file:")):
+            raise ValueError(f"not a path: {path}")
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        found = store.globStatus(place)
+        if not found:
+            raise FileNotFoundError(f"no file: {path}")
+        for status in found:
+            try:
+                if status.isFile():
+                    store.open(status.getPath()).close()
+                else:
+                    store.listStatus(status.getPath())
+            except Py4JJavaError as why:
+                raise PermissionError(f"can't be read: {path}") from why
     rows = spark.read.format("binaryFile").load(paths)
     name = F.element_at(F.split("path", "/"), -1)
     ending = F.lower(F.regexp_extract(name, r"(\.[^.]+)$", 1))

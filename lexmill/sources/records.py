@@ -21,7 +21,14 @@ CSL = T.StructType(
 
 
 def csl_records(spark: SparkSession, path: str) -> DataFrame:
-    """Records of JSON files, an array each. Of records with one key (citation key, else id), the last stays."""
+    """Records of JSON files, an array each. Of records with one key (citation key, else id), the last stays.
+
+    Files that hold no array are refused: their first character that is no white space tells.
+    """
+    heads = spark.read.format("binaryFile").load(path).select("path", F.regexp_extract(F.substring("content", 1, 4096).cast("string"), r"^\x{feff}?\s*(\S)", 1).alias("first"))
+    wrong = heads.filter("first <> '['").select("path").first()
+    if wrong:
+        raise ValueError(f"not an array of records: {wrong[0]}")
     rows = spark.read.schema(CSL).json(path, multiLine=True)
     rows = rows.withColumn("key", F.coalesce("citation-key", "id")).withColumn("_at", F.monotonically_increasing_id())
     last = rows.filter("key is not null").groupBy("key").agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in CSL.names]), "_at").alias("r"))

@@ -1,14 +1,19 @@
 """SQLite tables through the Python data source API: `spark.read.format("sqlite")`.
 
-Options: `path` and `table`, and optionally `partitions` (default 1), which cuts the row ids into ranges. The file is
-opened read-only; it must be reachable from the executors.
+Options: `path` and `table`, and optionally `partitions` (default 8), which cuts the row ids into ranges. The file is
+opened read-only; where a writer has locked it, a copy in a temporary file is read. It must be reachable from the
+executors under the same path.
 """
 
 from __future__ import annotations
 
+import shutil
 import sqlite3
+import tempfile
 from collections.abc import Iterator
+from contextlib import closing, contextmanager
 from dataclasses import dataclass
+from pathlib import Path
 from urllib.parse import quote
 
 from pyspark.sql import SparkSession
@@ -18,8 +23,29 @@ from pyspark.sql.types import StructType
 _KINDS = (("INT", "long"), ("CHAR", "string"), ("CLOB", "string"), ("TEXT", "string"), ("BLOB", "binary"), ("REAL", "double"), ("FLOA", "double"), ("DOUB", "double"))
 
 
-def _connect(path: str) -> sqlite3.Connection:
-    return sqlite3.connect(f"file:{quote(path)}?mode=ro", uri=True, timeout=1)
+def _locked(db: sqlite3.Connection) -> bool:
+    try:
+        db.execute("SELECT 1 FROM sqlite_master LIMIT 1").fetchall()
+    except sqlite3.OperationalError as why:
+        if "locked" not in str(why):
+            raise
+        return True
+    return False
+
+
+@contextmanager
+def _connect(path: str) -> Iterator[sqlite3.Connection]:
+    """A connection to the database, or to a copy of it if it is locked."""
+    with closing(sqlite3.connect(f"file:{quote(path)}?mode=ro", uri=True, timeout=1)) as db:
+        if not _locked(db):
+            yield db
+            return
+    with tempfile.TemporaryDirectory() as folder:
+        copy = shutil.copy(path, folder)
+        if Path(f"{path}-wal").exists():  # what was committed but not yet put in the main file
+            shutil.copy(f"{path}-wal", folder)
+        with closing(sqlite3.connect(f"file:{quote(copy)}", uri=True)) as db:
+            yield db
 
 
 def _quoted(name: str) -> str:
@@ -51,7 +77,7 @@ class SqliteSource(DataSource):
 
 class SqliteReader(DataSourceReader):
     def __init__(self, options: dict[str, str], schema: StructType):
-        self.path, self.table, self.parts, self.fields = options["path"], options["table"], int(options.get("partitions", 1)), schema.fields
+        self.path, self.table, self.parts, self.fields = options["path"], options["table"], int(options.get("partitions", 8)), schema.fields
 
     def partitions(self) -> list[RowRange]:
         with _connect(self.path) as db:

@@ -1,0 +1,46 @@
+"""Tables that are replaced as a whole: every write is a new snapshot folder, and the newest complete one is read."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from lexmill import session
+
+#: Snapshots that stay of each table, for readers that still hold an older one.
+KEPT = 3
+
+
+class Tables:
+    """Tables by name below one folder. One writer at a time; readers see whole snapshots only."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _snapshots(self, name: str) -> list[str]:
+        """Paths of the complete snapshots, oldest first; the names sort by their numbers."""
+        store, place = session.files(self.spark, f"{self.path}/{name}")
+        if not store.exists(place):
+            return []
+        found = sorted(status.getPath().toString() for status in store.listStatus(place))
+        return [p for p in found if store.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+
+    def read(self, name: str) -> DataFrame | None:
+        """The newest snapshot; None if the table was never written."""
+        found = self._snapshots(name)
+        return self.spark.read.parquet(found[-1]) if found else None
+
+    def write(self, name: str, rows: DataFrame) -> DataFrame:
+        """Replace a table. `rows` may be derived from its present snapshot."""
+        path = self.next_path(name)
+        rows.write.mode("overwrite").parquet(path)
+        self.drop_old(name)
+        return self.spark.read.parquet(path)
+
+    def next_path(self, name: str) -> str:
+        found = self._snapshots(name)
+        return f"{self.path}/{name}/{int(found[-1].rsplit('/', 1)[1]) + 1 if found else 0:09d}"
+
+    def drop_old(self, name: str) -> None:
+        for old in self._snapshots(name)[:-KEPT]:
+            store, place = session.files(self.spark, old)
+            store.delete(place, True)

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lexmill import session
 from lexmill.operators import catalog, fulltext, quality, ranking, vector
 
 TEXTS = ["the cat sat on the mat", "a cat and a dog", "dogs chase cats", "Café CAT cat cat", "", None, "mat cat mat", "prefix prefixes predict"]
@@ -15,18 +16,35 @@ def docs(spark):
     return spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
 
 
-@pytest.mark.parametrize("query", ["cat", "cat dog mat", '"the mat" cat', "cat cat dog", "pre*", "cafe", "zebra"])
-def test_bm25_equals_fts5(docs, query):
+@pytest.fixture(scope="module")
+def index(spark, docs):
+    return fulltext.build_index(docs, session.scratch_path(spark, "test"), parts=4)
+
+
+@pytest.mark.parametrize("query", ["cat", "cat dog mat", '"the mat" cat', "cat cat dog", "pre*", "cafe", "zebra", '"cat cat" "cat cat cat"', "do* ma*"])
+def test_bm25_equals_fts5(index, query):
     db = sqlite3.connect(":memory:")
     db.execute("CREATE VIRTUAL TABLE t USING fts5(text)")
     db.executemany("INSERT INTO t(rowid, text) VALUES (?, ?)", [(i + 1, t or "") for i, t in enumerate(TEXTS)])
     want = {r - 1: s for r, s in db.execute("SELECT rowid, bm25(t) FROM t WHERE t MATCH ?", (" OR ".join(fulltext.sanitize(query)),))}
-    got = {r.doc_id: r.bm25 for r in fulltext.bm25(docs, query, 20).collect()}
+    got = {r.doc_id: r.bm25 for r in fulltext.bm25(index, query, 20).collect()}
     assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-9, abs_tol=1e-9) for i in want)
 
 
-def test_bm25_filter_comes_before_the_limit(docs):
-    assert [r.doc_id for r in fulltext.bm25(docs, "cat", 2, within=F.col("doc_id") < 2).collect()] == [1, 0]
+def test_bm25_filter_comes_before_the_limit(docs, index):
+    assert [r.doc_id for r in fulltext.bm25(index, "cat", 2, within=docs.filter("doc_id < 2")).collect()] == [1, 0]
+
+
+def test_index_is_read_by_folder(spark, index, capsys):
+    """A query reads the folders of its terms, and is the same from an index that is opened again."""
+    fulltext.frequencies(index, fulltext.operands(["cat"])).explain("formatted")
+    plan = capsys.readouterr().out
+    assert "PartitionFilters: [isnotnull(part" in plan and "PushedFilters" in plan and "positions" not in plan.split("ReadSchema")[1].split("\n")[0]
+    path = index.postings.inputFiles()[0].split("/postings/")[0]
+    again = fulltext.open_index(spark, path)
+    assert fulltext.bm25(again, "cat mat", 9).collect() == fulltext.bm25(index, "cat mat", 9).collect()
+    empty = fulltext.build_index(spark.createDataFrame([], "doc_id long, text string"), session.scratch_path(spark, "test"))
+    assert fulltext.bm25(empty, "cat", 9).count() == 0
 
 
 def test_knn(spark):
@@ -54,10 +72,10 @@ def test_rrf_ties_keep_the_first_list(spark):
     assert got[0].score == pytest.approx(2 / 62) and ranking.rrf([(a, "v", 1.0), (b, "f", 1.0)], 1).count() == 1
 
 
-def test_hybrid_falls_back_to_vectors(spark, docs):
+def test_hybrid_falls_back_to_vectors(spark, index):
     vectors = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "vec_id long, embedding array<float>")
-    assert {tuple(r.methods) for r in ranking.hybrid(docs, vectors, "the of", [1.0, 0.0], 5).collect()} == {("vector",)}
-    assert any("fts" in r.methods for r in ranking.hybrid(docs, vectors, "dog", [1.0, 0.0], 5).collect())
+    assert {tuple(r.methods) for r in ranking.hybrid(index, vectors, "the of", [1.0, 0.0], 5).collect()} == {("vector",)}
+    assert any("fts" in r.methods for r in ranking.hybrid(index, vectors, "dog", [1.0, 0.0], 5).collect())
 
 
 def test_cap_rerank_collapse(spark):
