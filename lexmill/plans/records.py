@@ -385,7 +385,7 @@ def author_heuristic(spark: SparkSession, sf_dir: str) -> DataFrame:
 # `and` becomes a comma, which the semicolon outranks: so the first line holds one name in two parts
 _AUTHORS_SQL = """WITH n AS (SELECT doc_id, unnest(CASE WHEN doc_id % 2 = 0 THEN ['Ada Lovelace, Karl'] ELSE ['Hopper, Grace', 'Turing, Alan', 'Bohr, Niels'] END) AS value,
   generate_subscripts(CASE WHEN doc_id % 2 = 0 THEN [1] ELSE [1, 2, 3] END, 1) - 1 AS place FROM documents WHERE text IS NOT NULL)
-SELECT doc_id, place, value, CASE WHEN doc_id % 2 = 0 THEN 0.9 ELSE 0.7 END AS confidence, CASE WHEN doc_id % 2 = 0 THEN '''by'' prefix detected' ELSE 'between title and abstract' END AS reasoning FROM n"""
+SELECT doc_id, place, value, CAST(CASE WHEN doc_id % 2 = 0 THEN 0.9 ELSE 0.7 END AS DOUBLE) AS confidence, CASE WHEN doc_id % 2 = 0 THEN '''by'' prefix detected' ELSE 'between title and abstract' END AS reasoning FROM n"""
 
 
 def author_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
