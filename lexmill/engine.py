@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill import session
-from lexmill.operators import catalog, chunking, context, fulltext, metadata, people, ranking, titles, vector
+from lexmill.operators import catalog, chunking, context, fulltext, metadata, people, ranking, titles
 from lexmill.sources.tables import Tables
 from lexmill.streaming import ingest
 
@@ -225,13 +225,11 @@ class Library:
         return {"vector": self._by_vector, "fts": self._by_text, "hybrid": self._by_both}[mode]
 
     def _by_vector(self, query: str, k: int, within: DataFrame | None) -> DataFrame:
-        near = vector.knn(self.chunks, self.embedder("search_query: " + query, self.dim), k, id_col="chunk_id")
-        near = near.select("chunk_id", (1 - F.col("distance")).alias("score"), F.array(F.lit("vector")).alias("methods"))
+        near = ranking.by_vector(self.chunks, self.embedder("search_query: " + query, self.dim), k, "chunk_id")
         return near if within is None else near.join(within.select("chunk_id"), "chunk_id", "left_semi")
 
     def _by_text(self, query: str, k: int, within: DataFrame | None) -> DataFrame:
-        hits = fulltext.bm25(self.index, query, k, within)
-        return hits.select("chunk_id", (-F.col("bm25")).alias("score"), F.array(F.lit("fts")).alias("methods"))
+        return ranking.by_text(self.index, query, k, within)
 
     def _by_both(self, query: str, k: int, within: DataFrame | None) -> DataFrame:
         near = self._by_vector(query, ranking.POOL * k, within)
@@ -243,7 +241,11 @@ class Library:
             pass
         return ranking.rrf(lists, k, "chunk_id").select("chunk_id", "score", "methods")
 
-    def ask(self, question: str, client: Client, k: int = 10, system: str = "Answer from the context.", temperature: float = 0.3, **how) -> context.Answer:
-        """An answer from the best chunks. Without any the client isn't asked; what it raises becomes ClientFailed."""
+    def stream(self, question: str, client: Client, k: int = 10, system: str = "Answer from the context.", temperature: float = 0.3, **how) -> context.Stream:
+        """An answer in parts from the best chunks. Without any the client isn't asked; what it raises becomes ClientFailed."""
         rows = self.search(question, k, **how).withColumn("key", F.coalesce("citekey", "doc_id"))
-        return context.ask(rows.select("key", "section", "text", "rank"), question, lambda messages: client(messages, temperature), system)
+        return context.stream(rows.select("key", "section", "text", "rank"), question, lambda messages: client(messages, temperature), system)
+
+    def ask(self, question: str, client: Client, k: int = 10, **how) -> context.Answer:
+        """The whole answer at once."""
+        return self.stream(question, client, k, **how).answer()

@@ -35,6 +35,18 @@ def rrf(lists: list[tuple[DataFrame, str, float]], k: int, id_col: str = "doc_id
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "seen")).cast("long")).drop("seen")
 
 
+def by_vector(vectors: DataFrame, query: list[float], k: int, vec_id: str = "vec_id") -> DataFrame:
+    """The k nearest vectors with score (1 - distance) and methods."""
+    near = vector.knn(vectors, query, k, id_col=vec_id)
+    return near.select(vec_id, (1 - F.col("distance")).alias("score"), F.array(F.lit("vector")).alias("methods"))
+
+
+def by_text(index: fulltext.Index, query: str, k: int, within: DataFrame | None = None) -> DataFrame:
+    """The k best full-text hits with score (the better, the larger) and methods."""
+    hits = fulltext.bm25(index, query, k, within)
+    return hits.select(index.id_col, (-F.col("bm25")).alias("score"), F.array(F.lit("fts")).alias("methods"))
+
+
 def hybrid(index: fulltext.Index, vectors: DataFrame, text: str, query: list[float], k: int, vec_id: str = "vec_id") -> DataFrame:
     """Fusion of the nearest vectors and the best full-text hits; vectors alone where the text can't be searched for."""
     doc_id = index.id_col

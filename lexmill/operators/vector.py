@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries that one broadcast block holds at most.
-BLOCK = 4096
+#: Queries that one block holds at most, and vectors that a part holds about.
+BLOCK, PART = 4096, 50_000
 
 
 def _sum(values: Column) -> Column:
@@ -64,44 +64,52 @@ def vector_of(vectors: DataFrame, key: object, id_col: str = "vec_id", vector_co
 def knn_many(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, id and distance (cosine) of the k nearest of every query, exactly, the query's own id left out.
 
-    Queries are broadcast in blocks of at most BLOCK; every task keeps its best k per query, and these are merged.
+    Up to BLOCK queries are broadcast, and every task keeps its best k for each. More are dealt out in blocks of that size,
+    and the vectors in parts of about PART; each block meets each part in one task.
     """
-    rows = queries.select(id_col, vector_col).filter(F.col(vector_col).isNotNull())
-    keyed = rows.withColumn("_block", F.pmod(F.xxhash64(id_col), F.lit(max(1, -(-rows.count() // BLOCK)))))
-    schema = f"query_id long, {id_col} long, distance double"
-    found = None
-    for block in sorted(r[0] for r in keyed.select("_block").distinct().collect()):
-        asked = keyed.filter(F.col("_block") == block).select(id_col, vector_col).toArrow()
-        ids = np.array(asked[0].to_pylist(), np.int64)
-        unit = np.array([np.asarray(v, float) for v in asked[1].to_pylist()])
-        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-        shared = vectors.sparkSession.sparkContext.broadcast((ids, unit))
-        part = vectors.select(F.col(id_col).cast("long"), vector_col).filter(F.col(vector_col).isNotNull()).mapInArrow(_nearest_of(shared, k, id_col), schema)
-        found = part if found is None else found.union(part)
-    if found is None:
-        found = vectors.sparkSession.createDataFrame([], schema)
-    order = Window.partitionBy("query_id").orderBy("distance", id_col)
-    return found.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k).select("query_id", "rank", id_col, "distance")
-
-
-def _nearest_of(shared, k: int, id_col: str):
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked, unit = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = np.array(batch.column(0).to_pylist(), np.int64)
-            v = np.array([np.asarray(x, float) for x in batch.column(1).to_pylist()])
-            norms = np.linalg.norm(v, axis=1)
-            ids, v, norms = ids[norms > 0], v[norms > 0], norms[norms > 0]
-            distance = 1 - unit @ (v / norms[:, None]).T
-            distance[asked[:, None] == ids[None, :]] = np.inf
-            best = np.lexsort((np.broadcast_to(ids, distance.shape), distance), axis=1)[:, :k]
-            near = np.take_along_axis(distance, best, axis=1)
-            keep = np.isfinite(near)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asked, best.shape[1]).reshape(best.shape)[keep]), pa.array(ids[best][keep]), pa.array(near[keep])], names=["query_id", id_col, "distance"])
-
-    return task
+    spark = vectors.sparkSession
+    rows = queries.select(F.col(id_col).cast("long").alias("id"), _as_double(F.col(vector_col)).alias("v")).filter(F.col("v").isNotNull())
+    base = vectors.select(F.col(id_col).cast("long").alias("id"), _as_double(F.col(vector_col)).alias("v")).filter(F.col("v").isNotNull())
+    blocks = -(-rows.count() // BLOCK)
+    schema = "query_id long, id long, distance double"
+    if blocks <= 1:
+        asked = rows.limit(BLOCK).toArrow()
+        shared = spark.sparkContext.broadcast(asked)
+
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield from _nearest(shared.value, pa.Table.from_batches([batch]), k).to_batches()
+
+        found = base.mapInArrow(task, schema)
+    else:
+        parts = max(1, -(-base.count() // PART))
+        asked = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+        held = base.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+        found = asked.groupBy("block", "part").cogroup(held.groupBy("block", "part")).applyInArrow(lambda q, x: _nearest(q, x, k), schema)
+    order = Window.partitionBy("query_id").orderBy("distance", "id")
+    return found.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "distance")
+
+
+def _nearest(asked: pa.Table, held: pa.Table, k: int) -> pa.Table:
+    """The k nearest of some vectors (id, v) for each of some queries (id, v)."""
+    schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("distance", pa.float64())])
+
+    def unit(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        ids, v = np.array(rows["id"].to_pylist(), np.int64), np.array(rows["v"].to_pylist(), float)
+        norms = np.linalg.norm(v, axis=1) if len(v) else np.empty(0)
+        return ids[norms > 0], v[norms > 0] / norms[norms > 0, None]
+
+    if not len(asked) or not len(held):
+        return schema.empty_table()
+    (asked_ids, q), (ids, v) = unit(asked), unit(held)
+    if not len(q) or not len(v):
+        return schema.empty_table()
+    distance = 1 - q @ v.T
+    distance[asked_ids[:, None] == ids[None, :]] = np.inf
+    best = np.lexsort((np.broadcast_to(ids, distance.shape), distance), axis=1)[:, :k]
+    near = np.take_along_axis(distance, best, axis=1)
+    keep = np.isfinite(near)
+    return pa.table([np.repeat(asked_ids, best.shape[1]).reshape(best.shape)[keep], ids[best][keep], near[keep]], schema=schema)
 
 
 def centroids(vectors: DataFrame, label_col: str = "label", vector_col: str = "embedding") -> DataFrame:

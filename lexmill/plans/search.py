@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill import session
-from lexmill.operators import fulltext, ranking, vector
+from lexmill.operators import fulltext, output, quality, ranking, vector
 
 #: The queries that are asked: a stored vector, and texts in the corpus's own words.
 VECTOR_ID = 0
@@ -190,6 +190,62 @@ SELECT doc_id, round(score, 9) AS score, methods, rank FROM o WHERE rank <= 10
 _HYBRID_SQL = _HYBRID_SQL.replace("SELECT doc_id, round(bm25, 6) AS bm25 FROM hits,", ",")
 
 
+def retrievers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best five of each mode, a retriever's function each, with their methods, and the documents' sources where there are any."""
+    vectors, index = _read(spark, sf_dir, "embeddings"), _index(spark, sf_dir)
+    asked = vector.vector_of(vectors, VECTOR_ID)
+    by_mode = {
+        "vector": lambda k: ranking.by_vector(vectors, asked, k).withColumnRenamed("vec_id", "doc_id"),
+        "fts": lambda k: ranking.by_text(index, WORDS, k),
+        "hybrid": lambda k: ranking.hybrid(index, vectors, WORDS, asked, k).select("doc_id", "score", "methods"),
+    }
+    found = None
+    for mode, retrieve in by_mode.items():
+        part = retrieve(5).withColumn("mode", F.lit(mode))
+        found = part if found is None else found.unionByName(part)
+    sources = _read(spark, sf_dir, "documents").filter("source <> 'src1'").select("doc_id", "source")
+    named = F.broadcast(found).join(sources, "doc_id", "left")  # 15 rows
+    return named.select("mode", "doc_id", F.round("score", 6).alias("score"), F.array_join("methods", "+").alias("methods"), "source")
+
+
+def mode_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two modes' lists against rows of the query's label: the nearest first, and the nearest last. Some queries can't be answered."""
+    labels = _read(spark, sf_dir, "embeddings").select("vec_id", "label")
+    run = _batch(spark, sf_dir).select("query_id", F.col("vec_id").alias("doc_id"), "rank")
+    asked = labels.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label", F.when(F.col("vec_id") % 300 == 200, True).alias("unanswerable"))
+    asked = quality.answerable(asked).drop("unanswerable")
+    grades = asked.join(labels, "label").filter("query_id <> vec_id").select("query_id", F.col("vec_id").alias("doc_id"), F.lit(1).alias("grade"))
+    runs = {"first": run.join(asked.select("query_id"), "query_id", "left_semi"), "last": run.join(asked.select("query_id"), "query_id", "left_semi").withColumn("rank", 6 - F.col("rank"))}
+    found = quality.mode_comparison(runs, grades, 3)
+    return found.select("mode", "queries", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "mrr", "ndcg")])
+
+
+_MODES_SQL = _BATCH_SQL + """
+, m AS (SELECT 'first' AS mode, query_id, own, vec_id, rank FROM r WHERE rank <= 5 AND query_id % 300 <> 200 UNION ALL SELECT 'last', query_id, own, vec_id, 6 - rank FROM r WHERE rank <= 5 AND query_id % 300 <> 200),
+n AS (SELECT label, count(*) - 1 AS relevant FROM e GROUP BY 1), h AS (SELECT m.mode, m.query_id, any_value(n.relevant) AS relevant, count(*) FILTER (e.label = m.own AND rank <= 3) AS hits,
+  min(rank) FILTER (e.label = m.own) AS first, sum(1 / log2(rank + 1)) FILTER (e.label = m.own AND rank <= 3) AS gain FROM m JOIN e USING (vec_id) JOIN n ON n.label = m.own GROUP BY 1, 2),
+x AS (SELECT mode, hits / 3 AS precision, CASE WHEN relevant = 0 THEN 0 ELSE hits / relevant END AS recall, coalesce(1 / first, 0) AS mrr,
+  coalesce(gain / (CASE least(relevant, 3) WHEN 1 THEN 1 WHEN 2 THEN 1 + 1 / log2(3) ELSE 1.5 + 1 / log2(3) END), 0) AS ndcg FROM h)
+SELECT mode, count(*) AS queries, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg FROM x GROUP BY 1
+"""
+
+
+def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per query of the batch with its metrics and its results in order, as JSON."""
+    labels = _read(spark, sf_dir, "embeddings").select("vec_id", "label")
+    found = _batch(spark, sf_dir).select("query_id", F.col("vec_id").alias("doc_id"), "rank", F.round(1 - F.col("distance"), 3).alias("score"))
+    asked = labels.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.concat(F.lit("label "), F.col("label")).alias("text"))
+    metrics = found.groupBy("query_id").agg(F.count("*").alias("found"))
+    log = output.run_log(asked, found.withColumn("score", F.format_string("%.3f", "score")), metrics)
+    return log.select("query_id", F.to_json(F.struct("text", "metrics", "results")).alias("json"))
+
+
+_LOG_SQL = _BATCH_SQL + """
+SELECT query_id, '{"text":"label ' || any_value(own) || '","metrics":{"found":' || count(*) || '},"results":[' || string_agg('{"rank":' || rank || ',"doc_id":' || vec_id || ',"score":"' || printf('%.3f', round(1 - distance, 3)) || '"}', ',' ORDER BY rank) || ']}' AS json
+FROM r WHERE rank <= 5 GROUP BY query_id
+"""
+
+
 def _pool(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     hits = fulltext.bm25(_index(spark, sf_dir), WORDS, ranking.pool_size(k))
@@ -243,6 +299,9 @@ QUERIES = {
     "hybrid_search": hybrid_search,
     "per_doc_cap": per_doc_cap,
     "rerank_pool": rerank_pool,
+    "retrievers": retrievers,
+    "mode_comparison": mode_comparison,
+    "run_log": run_log,
     "chunk_to_doc_collapse": chunk_to_doc_collapse,
     "source_aggregation": source_aggregation,
 }
@@ -272,6 +331,17 @@ ORACLE_SQL = {
 , c AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY bm25, doc_id) AS k FROM hits),
 o AS (SELECT doc_id, bm25, {_OVERLAP.replace("(t, w)", "(" + _TOKENS + ", w)")} AS n FROM c WHERE k <= 3)
 SELECT doc_id, round(1 / (1 + exp(-(n - 0.5 * (4 - n)))), 6) AS rerank_score FROM o ORDER BY n DESC, bm25, doc_id LIMIT 10"""),
+    "retrievers": _bm25_sql(_WORD_PHRASES, 15).rstrip().removesuffix("SELECT doc_id, round(bm25, 6) AS bm25 FROM hits") + f""",
+{_VECTORS},
+d AS (SELECT vec_id, {_COSINE} AS distance FROM e, q ORDER BY distance, vec_id LIMIT 15),
+v AS (SELECT vec_id AS doc_id, distance, row_number() OVER (ORDER BY distance, vec_id) AS r FROM d), h AS (SELECT doc_id, bm25, row_number() OVER (ORDER BY bm25, doc_id) AS r FROM hits),
+l AS (SELECT doc_id, 'vector' AS method, 1.0 / (60 + r) AS part, r AS seen FROM v UNION ALL SELECT doc_id, 'fts', 0.5 / (60 + r), 1000000 + r FROM h),
+g AS (SELECT doc_id, sum(part) AS score, string_agg(DISTINCT method, '+' ORDER BY method) AS methods, min(seen) AS seen FROM l GROUP BY 1),
+o AS (SELECT *, row_number() OVER (ORDER BY score DESC, seen) AS r FROM g),
+a AS (SELECT 'vector' AS mode, doc_id, 1 - distance AS score, 'vector' AS methods FROM v WHERE r <= 5 UNION ALL SELECT 'fts', doc_id, -bm25, 'fts' FROM h WHERE r <= 5 UNION ALL SELECT 'hybrid', doc_id, score, methods FROM o WHERE r <= 5)
+SELECT mode, doc_id, round(score, 6) AS score, methods, source FROM a LEFT JOIN (SELECT doc_id, source FROM documents WHERE source <> 'src1') USING (doc_id)""",
+    "mode_comparison": _MODES_SQL,
+    "run_log": _LOG_SQL,
     "chunk_to_doc_collapse": _bm25_sql(_WORD_PHRASES, 100, tail=_RANKED + "SELECT source, row_number() OVER (ORDER BY min(r), source) AS rank FROM h WHERE source IS NOT NULL GROUP BY source"),
     "source_aggregation": _bm25_sql(_WORD_PHRASES, 100, tail=_RANKED + "SELECT coalesce(source, CAST(doc_id AS VARCHAR)) AS source, count(*) AS chunks, min(r) AS first_rank FROM h GROUP BY 1"),
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.operators import chunking, cleanup, context, fulltext, quality, ranking, titles
+from lexmill.operators import alignment, chunking, cleanup, context, fulltext, quality, ranking, titles
 from lexmill.plans.search import _BATCH_SQL, _WORD_PHRASES, WORDS, _batch, _bm25_sql, _index, _read
 from lexmill.streaming import ingest
 
@@ -235,14 +235,77 @@ def regression_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("item_id", "metric", F.round("change", 6).alias("change"), "regression")
 
 
+#: Headings that two candidates for a title are made of, with what stands before and behind a document's source.
+_TITLE_SHAPES = [("A Study Of ", " And Its Many Words"), ("notes on ", " in small letters"), ("Proceedings, Vol. 3 of ", ""), ("On ", ""), ("A Very Long Title About " + "Many Things And " * 14, " Indeed")]
+
+
+def _headed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with two headings before them, and 300 words between these and the text, so that no paragraph is a candidate."""
+    docs = _read(spark, sf_dir, "documents").filter("text is not null")
+    shape = lambda k: F.element_at(F.array(*[F.concat(F.lit(a), F.col("source"), F.lit(b)) for a, b in _TITLE_SHAPES]), (k % len(_TITLE_SHAPES) + 1).cast("int"))
+    first, second = shape(F.col("doc_id")), shape(F.floor(F.col("doc_id") / 5))
+    gap = F.when(F.col("doc_id") % 2 == 0, "\n").otherwise("")
+    text = F.concat(F.lit("## "), first, F.lit("\n"), gap, F.lit("\n\n\n\n# "), second, F.lit("\n\n" + "and so on " * 100 + "\n"), F.col("text"))
+    return docs.select("doc_id", text.alias("text"))
+
+
 def title_heuristic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents under two headings, asked for their title."""
-    docs = _read(spark, sf_dir, "documents")
-    text = F.concat(F.lit("## Contents\n\n# A Study Of "), F.col("source"), F.lit(" And Its Many Words\n\n"), F.col("text"))
-    found = docs.select("doc_id", titles.title(text).alias("t"))
+    """The title of documents under two headings."""
+    found = _headed(spark, sf_dir).select("doc_id", titles.title(F.col("text")).alias("t"))
     return found.select("doc_id", F.col("t.value").alias("title"), F.col("t.confidence").alias("confidence"), F.col("t.reasoning").alias("reasoning"))
 
 
+_SHAPES_SQL = "[" + ", ".join(f"'{a}' || source || '{b}'" for a, b in _TITLE_SHAPES) + "]"
+_TITLE_SQL = rf"""
+WITH h AS (SELECT doc_id, unnest([{_SHAPES_SQL}[doc_id % 5 + 1], {_SHAPES_SQL}[doc_id // 5 % 5 + 1]]) AS title, unnest([0, 1]) AS i FROM documents WHERE text IS NOT NULL),
+w AS (SELECT *, list_filter(string_split(trim(title), ' '), lambda x: x <> '') AS words, trim(title) AS t FROM h),
+f AS (SELECT *, i = 0 AS first, len(words) >= 3 AND len(list_filter(words, lambda x: upper(x[1]) = x[1] AND lower(x[1]) <> x[1])) / len(words) >= 0.7 AS cased,
+  regexp_matches(t, '(?i)\bvol(?:ume)?\.?\s*\d+|\bissue\s*\d+|\bpp\.?\s*\d+|@|http|\buniversity\b|\binstitute\b|\bdepartment\b|^\d{{4}}\s') OR regexp_matches(t, '^\w+\s+\d{{4}}') AS meta, length(t) AS n FROM w),
+s AS (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.8::DOUBLE + CASE WHEN first THEN 0.15 ELSE 0.05 END::DOUBLE + 0.1::DOUBLE + CASE WHEN n BETWEEN 30 AND 150 THEN 0.1 WHEN n < 20 OR n > 200 THEN -0.1 ELSE 0 END::DOUBLE
+  + CASE WHEN cased THEN 0.05 ELSE 0 END::DOUBLE + CASE WHEN meta THEN -0.3 ELSE 0 END::DOUBLE)) AS score FROM f WHERE n BETWEEN 10 AND 300),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, i) AS rank, lead(score) OVER (PARTITION BY doc_id ORDER BY score DESC, i) AS second FROM s)
+SELECT d.doc_id, t AS title, coalesce(round_even(CASE WHEN second IS NULL THEN score * 0.9 ELSE score * (0.7 + 0.3 * least(3 * (score - second), 1.0)) END, 2), 0.0)::DOUBLE AS confidence,
+  CASE WHEN t IS NULL THEN 'no valid title candidates found' ELSE array_to_string(list_filter(['markdown header', CASE WHEN first THEN 'first content' END, 'isolated line', CASE WHEN n BETWEEN 30 AND 150 THEN 'good length' END, CASE WHEN cased THEN 'title case' END, CASE WHEN meta THEN 'likely metadata' END], lambda x: x IS NOT NULL), '; ') END AS reasoning
+FROM (SELECT doc_id FROM documents WHERE text IS NOT NULL) d LEFT JOIN r ON r.doc_id = d.doc_id AND rank = 1
+"""
+
+
+def chunk_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks without overlap put together again, but for white space; none is too long, and they are numbered through."""
+    found = chunking.chunk(_sectioned(spark, sf_dir), overlap=0)
+    parts = found.groupBy("doc_id", "section").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))).alias("parts"), (F.max(F.length("text")) <= chunking.SIZE).alias("fits"), (F.max("chunk_index") - F.min("chunk_index") + 1 == F.count("*")).alias("gapless"))
+    joined = F.regexp_replace(F.array_join(F.transform("parts", lambda p: p["text"]), ""), r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]", "")
+    return parts.select("doc_id", "section", F.sha2(joined, 256).alias("text_sha256"), "fits", "gapless")
+
+
+_COVER_SQL = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents)
+SELECT doc_id, array_to_string(list_transform(range(i - i % 4, i + 1), lambda j: 'H' || j), ' > ') AS section,
+  sha256(regexp_replace(repeat('#', CAST(i % 4 + 1 AS INT)) || 'H' || i || line, '[\s\x1c-\x1f\x{85}\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]', '', 'g')) AS text_sha256, true AS fits, true AS gapless FROM l
+"""
+
+
+def region_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every heading and every line of prose (one without marks of markdown) of the sectioned documents as annotated regions, aligned with these documents: each is found in its place."""
+    docs = _sectioned(spark, sf_dir)
+    lines = _read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
+    head = F.concat(F.repeat(F.lit("#"), (F.col("i") % 4 + 1).cast("int")), F.lit(" H"), F.col("i"))
+    pair = F.explode(F.array(F.struct((2 * F.col("i")).alias("place"), F.lit("heading").alias("feature"), F.concat(F.lit("h"), F.col("i")).alias("region_id"), head.alias("content")), F.struct((2 * F.col("i") + 1).alias("place"), F.lit("paragraph").alias("feature"), F.concat(F.lit("p"), F.col("i")).alias("region_id"), F.col("line").alias("content"))))
+    regions = lines.select("doc_id", pair.alias("r")).select("doc_id", "r.*").filter((F.col("feature") == "heading") | ~F.col("content").rlike("[*_#`~]"))
+    found = alignment.align(docs, regions)
+    return found.select("doc_id", "region_id", "feature", F.sha2("matched", 256).alias("matched_sha256"), F.col("start").cast("long").alias("start"), "similarity", "coverage")
+
+
+_ALIGNED_SQL = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+s AS (SELECT *, repeat('#', CAST(i % 4 + 1 AS INT)) || ' H' || i AS head FROM l),
+p AS (SELECT *, CAST(coalesce(sum(length(head) + 1 + length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS begins FROM s),
+w AS (SELECT *, trim(regexp_replace(line, '\s+', ' ', 'g')) AS words FROM p)
+SELECT doc_id, 'h' || i AS region_id, 'heading' AS feature, sha256(head) AS matched_sha256, begins AS start, 1.0::DOUBLE AS similarity, 1.0::DOUBLE AS coverage FROM w
+UNION ALL SELECT doc_id, 'p' || i, 'paragraph', CASE WHEN words <> '' THEN sha256(words) END, CASE WHEN words <> '' THEN begins + length(head) + 1 + length(line) - length(ltrim(line)) END, CASE WHEN words <> '' THEN 1.0 END::DOUBLE, CASE WHEN words <> '' THEN 1.0 END::DOUBLE FROM w WHERE NOT regexp_matches(line, '[*_#`~]')
+"""
+
+
 def heading_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headings of the sectioned documents with their places."""
     found = _sectioned(spark, sf_dir).select("doc_id", F.explode(titles.headings(F.col("text"))).alias("h"))
@@ -297,6 +360,8 @@ QUERIES = {
     "ir_metrics_by_query": ir_metrics_by_query,
     "ir_metrics_rollup": ir_metrics_rollup,
     "title_heuristic": title_heuristic,
+    "chunk_cover": chunk_cover,
+    "region_alignment": region_alignment,
     "heading_anchors": heading_anchors,
     "event_windows": event_windows,
     "rag_context": rag_context,
@@ -322,6 +387,9 @@ ORACLE_SQL = {
     "ir_metrics_by_query": _METRICS + f"SELECT query_id, {_ROUNDED} FROM m",
     "ir_metrics_rollup": _METRICS + f"SELECT 'all' AS category, count(*) AS queries, {_MEANS} FROM m UNION ALL SELECT CAST(own AS VARCHAR), count(*), {_MEANS} FROM m GROUP BY own",
     "heading_anchors": _ANCHOR_SQL,
+    "title_heuristic": _TITLE_SQL,
+    "chunk_cover": _COVER_SQL,
+    "region_alignment": _ALIGNED_SQL,
     "event_windows": "SELECT strftime(ts, '%Y-%m-%d %H') AS hour, event_type, count(*) AS events, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "rag_context": _bm25_sql(_WORD_PHRASES, 5, tail=f"""SELECT count(*) AS chunks, sha256('Context:' || chr(10) || string_agg('[@doc' || doc_id || ', §' || source || '] ' || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY bm25, doc_id) || chr(10) || chr(10) || 'Question: {WORDS}') AS message_sha256 FROM hits"""),
     "conversation_messages": "SELECT conv_id, count(*) AS chunks, sha256(string_agg('[@' || role || '] ' || coalesce(text, ''), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn)) AS context_sha256 FROM conversations GROUP BY conv_id",
