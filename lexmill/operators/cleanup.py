@@ -183,9 +183,12 @@ def dehyphenator(spark: SparkSession, path: str) -> Callable[[Column], Column]:
     return F.arrow_udf(task, "string")
 
 
+_BLANK, _SOLID = r"[\s\x1c-\x1f\x85\x{a0}]*", r"[^\s\x1c-\x1f\x85\x{a0}]"
+
+
 def is_structural(line: Column) -> Column:
-    """Whether a line stands for itself: blank, heading, item, fence, table, quote or rule."""
-    return _strip(line).rlike(r"^$|^#|^[-*+]\s|^\d+\.\s|^```|^~~~|^\||^>|^[-*_]{3,}\s*$")
+    """Whether a line, but for white space around it, stands for itself: blank, heading, item, fence, table, quote or rule."""
+    return line.rlike(rf"^{_BLANK}(?:$|#|[-*+]\s{_BLANK}{_SOLID}|\d+\.\s{_BLANK}{_SOLID}|```|~~~|\||>|[-*_]{{3,}}{_BLANK}$)")
 
 
 #: Stand around lines that stay as they are; Unicode has set them apart for such use, and texts don't hold them.
@@ -201,7 +204,8 @@ def reflow(text: Column) -> Column:
 
     def line(raw: Column) -> Column:
         kept = F.concat(F.lit(_KEEP), raw, F.lit(_KEPT))
-        return F.when(is_structural(raw), kept).otherwise(F.regexp_replace(_strip(raw), "  +", " "))
+        # without white space around it, and of several spaces the first
+        return F.when(is_structural(raw), kept).otherwise(F.regexp_replace(raw, rf"^{_SPACE}+|{_SPACE}+$|(?<= ) +", ""))
 
     def part(raw: Column, i: Column) -> Column:
         block = F.concat(F.lit(_KEEP), F.replace(raw, F.lit("\n"), F.lit(f"{_KEPT}\n{_KEEP}")), F.lit(_KEPT))

@@ -58,7 +58,7 @@ def fold(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Array of terms: maximal runs of letters, digits and private-use characters. Null counts as empty."""
-    return F.filter(F.split(fold(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}\p{Co}]+"), lambda t: t != "")
+    return F.array_remove(F.split(fold(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}\p{Co}]+"), "")
 
 
 def sanitize(query: str) -> list[str]:
@@ -112,11 +112,11 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def document_frequency(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """term, df (documents that hold it) and cf (occurrences). Every task sums up its terms before the shuffle."""
-    once = lambda t: F.struct(t.alias("term"), F.lit(0).alias("cf"), F.lit(1).alias("df"))
-    each = lambda t: F.struct(t.alias("term"), F.lit(1).alias("cf"), F.lit(0).alias("df"))
     cut = docs.select(tokens(F.col(text_col)).alias("tokens"))
-    spread = cut.select(F.explode(F.concat(F.transform("tokens", each), F.transform(F.array_distinct("tokens"), once))).alias("t")).select("t.*")
-    return spread.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+    # all tokens, then the distinct ones
+    spread = cut.select(F.size("tokens").alias("n"), F.posexplode(F.concat("tokens", F.array_distinct("tokens"))).alias("at", "term"))
+    count = lambda test: F.sum(F.when(test, 1).otherwise(0))
+    return spread.groupBy("term").agg(count(F.col("at") >= F.col("n")).alias("df"), count(F.col("at") < F.col("n")).alias("cf"))
 
 
 @dataclass(frozen=True)

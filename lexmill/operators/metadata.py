@@ -154,8 +154,7 @@ def unique_citekeys(rows: DataFrame, base: str, order: list[str], taken: DataFra
 
 def _suffixed(rows: DataFrame, keys: list[str], taken: DataFrame | None) -> DataFrame:
     """`rows` with key: its base and the next suffix that neither a taken key nor a base has."""
-    numbered = _in_order(rows, keys)
-    bases = numbered.filter("base is not null").groupBy("base").agg(F.count("*").alias("rows")).select("base")
+    numbered, bases = _in_order(rows, keys)
     used = bases.select(F.col("base").alias("citekey"))
     blocked = bases.select("base", F.lit(-1).cast("long").alias("place")).limit(0)
     if taken is not None:
@@ -180,8 +179,8 @@ def _suffixed(rows: DataFrame, keys: list[str], taken: DataFrame | None) -> Data
     return with_steps.select("row", "base", *keys, F.concat("base", _suffix(F.col("place") + skipped)).alias("key"))
 
 
-def _in_order(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """`rows` with place: the number of each row among those of its base, in order of the keys, from 0.
+def _in_order(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """`rows` with place: the number of each row among those of its base, in order of the keys, from 0; and all bases.
 
     Sampled ranges of (base, keys) are numbered on their own, and what the ranges before hold of a base is added.
     """
@@ -193,7 +192,7 @@ def _in_order(rows: DataFrame, keys: list[str]) -> DataFrame:
     offsets = sizes.select("base", "range", before.alias("before"))
     ranked = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("base", "range").orderBy(*keys)))
     joined = ranked.join(offsets.withColumnsRenamed({"base": "b", "range": "r"}), F.col("base").eqNullSafe(F.col("b")) & (F.col("range") == F.col("r")))
-    return joined.withColumn("place", F.col("before") + F.col("rank") - 1).drop("b", "r", "before", "rank", "range")
+    return joined.withColumn("place", F.col("before") + F.col("rank") - 1).drop("b", "r", "before", "rank", "range"), sizes.filter("base is not null").select("base").distinct()
 
 
 def csl_year(record: Column) -> Column:
