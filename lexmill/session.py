@@ -60,8 +60,8 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_dir[0]}"
 
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path below the shared folder; it is removed at the end of the `scope` around it, else when the driver ends.
+def scratch_path(spark: SparkSession, label: str, outer: bool = False) -> str:
+    """A new path below the shared folder; it is removed at the end of the `scope` around it (with `outer`, of the next one), else when the driver ends.
 
     What drivers that were killed have left is removed after SWEEP_DAYS, by the next one.
     """
@@ -72,7 +72,8 @@ def scratch_path(spark: SparkSession, label: str) -> str:
         _sweep(spark, base)
         atexit.register(_remove, spark, run)
     path = f"{run}/{label}-{uuid.uuid4().hex}"
-    for paths in _scopes[-1:]:
+    scopes = _scopes[:-1] if outer else _scopes
+    for paths in scopes[-1:]:
         paths.append(path)
     return path
 
@@ -110,10 +111,13 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` as a table in the shared folder and read it back: it is computed once, and lost executors cost a reread."""
+def cut(df: DataFrame, label: str, outer: bool = False) -> DataFrame:
+    """Write `df` as a table in the shared folder and read it back: it is computed once, and lost executors cost a reread.
+
+    With `outer`, it outlives the `scope` around it.
+    """
     spark = df.sparkSession
-    path = scratch_path(spark, label)
+    path = scratch_path(spark, label, outer)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
