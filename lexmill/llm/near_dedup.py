@@ -23,7 +23,7 @@ their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -167,76 +167,89 @@ def _near(n: Column, m: Column, planes: Column, other: Column) -> Column:
 
 
 def parts_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(class, part) of all classes that share a bucket: equal parts are connected, by confirmed links."""
-    facts = classes.select("class", F.col("n_shingles").alias("n"), "planes")
-    keys = classes.select("class", F.explode("bands").alias("key"))
-    # what is joined with buckets by their keys is a table, so that Spark can split the rows of a large bucket over tasks
-    shared = session.cut(keys.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key"), "shared")
-    members = session.cut(keys.join(shared, "key"), "buckets")
-    buckets, parts = members.withColumn("part", F.col("class")), None
-    near = _near(F.col("n_a"), F.col("n_b"), F.col("planes_a"), F.col("planes_b"))
-
-    def facts_of(name: str) -> DataFrame:
-        return facts.select(F.col("class").alias(name), F.col("n").alias(f"n_{name}"), F.col("planes").alias(f"planes_{name}"))
-
-    def merged(pairs: DataFrame) -> DataFrame:
-        """The parts when the pairs that are links are joined."""
-        pairs = session.cut(pairs, "pairs")
-        wanted = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class")))
-        return merged_by(_confirm(pairs, session.cut(_sets(docs, classes, wanted), "sets")))
-
-    def merged_by(found: DataFrame) -> DataFrame:
-        if parts is None:
-            now = members.select("class").distinct().withColumn("part", F.col("class"))
-        else:
-            side = lambda name: parts.select(F.col("class").alias(name), F.col("part").alias(f"part_{name}"))
-            found = found.join(side("a"), "a").join(side("b"), "b").select(F.col("part_a").alias("a"), F.col("part_b").alias("b"))
-            now = parts
-        roots = components(found.filter("a <> b").distinct())
-        return session.cut(now.join(roots.select(F.col("class").alias("part"), "label"), "part", "left").select("class", F.coalesce("label", "part").alias("part")), "parts")
-
-    def mixed() -> DataFrame:
-        """Members of the buckets that still hold more than one part."""
-        known = session.cut(members.join(parts, "class"), "known")
-        open_ = known.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most")).filter("least <> most").select("key")
-        return session.cut(known.join(session.cut(open_, "open"), "key"), "buckets")
-
-    for hub in (F.min, F.max):
-        hubs = buckets.groupBy("key").agg(hub(F.struct("class", "part")).alias("hub")).select("key", F.col("hub.class").alias("a"), F.col("hub.part").alias("part_a"))
-        hubs = session.cut(hubs, "hubs")
-        star = buckets.join(hubs, "key").filter("part <> part_a").select("a", F.col("class").alias("b")).distinct()
-        parts = merged(star.join(facts_of("b"), "b").join(facts_of("a"), "a").filter(near).select("a", "b"))
-        buckets = mixed()
-
-    # what is not in a bucket's largest part, against all of the bucket that is not in its own part
-    largest = buckets.groupBy("key", "part").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("largest"))
-    largest = session.cut(largest, "largest")
-    apart = buckets.join(largest, "key").filter("part <> largest").join(facts_of("a"), F.col("class") == F.col("a")).select("key", "a", "n_a", "planes_a", F.col("part").alias("part_a"))
-    others = buckets.join(facts_of("b"), F.col("class") == F.col("b")).select(F.col("key").alias("key_b"), "b", "n_b", "planes_b", F.col("part").alias("part_b"))
-    likely = apart.join(others, (F.col("key") == F.col("key_b")) & (F.col("part_a") != F.col("part_b")) & near, "left_semi")
-    likely = session.cut(likely.select("key", F.col("a").alias("class")), "likely")
-    asked = session.cut(likely.select("key").distinct(), "asked")
-    return merged_by(_links_in_blocks(docs, classes, session.cut(buckets.join(asked, "key", "left_semi"), "buckets"), likely))
+    """(class, part) of all classes that share a bucket: equal parts are connected, by confirmed links.
+
+    Tables that only a round needs are removed when it ends.
+    """
+    spark = docs.sparkSession
+    with session.scope(spark):
+        keys = classes.select("class", F.explode("bands").alias("key"))
+        # what is joined with buckets by their keys is a table, so that Spark can split the rows of a large bucket over tasks
+        shared = session.cut(keys.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key"), "shared")
+        members = session.cut(keys.join(shared, "key"), "buckets")
+        sets = session.cut(_sets(docs, classes, members), "sets")
+        parts = members.select("class").distinct().withColumn("part", F.col("class"))
+        buckets = members.withColumn("part", F.col("class"))
+        for hub in (F.min, F.max):
+            with session.scope(spark):
+                parts = _merged(parts, _confirm(_star(buckets, classes, hub), sets))
+                buckets = _mixed(members, parts)
+        return _merged(parts, _rest(buckets, classes, sets))
+
+
+def _facts(classes: DataFrame, name: str) -> DataFrame:
+    return classes.select(F.col("class").alias(name), F.col("n_shingles").alias(f"n_{name}"), F.col("planes").alias(f"planes_{name}"))
+
+
+def _pair_is_near() -> Column:
+    return _near(F.col("n_a"), F.col("n_b"), F.col("planes_a"), F.col("planes_b"))
+
 
+def _star(buckets: DataFrame, classes: DataFrame, hub: Callable[[Column], Column]) -> DataFrame:
+    """Likely pairs (a, b) of every bucket's hub and its classes of other parts."""
+    hubs = buckets.groupBy("key").agg(hub(F.struct("class", "part")).alias("hub")).select("key", F.col("hub.class").alias("a"), F.col("hub.part").alias("part_a"))
+    star = buckets.join(session.cut(hubs, "hubs"), "key").filter("part <> part_a").select("a", F.col("class").alias("b")).distinct()
+    return session.cut(star.join(_facts(classes, "b"), "b").join(_facts(classes, "a"), "a").filter(_pair_is_near()).select("a", "b"), "pairs")
 
-def _links_in_blocks(docs: DataFrame, classes: DataFrame, buckets: DataFrame, asked: DataFrame) -> DataFrame:
-    """Links (a, b) of the asked (key, class) with other parts (key, class, part) of their buckets, at least one per part.
 
-    A bucket is cut into blocks of about BLOCK classes, and every block of asked ones meets every block of the bucket in
+def _merged(parts: DataFrame, found: DataFrame) -> DataFrame:
+    """The parts when the links (a, b) are joined."""
+    side = lambda name: parts.select(F.col("class").alias(name), F.col("part").alias(f"part_{name}"))
+    edges = found.join(side("a"), "a").join(side("b"), "b").select(F.col("part_a").alias("a"), F.col("part_b").alias("b")).filter("a <> b").distinct()
+    roots = components(edges).select(F.col("class").alias("part"), "label")
+    return session.cut(parts.join(roots, "part", "left").select("class", F.coalesce("label", "part").alias("part")), "parts", outer=True)
+
+
+def _mixed(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """Members (key, class, part) of the buckets that still hold more than one part."""
+    known = session.cut(members.join(parts, "class"), "known")
+    open_ = known.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most")).filter("least <> most").select("key")
+    return session.cut(known.join(session.cut(open_, "open"), "key"), "buckets", outer=True)
+
+
+def _rest(buckets: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) of what is not in a bucket's largest part with what is in another part of the bucket.
+
+    Only classes with a likely partner are dealt out with their sets.
+    """
+    largest = buckets.groupBy("key", "part").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("largest"))
+    apart = buckets.join(session.cut(largest, "largest"), "key").filter("part <> largest").join(_facts(classes, "a"), F.col("class") == F.col("a"))
+    apart = session.cut(apart.select("key", "a", "n_a", "planes_a", F.col("part").alias("part_a")), "apart")
+    open_ = session.cut(apart.select("key").distinct(), "open")
+    others = buckets.join(open_, "key").join(_facts(classes, "b"), F.col("class") == F.col("b"))
+    others = session.cut(others.select(F.col("key").alias("key_b"), "b", "n_b", "planes_b", F.col("part").alias("part_b")), "others")
+    likely = (F.col("key") == F.col("key_b")) & (F.col("part_a") != F.col("part_b")) & _pair_is_near()
+    asked = apart.join(others, likely, "left_semi").select("key", F.col("a").alias("class"), F.col("part_a").alias("part"), F.lit(True).alias("asked"))
+    met = others.join(apart, likely, "left_semi").select(F.col("key_b").alias("key"), F.col("b").alias("class"), F.col("part_b").alias("part"), F.lit(True).alias("met"))
+    rows = asked.unionByName(met, allowMissingColumns=True).groupBy("key", "class", "part").agg(F.max("asked").alias("asked"), F.max("met").alias("met"))
+    return _links_in_blocks(classes, sets, session.cut(rows, "likely"))
+
+
+def _links_in_blocks(classes: DataFrame, sets: DataFrame, rows: DataFrame) -> DataFrame:
+    """Links (a, b) of the asked with the met of other parts of their buckets (key, class, part, asked, met), at least one per part.
+
+    A bucket is cut into blocks of about BLOCK classes, and every block of asked ones meets every block of met ones in
     one row; the pairs are tested inside of tasks. A pair is tested in the first bucket that it shares.
     """
-    blocks = session.cut(buckets.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "blocks")
-    buckets = buckets.join(blocks, "key").join(asked.withColumn("asked", F.lit(True)), ["key", "class"], "left")
-    buckets = session.cut(buckets.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks"))), "buckets")
-    sets = session.cut(_sets(docs, classes, buckets), "sets")
+    blocks = session.cut(rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "blocks")
+    rows = rows.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
     facts = classes.select("class", "planes", "bands").join(sets, "class")
-    # the sets are dealt out twice: to the blocks, and those of the asked to all blocks of their buckets
-    rows = buckets.join(facts, "class").select("key", "block", "blocks", "asked", F.struct("class", "part", "planes", "bands", "codes").alias("m"))
-    whole = rows.groupBy("key", "block").agg(F.collect_list("m").alias("members"))
+    rows = rows.join(facts, "class").select("key", "block", "blocks", "asked", "met", F.struct("class", "part", "planes", "bands", "codes").alias("m"))
+    whole = rows.filter("met").groupBy("key", "block").agg(F.collect_list("m").alias("members"))
     some = rows.filter("asked").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("block").alias("own"), "m")
     some = some.groupBy("key", "block", "own").agg(F.collect_list("m").alias("asked"))
     work = some.join(whole, ["key", "block"])
-    return work.select("key", "asked", "members").mapInArrow(_test_blocks, "a long, b long")
+    return session.cut(work.select("key", "asked", "members").mapInArrow(_test_blocks, "a long, b long"), "links")
 
 
 def _test_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
