@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexmill.operators import accuracy, catalog, chunking, metadata, output, people, quality
+from lexmill import session
+from lexmill.operators import accuracy, catalog, chunking, metadata, output, people, quality, ranking
 from lexmill.plans.search import _read
 from lexmill.sources import files, records
+from lexmill.streaming import ingest
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -516,7 +518,47 @@ _EMBEDDED_SQL = f"""WITH t AS (SELECT doc_id, 'search_document: ' || lower(text)
 SELECT doc_id, {", ".join(f"{_LETTER.format('t', c)} AS {c}" for c in "aes")}, length(regexp_replace(t, '[^a-z]', '', 'g')) AS letters, true AS sound FROM t"""
 
 
+def embedded_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents whose letters are nearest to those of a question, both with their prefixes."""
+    letters = _Letters()
+    docs = chunking.embed(_read(spark, sf_dir, "documents").select("doc_id", "text"), dim=26, embedder=letters)
+    asked = letters.many(["search_query: how many letters are in here"], 26)[0]
+    return ranking.by_vector(docs, asked, 10, "doc_id").select("doc_id", F.round("score", 6).alias("score"))
+
+
+_COUNTS = "[" + ", ".join(_LETTER.format("{0}", chr(97 + i)) for i in range(26)) + "]"
+_DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda p: p[1] * p[2]))"
+_ASKED_SQL = f"""WITH t AS (SELECT doc_id, 'search_document: ' || lower(text) AS t FROM documents), q AS (SELECT 'search_query: how many letters are in here' AS t),
+v AS (SELECT doc_id, CAST({_COUNTS.format("t")} AS DOUBLE[]) AS v FROM t WHERE t IS NOT NULL), w AS (SELECT CAST({_COUNTS.format("t")} AS DOUBLE[]) AS w FROM q),
+s AS (SELECT doc_id, {_DOT.format("v", "w")} / (sqrt({_DOT.format("v", "v")}) * sqrt({_DOT.format("w", "w")})) AS score FROM v, w)
+SELECT doc_id, round(score, 6) AS score FROM s ORDER BY s.score DESC, doc_id LIMIT 10"""
+
+
+def record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as CSL records in JSON files, an array of at most 100 each, read back: of records with one key the last stays."""
+    s = _read(spark, sf_dir, "supplier")
+    item = lambda title: F.struct(F.concat(F.lit("s"), F.col("s_suppkey")).alias("id"), F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("k"), F.col("s_suppkey"))).alias("citation-key"), F.lit("book").alias("type"), title.alias("title"), F.struct(F.array(F.array(F.lit("2020"), F.lit("5"))).alias("date-parts")).alias("issued"))
+    pairs = s.select(F.floor(F.col("s_suppkey") / 100).alias("file"), F.array(F.struct("s_suppkey", F.lit(0).alias("n"), item(F.lit("old")).alias("item")), F.struct("s_suppkey", F.lit(1).alias("n"), item(F.col("s_name")).alias("item"))).alias("items"))
+    arrays = pairs.groupBy("file").agg(F.to_json(F.transform(F.array_sort(F.flatten(F.collect_list("items"))), lambda x: x["item"])).alias("value"))
+    path = session.scratch_path(spark, "records")
+    arrays.write.partitionBy("file").text(path)
+    found = records.csl_records(spark, f"{path}/*/*.txt")
+    return found.select("key", "id", "title", F.array_join(F.element_at("issued.date-parts", 1), "-").alias("date"))
+
+
+def ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents taken up as a stream, each content once; a second run finds nothing new."""
+    schema = ", ".join(f"`{n}` {t}" for n, t in _read(spark, sf_dir, "documents").dtypes)
+    store, check = session.scratch_path(spark, "store"), session.scratch_path(spark, "stream")
+    for _ in range(2):
+        ingest.ingest(spark, sf_dir, store, check, schema, pattern="documents.parquet").awaitTermination()
+    return spark.read.parquet(store).select("doc_id", "content_hash", F.col("status").isin("ready", "needs_review").alias("has_status"))
+
+
 QUERIES = {
+    "embedded_query": embedded_query,
+    "record_files": record_files,
+    "ingested": ingested,
     "point_lookups": point_lookups,
     "resolved_identifier": resolved_identifier,
     "all_citekeys": all_citekeys,
@@ -557,6 +599,9 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "embedded_query": _ASKED_SQL,
+    "record_files": "SELECT CASE WHEN s_suppkey % 3 = 0 THEN 'k' ELSE 's' END || s_suppkey AS key, 's' || s_suppkey AS id, s_name AS title, '2020-5' AS date FROM supplier",
+    "ingested": "SELECT min(doc_id) AS doc_id, sha256(coalesce(text, '')) AS content_hash, true AS has_status FROM documents GROUP BY coalesce(text, '')",
     "point_lookups": f"WITH {_DOCS}, f AS (SELECT doc_id FROM d WHERE citekey IS NOT NULL ORDER BY doc_id LIMIT 1) SELECT unnest(['doc_id', 'original_path', 'content_hash', 'citekey']) AS \"by\", doc_id FROM f",
     "resolved_identifier": _RESOLVED_SQL,
     "all_citekeys": f"WITH {_DOCS} SELECT citekey FROM d WHERE citekey IS NOT NULL",

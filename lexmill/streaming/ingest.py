@@ -43,9 +43,9 @@ def _held(spark: SparkSession, store: str, number: int) -> DataFrame | None:
     return spark.read.parquet(store).filter(F.col("batch") < number).select("content_hash")
 
 
-def ingest(spark: SparkSession, source: str, store: str, checkpoint: str, schema: str, order: str = "doc_id") -> StreamingQuery:
-    """Take up all Parquet files that came to `source` since the last run, then stop."""
-    stream = spark.readStream.schema(schema).parquet(source)
+def ingest(spark: SparkSession, source: str, store: str, checkpoint: str, schema: str, order: str = "doc_id", pattern: str = "*") -> StreamingQuery:
+    """Take up all Parquet files that came to `source` since the last run and whose names fit the pattern, then stop."""
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(source)
     return prepare(stream).writeStream.foreachBatch(append_new(store, order)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
