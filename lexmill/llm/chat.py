@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.functions.expressions import let
+from lexmill.functions.expressions import let, running_sums
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 
@@ -37,12 +37,12 @@ def unescape(text: Column) -> Column:
 def fold(events: DataFrame) -> DataFrame:
     """Final messages of a log with conv_id, message_id, seq, role, kind and text: conv_id, message_id, seq, role, text.
 
-    The log is parted by conversation, and sorted by sequence within each message: what comes before the last replacing
-    event goes, and what is left is joined, in time linear in its length. seq and role are those of the first event.
+    The log is parted by conversation and message, and sorted by sequence: what comes before the last replacing event
+    goes, and what is left is joined, in time linear in its length. So the messages of a long conversation are folded by
+    many tasks. seq and role are those of the first event.
     """
     appends = F.coalesce(F.col("kind"), F.lit("message")) == "delta"
     log = events.select("conv_id", "message_id", "seq", appends.alias("appends"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("role", F.lit("")).alias("role"))
-    log = log.repartition("conv_id")  # what follows needs no other exchange
     message = Window.partitionBy("conv_id", "message_id")
     ordered = message.orderBy("seq", "appends", "text", "role")
     so_far = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -57,19 +57,24 @@ def render(messages: DataFrame, loss_role: str = "assistant") -> DataFrame:
     """One row per conversation: conv_id, n_turns, formatted, loss_spans (array of start and end, in code points).
 
     Messages go in the order of seq, then of role and text. A span covers the escaped text of one message of `loss_role`.
-    Where a message begins is a running sum over its conversation, so the time is linear in the number of turns.
+    A conversation is one string, so its messages meet in one row, gathered by every task before the shuffle; where each
+    begins is a running sum, in time linear in the number of turns.
     """
-    body, head = escape(F.col("text")), F.concat(F.lit(TURN), escape(F.col("role")), F.lit(TEXT))
-    turns = messages.select("conv_id", "seq", "role", "text", (F.col("role") == loss_role).alias("loss"), F.concat(head, body, F.lit(END)).alias("piece"), F.length(head).cast("long").alias("head"), F.length(body).cast("long").alias("body"))
-    order = Window.partitionBy("conv_id").orderBy("seq", "role", "text")
-    before = F.coalesce(F.sum(F.col("head") + F.col("body") + len(END)).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = turns.withColumn("at", F.row_number().over(order)).withColumn("start", before + F.col("head"))
-    whole = placed.groupBy("conv_id").agg(
-        F.count("*").alias("n_turns"),
-        F.sort_array(F.collect_list(F.struct("at", "piece"))).alias("pieces"),
-        F.sort_array(F.collect_list(F.when(F.col("loss"), F.struct("start", (F.col("start") + F.col("body")).alias("end"))))).alias("loss_spans"),
+    turns = messages.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("seq", "role", "text"))).alias("turns"))
+    head = lambda t: F.concat(F.lit(TURN), escape(t["role"]), F.lit(TEXT))
+    parts = turns.select("conv_id", F.transform("turns", lambda t: F.struct((t["role"] == loss_role).alias("loss"), head(t).alias("head"), escape(t["text"]).alias("body"))).alias("parts"))
+    sized = parts.select("conv_id", "parts", running_sums(F.transform("parts", lambda p: F.length(p["head"]) + F.length(p["body"]) + len(END))).alias("starts"))
+
+    def span(part: Column, start: Column) -> Column:
+        begin = start + F.length(part["head"])
+        return F.when(part["loss"], F.struct(begin.alias("start"), (begin + F.length(part["body"])).alias("end")))
+
+    return sized.select(
+        "conv_id",
+        F.size("parts").cast("long").alias("n_turns"),
+        F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit(END))), "").alias("formatted"),
+        F.filter(F.zip_with("parts", "starts", span), lambda s: s.isNotNull()).alias("loss_spans"),
     )
-    return whole.select("conv_id", "n_turns", F.array_join(F.transform("pieces", lambda p: p["piece"]), "").alias("formatted"), "loss_spans")
 
 
 def parse(formatted: Column) -> Column:
