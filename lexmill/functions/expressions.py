@@ -18,7 +18,7 @@ BLOCK = 256
 
 
 def running_sums(values: Column) -> Column:
-    """For every element of an array of numbers, the sum of those before it; empty for an empty array.
+    """For every element of an array of numbers, the sum of those before it; empty for an empty array, null for a null one.
 
     An array that grows by an element is copied each time, so blocks are summed up on their own, and then their totals:
     the work for each element does not grow with the array.
@@ -38,7 +38,7 @@ def running_sums(values: Column) -> Column:
 
     longs = values.cast("array<bigint>")
     places = F.when(F.size(longs) > 0, F.sequence(F.lit(0), F.floor((F.size(longs) - 1) / BLOCK).cast("int"))).otherwise(F.array().cast("array<int>"))
-    return let(longs, lambda xs: let(F.transform(places, lambda i: sums(F.slice(xs, i * BLOCK + 1, F.lit(BLOCK)))), joined))
+    return F.when(values.isNotNull(), let(longs, lambda xs: let(F.transform(places, lambda i: sums(F.slice(xs, i * BLOCK + 1, F.lit(BLOCK)))), joined)))
 
 
 class ClashingColumn(ValueError):

@@ -5,6 +5,7 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 
+from lexmill.functions.expressions import running_sums
 from lexmill.operators import accuracy, alignment, catalog, cleanup, metadata, people
 from lexmill.sources import files, records, sqlite
 
@@ -137,3 +138,10 @@ def test_a_locked_database_is_read_from_a_copy(spark, tmp_path):
     assert df.count() == 20 and df.rdd.getNumPartitions() > 1
     writer.execute("ROLLBACK")
     writer.close()
+
+
+def test_running_sums(spark):
+    r = random.Random(1)
+    rows = [([],), ([5],), ([1] * 256,), ([1] * 257,), ([r.randrange(9) for _ in range(1000)],), (None,)]
+    for values, sums in spark.createDataFrame(rows, "a array<int>").select("a", running_sums(F.col("a"))).collect():
+        assert sums == (None if values is None else [sum(values[:i]) for i in range(len(values))])
