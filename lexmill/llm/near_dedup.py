@@ -135,19 +135,20 @@ def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
     """class and codes of the full sets of the wanted classes, from the text of one of their documents."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory.release()
         for batch in batches:
-            codes = [shingles(t).tobytes() for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(c) for c in codes], pa.binary()), pa.array(codes, pa.binary())], names=["set_print", "codes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["class", "codes"])
 
-    known = classes.select("class", "set_print", "first").join(wanted.select("class").distinct(), "class", "left_semi")
-    keys = known.select(F.col("first.id").alias("rep"), F.col("first.text_key").alias("rep_key"))
-    texts = docs.join(keys, F.col("id").eqNullSafe(F.col("rep")) & (F.xxhash64("text") == F.col("rep_key")), "left_semi").select("text")
-    found = texts.mapInArrow(task, "set_print binary, codes binary").dropDuplicates(["set_print"])
-    return found.join(known.select("class", "set_print"), "set_print").select("class", "codes")
+    known = classes.select("class", "first").join(wanted.select("class").distinct(), "class", "left_semi")
+    no_id = lambda c: F.struct(c.isNull().alias("none"), F.coalesce(c, F.lit(0)).alias("id"))
+    keys = known.select(no_id(F.col("first.id")).alias("rep"), F.col("first.text_key").alias("rep_key"), "class")
+    texts = docs.select(no_id(F.col("id")).alias("rep"), F.xxhash64("text").alias("rep_key"), "text").join(keys, ["rep", "rep_key"])
+    # rows that repeat id and text have met by now, so one of them is taken without a further shuffle
+    return texts.dropDuplicates(["rep", "rep_key"]).select("class", "text").mapInArrow(task, "class long, codes binary")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
+    """Of the pairs (a, b, part_a, part_b), the parts (a, b) of those whose full sets reach the threshold."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,7 +160,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
     both = pairs.join(sets.select(F.col("class").alias("a"), F.col("codes").alias("x")), "a").join(sets.select(F.col("class").alias("b"), F.col("codes").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(task, "a long, b long")
+    return both.select("part_a", "part_b", "x", "y").mapInArrow(task, "a long, b long")
 
 
 def _near(n: Column, m: Column, planes: Column, other: Column) -> Column:
@@ -196,17 +197,15 @@ def _pair_is_near() -> Column:
 
 
 def _star(buckets: DataFrame, classes: DataFrame, hub: Callable[[Column], Column]) -> DataFrame:
-    """Likely pairs (a, b) of every bucket's hub and its classes of other parts."""
+    """Likely pairs (a, b, part_a, part_b) of every bucket's hub and its classes of other parts."""
     hubs = buckets.groupBy("key").agg(hub(F.struct("class", "part")).alias("hub")).select("key", F.col("hub.class").alias("a"), F.col("hub.part").alias("part_a"))
-    star = buckets.join(session.cut(hubs, "hubs"), "key").filter("part <> part_a").select("a", F.col("class").alias("b")).distinct()
-    return session.cut(star.join(_facts(classes, "b"), "b").join(_facts(classes, "a"), "a").filter(_pair_is_near()).select("a", "b"), "pairs")
+    star = buckets.join(session.cut(hubs, "hubs"), "key").filter("part <> part_a").select("a", F.col("class").alias("b"), "part_a", F.col("part").alias("part_b")).distinct()
+    return session.cut(star.join(_facts(classes, "b"), "b").join(_facts(classes, "a"), "a").filter(_pair_is_near()).select("a", "b", "part_a", "part_b"), "pairs")
 
 
 def _merged(parts: DataFrame, found: DataFrame) -> DataFrame:
-    """The parts when the links (a, b) are joined."""
-    side = lambda name: parts.select(F.col("class").alias(name), F.col("part").alias(f"part_{name}"))
-    edges = found.join(side("a"), "a").join(side("b"), "b").select(F.col("part_a").alias("a"), F.col("part_b").alias("b")).filter("a <> b").distinct()
-    roots = components(edges).select(F.col("class").alias("part"), "label")
+    """The parts when those that links connect (a, b) are joined."""
+    roots = components(found.distinct()).select(F.col("class").alias("part"), "label")
     return session.cut(parts.join(roots, "part", "left").select("class", F.coalesce("label", "part").alias("part")), "parts", outer=True)
 
 
@@ -218,7 +217,7 @@ def _mixed(members: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def _rest(buckets: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) of what is not in a bucket's largest part with what is in another part of the bucket.
+    """Parts (a, b) that a link connects, of what is not in a bucket's largest part and what is in another part of the bucket.
 
     Only classes with a likely partner are dealt out with their sets.
     """
@@ -236,7 +235,7 @@ def _rest(buckets: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _links_in_blocks(classes: DataFrame, sets: DataFrame, rows: DataFrame) -> DataFrame:
-    """Links (a, b) of the asked with the met of other parts of their buckets (key, class, part, asked, met), at least one per part.
+    """Parts (a, b) that a link connects, of the asked and the met of other parts in their buckets (key, class, part, asked, met).
 
     A bucket is cut into blocks of about BLOCK classes, and every block of asked ones meets every block of met ones in
     one row; the pairs are tested inside of tasks. A pair is tested in the first bucket that it shares.
@@ -244,7 +243,7 @@ def _links_in_blocks(classes: DataFrame, sets: DataFrame, rows: DataFrame) -> Da
     blocks = session.cut(rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "blocks")
     rows = rows.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
     facts = classes.select("class", "planes", "bands").join(sets, "class")
-    rows = rows.join(facts, "class").select("key", "block", "blocks", "asked", "met", F.struct("class", "part", "planes", "bands", "codes").alias("m"))
+    rows = rows.join(facts, "class").select("key", "block", "blocks", "asked", "met", F.struct("part", "planes", "bands", "codes").alias("m"))
     whole = rows.filter("met").groupBy("key", "block").agg(F.collect_list("m").alias("members"))
     some = rows.filter("asked").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("block").alias("own"), "m")
     some = some.groupBy("key", "block", "own").agg(F.collect_list("m").alias("asked"))
@@ -254,17 +253,17 @@ def _links_in_blocks(classes: DataFrame, sets: DataFrame, rows: DataFrame) -> Da
 
 def _test_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def unpacked(rows: list[dict]) -> tuple:
-        columns = (np.array([r[c] for r in rows], np.int64) for c in ("class", "part", "planes", "bands"))
+        columns = (np.array([r[c] for r in rows], np.int64) for c in ("part", "planes", "bands"))
         return *columns, [np.frombuffer(r["codes"], np.uint64) for r in rows]
 
     for batch in batches:
         found = []
         for i in range(batch.num_rows):
             key, asked, members = (batch.column(c)[i].as_py() for c in range(3))
-            a, part_a, planes_a, bands_a, sets_a = unpacked(asked)
-            b, part_b, planes_b, bands_b, sets_b = unpacked(members)
+            part_a, planes_a, bands_a, sets_a = unpacked(asked)
+            part_b, planes_b, bands_b, sets_b = unpacked(members)
             size_a, size_b = (np.array([len(x) for x in sets]) for sets in (sets_a, sets_b))
-            differ = np.zeros((len(a), len(b)), np.int64)
+            differ = np.zeros((len(part_a), len(part_b)), np.int64)
             for group in range(HASHES // 64):
                 word = np.zeros_like(differ)
                 for plane in range(group * BITS, (group + 1) * BITS):
@@ -277,12 +276,13 @@ def _test_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             joined = set()
             for x, y in zip(*np.nonzero(near), strict=True):
                 shared = bands_a[x] == bands_b[y]
-                if (x, part_b[y]) in joined or bands_a[x, shared.argmax()] != key:
+                pair = int(part_a[x]), int(part_b[y])
+                if pair in joined or bands_a[x, shared.argmax()] != key:
                     continue
                 common = len(np.intersect1d(sets_a[x], sets_b[y], assume_unique=True))
                 if 100 * common >= PERCENT * (size_a[x] + size_b[y] - common):
-                    joined.add((x, part_b[y]))
-                    found.append((int(a[x]), int(b[y])))
+                    joined.add(pair)
+                    found.append(pair)
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
 
