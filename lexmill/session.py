@@ -111,14 +111,14 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def cut(df: DataFrame, label: str, outer: bool = False) -> DataFrame:
+def cut(df: DataFrame, label: str, outer: bool = False, codec: str | None = None) -> DataFrame:
     """Write `df` as a table in the shared folder and read it back: it is computed once, and lost executors cost a reread.
 
-    With `outer`, it outlives the `scope` around it.
+    With `outer`, it outlives the `scope` around it; `codec` names the compression, if not the session's.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label, outer)
-    df.write.parquet(path)
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
