@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill import session
-from lexmill.operators import catalog, chunking, context, fulltext, metadata, people, ranking, titles
-from lexmill.sources.tables import Tables
+from lexmill.operators import catalog, chunking, context, fulltext, metadata, people, ranking, search_index, titles
+from lexmill.sources.store import State, Store, Table
 from lexmill.streaming import ingest
 
 MODES = ("hybrid", "vector", "fts")
@@ -19,6 +19,7 @@ DOCUMENTS = (
     "doc_id string, original_path string, content_hash string, text string, status string, citekey string, csl_json string, title string, authors string, "
     "issued_date string, issued_year int, error_message string, error_code string, embedding_status string, source string, created_at timestamp, updated_at timestamp"
 )
+CHUNKS = "chunk_id string, doc_id string, chunk_index long, section string, text string, embedding array<float>"
 
 
 class Chunker(Protocol):
@@ -48,24 +49,51 @@ class Client(Protocol):
 class Library:
     """Documents, their chunks with vectors, and a full-text index of the chunks, stored below one folder.
 
-    Every change writes new snapshots of the tables that it bears on; a library opened on the same folder goes on from there.
+    Every change is one commit over all tables that it bears on, and writes what changes, not the tables; a library opened on
+    the same folder goes on from there. Several may write at once: who comes second does its work again on the new state.
     """
 
     def __init__(self, spark: SparkSession, path: str, dim: int = 768, embedder: Embedder = chunking.hashed_vector, chunker: Chunker = chunking.chunk):
-        self.spark, self.tables = session.tune(spark), Tables(spark, path)
+        self.spark, self.store = session.tune(spark), Store(spark, path)
         self.dim, self.embedder, self.chunker = dim, embedder, chunker
 
     # documents
 
     @property
     def documents(self) -> DataFrame:
-        found = self.tables.read("documents")
-        return self.spark.createDataFrame([], DOCUMENTS) if found is None else found
+        return self._documents(self.store.state())
 
     @property
     def chunks(self) -> DataFrame:
-        found = self.tables.read("chunks")
-        return self.spark.createDataFrame([], "chunk_id string, doc_id string, chunk_index long, section string, text string, embedding array<float>") if found is None else found
+        return self._chunks(self.store.state())
+
+    def _documents(self, state: State) -> DataFrame:
+        return self.store.read(state, "documents", DOCUMENTS, "doc_id")
+
+    def _chunks(self, state: State) -> DataFrame:
+        return self.store.read(state, "chunks", CHUNKS, "doc_id")
+
+    def _as_stored(self, rows: DataFrame) -> DataFrame:
+        """Rows with the columns and types of the documents' table."""
+        kinds = self.spark.createDataFrame([], DOCUMENTS).dtypes
+        return rows.select(*[F.col(c).cast(t).alias(c) if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in kinds])
+
+    def _changed(self, change: Callable[[State], DataFrame]) -> DataFrame:
+        """Commit the documents that a change gives for a state, each instead of the one with its id; the documents after it."""
+
+        def work(state: State) -> dict[str, Table] | None:
+            rows = session.cut(self._as_stored(change(state)), "changed")
+            return {"documents": self.store.upsert(state, "documents", rows, "doc_id")} if rows.head(1) else None
+
+        self.store.change(work)
+        self._merge()
+        return self.documents
+
+    def _merge(self) -> None:
+        """Put small parts of tables and segments of the index together, a commit each."""
+        for name, schema in (("documents", DOCUMENTS), ("chunks", CHUNKS)):
+            self.store.change(lambda s, n=name, x=schema: None if (t := self.store.merged(s, n, x, "doc_id")) is None else {n: t})
+        self.store.change(lambda s: search_index.merged(self.store, s, "index"))
 
     def add(self, new: DataFrame, source: str = "EXPLICIT") -> DataFrame:
         """Take up rows of original_path and text, with citekey and csl_json or without; returns what became of each.
@@ -77,23 +105,31 @@ class Library:
         columns = {"citekey": "string", "csl_json": "string"}
         rows = new.select("original_path", "text", *[F.col(c) if c in new.columns else F.lit(None).cast(t).alias(c) for c, t in columns.items()])
         rows = session.cut(rows.withColumn("content_hash", F.sha2(F.coalesce("text", F.lit("")), 256)), "new")
-        held = self.documents
-        fresh = catalog.duplicate_reason(rows, held, "original_path", "content_hash", "doc_id")
-        by_path = catalog.ranked_first(fresh.filter("reason is null"), "original_path", ["content_hash"])
-        firsts = catalog.ranked_first(by_path, "content_hash", ["original_path"]).drop("reason", "stored_key")
-        made = session.cut(self._described(self._prepared(firsts), source), "made")
-        self.tables.write("documents", held.unionByName(made))
         names = ["original_path", "content_hash", "doc_id"]
-        found = catalog.duplicate_reason(rows, held.select(names).union(made.select(names)), "original_path", "content_hash", "doc_id")
-        own = made.select(F.col("doc_id").alias("made"), F.struct("original_path", "content_hash").alias("of"))
-        found = found.join(own, (F.col("made") == F.col("stored_key")) & (F.col("of") == F.struct("original_path", "content_hash")), "left")
-        return found.select("original_path", F.col("stored_key").alias("doc_id"), F.when(F.col("made").isNotNull(), "added").otherwise(F.col("reason")).alias("outcome"))
+        last: dict[str, DataFrame] = {}
+
+        def work(state: State) -> dict[str, Table]:
+            held = self._documents(state)
+            fresh = catalog.duplicate_reason(rows, held, "original_path", "content_hash", "doc_id")
+            by_path = catalog.ranked_first(fresh.filter("reason is null"), "original_path", ["content_hash"])
+            firsts = catalog.ranked_first(by_path, "content_hash", ["original_path"]).drop("reason", "stored_key")
+            made = session.cut(self._as_stored(self._described(self._prepared(firsts), source, held)), "made")
+            found = catalog.duplicate_reason(rows, held.select(names).union(made.select(names)), "original_path", "content_hash", "doc_id")
+            own = made.select(F.col("doc_id").alias("made"), F.struct("original_path", "content_hash").alias("of"))
+            found = found.join(own, (F.col("made") == F.col("stored_key")) & (F.col("of") == F.struct("original_path", "content_hash")), "left")
+            outcome = F.when(F.col("made").isNotNull(), "added").otherwise(F.col("reason")).alias("outcome")
+            last["outcome"] = session.cut(found.select("original_path", F.col("stored_key").alias("doc_id"), outcome), "outcome")
+            return {"documents": state.table("documents").plus(self.store.put(state, "documents", made))}
+
+        self.store.change(work)
+        self._merge()
+        return last["outcome"]
 
     def _prepared(self, rows: DataFrame) -> DataFrame:
         """Cleaned texts with a state; the hash stays that of the text as it came."""
         return ingest.prepare(rows.withColumnRenamed("content_hash", "came")).drop("content_hash").withColumnRenamed("came", "content_hash")
 
-    def _described(self, rows: DataFrame, source: str) -> DataFrame:
+    def _described(self, rows: DataFrame, source: str, held: DataFrame) -> DataFrame:
         """New documents with their metadata and unique keys."""
         stem = F.regexp_replace(F.element_at(F.split("original_path", "/"), -1), r"\.[^.]*$", "")
         name = rows.withColumn("named", metadata.parse_filename(stem))
@@ -125,15 +161,14 @@ class Library:
         )
         done = metadata.upgraded(read).withColumns({"doc_id": F.sha2(F.concat_ws("|", "original_path", "content_hash"), 256), "embedding_status": F.lit("pending"), "created_at": F.current_timestamp(), "updated_at": F.current_timestamp(), "error_code": F.lit(None).cast("string")})
         done = done.withColumn("base", F.col("citekey")).drop("citekey")
-        taken = self.documents.filter("citekey is not null").select("citekey")
-        unique = metadata.unique_citekeys(session.cut(done.select("base", *[c for c in self.documents.columns if c != "citekey"]), "made"), "base", ["original_path"], taken)
-        return unique.select(*self.documents.columns)
+        taken = held.filter("citekey is not null").select("citekey")
+        unique = metadata.unique_citekeys(session.cut(done.select("base", *[c for c in held.columns if c != "citekey"]), "made"), "base", ["original_path"], taken)
+        return unique.select(*held.columns)
 
     def fail(self, paths: DataFrame) -> DataFrame:
         """Record files (path, error_message, error_code) that could not be taken up."""
-        made = catalog.failed_records(paths, self.documents)
-        made = made.withColumns({"doc_id": F.sha2(F.concat_ws("|", "original_path", "content_hash"), 256), "embedding_status": F.lit("pending"), "created_at": F.current_timestamp(), "updated_at": F.current_timestamp()})
-        return self.tables.write("documents", self.documents.unionByName(made, allowMissingColumns=True))
+        ids = {"doc_id": F.sha2(F.concat_ws("|", "original_path", "content_hash"), 256), "embedding_status": F.lit("pending"), "created_at": F.current_timestamp(), "updated_at": F.current_timestamp()}
+        return self._changed(lambda s: catalog.failed_records(paths, self._documents(s)).withColumns(ids))
 
     def get(self, identifier: str) -> DataFrame:
         """The document that `@key`, an id or the beginning of an id names."""
@@ -146,7 +181,7 @@ class Library:
     def reextract(self, texts: DataFrame) -> DataFrame:
         """New texts (doc_id, text, error) of documents; their embeddings become stale."""
         cleaned = self._prepared(texts.withColumn("content_hash", F.lit(""))).select("doc_id", "text", "error")
-        return self.tables.write("documents", catalog.reextracted(self.documents, cleaned))
+        return self._changed(lambda s: catalog.reextracted(self._documents(s).join(cleaned.select("doc_id"), "doc_id", "left_semi"), cleaned))
 
     def update(self, updates: DataFrame) -> DataFrame:
         """Set status, citekey and csl_json (with the fields that follow from it) of documents (doc_id); null leaves a field as it is."""
@@ -154,14 +189,24 @@ class Library:
         rows = updates.select("doc_id", *[F.col(c) if c in updates.columns else F.lit(None).cast(t).alias(c) for c, t in fields.items()]).withColumn("u", metadata.updated_by_hand(F.col("csl_json")))
         rows = rows.select("doc_id", "status", "citekey", "csl_json", "u.title", "u.authors", "u.issued_date", "u.issued_year").withColumn("updated_at", F.current_timestamp())
         changed = ["status", "citekey", "csl_json", "title", "authors", "issued_date", "issued_year", "updated_at"]
-        return self.tables.write("documents", catalog.coalesce_update(self.documents, rows, "doc_id", changed))
+        return self._changed(lambda s: catalog.coalesce_update(self._documents(s).join(rows.select("doc_id"), "doc_id", "left_semi"), rows, "doc_id", changed))
 
     def delete(self, keys: DataFrame) -> DataFrame:
         """Remove documents (doc_id) with their chunks; the others keep theirs."""
-        left = catalog.cascade_delete({"documents": (self.documents, "doc_id"), "chunks": (self.chunks, "doc_id")}, keys, "doc_id")
-        chunks = self.tables.write("chunks", left["chunks"])
-        self._index(chunks)
-        return self.tables.write("documents", left["documents"])
+        keys = session.cut(keys.select("doc_id").distinct(), "keys")
+
+        def work(state: State) -> dict[str, Table]:
+            tables = {n: self.store.without(state, n, keys, "doc_id") for n in ("documents", "chunks")}
+            return tables | self._unindexed(state, keys)
+
+        self.store.change(work)
+        self._merge()
+        return self.documents
+
+    def _unindexed(self, state: State, keys: DataFrame) -> dict[str, Table]:
+        """The index's tables without the chunks of documents."""
+        own = self._chunks(state).join(keys.select("doc_id"), "doc_id", "left_semi").select("chunk_id", "text")
+        return search_index.removed(self.store, state, "index", session.cut(own, "unindexed"), "chunk_id")
 
     # chunks
 
@@ -169,31 +214,38 @@ class Library:
         """Cut and embed the ready documents whose embeddings are pending or stale (with force, all ready ones); the others keep their chunks.
 
         doc_id, chunks and failed of what was done: a document whose embedding fails stays pending, and is tried again next time.
+        Chunks, vectors, index and states change in one commit.
         """
-        wanted = session.cut(catalog.needing_embedding(self.documents, force).select("doc_id", "text"), "wanted")
-        cut = chunking.embed(self.chunker(wanted), dim=self.dim, embedder=self.embedder, errors="embedding_error")
-        made = session.cut(cut, "embedded")
-        bad = made.filter("embedding_error is not null").select("doc_id").distinct()
-        good = made.join(bad, "doc_id", "left_anti").drop("embedding_error").withColumn("embedding", chunking.checked_dimension(F.col("embedding"), self.dim))
-        chunks = self.tables.write("chunks", self.chunks.join(wanted.select("doc_id"), "doc_id", "left_anti").unionByName(good.select(*self.chunks.columns)))
-        self._index(chunks)
-        states = wanted.select("doc_id").join(bad.withColumn("failed", F.lit(True)), "doc_id", "left").select("doc_id", F.when(F.col("failed"), "pending").otherwise("current").alias("embedding_status"))
-        self.tables.write("documents", catalog.coalesce_update(self.documents, states, "doc_id", ["embedding_status"]))
-        counts = made.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.max(F.col("embedding_error").isNotNull()).alias("failed"))
-        return wanted.select("doc_id").join(counts, "doc_id", "left").select("doc_id", F.coalesce("chunks", F.lit(0)).alias("chunks"), F.coalesce("failed", F.lit(False)).alias("failed"))
-
-    def _index(self, chunks: DataFrame) -> fulltext.Index:
-        path = self.tables.next_path("index")
-        made = fulltext.build_index(chunks, path, "chunk_id")
-        store, place = session.files(self.spark, f"{path}/_SUCCESS")
-        store.create(place).close()  # from here on it is the index that is read
-        self.tables.drop_old("index")
-        return made
+        last: dict[str, DataFrame] = {}
+
+        def work(state: State) -> dict[str, Table] | None:
+            documents = self._documents(state)
+            wanted = session.cut(catalog.needing_embedding(documents, force).select("doc_id", "text"), "wanted")
+            cut = chunking.embed(self.chunker(wanted), dim=self.dim, embedder=self.embedder, errors="embedding_error")
+            made = session.cut(cut, "embedded")
+            bad = made.filter("embedding_error is not null").select("doc_id").distinct()
+            good = made.join(bad, "doc_id", "left_anti").drop("embedding_error").withColumn("embedding", chunking.checked_dimension(F.col("embedding"), self.dim))
+            counts = made.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.max(F.col("embedding_error").isNotNull()).alias("failed"))
+            last["done"] = wanted.select("doc_id").join(counts, "doc_id", "left").select("doc_id", F.coalesce("chunks", F.lit(0)).alias("chunks"), F.coalesce("failed", F.lit(False)).alias("failed"))
+            if not wanted.head(1):
+                return None
+            kinds = dict(self.spark.createDataFrame([], CHUNKS).dtypes)
+            fresh = session.cut(good.select(*[F.col(c).cast(t).alias(c) for c, t in kinds.items()]), "fresh")
+            states = wanted.select("doc_id").join(bad.withColumn("failed", F.lit(True)), "doc_id", "left").select("doc_id", F.when(F.col("failed"), "pending").otherwise("current").alias("embedding_status"))
+            named = catalog.coalesce_update(documents.join(wanted.select("doc_id"), "doc_id", "left_semi"), states, "doc_id", ["embedding_status"])
+            tables = {"documents": self.store.upsert(state, "documents", session.cut(self._as_stored(named), "states"), "doc_id")}
+            tables["chunks"] = self.store.without(state, "chunks", wanted, "doc_id").plus(self.store.put(state, "chunks", fresh))
+            tables |= self._unindexed(state, wanted)
+            index = tables.get("index", state.table("index"))
+            return tables | {"index": index.plus(search_index.segment(self.store, state, "index", fresh, "chunk_id"))}
+
+        self.store.change(work)
+        self._merge()
+        return last["done"]
 
     @property
-    def index(self) -> fulltext.Index:
-        found = self.tables._snapshots("index")
-        return fulltext.open_index(self.spark, found[-1]) if found else self._index(self.chunks)
+    def index(self) -> search_index.Index:
+        return search_index.opened(self.store)
 
     def chunks_of(self, identifier: str, start: int | None = None, end: int | None = None) -> tuple[str, DataFrame]:
         """`whole`, `range` or `preview`, and the chunks of a document in order."""

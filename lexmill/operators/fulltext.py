@@ -1,4 +1,4 @@
-"""Full-text search: tokens, query clean-up and BM25 ranking."""
+"""Full-text search: tokens, query clean-up and the parts of BM25; `search_index` stores and searches an index."""
 
 from __future__ import annotations
 
@@ -7,16 +7,12 @@ import re
 import unicodedata
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill import session
-
 K1, B = 1.2, 0.75
 #: Lower bound of a phrase's inverse document frequency.
 LEAST_IDF = 1e-6
-#: Folders of an index that terms are filed in by a hash, and files that a folder is dealt to at most.
-PARTS, FILES = 64, 4
 
 
 def _plain(point: int) -> str:
@@ -28,6 +24,7 @@ def _plain(point: int) -> str:
 _ACCENTED = [p for p in range(0xC0, 0x250) if _plain(p) and chr(p) == chr(p).lower()]
 FOLD_FROM = "".join(map(chr, _ACCENTED))
 FOLD_TO = "".join(map(_plain, _ACCENTED))
+_FOLDS = {p: _plain(p) for p in _ACCENTED}
 
 # Words that a query drops outside of quotes.
 STOP_WORDS = """
@@ -58,7 +55,20 @@ def fold(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Array of terms: maximal runs of letters, digits and private-use characters. Null counts as empty."""
-    return F.array_remove(F.split(fold(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}\p{Co}]+"), "")
+    return _cut(fold(F.coalesce(text, F.lit(""))))
+
+
+def unfolded(text: Column) -> Column:
+    """`tokens` that keep their diacritics: with `folded` for each, the same, as folding turns letters into letters."""
+    return _cut(F.lower(F.coalesce(text, F.lit(""))))
+
+
+def _cut(text: Column) -> Column:
+    return F.array_remove(F.split(text, r"[^\p{L}\p{N}\p{Co}]+"), "")
+
+
+def folded(token: str) -> str:
+    return token if token.isascii() else token.translate(_FOLDS)
 
 
 def sanitize(query: str) -> list[str]:
@@ -98,8 +108,7 @@ def operands(parts: list[str]) -> list[Operand]:
         body = body.rstrip("*") if prefix else body
         if not quoted and re.search(r"[/@#$%&=<>|]", body) or prefix and not body:
             raise QueryError(f"can't search for {part}")
-        folded = body.lower().translate(dict(zip(map(ord, FOLD_FROM), FOLD_TO, strict=True)))
-        terms = tuple(t for t in re.split(r"[^\w]|_", folded) if t)
+        terms = tuple(t for t in re.split(r"[^\w]|_", folded(body.lower())) if t)
         found.append(Operand(terms, prefix))
     return found
 
@@ -119,111 +128,10 @@ def document_frequency(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return spread.groupBy("term").agg(count(F.col("at") >= F.col("n")).alias("df"), count(F.col("at") < F.col("n")).alias("cf"))
 
 
-@dataclass(frozen=True)
-class Index:
-    """A persisted inverted index: postings (part, term, id, length, tf, positions), and the corpus's statistics."""
-
-    postings: DataFrame
-    documents: int
-    mean_length: float
-    id_col: str
-    parts: int
-
-
-def _part(term: Column, parts: int) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(parts)).cast("int")
+def impact(tf: Column, length: Column, mean: Column) -> Column:
+    """What an occurrence count adds to a score, but for the weight of its phrase; of columns or of arrays."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
 
-def build_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", parts: int = PARTS) -> Index:
-    """Write the inverted index of `docs` to `path`. Ids should be unique; null texts count as empty.
-
-    Postings are filed by a hash of their term and sorted by it, so that a search reads the folders of its terms, and of
-    their files only the row groups that hold these. A frequent term is dealt to several files of its folder.
-    """
-    spark = docs.sparkSession
-    cut = docs.select(id_col, tokens(F.col(text_col)).alias("tokens"))
-    lengths = cut.select(F.size("tokens").alias("length"))
-    spread = cut.select(id_col, F.size("tokens").alias("length"), F.posexplode("tokens").alias("position", "term"))
-    found = spread.groupBy("term", id_col).agg(F.first("length").alias("length"), F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
-    found = found.withColumn("part", _part(F.col("term"), parts))
-    dealt = found.repartition(session.n_partitions(spark), "part", F.pmod(F.xxhash64(id_col), F.lit(FILES)))
-    dealt.sortWithinPartitions("part", "term", id_col).write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
-    stats = lengths.agg(F.count("*").alias("documents"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("mean_length")).withColumns({"id_col": F.lit(id_col), "id_type": F.lit(docs.schema[id_col].dataType.simpleString()), "parts": F.lit(parts)})
-    stats.write.mode("overwrite").parquet(f"{path}/statistics")  # last: an index without it isn't whole
-    return open_index(spark, path)
-
-
-def open_index(spark: SparkSession, path: str) -> Index:
-    stats = spark.read.parquet(f"{path}/statistics").first()
-    schema = f"term string, `{stats['id_col']}` {stats['id_type']}, length int, tf int, positions array<int>, part int"
-    return Index(spark.read.schema(schema).parquet(f"{path}/postings"), stats["documents"], stats["mean_length"], stats["id_col"], stats["parts"])
-
-
-def _matches(term: Column, operand: Operand, i: int) -> Column:
-    """Whether a posting's term is the operand's i-th, or goes on from it if it is the last of a prefix."""
-    asked = operand.terms[i]
-    return term.startswith(asked) if operand.prefix and i == len(operand.terms) - 1 else term == asked
-
-
-def frequencies(index: Index, asked: list[Operand]) -> DataFrame:
-    """id, length and tf0, tf1, ... of every document that matches an operand. Overlapping phrases count."""
-    term = F.col("term")
-    wanted = {(o.terms[i], o.prefix and i == len(o.terms) - 1) for o in asked for i in range(len(o.terms))}
-    whole = sorted(t for t, prefix in wanted if not prefix)
-    test = term.isin(whole)
-    if not any(prefix for _, prefix in wanted):
-        parts = [r[0] for r in _parts_of(index, whole)]
-        test = F.col("part").isin(parts) & test
-    for t, prefix in wanted:
-        if prefix:
-            test = test | term.startswith(t)
-    rows = index.postings.filter(test)
-
-    def places(operand: Operand) -> list[Column]:
-        """For each term, an aggregate: where it stands, less its place in the phrase."""
-        def at(i: int) -> Column:
-            return F.flatten(F.collect_list(F.when(_matches(term, operand, i), F.transform("positions", lambda p: p - i))))
-
-        return [at(i) for i in range(len(operand.terms))]
-
-    sums: list[Column] = []
-    for o in asked:
-        if not o.terms:
-            sums.append(F.lit(0).cast("long"))
-        elif len(o.terms) == 1:
-            sums.append(F.sum(F.when(_matches(term, o, 0), F.col("tf")).otherwise(0)))
-        else:
-            found = places(o)
-            both = found[0]
-            for other in found[1:]:
-                both = F.array_intersect(both, other)
-            sums.append(F.size(both).cast("long"))
-    return rows.groupBy(index.id_col).agg(F.first("length").alias("length"), *[c.alias(f"tf{i}") for i, c in enumerate(sums)])
-
-
-def _parts_of(index: Index, terms: list[str]) -> list[Row]:
-    """Folders of the terms: a projection of literals, which needs no job."""
-    spark = index.postings.sparkSession
-    return spark.createDataFrame([(t,) for t in terms], "term string").select(_part(F.col("term"), index.parts)).distinct().collect() if terms else []
-
-
-def bm25(index: Index, query: str | list[Operand], k: int, within: DataFrame | None = None) -> DataFrame:
-    """id, bm25 (negative, smaller is better) of the k best documents that match any operand; ties go to the smaller id.
-
-    Each operand of a repeated phrase counts again. `within`, a table with the id column, narrows the hits before the
-    limit; document frequencies and lengths are of all documents. Only the postings of the query's terms are read.
-    """
-    asked = operands(sanitize(query)) if isinstance(query, str) else query
-    rows = frequencies(index, asked)
-    found = rows.agg(*[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(asked))]).first()
-    score, hit = F.lit(0.0), F.lit(False)
-    norm = K1 * (1 - B + B * F.col("length") / F.lit(index.mean_length or 1.0))
-    for i in range(len(asked)):
-        df, tf = found[f"df{i}"], F.col(f"tf{i}")
-        idf = math.log((index.documents - df + 0.5) / (df + 0.5))
-        score = score + F.when(tf > 0, F.lit(max(idf, LEAST_IDF)) * tf * (K1 + 1) / (tf + norm)).otherwise(0.0)
-        hit = hit | (tf > 0)
-    hits = rows.filter(hit).select(index.id_col, (-score).alias("bm25"))
-    if within is not None:
-        hits = hits.join(within.select(index.id_col).distinct(), index.id_col, "left_semi")
-    return hits.orderBy("bm25", index.id_col).limit(k)
+def idf(documents: int, df: int) -> float:
+    return max(math.log((documents - df + 0.5) / (df + 0.5)), LEAST_IDF)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.operators import fulltext, vector
+from lexmill.operators import fulltext, search_index, vector
 
 RRF_K = 60
 #: Candidates that each side of a hybrid search gives, as a multiple of k, and the weight of the full-text side.
@@ -41,19 +41,19 @@ def by_vector(vectors: DataFrame, query: list[float], k: int, vec_id: str = "vec
     return near.select(vec_id, (1 - F.col("distance")).alias("score"), F.array(F.lit("vector")).alias("methods"))
 
 
-def by_text(index: fulltext.Index, query: str, k: int, within: DataFrame | None = None) -> DataFrame:
+def by_text(index: search_index.Index, query: str, k: int, within: DataFrame | None = None) -> DataFrame:
     """The k best full-text hits with score (the better, the larger) and methods."""
-    hits = fulltext.bm25(index, query, k, within)
+    hits = search_index.bm25(index, query, k, within)
     return hits.select(index.id_col, (-F.col("bm25")).alias("score"), F.array(F.lit("fts")).alias("methods"))
 
 
-def hybrid(index: fulltext.Index, vectors: DataFrame, text: str, query: list[float], k: int, vec_id: str = "vec_id") -> DataFrame:
+def hybrid(index: search_index.Index, vectors: DataFrame, text: str, query: list[float], k: int, vec_id: str = "vec_id") -> DataFrame:
     """Fusion of the nearest vectors and the best full-text hits; vectors alone where the text can't be searched for."""
     doc_id = index.id_col
     near = vector.knn(vectors, query, POOL * k, id_col=vec_id).select(F.col(vec_id).alias(doc_id), "distance")
     lists = [(ranked(near, F.col("distance"), doc_id), "vector", 1.0)]
     try:
-        hits = fulltext.bm25(index, text, POOL * k)
+        hits = search_index.bm25(index, text, POOL * k)
         lists.append((ranked(hits, F.col("bm25"), doc_id), "fts", FULLTEXT_WEIGHT))
     except fulltext.QueryError:
         pass

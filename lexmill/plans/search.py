@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill import session
-from lexmill.operators import fulltext, output, quality, ranking, vector
+from lexmill.operators import fulltext, output, quality, ranking, search_index, vector
+from lexmill.sources import store
 
 #: The queries that are asked: a stored vector, and texts in the corpus's own words.
 VECTOR_ID = 0
 WORDS = "Ererthe, nd ou the ered?"
 PHRASE = '"of the" erer'
 TWICE = "ered ered nd"
+PREFIX = "ere* nd"
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,15 +24,16 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_indexes: dict[tuple[str, str, str], fulltext.Index] = {}
+_indexes: dict[tuple[str, str, str], search_index.Index] = {}
 
 
-def _index(spark: SparkSession, sf_dir: str) -> fulltext.Index:
-    """The full-text index of `documents`, built once per application for each state of the table's files."""
+def _index(spark: SparkSession, sf_dir: str) -> search_index.Index:
+    """The full-text index of `documents`, built once for each state of the table's files, below the shared folder."""
     path = f"{sf_dir}/documents.parquet"
     key = spark.sparkContext.applicationId, path, session.fingerprint(spark, path)
     if key not in _indexes:
-        _indexes[key] = fulltext.build_index(_read(spark, sf_dir, "documents"), session.scratch_path(spark, "fulltext"))
+        place = f"{session.shared_dir(spark)}/lexmill/index-{hashlib.sha256(repr(key[1:]).encode()).hexdigest()[:32]}"
+        _indexes[key] = search_index.build_index(_read(spark, sf_dir, "documents"), place)
     return _indexes[key]
 
 
@@ -111,8 +116,9 @@ def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def index_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Build the full-text index, and read its statistics back."""
-    index = fulltext.build_index(_read(spark, sf_dir, "documents"), session.scratch_path(spark, "fulltext"))
-    found = index.postings.agg(F.count("*").alias("postings"), F.countDistinct("term").alias("terms"), F.sum("tf").alias("occurrences"))
+    index = search_index.build_index(_read(spark, sf_dir, "documents"), session.scratch_path(spark, "fulltext"))
+    words = index.blocks().filter(F.col("term") != search_index.EVERY)
+    found = words.agg(F.sum("n").alias("postings"), F.countDistinct("term").alias("terms"), F.sum(F.aggregate("tfs", F.lit(0).cast("long"), lambda a, x: a + x)).alias("occurrences"))
     return found.withColumn("documents", F.lit(index.documents).cast("long"))
 
 
@@ -125,13 +131,43 @@ def postings_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _bm25(text: str, k: int = 10, within: str | None = None):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         narrowed = _read(spark, sf_dir, "documents").filter(within) if within else None
-        found = fulltext.bm25(_index(spark, sf_dir), text, k, within=narrowed)
+        found = search_index.bm25(_index(spark, sf_dir), text, k, within=narrowed)
         return found.select("doc_id", F.round("bm25", 6).alias("bm25"))
 
     return query
 
 
+def bm25_after_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index to which the benchmark's texts were added, in which documents got other texts, and from which others were removed.
+
+    Four commits: all documents; those of src2 read backwards; without those of src4; and the benchmark's texts, under negative ids.
+    """
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    kept = store.Store(spark, session.scratch_path(spark, "changed"))
+    kept.change(lambda s: search_index.added(kept, s, "index", docs))
+    changed = docs.filter("source = 'src2'")
+
+    def reread(state: store.State) -> dict[str, store.Table]:
+        tables = search_index.removed(kept, state, "index", changed)
+        new = search_index.segment(kept, state, "index", changed.withColumn("text", F.reverse("text")))
+        return tables | {"index": tables.get("index", state.table("index")).plus(new)}
+
+    kept.change(reread)
+    kept.change(lambda s: search_index.removed(kept, s, "index", docs.filter("source = 'src4'")))
+    kept.change(lambda s: search_index.added(kept, s, "index", _read(spark, sf_dir, "benchmark").select((-1 - F.col("item_id")).alias("doc_id"), "text")))
+    kept.change(lambda s: search_index.merged(kept, s, "index"))
+    return search_index.bm25(search_index.opened(kept), WORDS, 20).select("doc_id", F.round("bm25", 6).alias("bm25"))
+
+
+_CHANGED = """
+WITH tok AS (SELECT *, {tokens} AS t FROM (
+  SELECT doc_id, CASE WHEN source = 'src2' THEN reverse(text) ELSE text END AS text, source FROM documents WHERE source IS DISTINCT FROM 'src4'
+  UNION ALL SELECT -1 - item_id, text, NULL FROM benchmark)),"""
+
+
 def _count(phrase: tuple[str, ...]) -> str:
+    if phrase[-1].endswith("*"):
+        return f"len(list_filter(t, lambda x: starts_with(x, '{phrase[0][:-1]}')))"
     if len(phrase) == 1:
         return f"len(list_filter(t, lambda x: x = '{phrase[0]}'))"
     same = " AND ".join(f"t[i + {j}] = '{w}'" for j, w in enumerate(phrase))
@@ -248,7 +284,7 @@ FROM r WHERE rank <= 5 GROUP BY query_id
 
 def _pool(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
-    hits = fulltext.bm25(_index(spark, sf_dir), WORDS, ranking.pool_size(k))
+    hits = search_index.bm25(_index(spark, sf_dir), WORDS, ranking.pool_size(k))
     return F.broadcast(hits).join(docs.select("doc_id", "source", "text"), "doc_id").withColumn("score", -F.col("bm25"))
 
 
@@ -296,6 +332,8 @@ QUERIES = {
     "bm25_docfilter": _bm25(WORDS, within="source = 'src3'"),
     "bm25_phrase": _bm25(PHRASE),
     "bm25_dup_operand": _bm25(TWICE),
+    "bm25_prefix": _bm25(PREFIX, 20),
+    "bm25_after_changes": bm25_after_changes,
     "hybrid_search": hybrid_search,
     "per_doc_cap": per_doc_cap,
     "rerank_pool": rerank_pool,
@@ -325,6 +363,8 @@ ORACLE_SQL = {
     "bm25_docfilter": _bm25_sql(_WORD_PHRASES, within="source = 'src3'"),
     "bm25_phrase": _bm25_sql([("of", "the"), ("erer",)]),
     "bm25_dup_operand": _bm25_sql([("ered",), ("ered",), ("nd",)]),
+    "bm25_prefix": _bm25_sql([("ere*",), ("nd",)], 20),
+    "bm25_after_changes": _CHANGED.format(tokens=_TOKENS) + _bm25_sql(_WORD_PHRASES, 20).split("FROM documents),", 1)[1],
     "hybrid_search": _HYBRID_SQL,
     "per_doc_cap": _bm25_sql(_WORD_PHRASES, 100, tail="SELECT source, doc_id, round(-bm25, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY bm25, doc_id) AS k FROM hits) WHERE k <= 3"),
     "rerank_pool": _bm25_sql(_WORD_PHRASES, 100, tail=f"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.operators import alignment, chunking, cleanup, context, fulltext, quality, ranking, titles
+from lexmill.operators import alignment, chunking, cleanup, context, quality, ranking, search_index, titles
 from lexmill.plans.search import _BATCH_SQL, _WORD_PHRASES, WORDS, _batch, _bm25_sql, _index, _read
 from lexmill.streaming import ingest
 
@@ -330,7 +330,7 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rag_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best five hits as a context."""
     docs = _read(spark, sf_dir, "documents")
-    hits = ranking.ranked(F.broadcast(fulltext.bm25(_index(spark, sf_dir), WORDS, 5)).join(docs.select("doc_id", "source", "text"), "doc_id"), F.col("bm25"), "doc_id")
+    hits = ranking.ranked(F.broadcast(search_index.bm25(_index(spark, sf_dir), WORDS, 5)).join(docs.select("doc_id", "source", "text"), "doc_id"), F.col("bm25"), "doc_id")
     found = context.assemble(hits, "rank", F.concat(F.lit("doc"), F.col("doc_id").cast("string")), F.col("source"), F.col("text"))
     return found.select("chunks", F.sha2(context.user_message(F.col("context"), F.lit(WORDS)), 256).alias("message_sha256"))
 

@@ -88,7 +88,7 @@ def test_library_states(spark, library):
     assert library.search("sleeps", 1, "fts").first().doc_id == dog
     kind, chunks = library.chunks_of("@Dog2021")
     assert kind == "whole" and chunks.count() == 1
-    again = Library(spark, library.tables.path, dim=64)
+    again = Library(spark, library.store.path, dim=64)
     assert again.documents.count() == 2 and again.search("sleeps", 1).first().doc_id == dog
     again.fail(spark.createDataFrame([("/in/lost.pdf", "gone", "missing"), ("/in/b.md", "gone", "missing")], "path string, error_message string, error_code string"))
     assert again.list(5, equals={"status": "failed"}).first().original_path == "/in/lost.pdf"

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexmill import session
-from lexmill.operators import catalog, fulltext, quality, ranking, vector
+from lexmill.operators import catalog, fulltext, quality, ranking, search_index, vector
 
 TEXTS = ["the cat sat on the mat", "a cat and a dog", "dogs chase cats", "Café CAT cat cat", "", None, "mat cat mat", "prefix prefixes predict"]
 
@@ -18,7 +18,7 @@ def docs(spark):
 
 @pytest.fixture(scope="module")
 def index(spark, docs):
-    return fulltext.build_index(docs, session.scratch_path(spark, "test"), parts=4)
+    return search_index.build_index(docs, session.scratch_path(spark, "test"))
 
 
 @pytest.mark.parametrize("query", ["cat", "cat dog mat", '"the mat" cat', "cat cat dog", "pre*", "cafe", "zebra", '"cat cat" "cat cat cat"', "do* ma*"])
@@ -27,24 +27,21 @@ def test_bm25_equals_fts5(index, query):
     db.execute("CREATE VIRTUAL TABLE t USING fts5(text)")
     db.executemany("INSERT INTO t(rowid, text) VALUES (?, ?)", [(i + 1, t or "") for i, t in enumerate(TEXTS)])
     want = {r - 1: s for r, s in db.execute("SELECT rowid, bm25(t) FROM t WHERE t MATCH ?", (" OR ".join(fulltext.sanitize(query)),))}
-    got = {r.doc_id: r.bm25 for r in fulltext.bm25(index, query, 20).collect()}
+    got = {r.doc_id: r.bm25 for r in search_index.bm25(index, query, 20).collect()}
     assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-9, abs_tol=1e-9) for i in want)
 
 
 def test_bm25_filter_comes_before_the_limit(docs, index):
-    assert [r.doc_id for r in fulltext.bm25(index, "cat", 2, within=docs.filter("doc_id < 2")).collect()] == [1, 0]
-
-
-def test_index_is_read_by_folder(spark, index, capsys):
-    """A query reads the folders of its terms, and is the same from an index that is opened again."""
-    fulltext.frequencies(index, fulltext.operands(["cat"])).explain("formatted")
-    plan = capsys.readouterr().out
-    assert "PartitionFilters: [isnotnull(part" in plan and "PushedFilters" in plan and "positions" not in plan.split("ReadSchema")[1].split("\n")[0]
-    path = index.postings.inputFiles()[0].split("/postings/")[0]
-    again = fulltext.open_index(spark, path)
-    assert fulltext.bm25(again, "cat mat", 9).collect() == fulltext.bm25(index, "cat mat", 9).collect()
-    empty = fulltext.build_index(spark.createDataFrame([], "doc_id long, text string"), session.scratch_path(spark, "test"))
-    assert fulltext.bm25(empty, "cat", 9).count() == 0
+    assert [r.doc_id for r in search_index.bm25(index, "cat", 2, within=docs.filter("doc_id < 2")).collect()] == [1, 0]
+
+
+def test_index_is_opened_again(spark, docs, index):
+    """What is at a path is opened, not built again; an empty table makes an index without hits."""
+    path = index.store.path
+    assert search_index.build_index(docs.limit(1), path).documents == len(TEXTS)
+    assert search_index.bm25(search_index.open_index(spark, path), "cat mat", 9).collect() == search_index.bm25(index, "cat mat", 9).collect()
+    empty = search_index.build_index(spark.createDataFrame([], "doc_id long, text string"), session.scratch_path(spark, "test"))
+    assert search_index.bm25(empty, "cat", 9).count() == 0 and search_index.bm25(empty, '"cat mat"', 9).count() == 0
 
 
 def test_knn(spark):
