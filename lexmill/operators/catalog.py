@@ -209,6 +209,30 @@ def suggestions(names: DataFrame, name_col: str, asked: str, most: int = 3, dist
     return found.filter("distance >= 0").orderBy("group", "distance", name_col).limit(most)
 
 
+def _shortened(name: Column, distance: int) -> Column:
+    """A name and all that is left of it without up to `distance` of its characters."""
+    found = level = F.array(name)
+    for _ in range(distance):
+        places = lambda x: F.when(F.length(x) > 0, F.sequence(F.lit(1), F.length(x))).otherwise(F.array().cast("array<int>"))
+        level = F.array_distinct(F.flatten(F.transform(level, lambda x: F.transform(places(x), lambda i: F.concat(F.substring(x, 1, i - 1), F.substring(x, i + 1, F.length(x)))))))
+        found = F.concat(found, level)
+    return F.array_distinct(found)
+
+
+def suggestions_for(asked: DataFrame, names: DataFrame, asked_col: str, name_col: str, most: int = 3, distance: int = 2) -> DataFrame:
+    """asked, name, distance and place (from 1) of the `most` names within an edit distance of each key, the nearest first.
+
+    Two strings within d edits have a string in common that both give without at most d of their characters. So these are
+    the keys of a join, as hashes, for all keys and names at once; what meets is checked by its distance. Equal keys and equal names
+    are one before they meet. Null keys get nothing.
+    """
+    keys = lambda rows, col, out: rows.select(F.col(col).alias(out)).filter(F.col(out).isNotNull()).distinct().select(out, F.explode(F.array_distinct(F.transform(_shortened(F.col(out), distance), lambda x: F.xxhash64(x)))).alias("key"))
+    met = keys(asked, asked_col, "asked").join(keys(names, name_col, "name"), "key").select("asked", "name").distinct()
+    near = met.withColumn("distance", F.levenshtein("asked", "name", distance).cast("long")).filter("distance >= 0")
+    order = Window.partitionBy("asked").orderBy("distance", "name")
+    return near.withColumn("place", F.row_number().over(order).cast("long")).filter(F.col("place") <= most)
+
+
 def first_of_content(rows: DataFrame, content: str, order: list[str]) -> DataFrame:
     """Rows with content_sha256, the key of the first row with that content, and whether they are it.
 

@@ -36,6 +36,22 @@ def fuzzy_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.suggestions(_read(spark, sf_dir, "customer"), "c_name", "Customer#00000001")
 
 
+def fuzzy_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every customer's name with a character lost, doubled or replaced (every fourth two), the three nearest names."""
+    names = _read(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    at = F.pmod(F.col("c_custkey") * 7, F.length("c_name")).cast("int") + 1
+    one = lambda x, at, way: F.concat(F.substring(x, 1, at - 1), F.when(way == 0, "").when(way == 1, F.repeat(F.substring(x, at, 1), F.lit(2))).otherwise("x"), F.substring(x, at + 1, F.length(x)))
+    asked = names.withColumn("asked", one(F.col("c_name"), at, F.col("c_custkey") % 3))
+    asked = asked.withColumn("asked", F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit("~"), "asked")).otherwise(F.col("asked")))
+    return catalog.suggestions_for(asked, names, "asked", "c_name").withColumnRenamed("name", "c_name")
+
+
+_FUZZY_SQL = """WITH a AS (SELECT *, CAST((c_custkey * 7) % length(c_name) AS INT) + 1 AS k FROM customer),
+b AS (SELECT DISTINCT CASE WHEN c_custkey % 4 = 0 THEN '~' ELSE '' END || c_name[:k - 1] || CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN c_name[k] || c_name[k] ELSE 'x' END || c_name[k + 1:] AS asked FROM a),
+d AS (SELECT DISTINCT asked, c_name, levenshtein(asked, c_name) AS distance FROM b, customer WHERE levenshtein(asked, c_name) <= 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY distance, c_name) AS place FROM d) SELECT * FROM r WHERE place <= 3"""
+
+
 def exact_dedupe_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = catalog.first_of_content(_read(spark, sf_dir, "documents"), "text", ["doc_id"])
     return found.select("doc_id", "content_sha256", "first_key", "is_first")
@@ -263,6 +279,7 @@ QUERIES = {
     "partial_id": partial_id,
     "range_slice": range_slice,
     "fuzzy_suggest": fuzzy_suggest,
+    "fuzzy_join": fuzzy_join,
     "exact_dedupe_first": exact_dedupe_first,
     "duplicate_reason": duplicate_reason,
     "citekey_gen": citekey_generation,
@@ -289,6 +306,7 @@ ORACLE_SQL = {
     "list_filter": "SELECT p_partkey, p_name, p_type FROM part WHERE p_size = 11 AND lower(p_type) LIKE '%con%' AND lower(p_name) LIKE 'small%'",
     "partial_id": "WITH i AS (SELECT (c_custkey % 97) || '-' || c_custkey AS id FROM customer), l AS (SELECT max(c_custkey) AS k FROM customer), a AS (SELECT unnest([(k % 97) || '-' || k, left((k % 97) || '-' || k, length((k % 97) || '-' || k) - 1) || 'x', '5-', (k % 97) || '-']) AS asked FROM l), n AS (SELECT asked, (SELECT count(*) FROM i WHERE id = asked) AS whole, (SELECT count(*) FROM i WHERE starts_with(id, asked)) AS n_some FROM a) SELECT asked, CASE WHEN whole > 0 OR n_some = 1 THEN 'found' WHEN n_some = 0 THEN 'not found' ELSE 'ambiguous' END AS status, CASE WHEN whole > 0 THEN 1 ELSE least(n_some, 2) END AS rows FROM n",
     "range_slice": "SELECT CAST(l_linenumber AS BIGINT) AS l_linenumber, count(*) AS rows FROM lineitem WHERE l_linenumber BETWEEN 2 AND 3 GROUP BY 1",
+    "fuzzy_join": _FUZZY_SQL,
     "fuzzy_suggest": "WITH x AS (SELECT c_name, CASE WHEN starts_with(c_name, 'Customer#00000001') THEN 0 ELSE 1 END AS g, levenshtein('Customer#00000001', c_name) AS d FROM customer) SELECT c_name, CAST(g AS BIGINT) AS \"group\", CAST(CASE g WHEN 0 THEN 0 ELSE d END AS BIGINT) AS distance FROM x WHERE g = 0 OR d <= 3 ORDER BY 2, 3, 1 LIMIT 3",
     "exact_dedupe_first": "SELECT doc_id, sha256(coalesce(text, '')) AS content_sha256, min(doc_id) OVER w AS first_key, doc_id = min(doc_id) OVER w AS is_first FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))",
     "duplicate_reason": "WITH d AS (SELECT doc_id, doc_id // 10 AS path, coalesce(text, '') AS t FROM documents), f AS (SELECT DISTINCT doc_id, path, t FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY doc_id) AS a, row_number() OVER (PARTITION BY t ORDER BY doc_id) AS b FROM d) WHERE a = 1 OR b = 1), k AS (SELECT d.doc_id, (SELECT min(f.doc_id) FROM f WHERE f.path = d.path AND f.doc_id <> d.doc_id) AS p, (SELECT min(f.doc_id) FROM f WHERE f.t = d.t AND f.doc_id <> d.doc_id) AS h FROM d) SELECT doc_id, CASE WHEN p IS NOT NULL THEN 'path' WHEN h IS NOT NULL THEN 'content' END AS reason, coalesce(p, h) AS stored_key FROM k",

@@ -376,18 +376,56 @@ SELECT o_orderkey, action, CASE WHEN action = 'upgrade' THEN 'TEXT_EXTRACTED' EL
   CASE WHEN action = 'review' OR (action = 'upgrade' AND low) THEN 'needs_review' ELSE 'ready' END AS status FROM a"""
 
 
+_HEADS = [
+    "On Things\n\n  By Ada Lovelace and Karl von Frisch; X\nUniversity of Somewhere\n",
+    "On Things\n\nGrace Hopper*, Alan M. Turing (Bletchley)\nNiels Bohr\nvol. 3, pp. 7\n\nAbstract\n",
+    "On Things\nSmith, J. and Doe, K. (MIT) a@b.org\nDr. Ludwig van Beethoven Jr.\n1. Introduction\n",
+    "by\tOtto Hahn\nLise Meitner\n",
+]
+
+
 def author_heuristic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names in the heads of documents: after `by`, and two lines between a title and an abstract. The texts begin behind the lines that are looked at."""
-    d = _read(spark, sf_dir, "documents").filter("text is not null")
-    head = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("On Things\n\nBy Ada Lovelace and Karl von Frisch; X\n\n"))).otherwise("On Things\n\nGrace Hopper*, Alan M. Turing (Bletchley)\nNiels Bohr\n\nAbstract\n")
-    found = d.select("doc_id", F.posexplode(people.authors(F.concat(head, F.lit("\n" * 50), "text"))).alias("place", "a"))
+    """Names in all documents: behind `by`, before an abstract or by looks, as their heads and own lines have it; a fifth have no head."""
+    d = _read(spark, sf_dir, "documents")
+    head = F.lit("")
+    for i, text in enumerate(_HEADS):
+        head = F.when(F.col("doc_id") % 5 == i, text).otherwise(head)
+    found = d.select("doc_id", F.posexplode(people.authors(F.concat(head, "text"))).alias("place", "a"))
     return found.select("doc_id", F.col("place").cast("long").alias("place"), "a.value", "a.confidence", "a.reasoning")
 
 
-# `and` becomes a comma, which the semicolon outranks: so the first line holds one name in two parts
-_AUTHORS_SQL = """WITH n AS (SELECT doc_id, unnest(CASE WHEN doc_id % 2 = 0 THEN ['Ada Lovelace, Karl'] ELSE ['Hopper, Grace', 'Turing, Alan', 'Bohr, Niels'] END) AS value,
-  generate_subscripts(CASE WHEN doc_id % 2 = 0 THEN [1] ELSE [1, 2, 3] END, 1) - 1 AS place FROM documents WHERE text IS NOT NULL)
-SELECT doc_id, place, value, CAST(CASE WHEN doc_id % 2 = 0 THEN 0.9 ELSE 0.7 END AS DOUBLE) AS confidence, CASE WHEN doc_id % 2 = 0 THEN '''by'' prefix detected' ELSE 'between title and abstract' END AS reasoning FROM n"""
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _authors_sql() -> str:
+    heads = " ".join(f"WHEN {i} THEN " + " || chr(10) || ".join(map(_quoted, h.split("\n"))) for i, h in enumerate(_HEADS))
+    signs = " + ".join(f"CASE WHEN regexp_matches(line, {_quoted(p)}) THEN {worth} ELSE 0 END" for worth, p in people.SIGNS)
+    short = f"CASE WHEN regexp_matches(line, {_quoted(people.SHORT_NAME)}) AND 5 * length(regexp_replace(line, '\\P{{L}}+', '', 'g')) > 4 * length(line) THEN {people.SHORT_NAME_WORTH} ELSE 0 END"
+    plain = f"regexp_replace(regexp_replace(regexp_replace(p, {_quoted(people.NO_NAME)}, '', 'g'), '\\s+', ' ', 'g'), {_quoted(people.EDGES)}, '', 'g')"
+    bare = f"regexp_replace(regexp_replace(n, {_quoted(people.TITLES)}, ''), {_quoted(people.SUFFIXES)}, '')"
+    turned = f"CASE WHEN contains(m, ',') THEN regexp_replace(m, {_quoted(people.TURNED)}, '\\1, \\2') ELSE regexp_replace(m, {_quoted(people.IN_ORDER)}, '\\2, \\1') END"
+    by, none = "'''by'' prefix detected'", ", ".join(map(_quoted, people.INSTITUTIONS))
+    return f"""WITH x AS (SELECT doc_id, (CASE doc_id % 5 {heads} ELSE '' END) || text AS text FROM documents),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))[1:{people.HEAD_LINES}]) AS line, generate_subscripts(string_split(text, chr(10))[1:{people.HEAD_LINES}], 1) - 1 AS ln FROM x WHERE text IS NOT NULL),
+t AS (SELECT doc_id, ln, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS line FROM l),
+s AS (SELECT *, CASE WHEN line = '' OR length(line) > {people.LONGEST_LINE} OR regexp_matches(lower(line), {_quoted(people.BARRED)}) OR (regexp_matches(lower(line), {_quoted(people.AFFILIATION)}) AND NOT contains(line, ',')) THEN 0
+  ELSE least(100, greatest(0, {people.BASE} + {signs} + {short})) END AS score, lag(line) OVER (PARTITION BY doc_id ORDER BY ln) AS before, lead(line) OVER (PARTITION BY doc_id ORDER BY ln) AS after FROM t),
+u AS (SELECT *, coalesce(lead(score) OVER (PARTITION BY doc_id ORDER BY ln), 0) AS after_score, min(ln) FILTER (regexp_matches(line, '^(?i:by)\\s')) OVER d AS by_ln,
+  coalesce(min(ln) FILTER (lower(line) LIKE 'abstract%') OVER d, 0) AS abs_ln, min(ln) FILTER (ln > 0 AND line = '' AND before <> '') OVER d AS gap FROM s WINDOW d AS (PARTITION BY doc_id)),
+v AS (SELECT *, count(*) FILTER (ln > gap AND ln < abs_ln AND score > {people.POSSIBLE}) OVER d AS middles, max(score) FILTER (ln BETWEEN 1 AND {people.SCORED_LINES - 1}) OVER d AS best FROM u WINDOW d AS (PARTITION BY doc_id)),
+h AS (SELECT doc_id, ln, CASE WHEN by_ln IS NOT NULL THEN regexp_replace(line, '^(?i:by)\\s+', '') || CASE WHEN after_score >= {people.LIKELY} AND NOT regexp_matches(after, '^(Abstract|Introduction|#)') THEN ', ' || after ELSE '' END ELSE line END AS held,
+  CASE WHEN by_ln IS NOT NULL THEN {people.BY_LINE} WHEN middles > 0 THEN {people.BEFORE_ABSTRACT} ELSE best * {people.BY_SCORE} / 100 END AS worth,
+  CASE WHEN by_ln IS NOT NULL THEN {by} WHEN middles > 0 THEN 'between title and abstract' ELSE 'author-like patterns' END AS reasoning
+  FROM v WHERE CASE WHEN by_ln IS NOT NULL THEN ln = by_ln WHEN middles > 0 THEN ln > gap AND ln < abs_ln AND score > {people.POSSIBLE} ELSE ln BETWEEN 1 AND {people.SCORED_LINES - 1} AND score >= {people.LIKELY} END),
+a AS (SELECT *, regexp_replace(held, '\\s+(?i:and)\\s+', ', ', 'g') AS y FROM h),
+b AS (SELECT *, list_filter(list_transform(string_split(y, CASE WHEN contains(y, ';') THEN ';' ELSE ',' END), lambda p: {plain}), lambda n: length(n) >= 3 AND regexp_matches(n, '[a-zA-Z]') AND lower(n) NOT IN ({none})) AS ns FROM a),
+c AS (SELECT *, list_filter(list_transform(list_transform(ns, lambda n: {bare}), lambda m: {turned}), lambda n: length(n) >= 3) AS vs FROM b),
+e AS (SELECT doc_id, ln, worth, reasoning, unnest(vs) AS value, generate_subscripts(vs, 1) AS i FROM c)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ln, i) - 1 AS place, value, round(least(100, worth + CASE WHEN contains(value, ',') THEN {people.FULL_NAME} ELSE 0 END) / 100, 2) AS confidence, reasoning FROM e"""
+
+
+_AUTHORS_SQL = _authors_sql()
 
 
 def author_lists(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
+from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import TimerValues
 
+from lexmill import session
 from lexmill.operators import cleanup, quality
 
 
@@ -18,35 +25,63 @@ def prepare(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return cleaned.withColumn("status", F.when(quality.gate(F.col(text_col)) == "ok", "ready").otherwise("needs_review"))
 
 
-def append_new(store: str, order: str) -> Callable[[DataFrame, int], None]:
-    """A batch writer that appends what the store does not hold; of copies in a batch the first by `order` stays.
+class FirstOfContent(StatefulProcessor):
+    """Passes a content's first row, by `order`, and none when it comes again; the state is that it came.
 
-    The batch's number is part of the path, so a batch that runs again replaces itself.
+    A state that was not touched for `keep` milliseconds is forgotten, if that is given.
     """
 
-    def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        first = batch.groupBy("content_hash").agg(F.min_by(F.struct(*batch.columns), order).alias("r")).select("r.*")
-        held = _held(spark, store, number)
-        if held is not None:
-            first = first.join(held, "content_hash", "left_anti")
-        first.write.mode("overwrite").parquet(f"{store}/batch={number}")
+    def __init__(self, order: str, keep: int | None = None):
+        self.order, self.keep = order, keep
 
-    return write
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "seen boolean", self.keep)
 
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timers: TimerValues) -> Iterator[Row]:
+        first = None
+        for row in rows:
+            if first is None or _before(row[self.order], first[self.order]):
+                first = row
+        if not self.seen.exists():
+            yield first
+        self.seen.update((True,))
 
-def _held(spark: SparkSession, store: str, number: int) -> DataFrame | None:
-    """Hashes of earlier batches."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(store)
-    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
-        return None
-    return spark.read.parquet(store).filter(F.col("batch") < number).select("content_hash")
+    def close(self) -> None:
+        pass
 
 
-def ingest(spark: SparkSession, source: str, store: str, checkpoint: str, schema: str, order: str = "doc_id", pattern: str = "*") -> StreamingQuery:
-    """Take up all Parquet files that came to `source` since the last run and whose names fit the pattern, then stop."""
+def _before(a: Any, b: Any) -> bool:
+    """Whether a value comes before another; null comes last."""
+    return a is not None and (b is None or a < b)
+
+
+def once(stream: DataFrame, order: str, keep: int | None = None) -> DataFrame:
+    """The rows of a stream with a content_hash, each content once; of copies in a batch the first by `order`.
+
+    What was met is kept as state by content, part of the stream's checkpoint, so nothing that is stored is read again.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row of each content in an Arrow batch, so that few rows of a frequent one meet in one task."""
+        for batch in batches:
+            at = pc.sort_indices(batch, [("content_hash", "ascending"), (order, "ascending")])
+            codes = batch.column("content_hash").dictionary_encode().indices.take(at).to_numpy(zero_copy_only=False)
+            yield batch.take(at.filter(pa.array(np.append(True, codes[1:] != codes[:-1])[: len(codes)])))
+
+    by_content = stream.mapInArrow(firsts, stream.schema).groupBy("content_hash")
+    return by_content.transformWithState(FirstOfContent(order, keep), stream.schema, "Append", "ProcessingTime" if keep else "None")
+
+
+def ingest(spark: SparkSession, source: str, store: str, checkpoint: str, schema: str, order: str = "doc_id", pattern: str = "*", keep: int | None = None) -> StreamingQuery:
+    """Take up all Parquet files that came to `source` since the last run and whose names fit the pattern, then stop.
+
+    A run that was stopped goes on from its checkpoint: the store has each row once.
+    """
+    session.tune(spark)
     stream = spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(source)
-    return prepare(stream).writeStream.foreachBatch(append_new(store, order)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    fresh = once(prepare(stream), order, keep)
+    return fresh.writeStream.format("parquet").outputMode("append").option("path", store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def windowed_counts(events: DataFrame, late: str = "10 minutes", size: str = "1 hour") -> DataFrame:

@@ -47,15 +47,26 @@ def test_keys_that_two_numbered_bases_reach(spark):
     assert metadata.unique_citekeys(df.limit(0), "base", ["i"]).count() == 0
 
 
-def test_people():
-    by = people.find_authors("A Title\n\nby Jane van der Berg, Bob Stone\nSue Lake\n")
+def test_people(spark):
+    def found(*texts):
+        df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+        return [r.a for r in df.select("i", people.authors(F.col("t")).alias("a")).orderBy("i").collect()]
+
+    by, between, looks, turned, *none = found(
+        "A Title\n\nby Jane van der Berg, Bob Stone\nSue Lake\n",
+        "A Title\n\nJohn Smith¹, Mary A. Jones²\nDepartment of Things\n\nAbstract\nx",
+        "A Title\nSmith, J. and Doe, K. (MIT) a@b.org\nplain words that go on in a row",
+        "By Dr. Stone, Bob; de la Cruz, Maria Elena; MIT; John Q. Public Jr.\nIntroduction to Things",
+        None,
+        " \n",
+        "no names in here",
+        "A Title\n" + "University of Somewhere\n" + "X" * 201 + "\n# Head Line Here\n1. First Point",
+    )
     assert [(a["value"], a["confidence"]) for a in by] == [("van der Berg, Jane", 0.9), ("Stone, Bob", 0.9), ("Lake, Sue", 0.9)]
-    between = people.find_authors("A Title\n\nJohn Smith¹, Mary A. Jones²\nDepartment of Things\n\nAbstract\nx")
     assert [a["value"] for a in between] == ["Smith, John", "Jones, Mary"] and between[0]["reasoning"] == "between title and abstract"
-    looks = people.find_authors("A Title\nSmith, J. and Doe, K. (MIT) a@b.org\nplain words that go on in a row")
     assert looks[0]["reasoning"] == "author-like patterns" and [a["value"] for a in looks] == ["Smith", "Doe"]
-    assert people.find_authors(None) == people.find_authors(" \n") == people.find_authors("no names in here") == []
-    assert people.line_score("University of Somewhere") == people.line_score("x" * 201) == people.line_score("# Head Line Here") == 0.0
+    assert [a["value"] for a in turned] == ["Stone, Bob", "de la Cruz, Maria", "Public, John"]
+    assert none == [[], [], [], []]
 
 
 def test_similarity_is_that_of_the_longest_common_subsequence():

@@ -1,3 +1,5 @@
+import pytest
+from pyspark.sql import functions as F
 import hashlib
 import json
 import sqlite3
@@ -54,6 +56,24 @@ def test_ingest_takes_each_content_once(spark, tmp_path):
         ingest.ingest(spark, source, store, check, "doc_id long, text string").awaitTermination(60)
     got = sorted((r.doc_id, r.status) for r in spark.read.parquet(store).collect())
     assert got == [(1, "ready"), (3, "needs_review"), (5, "ready")]
+    # the store isn't read: its rows may be elsewhere by then; nulls and rows without an id are contents as all others
+    away = str(tmp_path / "elsewhere")
+    spark.createDataFrame([(None, long), (None, None), (7, ""), (None, "new"), (8, "new")], "doc_id long, text string").write.mode("append").parquet(source)
+    ingest.ingest(spark, source, away, check, "doc_id long, text string").awaitTermination(60)
+    assert sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{away}/part-*").collect()) == [(7, ""), (8, "new")]
+
+
+def test_ingest_goes_on_after_a_stop(spark, tmp_path):
+    """A run that fails in the middle of a batch leaves no rows and no state behind; the next one takes all."""
+    source, store, check = (str(tmp_path / n) for n in ("in", "store", "check"))
+    spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "doc_id long, text string").write.parquet(source)
+    stream = ingest.once(ingest.prepare(spark.readStream.schema("doc_id long, text string").parquet(source)), "doc_id")
+    broken = stream.withColumn("text", F.when(F.col("text") == "b", F.raise_error(F.lit("stopped"))).otherwise(F.col("text")))
+    writer = broken.writeStream.format("parquet").option("path", store).option("checkpointLocation", check).trigger(availableNow=True)
+    with pytest.raises(Exception, match="stopped"):
+        writer.start().awaitTermination(120)
+    ingest.ingest(spark, source, store, check, "doc_id long, text string").awaitTermination(120)
+    assert sorted((r.doc_id, r.text) for r in spark.read.parquet(store).collect()) == [(1, "a"), (2, "b")]
 
 
 def test_extract(spark):
