@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill import session
-from lexmill.operators import fulltext, output, quality, ranking, search_index, vector
+from lexmill.operators import fulltext, output, quality, ranking, search_index, vector, vector_index
 from lexmill.sources import store
 
 #: The queries that are asked: a stored vector, and texts in the corpus's own words.
@@ -24,6 +25,12 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _stable(spark: SparkSession, kind: str, path: str) -> str:
+    """A place below the shared folder for what is built from the present files at a path; other applications find it there."""
+    state = f"{path} {session.fingerprint(spark, path)}"
+    return f"{session.shared_dir(spark)}/lexmill/{kind}-{hashlib.sha256(state.encode()).hexdigest()[:32]}"
+
+
 _indexes: dict[tuple[str, str, str], search_index.Index] = {}
 
 
@@ -32,8 +39,7 @@ def _index(spark: SparkSession, sf_dir: str) -> search_index.Index:
     path = f"{sf_dir}/documents.parquet"
     key = spark.sparkContext.applicationId, path, session.fingerprint(spark, path)
     if key not in _indexes:
-        place = f"{session.shared_dir(spark)}/lexmill/index-{hashlib.sha256(repr(key[1:]).encode()).hexdigest()[:32]}"
-        _indexes[key] = search_index.build_index(_read(spark, sf_dir, "documents"), place)
+        _indexes[key] = search_index.build_index(_read(spark, sf_dir, "documents"), _stable(spark, "index", path))
     return _indexes[key]
 
 
@@ -46,10 +52,31 @@ def _knn(metric: str):
     return query
 
 
+def _knn_bounded(metric: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """The same by clusters with bounds; their index is built once for each state of the table's files."""
+        rows, path = _read(spark, sf_dir, "embeddings"), f"{sf_dir}/embeddings.parquet"
+        place = _stable(spark, f"vectors-{metric}", path)
+        index = vector_index.opened(spark, place)
+        if index is None:
+            index = vector_index.build(rows, f"{place}-{uuid.uuid4().hex}" if session.files(spark, place)[0].exists(session.files(spark, place)[1]) else place, metric)
+        found = vector_index.knn(index, vector.vector_of(rows, VECTOR_ID), 10)
+        return found.select("vec_id", "label", (F.round("distance", 6) + 0.0).alias("distance"))
+
+    return query
+
+
 _COSINE = "1 - list_sum(list_transform(list_zip(e.v, q.v), lambda p: p[1] * p[2])) / (sqrt(list_sum(list_transform(e.v, lambda x: x * x))) * sqrt(list_sum(list_transform(q.v, lambda x: x * x))))"
 _VECTORS = f"e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), q AS (SELECT v FROM e WHERE vec_id = {VECTOR_ID})"
 
 
+_DISTANCES = {
+    "cosine": _COSINE,
+    "l2": "sqrt(list_sum(list_transform(list_zip(e.v, q.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))))",
+    "l1": "list_sum(list_transform(list_zip(e.v, q.v), lambda p: abs(p[1] - p[2])))",
+}
+
+
 def _knn_sql(distance: str) -> str:
     return f"WITH {_VECTORS}, d AS (SELECT vec_id, label, {distance} AS distance FROM e, q) SELECT vec_id, label, round(distance, 6) + 0.0 AS distance FROM d ORDER BY d.distance, vec_id LIMIT 10"
 
@@ -317,6 +344,9 @@ QUERIES = {
     "knn_cosine": _knn("cosine"),
     "knn_l2": _knn("l2"),
     "knn_l1": _knn("l1"),
+    "knn_bounded_cosine": _knn_bounded("cosine"),
+    "knn_bounded_l2": _knn_bounded("l2"),
+    "knn_bounded_l1": _knn_bounded("l1"),
     "knn_postfilter": knn_postfilter,
     "knn_prefilter": knn_prefilter,
     "knn_batch": knn_batch,
@@ -345,9 +375,8 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
-    "knn_cosine": _knn_sql(_COSINE),
-    "knn_l2": _knn_sql("sqrt(list_sum(list_transform(list_zip(e.v, q.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))))"),
-    "knn_l1": _knn_sql("list_sum(list_transform(list_zip(e.v, q.v), lambda p: abs(p[1] - p[2])))"),
+    **{f"knn_{m}": _knn_sql(d) for m, d in _DISTANCES.items()},
+    **{f"knn_bounded_{m}": _knn_sql(d) for m, d in _DISTANCES.items()},
     "knn_postfilter": f"SELECT * FROM ({_knn_sql(_COSINE)}) WHERE label < 5",
     "knn_prefilter": f"WITH {_VECTORS}, d AS (SELECT vec_id, label, {_COSINE} AS distance FROM e, q WHERE label < 5) SELECT vec_id, label, round(distance, 6) + 0.0 AS distance FROM d ORDER BY d.distance, vec_id LIMIT 10",
     "knn_batch": _BATCH_SQL + "SELECT query_id, rank, vec_id, round(distance, 6) + 0.0 AS distance FROM r WHERE rank <= 5",
