@@ -454,3 +454,34 @@ def test_hnsw_of_repeated_rows(spark):
     for r in sorted(got, key=lambda r: r.rank):
         by[r.score].append((r["rank"], r.vec_id))
     assert by[25.0] == [(1, 2), (2, 2), (3, 3), (4, 3), (5, 4)] and by[3.0] == [(1, 2), (2, 2), (3, 3), (4, 3), (5, 4)]
+
+
+@pytest.mark.parametrize("size,groups,most", [(2, 300, 12), (5, 150, 16)])
+def test_sharding_keeps_groups_where_all_are_linked(spark, size, groups, most):
+    """Every text stands `size` times: hardly more groups are split than counts that are one apart ask for."""
+    rows = spark.createDataFrame([(i, f"text {i % groups}", "x", "x") for i in range(size * groups)], DOCS)
+    got = sharding.shard_texts(rows, 16).join(rows.select(F.col("doc_id").alias("of"), "text"), F.col("id") == F.col("of")).select("shard", "text").collect()
+    sizes, held = Counter(r.shard for r in got), defaultdict(set)
+    for r in got:
+        held[r.text].add(r.shard)
+    assert len(got) == size * groups and max(sizes.values()) - min(sizes.values()) <= 1
+    assert sum(len(x) > 1 for x in held.values()) <= most
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.dictionaries(st.tuples(st.integers(0, 4), st.integers(1, 9)), st.integers(1, 6), max_size=20))
+def test_whole_moves_even_out(counts):
+    total = sum(x * n for (_, x), n in counts.items())
+    targets = [total // 5 + (s < total % 5) for s in range(5)]
+    moves, cuts = sharding._whole_moves(counts, targets)
+    load = [sum(x * n for (i, x), n in counts.items() if i == s) for s in range(5)]
+    used = defaultdict(set)
+    for i, x, first, last, to in moves:
+        load[i], load[to] = load[i] - x * (last - first), load[to] + x * (last - first)
+    for i, x, first, last, nodes in cuts:
+        assert last == first + 1 and 0 < nodes <= x
+        load[i] -= nodes
+    for i, x, first, last, _ in [*moves, *cuts]:
+        assert 0 <= first < last <= counts[i, x] and not used[i, x] & set(range(first, last))
+        used[i, x] |= set(range(first, last))
+    assert all(n <= t for n, t in zip(load, targets, strict=True))
