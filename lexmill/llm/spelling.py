@@ -44,7 +44,7 @@ LONGEST = 48
 #: Distinct words that a task holds before it passes their counts on; edits that are probed at a time.
 HELD, PROBED = 200_000, 1 << 20
 #: Blocks of a filter (8 lanes of 32 bits) that one task makes.
-SEGMENT = 4096
+SEGMENT = 256
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -235,7 +235,8 @@ def candidates(words: DataFrame, filters: Filters) -> DataFrame:
                             new.append(words[i][:p] + (chr(x) if x else "") + words[i][p + 1 :])
                         yield pa.RecordBatch.from_arrays([pa.array([words[i] for i in of], pa.string()), pa.array([n[i] for i in of], pa.int64()), pa.array(new, pa.string())], names=["word", "n", "edit"])
 
-    return words.select("word", "n").mapInArrow(task, "word string, n long, edit string")
+    dealt = words.select("word", "n").repartition(session.n_partitions(words.sparkSession), "word")  # a small table, with much work for each row
+    return dealt.mapInArrow(task, "word string, n long, edit string")
 
 
 def near(words: DataFrame) -> DataFrame:
