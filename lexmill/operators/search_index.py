@@ -37,6 +37,8 @@ from lexmill.sources.store import Part, State, Store, Table
 BLOCK, SAMPLE, LEAST_RANGE = 256, 1000, 500
 #: Postings from which on it pays to look for a bound first.
 PRUNE_FROM = 1000 * BLOCK
+#: Blocks whose sizes may be added up by the driver; of more they are added up before.
+FEW_BLOCKS = 10_000
 #: Rows that a Python worker gets at once when postings are put into blocks.
 BATCH = 4000
 
@@ -300,15 +302,22 @@ def _spread_counts(blocks: DataFrame) -> DataFrame:
     return blocks.select("seq", "term", F.inline(F.arrays_zip(F.col("ids").alias("id"), F.col("lengths").alias("length"), F.col("tfs").alias("tf"))))
 
 
-def term_counts(index: Index, asked: set[tuple[str, bool]]) -> DataFrame:
-    """term, df and top (what a posting adds at most, at the index's mean length) of terms, from the sizes of blocks."""
+def term_counts(index: Index, terms: set[str]) -> dict[str, tuple[int, float]]:
+    """df and top (what a posting adds at most, at the index's mean length) of the terms that are held, from the sizes of blocks."""
+    asked = {(t, False) for t in terms}
     mean = F.lit(index.mean_length or 1.0)
     held = index.blocks(index.ranges_of(asked)).filter(_test(asked)).select("term", "n", (F.col("top") * F.greatest(F.lit(1.0), mean / F.col("base"))).alias("top"))
     live = [s.seq for s in index.segments]
     for part in index.state.table(f"{index.name}-less").parts:
         less = index.spark.read.parquet(f"{index.store.path}/{part.path}").filter(_test(asked) & F.col("seq").isin(live))
         held = held.unionByName(less.select("term", (-F.col("n")).alias("n"), F.lit(0.0).alias("top")))
-    return held.groupBy("term").agg(F.sum("n").alias("df"), F.max("top").alias("top")).filter("df > 0")
+    if index.documents * len(terms) > FEW_BLOCKS * BLOCK:
+        held = held.groupBy("term").agg(F.sum("n").alias("n"), F.max("top").alias("top"))
+    found: dict[str, tuple[int, float]] = {}
+    for r in held.collect():
+        df, top = found.get(r["term"], (0, 0.0))
+        found[r["term"]] = df + r["n"], max(top, r["top"])
+    return {t: x for t, x in found.items() if x[0] > 0}
 
 
 def frequencies(index: Index, asked: list[Operand]) -> DataFrame:
@@ -342,6 +351,7 @@ class Plan:
 
     weights: dict[str, float]
     least: dict[str, float]
+    few: bool = False  # fewer than PRUNE_FROM postings, which one task joins
 
     def blocks(self, index: Index) -> DataFrame:
         found = index.blocks(index.ranges_of({(t, False) for t in self.weights}))
@@ -355,7 +365,7 @@ class Plan:
         if within is not None:
             rows = rows.join(within.select(F.col(index.id_col).alias("id")).distinct(), "id", "left_semi")
         tfs = [F.max(F.when(F.col("term") == t, F.col("tf")).otherwise(0)).alias(f"tf{i}") for i, t in enumerate(self.weights)]
-        found = rows.groupBy("id").agg(F.first("length").alias("length"), *tfs)
+        found = (rows.coalesce(1) if self.few else rows).groupBy("id").agg(F.first("length").alias("length"), *tfs)
         at = {t: i for i, t in enumerate(self.weights)}
         adds = lambda t: F.when(F.col(f"tf{at[t]}") > 0, self.weights[t] * impact(F.col(f"tf{at[t]}"), F.col("length"), F.lit(index.mean_length or 1.0))).otherwise(0.0)
         return found.select("id", reduce(lambda a, b: a + b, [adds(o.terms[0]) for o in asked if o.terms and o.terms[0] in at], F.lit(0.0)).alias("score"))
@@ -367,10 +377,11 @@ def plan(index: Index, asked: list[Operand], k: int, within: DataFrame | None =
     for o in asked:
         for t in o.terms:
             times[t] = times.get(t, 0) + 1
-    counts = {r["term"]: r for r in term_counts(index, {(t, False) for t in times}).collect()} if times else {}
-    weights = {t: idf(index.documents, counts[t]["df"]) for t in times if t in counts}
-    whole = Plan(weights, dict.fromkeys(weights, 0.0))
-    if sum(counts[t]["df"] for t in weights) < PRUNE_FROM:
+    counts = term_counts(index, set(times)) if times else {}
+    weights = {t: idf(index.documents, counts[t][0]) for t in times if t in counts}
+    postings = sum(df for df, _ in counts.values())
+    whole = Plan(weights, dict.fromkeys(weights, 0.0), postings < PRUNE_FROM)
+    if whole.few:
         return whole
     # the blocks whose best postings add most
     scale = F.greatest(F.lit(1.0), F.lit(index.mean_length or 1.0) / F.col("base"))
@@ -381,7 +392,7 @@ def plan(index: Index, asked: list[Operand], k: int, within: DataFrame | None =
     top = Plan(weights, first).scored(index, asked, within).orderBy(F.desc("score")).limit(k).agg(F.count("*").alias("n"), F.min("score").alias("score")).first()
     if top["n"] < k:
         return whole
-    bests = {t: times[t] * weights[t] * counts[t]["top"] for t in weights}
+    bests = {t: times[t] * weights[t] * counts[t][1] for t in weights}
     bound = top["score"] * (1 - 1e-9)
     return Plan(weights, {t: max(0.0, (bound - sum(b for o, b in bests.items() if o != t)) / (times[t] * weights[t]) * (1 - 1e-9)) for t in weights})
 
