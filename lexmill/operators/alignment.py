@@ -1,57 +1,108 @@
-"""Where the annotated regions of a source are found in an extracted text, by fuzzy search in order.
+"""Where the annotated regions of a source are found in an extracted text: q-grams vote for places, edit distance decides.
 
-A document's regions are matched one after another, as text that one has taken is no other's: headings first, by the
-headings of the extracted text, then every other region between the headings around it, behind the region before it.
-Documents are independent of each other, so Spark deals them out, each with its regions in a row.
+Every q-gram that a region shares with the text votes for the place where the region would begin. Only around the places
+with the most votes is the nearest stretch searched, by edit distance with the rows of its table in the bits of an
+integer; so the work follows the regions' lengths, not the text's times theirs. Regions are placed in order, as text that
+one has taken is no other's: headings first, by the headings of the extracted text, then every other region between the
+headings around it, behind the region before it. Documents are independent of each other, so Spark deals them out, each
+with its regions in a row.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# The least similarity of a match and of a heading, words that a search starts from and their least
-# similarity, words that a window grows by, and steps without gain after which it stops; steps in all.
-LEAST, LEAST_HEADING = 0.3, 0.5
-SEED_WORDS, LEAST_SEED = 20, 0.4
-STEP, PATIENCE, MOST_STEPS = 5, 3, 50
+# The least similarity of a match and of a heading, and the least share of a region that needs no edit.
+LEAST, LEAST_HEADING, LEAST_UNEDITED = 0.3, 0.5, 0.5
+#: Characters of a q-gram, and of the one that is tried where none of the longer is shared.
+GRAMS = (6, 3)
+#: Places of q-grams that vote for a region, the rarest q-grams first. All of one vote, however many it has.
+MOST_VOTES = 1_000_000
+#: Places around which a region is searched in each stretch of the text, and the similarity that needs no look at further ones.
+TRIED, SURE = 4, 0.8
 
 _HEADING = re.compile(r"(#{1,6})\s+(.+)$")
 _WORD = re.compile(r"\S+")
-_MARKS = re.compile(r"\*{1,3}|_{1,3}|#{1,6}\s|`{1,3}|~~")
+_MARKS = re.compile(r"\*{1,3}|_{1,3}|`{1,3}|~~|^#{1,6}$")
 RESULT = "array<struct<region_id:string,matched:string,start:int,similarity:double,coverage:double,failure:string>>"
 _ARROW = pa.list_(pa.struct([("region_id", pa.string()), ("matched", pa.string()), ("start", pa.int32()), ("similarity", pa.float64()), ("coverage", pa.float64()), ("failure", pa.string())]))
 
 
 def plain(text: str) -> str:
     """Without marks of markdown, with single spaces, in lower case."""
-    return " ".join(_MARKS.sub("", text).split()).lower()
+    return " ".join(filter(None, (_MARKS.sub("", w) for w in text.split()))).lower()
+
+
+def _places(text: str) -> dict[str, int]:
+    """For each character the bits of its places."""
+    found: dict[str, int] = {}
+    for i, c in enumerate(text):
+        found[c] = found.get(c, 0) | 1 << i
+    return found
 
 
 def similarity(a: str, b: str) -> float:
     """Twice the longest common subsequence over both lengths; 1 for equal texts. The rows of the table are bits of an integer."""
-    if not a and not b:
+    if a == b:
         return 1.0
-    places: dict[str, int] = {}
-    for i, c in enumerate(a):
-        places[c] = places.get(c, 0) | 1 << i
-    row = full = (1 << len(a)) - 1
+    places, full = _places(a), (1 << len(a)) - 1
+    row = full
     for c in b:
         hit = row & places.get(c, 0)
         row = ((row + hit) | (row - hit)) & full
     return 2 * (len(a) - row.bit_count()) / (len(a) + len(b))
 
 
+def nearest_end(asked: str, text: str, anchored: bool = False) -> tuple[int, int]:
+    """(end, edits) of the stretch of a text that takes the fewest edits to become what is asked; the first of equals.
+
+    It may begin anywhere, or, anchored, at the beginning of the text. A column of the table is two integers: where it rises, where it falls.
+    """
+    size = len(asked)
+    places, full, last = _places(asked), (1 << size) - 1, 1 << max(size - 1, 0)
+    rises, falls, edits, best = full, 0, size, (size, 0)
+    for end, c in enumerate(text, 1):
+        same = places.get(c, 0)
+        flat = (((same & rises) + rises) ^ rises) | same
+        up = falls | (full & ~(flat | rises))
+        down = rises & flat
+        edits += bool(up & last) - bool(down & last)
+        up, down = (up << 1 | anchored) & full, down << 1 & full
+        rises, falls = down | (full & ~(same | falls | up)), up & (same | falls)
+        best = min(best, (edits, end))
+    return best[1], best[0]
+
+
+def _grams(text: str, q: int) -> np.ndarray:
+    """A number for each run of q characters. Runs that share one by chance only add votes."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    found = np.zeros(max(0, len(codes) - q + 1), np.uint64)
+    for i in range(q):
+        found = found * np.uint64(1_000_003) + codes[i : i + len(found)]
+    return found
+
+
 class _Text:
-    """An extracted text with the places of its words and headings."""
+    """An extracted text as plain words, with the places of its q-grams and headings."""
 
     def __init__(self, text: str):
-        self.text, self.words = text, [(m.start(), m.end()) for m in _WORD.finditer(text)]
-        self.headings, self.taken = [], []  # (start, end, plain title), (start, end)
+        self.text, self.words, self.begins, parts, at = text, [], [], [], 0
+        for m in _WORD.finditer(text):
+            if word := plain(m[0]):
+                self.words.append((m.start(), m.end()))
+                self.begins.append(at)
+                parts.append(word)
+                at += len(word) + 1
+        self.plain, self.starts = " ".join(parts), [a for a, _ in self.words]
+        self.sorted: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.headings, self.taken = [], []  # (start, end, plain title), (start, end) in the text
         at, fenced = 0, False
         for line in text.split("\n"):
             if line.strip().startswith(("```", "~~~")):
@@ -59,73 +110,144 @@ class _Text:
             elif not fenced and (found := _HEADING.match(line.strip())):
                 self.headings.append((at, at + len(line), plain(found[2])))
             at += len(line) + 1
+        self.titles: dict[str, int] = {}
+        for i, (_, _, title) in enumerate(self.headings):
+            self.titles.setdefault(title, i)
 
     def heading(self, title: str) -> dict | None:
-        best = max(((similarity(title, t), -i) for i, (_, _, t) in enumerate(self.headings)), default=(0.0, 0))
-        if best[0] <= LEAST_HEADING:
+        """The heading most like a title, the first of equals."""
+        value, i = 1.0, self.titles.get(title)
+        if i is None:
+            value, i = max(((similarity(title, t), -k) for t, k in self.titles.items()), default=(0.0, 0))
+            i = -i
+        if value <= LEAST_HEADING:
             return None
-        start, end, _ = self.headings[-best[1]]
+        start, end, _ = self.headings[i]
         self.taken.append((start, end))
-        return {"matched": self.text[start:end].strip(), "start": start, "similarity": best[0], "coverage": 1.0}
+        return {"matched": self.text[start:end].strip(), "start": start, "similarity": value, "coverage": 1.0}
 
-    def region(self, content: str, low: int, high: int) -> dict | None:
-        """The window of words between two places that is most like the content: seeded by its first words, then grown and trimmed."""
-        words, asked = [w for w in self.words if w[0] >= low and w[1] <= high], plain(content)
+    def votes(self, asked: str, q: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places where a region would begin, by each q-gram that it shares, and the weight of each vote: a frequent q-gram has one vote in all."""
+        if q not in self.sorted:
+            grams = _grams(self.plain, q)
+            order = np.argsort(grams, kind="stable")
+            self.sorted[q] = grams[order], order
+        held, order = self.sorted[q]
+        own = _grams(asked, q)
+        low = np.searchsorted(held, own, "left")
+        count = np.searchsorted(held, own, "right") - low
+        rare = np.argsort(count, kind="stable")
+        rare = rare[count[rare] > 0]
+        rare = rare[: max(1, np.searchsorted(np.cumsum(count[rare]), MOST_VOTES, "right"))]
+        low, count = low[rare], count[rare]
+        nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        return order[np.repeat(low, count) + nth] - np.repeat(rare, count), 1.0 / np.repeat(count, count)
+
+    def window(self, asked: str, about: int, slack: int) -> tuple[float, int, int]:
+        """(similarity, first word, word behind the last) of the whole words most like a region around a place."""
+        low = max(0, about - slack)
+        near = self.plain[low : about + len(asked) + 2 * slack]
+        end, edits = nearest_end(asked, near)
+        if edits > (1 - LEAST_UNEDITED) * len(asked):
+            return 0.0, 0, 0
+        back, _ = nearest_end(asked[::-1], near[:end][::-1], anchored=True)
+        start, end = low + end - back, low + end
+        a = max(0, bisect_right(self.begins, start) - 1)
+        b = max(a + 1, bisect_left(self.begins, end))
+        tries = ((i, j) for i in (a, a + 1) for j in (b, b - 1) if i < j <= len(self.begins))
+        return max((similarity(asked, self.plain[self.begins[i] : self._end(j)]), -i, j) for i, j in tries)
+
+    def _end(self, word: int) -> int:
+        """Where the word before a word ends in the plain text."""
+        return self.begins[word] - 1 if word < len(self.begins) else len(self.plain)
+
+    def region(self, asked: str, spans: list[tuple[int, int]], least: float) -> dict | None:
+        """The place of a plain region in the first of the spans of text that has one of at least a similarity."""
         n = len(asked.split())
-        if not words or not n:
-            return None
-        seed = " ".join(asked.split()[:SEED_WORDS])
-        value, first = max((similarity(seed, self.text[s : s + len(seed)].lower()), -i) for i, (s, _) in enumerate(words))
-        if value < LEAST_SEED:
+        if not n or not self.words:
             return None
+        slack = 8 + len(asked) // 8
+        if same := self._verbatim(asked, n, *spans[0]):
+            return self._take(*same, 1.0, n)
+        for q in dict.fromkeys(min(q, len(asked)) for q in GRAMS):
+            about, weights = self.votes(asked, q)
+            known: dict[int, tuple[float, int, int]] = {}
+            for low, high in spans:
+                for place in self._likely(about, weights, bisect_left(self.starts, low), bisect_left(self.starts, high), slack):
+                    if place not in known:
+                        known[place] = self.window(asked, place, slack + slack // 2)
+                    if known[place][0] >= SURE:
+                        break
+                for value, a, b in sorted(known.values(), key=lambda f: (-f[0], -f[1])):
+                    if value < least:
+                        break
+                    if self._free(-a, b, low, high):
+                        return self._take(-a, b, value, n)
+        return None
 
-        def score(a: int, b: int) -> float:
-            return similarity(asked, plain(self.text[words[a][0] : words[b - 1][1]]))
-
-        best = (-first, min(-first + n, len(words)))
-        value, window, idle = score(*best), best, 0
-        for _ in range(MOST_STEPS):
-            grown = max(0, window[0] - STEP), min(len(words), window[1] + STEP)
-            if grown == window or idle == PATIENCE:
-                break
-            window, now = grown, score(*grown)
-            value, best, idle = (now, grown, 0) if now > value else (value, best, idle + 1)
-        trims = True
-        while trims:
-            trims = False
-            for a, b in ((0, 1), (1, 0)):
-                cut = best[0] + a, best[1] - b
-                if cut[0] < cut[1] and (now := score(*cut)) > value:
-                    value, best, trims = now, cut, True
-        start, end = words[best[0]][0], words[best[1] - 1][1]
-        if value < LEAST or any(start < b and end > a for a, b in self.taken):
-            return None
+    def _free(self, a: int, b: int, low: int, high: int) -> bool:
+        start, end = self.words[a][0], self.words[b - 1][1]
+        return start >= low and end <= high and not any(start < y and end > x for x, y in self.taken)
+
+    def _take(self, a: int, b: int, value: float, n: int) -> dict:
+        start, end = self.words[a][0], self.words[b - 1][1]
         self.taken.append((start, end))
-        return {"matched": " ".join(self.text[start:end].split()), "start": start, "similarity": value, "coverage": min(1.0, (best[1] - best[0]) / n), "end": end}
+        return {"matched": " ".join(self.text[start:end].split()), "start": start, "similarity": value, "coverage": min(1.0, (b - a) / n), "end": end}
+
+    def _verbatim(self, asked: str, n: int, low: int, high: int) -> tuple[int, int] | None:
+        """The first words of a stretch that are those of a region, one for one, and no other's."""
+        first, last = bisect_left(self.starts, low), bisect_left(self.starts, high)
+        at = self.plain.find(asked, self.begins[first], self._end(last)) if first < last else -1
+        while at >= 0:
+            a = bisect_left(self.begins, at)
+            if a + n <= last and self.begins[a] == at and self._end(a + n) == at + len(asked) and self._free(a, a + n, low, high):
+                return a, a + n
+            at = self.plain.find(asked, at + 1, self._end(last))
+        return None
+
+    def _likely(self, about: np.ndarray, weights: np.ndarray, first: int, last: int, slack: int) -> Iterator[int]:
+        """The places with the most votes from a word to another, at most TRIED, the first of equals before the others."""
+        if first >= last:
+            return
+        # bins as wide as a place may be off; neighbours count together, as votes for one place may stand on both sides of an edge
+        low, high = self.begins[first] - 2 * slack, self._end(last) + slack
+        inside = (about >= low) & (about < high)
+        votes = np.bincount((about[inside] - low) // slack, weights[inside], 1)
+        votes = votes + np.append(votes[1:], 0.0)
+        for _ in range(TRIED):
+            top = int(np.argmax(votes))
+            if votes[top] <= 0:
+                return
+            votes[max(0, top - 1) : top + 2] = 0.0
+            yield low + (top + 1) * slack
 
 
 def align_document(regions: list[dict], text: str | None) -> list[dict]:
     """A result for every region (region_id, content) of a document, in their order."""
-    found: list[dict | None] = [None] * len(regions)
     if not (text or "").strip():
         return [{"region_id": r["region_id"], "failure": "extracted text is empty"} for r in regions]
-    page = _Text(text)
+    page, found = _Text(text), []
     titles = [_HEADING.match((r["content"] or "").strip().split("\n")[0].strip()) for r in regions]
-    for i, title in enumerate(titles):
-        if title:
-            found[i] = page.heading(plain(title[2])) or {"failure": "no matching heading"}
-    behind = 0
-    for i, r in enumerate(regions):
-        if titles[i]:
-            continue
-        placed = [(k, found[k]["start"]) for k, t in enumerate(titles) if t and "start" in found[k]]
-        low = max([0, *(s for k, s in placed if k < i)])
-        high = min([len(text), *(s for k, s in placed if k > i)])
-        tries = dict.fromkeys([(max(behind, low), high), (low, high), (0, len(text))])
-        hit = next(filter(None, (page.region(r["content"] or "", a, b) for a, b in tries)), None)
-        if hit:
-            behind = hit.pop("end")
-        found[i] = hit or {"failure": "no sufficiently similar region"}
+    for title in titles:
+        found.append((page.heading(plain(title[2])) or {"failure": "no matching heading"}) if title else None)
+    # the nearest headings before and behind each region; headings that the text has in another order bound by the widest stretch
+    lows, highs, low, high = [], [], 0, len(text)
+    for title, hit in zip(titles, found, strict=True):
+        low = max(low, hit["start"]) if title and "start" in hit else low
+        lows.append(low)
+    for title, hit in zip(reversed(titles), reversed(found), strict=True):
+        high = min(high, hit["start"]) if title and "start" in hit else high
+        highs.append(high)
+    highs.reverse()
+    # what is sure goes first, so that a region that the text lacks doesn't take another's place
+    for least in (SURE, LEAST):
+        behind = 0
+        for i, (title, low, high) in enumerate(zip(titles, lows, highs, strict=True)):
+            if not title and not found[i]:
+                spans = dict.fromkeys([(max(behind, low), high), (low, high), (0, len(text))])
+                found[i] = page.region(plain(regions[i]["content"] or ""), list(spans), least)
+            behind = found[i]["end"] if found[i] and "end" in found[i] else behind
+    found = [{k: v for k, v in (f or {"failure": "no sufficiently similar region"}).items() if k != "end"} for f in found]
     return [{"region_id": r["region_id"]} | f for r, f in zip(regions, found, strict=True)]
 
 

@@ -285,24 +285,41 @@ SELECT doc_id, array_to_string(list_transform(range(i - i % 4, i + 1), lambda j:
 """
 
 
-def region_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every heading and every line of prose (one without marks of markdown) of the sectioned documents as annotated regions, aligned with these documents: each is found in its place."""
-    docs = _sectioned(spark, sf_dir)
+def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every heading and every line of the sectioned documents as annotated regions; null texts have none."""
     lines = _read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
     head = F.concat(F.repeat(F.lit("#"), (F.col("i") % 4 + 1).cast("int")), F.lit(" H"), F.col("i"))
-    pair = F.explode(F.array(F.struct((2 * F.col("i")).alias("place"), F.lit("heading").alias("feature"), F.concat(F.lit("h"), F.col("i")).alias("region_id"), head.alias("content")), F.struct((2 * F.col("i") + 1).alias("place"), F.lit("paragraph").alias("feature"), F.concat(F.lit("p"), F.col("i")).alias("region_id"), F.col("line").alias("content"))))
-    regions = lines.select("doc_id", pair.alias("r")).select("doc_id", "r.*").filter((F.col("feature") == "heading") | ~F.col("content").rlike("[*_#`~]"))
-    found = alignment.align(docs, regions)
-    return found.select("doc_id", "region_id", "feature", F.sha2("matched", 256).alias("matched_sha256"), F.col("start").cast("long").alias("start"), "similarity", "coverage")
+    region = lambda at, kind, content: F.struct((2 * F.col("i") + at).alias("place"), F.lit(kind).alias("feature"), F.concat(F.lit(kind[0]), F.col("i")).alias("region_id"), content.alias("content"))
+    return lines.select("doc_id", F.explode(F.array(region(0, "heading", head), region(1, "paragraph", F.col("line")))).alias("r")).select("doc_id", "r.*")
+
+
+def region_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every heading and every line of the sectioned documents as annotated regions, aligned with these documents: each is found in its place."""
+    found = alignment.align(_sectioned(spark, sf_dir), _regions(spark, sf_dir))
+    return found.select("doc_id", "region_id", "feature", F.sha2("matched", 256).alias("matched_sha256"), F.col("start").cast("long").alias("start"), "similarity", "coverage", "failure")
+
+
+def damaged_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same regions aligned with damaged copies of the documents: every 7th line is left out, others are joined with the line
+    before (every 3rd), have letters replaced or lost, or words doubled, by fixed rules of the line's place."""
+    line, i = F.col("x"), F.col("i")
+    hurt = F.when(i % 7 == 6, F.lit(None)).when(i % 4 == 1, F.translate(line, "aeu", "o")).when(i % 4 == 2, F.regexp_replace(line, "(\\w)h", "$1b")).when(i % 4 == 3, F.regexp_replace(line, "( \\w+ing)\\b", "$1$1")).otherwise(line)
+    rows = _read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "x"))
+    before = F.when(i % 3 == 2, F.lit(" ")).otherwise(F.concat(F.lit("\n"), F.repeat(F.lit("#"), (i % 4 + 1).cast("int")), F.lit(" H"), i, F.lit("\n")))
+    parts = rows.select("doc_id", "i", F.concat(before, hurt).alias("part")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", "part"))).alias("parts"))
+    found = alignment.align(parts.select("doc_id", F.array_join(F.transform("parts", lambda p: p["part"]), "").alias("text")), _regions(spark, sf_dir))
+    return found.select("doc_id", "region_id", "feature", "matched", F.col("start").cast("long").alias("start"), "similarity", "coverage", "failure")
 
 
+# a line is plain words without the marks: words of marks alone aren't matched, so a match begins and ends at other words
 _ALIGNED_SQL = r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
 s AS (SELECT *, repeat('#', CAST(i % 4 + 1 AS INT)) || ' H' || i AS head FROM l),
 p AS (SELECT *, CAST(coalesce(sum(length(head) + 1 + length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS begins FROM s),
-w AS (SELECT *, trim(regexp_replace(line, '\s+', ' ', 'g')) AS words FROM p)
-SELECT doc_id, 'h' || i AS region_id, 'heading' AS feature, sha256(head) AS matched_sha256, begins AS start, 1.0::DOUBLE AS similarity, 1.0::DOUBLE AS coverage FROM w
-UNION ALL SELECT doc_id, 'p' || i, 'paragraph', CASE WHEN words <> '' THEN sha256(words) END, CASE WHEN words <> '' THEN begins + length(head) + 1 + length(line) - length(ltrim(line)) END, CASE WHEN words <> '' THEN 1.0 END::DOUBLE, CASE WHEN words <> '' THEN 1.0 END::DOUBLE FROM w WHERE NOT regexp_matches(line, '[*_#`~]')
+m AS (SELECT *, regexp_extract(line, '^(?:\s*(?:[*_`]+|~~|#{1,6})(?:\s|$))*\s*') AS before, regexp_replace(line, '^(?:\s*(?:[*_`]+|~~|#{1,6})(?:\s|$))*\s*', '') AS rest FROM p),
+w AS (SELECT *, trim(regexp_replace(regexp_replace(rest, '(?:\s+(?:[*_`]+|~~|#{1,6}))*\s*$', ''), '\s+', ' ', 'g')) AS words FROM m)
+SELECT doc_id, 'h' || i AS region_id, 'heading' AS feature, sha256(head) AS matched_sha256, begins AS start, 1.0::DOUBLE AS similarity, 1.0::DOUBLE AS coverage, NULL::VARCHAR AS failure FROM w
+UNION ALL SELECT doc_id, 'p' || i, 'paragraph', CASE WHEN words <> '' THEN sha256(words) END, CASE WHEN words <> '' THEN begins + length(head) + 1 + length(before) END, CASE WHEN words <> '' THEN 1.0 END::DOUBLE, CASE WHEN words <> '' THEN 1.0 END::DOUBLE, CASE WHEN words = '' THEN 'no sufficiently similar region' END FROM w
 """
 
 
@@ -362,6 +379,7 @@ QUERIES = {
     "title_heuristic": title_heuristic,
     "chunk_cover": chunk_cover,
     "region_alignment": region_alignment,
+    "damaged_alignment": damaged_alignment,
     "heading_anchors": heading_anchors,
     "event_windows": event_windows,
     "rag_context": rag_context,

@@ -156,3 +156,58 @@ def test_running_sums(spark):
     rows = [([],), ([5],), ([1] * 256,), ([1] * 257,), ([r.randrange(9) for _ in range(1000)],), (None,)]
     for values, sums in spark.createDataFrame(rows, "a array<int>").select("a", running_sums(F.col("a"))).collect():
         assert sums == (None if values is None else [sum(values[:i]) for i in range(len(values))])
+
+
+def test_nearest_end_is_that_of_the_whole_table():
+    def plain_table(asked, text, anchored):
+        row = list(range(len(asked) + 1))
+        best = (row[-1], 0)
+        for j, c in enumerate(text, 1):
+            before, row = row, [j if anchored else 0]
+            for i, a in enumerate(asked):
+                row.append(min(before[i] + (a != c), before[i + 1] + 1, row[i] + 1))
+            best = min(best, (row[-1], j))
+        return best[1], best[0]
+
+    r = random.Random(6)
+    for _ in range(300):
+        asked, text = "".join(r.choice("abc") for _ in range(r.randrange(1, 20))), "".join(r.choice("abcd") for _ in range(r.randrange(40)))
+        for anchored in (False, True):
+            assert alignment.nearest_end(asked, text, anchored) == plain_table(asked, text, anchored)
+
+
+def test_alignment_of_damaged_texts_against_all_windows():
+    """Letters changed, lost and doubled, lines joined, every fifth region left out: places are as good as the best window of words."""
+    r = random.Random(8)
+    for _ in range(6):
+        words = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(2, 9))) for _ in range(150)]
+        lines = [" ".join(r.choice(words) for _ in range(r.randrange(3, 30))) for _ in range(20)]
+
+        def hurt(line):
+            return "".join(c if c == " " or r.random() > 0.12 else r.choice(["", c + c, "z"]) for c in line)
+
+        kept = [(i, hurt(line)) for i, line in enumerate(lines) if i % 5 != 4]
+        text = "".join(line + (" " if i % 3 else "\n") for i, line in kept)
+        begins, at = {}, 0
+        for i, line in kept:
+            begins[i], at = at, at + len(line) + 1
+        found = alignment.align_document([{"region_id": str(i), "content": line} for i, line in enumerate(lines)], text)
+        page = text.split()
+        for i, got in enumerate(found):
+            if i % 5 == 4:
+                assert got.get("failure") or got["similarity"] < 0.7  # a left out region may pass for another text above the least similarity
+                continue
+            asked, n = lines[i], len(lines[i].split())
+            best = max(alignment.similarity(asked, " ".join(page[a:b])) for a in range(len(page)) for b in range(a + max(1, n - 3), min(len(page), a + n + 3) + 1))
+            assert got["similarity"] >= best - 0.05 and abs(got["start"] - begins[i]) <= 12
+
+
+def test_alignment_of_odd_texts():
+    """Texts of one letter, regions of marks, null and repeated regions, headings in another order."""
+    assert [f.get("failure") for f in alignment.align_document([{"region_id": "a", "content": None}, {"region_id": "b", "content": "***"}], "x")] == ["no sufficiently similar region"] * 2
+    same = alignment.align_document([{"region_id": str(i), "content": "one two"} for i in range(3)], "one two\none two\nelse")
+    assert [f.get("start") for f in same] == [0, 8, None]
+    swapped = alignment.align_document([{"region_id": t, "content": t} for t in ("# B", "under b", "# A", "under a")], "# A\nunder a\n# B\nunder b")
+    assert [f["start"] for f in swapped] == [12, 16, 0, 4]
+    big = alignment.align_document([{"region_id": "r", "content": "a" * 30_000}], "a" * 20_000 + " " + "a" * 20_000)
+    assert len(big) == 1
