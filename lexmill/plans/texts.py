@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.operators import alignment, chunking, cleanup, context, quality, ranking, search_index, titles
+from lexmill.operators import alignment, chunking, cleanup, context, metadata, quality, ranking, search_index, titles
 from lexmill.plans.search import _BATCH_SQL, _WORD_PHRASES, WORDS, _batch, _bm25_sql, _index, _read
+from lexmill.sources import extract
 from lexmill.streaming import ingest
 
 
@@ -323,6 +324,16 @@ UNION ALL SELECT doc_id, 'p' || i, 'paragraph', CASE WHEN words <> '' THEN sha25
 """
 
 
+def extracted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All web pages as files, through the extractor of pages, in processes with deadlines by the rule for documents; every seventh has an
+    ending that only a fall-back takes."""
+    pages = _read(spark, sf_dir, "pages")
+    path = F.concat("url", F.when(F.col("page_id") % 7 == 0, ".page").otherwise(".html"))
+    seconds = metadata.extraction_seconds(F.ceil(F.length("html") / 3000), F.col("html").isNotNull())
+    found = extract.extract(pages.select(path.alias("path"), F.encode("html", "UTF-8").alias("content"), seconds.alias("seconds")), seconds=F.col("seconds"), fallbacks=[((".page",), extract.DEFAULTS[1][1])])
+    return found.select("path", F.sha2("text", 256).alias("text_sha256"), "error", "way", "status")
+
+
 def heading_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headings of the sectioned documents with their places."""
     found = _sectioned(spark, sf_dir).select("doc_id", F.explode(titles.headings(F.col("text"))).alias("h"))
@@ -380,6 +391,7 @@ QUERIES = {
     "chunk_cover": chunk_cover,
     "region_alignment": region_alignment,
     "damaged_alignment": damaged_alignment,
+    "extracted_pages": extracted_pages,
     "heading_anchors": heading_anchors,
     "event_windows": event_windows,
     "rag_context": rag_context,

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import closing
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.operators import quality
+from lexmill.sources import workers
 
 #: An extractor: the endings that it takes, and what makes text of a file's bytes.
 Handler = tuple[tuple[str, ...], Callable[[bytes], str]]
@@ -61,26 +63,45 @@ def _page(data: bytes) -> str:
 DEFAULTS: tuple[Handler, ...] = (((".md", ".txt", ".json"), _plain), ((".html", ".htm"), _page))
 
 
-def extract(files: DataFrame, handlers: Sequence[Handler] = DEFAULTS) -> DataFrame:
-    """path, text, error and status (ready, needs_review where the quality gate objects, failed) of (path, content)."""
+NAMES = ("path", "text", "error", "way")
+OUT = pa.schema([(n, pa.string()) for n in NAMES])
+
+
+def extract(files: DataFrame, handlers: Sequence[Handler] = DEFAULTS, seconds: Column | float = 300.0, fallbacks: Sequence[Handler] = (), most_bytes: int | None = None, renewed: int = workers.RENEWED) -> DataFrame:
+    """path, text, error, way and status of (path, content): ready, needs_review where the quality gate objects, failed without a text.
+
+    Extractors run in a process per task that lives on between files (see `workers`). A file has `seconds` at most, then the
+    process is killed; where it crashes, the file is tried once more in a new one. Of what gives no text the fall-back that takes its
+    ending is asked, under the same deadline. `way` says where a text is from: extractor, retry or fallback (null: none is), and
+    `error` what went wrong first, also where another way gave a text. `most_bytes` is what a process may take beyond what it starts with.
+    A null path has no extractor, null content is empty.
+    """
+    tried, last = tuple(handlers), tuple(fallbacks)
+
+    def text_of(worker: workers.Worker, path: str, data: bytes, limit: float) -> tuple[str | None, str | None, str | None]:
+        takes = lambda some: next((i for i, (ends, _) in enumerate(some) if path.lower().endswith(ends)), None)
+        first, second, error = takes(tried), takes(last), None
+        ways = [] if first is None else [("extractor", first), ("retry", first)]
+        for way, which in [*ways, *([] if second is None else [("fallback", len(tried) + second)])]:
+            if way == "retry" and not again:
+                continue
+            again = False
+            try:
+                if (text := worker.run(which, data, limit)) is not None:
+                    return text, error, way
+                error = error or "no text"
+            except workers.Failed as why:
+                error, again = error or str(why), why.died
+        return None, error or "no extractor takes this kind of file", None
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, errors = [], []
-            for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                text, error = None, None
-                make = next((f for ends, f in handlers if (path or "").lower().endswith(ends)), None)
-                if make is None:
-                    error = "no extractor takes this kind of file"
-                else:
-                    try:
-                        text = make(data or b"")
-                    except Exception as why:  # noqa: BLE001  whatever a plug-in raises belongs to its file
-                        error = f"{type(why).__name__}: {why}"
-                texts.append(text)
-                errors.append(error)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(errors, pa.string())], names=["path", "text", "error"])
-
-    rows = files.select("path", "content").mapInArrow(task, "path string, text string, error string")
-    status = F.when(F.col("error").isNotNull(), "failed").when(quality.gate(F.col("text")) != "ok", "needs_review").otherwise("ready")
+        with closing(workers.Worker([make for _, make in (*tried, *last)], most_bytes, renewed)) as worker:
+            for batch in batches:
+                for path, data, limit in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    row = text_of(worker, path or "", data or b"", limit)
+                    yield pa.RecordBatch.from_pydict({n: [v] for n, v in zip(NAMES, (path, *row), strict=True)}, OUT)
+
+    limit = F.lit(seconds) if isinstance(seconds, int | float) else seconds
+    rows = files.select("path", "content", limit.cast("double").alias("seconds")).mapInArrow(task, ", ".join(f"{n} string" for n in NAMES))
+    status = F.when(F.col("way").isNull(), "failed").when(quality.gate(F.col("text")) != "ok", "needs_review").otherwise("ready")
     return rows.withColumn("status", status)

@@ -86,3 +86,70 @@ def test_extract(spark):
     assert got["c.txt"].error.startswith("UnicodeDecodeError") and got["d.pdf"].status == "failed" and got["e.txt"].text == "" and got[None].status == "failed"
     mine = extract.extract(df.filter("path = 'd.pdf'"), [((".pdf",), lambda data: "pdf " * 50), *extract.DEFAULTS]).first()
     assert mine.status == "ready" and mine.error is None
+
+
+def test_extractors_that_hang_crash_and_leak(spark):
+    """Each costs its own file only: the process is killed or ends, the others' texts come, and fall-backs are asked."""
+    from lexmill.sources import extract
+
+    def plug_in(data):
+        import os
+        import time
+
+        if data == b"hang":
+            time.sleep(600)
+        if data == b"crash":
+            os._exit(3)
+        if data == b"leak":
+            held = []
+            while True:
+                held.append(bytearray(1 << 24))
+        if data == b"bad":
+            raise ValueError("no good")
+        return None if data == b"none" else f"{os.getpid()} " + data.decode() * 30
+
+    kinds = ["hang", "crash", "leak", "bad", "none", "fine one ", "fine two ", "fine three "]
+    rows = [(f"{i}-{k.strip()}.pdf", k.encode()) for i, k in enumerate(kinds)] + [("x.zip", b"z"), ("hang.pdx", b"hang")]
+    df = spark.createDataFrame(rows, "path string, content binary").coalesce(1)
+    handlers = [((".pdf", ".pdx"), plug_in), *extract.DEFAULTS]
+    got = {r.path: r for r in extract.extract(df, handlers, 1.5, [((".pdf",), lambda data: "plain " * 30)], 1 << 28).collect()}
+    ways = {p: (r.way, r.status, r.error) for p, r in got.items()}
+    assert ways["0-hang.pdf"] == ("fallback", "ready", "no text within 1.5 seconds")
+    assert ways["1-crash.pdf"] == ("fallback", "ready", "the extractor's process ended with code 3")
+    assert ways["2-leak.pdf"][:2] == ("fallback", "ready") and ways["2-leak.pdf"][2].startswith("MemoryError")
+    assert ways["3-bad.pdf"] == ("fallback", "ready", "ValueError: no good") and ways["4-none.pdf"] == ("fallback", "ready", "no text")
+    assert ways["x.zip"] == (None, "failed", "no extractor takes this kind of file") and ways["hang.pdx"] == (None, "failed", "no text within 1.5 seconds")
+    fine = [got[f"{i}-{k.strip()}.pdf"] for i, k in enumerate(kinds) if i > 4]
+    assert all(r.way == "extractor" and r.status == "ready" and r.error is None for r in fine)
+    assert len({r.text.split()[0] for r in fine}) == 1  # one process for all of them
+
+
+def test_crash_is_tried_again_and_processes_are_renewed(spark, tmp_path):
+    from lexmill.sources import extract
+
+    mark = str(tmp_path / "mark")
+
+    def once(data):
+        import os
+
+        if not os.path.exists(mark):
+            open(mark, "w").close()
+            os._exit(9)
+        return f"{os.getpid()} " + "text " * 30
+
+    df = spark.createDataFrame([(f"{i}.a", b"x") for i in range(6)], "path string, content binary").coalesce(1)
+    got = {r.path: r for r in extract.extract(df, [((".a",), once)], 20, renewed=2).collect()}
+    assert got["0.a"].way == "retry" and got["0.a"].error.endswith("code 9") and all(got[f"{i}.a"].way == "extractor" for i in range(1, 6))
+    assert len({r.text.split()[0] for r in got.values()}) == 3
+
+
+def test_extracted_pages(spark):
+    from lexmill.plans import registry
+    from lexmill.sources import extract
+
+    sf_dir = "/root/testdata/sf0.001"
+    want = {}
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
+        make = extract.DEFAULTS[1][1]
+        want[r.url + (".page" if r.page_id % 7 == 0 else ".html")] = (hashlib.sha256(make((r.html or "").encode()).encode()).hexdigest(), "fallback" if r.page_id % 7 == 0 else "extractor")
+    assert {r.path: (r.text_sha256, r.way) for r in registry.QUERIES["extracted_pages"](spark, sf_dir).collect()} == want
