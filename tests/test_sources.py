@@ -153,3 +153,47 @@ def test_extracted_pages(spark):
         make = extract.DEFAULTS[1][1]
         want[r.url + (".page" if r.page_id % 7 == 0 else ".html")] = (hashlib.sha256(make((r.html or "").encode()).encode()).hexdigest(), "fallback" if r.page_id % 7 == 0 else "extractor")
     assert {r.path: (r.text_sha256, r.way) for r in registry.QUERIES["extracted_pages"](spark, sf_dir).collect()} == want
+
+
+def _database(path):
+    with sqlite3.connect(path) as db:
+        db.execute("CREATE TABLE t (a INTEGER PRIMARY KEY, b TEXT COLLATE NOCASE, c REAL, d NUMERIC)")
+        texts = ["abc", "ABC", "", None, "a%c", "ümlaut", "zabc", "abcd"]
+        db.executemany("INSERT INTO t VALUES (?, ?, ?, ?)", [(3 * i - 20, texts[i % 8], None if i % 5 == 0 else i / 4, str(i)) for i in range(40)])
+        db.execute("CREATE TABLE w (k TEXT, j INTEGER, v TEXT, PRIMARY KEY (k, j)) WITHOUT ROWID")
+        db.executemany("INSERT INTO w VALUES (?, ?, ?)", [(f"k{i % 7}", i, f"v{i}") for i in range(50)])
+        db.execute("CREATE VIEW s AS SELECT a, b FROM t")
+        db.execute("CREATE TABLE r (rowid TEXT, x INTEGER)")
+        db.executemany("INSERT INTO r VALUES (?, ?)", [("same", i) for i in range(9)])
+
+
+def test_sqlite_filters_are_pushed_and_give_what_spark_gives(spark, tmp_path):
+    path = str(tmp_path / "x.db")
+    _database(path)
+    sqlite.register(spark)
+    df = spark.read.format("sqlite").option("path", path).option("table", "t").option("partitions", 3).load()
+    held = spark.createDataFrame(df.collect(), df.schema)
+    assert held.count() == 40
+    pushed = ["a = 4", "a <=> 4", "a > 10 AND a <= 61", "a IN (1, 4, 7, 9)", "b = 'abc'", "b <> 'abc'", "b >= 'abc'", "b < 'ab'", "b LIKE 'ab%'", "b LIKE '%bc'", "NOT b LIKE '%bc'", "contains(b, '%')", "b IS NULL", "b IS NOT NULL AND c < 2.5", "NOT a IN (1, 4)", "startswith(b, 'ü')", "c = 2.5", "c >= 9"]
+    for asked in pushed:
+        got = df.filter(asked)
+        assert sorted(map(str, got.collect())) == sorted(map(str, held.filter(asked).collect())), asked
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert ") Filter " not in plan, asked  # all is decided by the scan
+    for asked in ["d = '7'", "d > '3'", "b = '' OR a = 4", "upper(b) = 'ABC'", "startswith(b, '')", "c = double('NaN')", "a IN (" + ",".join(map(str, range(600))) + ")"]:
+        assert sorted(map(str, df.filter(asked).collect())) == sorted(map(str, held.filter(asked).collect())), asked
+        assert ") Filter " in df.filter(asked)._jdf.queryExecution().executedPlan().toString(), asked
+
+
+def test_sqlite_tables_without_row_ids_and_pruned_columns(spark, tmp_path):
+    path = str(tmp_path / "x.db")
+    _database(path)
+    sqlite.register(spark)
+    read = lambda table, parts=4: spark.read.format("sqlite").option("path", path).option("table", table).option("partitions", parts)
+    w = read("w").load()
+    assert w.rdd.getNumPartitions() == 4 and sorted(r.j for r in w.collect()) == list(range(50))
+    assert sorted(r.j for r in w.filter("k = 'k3' AND j > 20").collect()) == [24, 31, 38, 45]
+    assert read("s").load().count() == 40 and sorted(r.x for r in read("r").load().collect()) == list(range(9))
+    only = read("t").schema("b string").load()
+    assert only.columns == ["b"] and only.filter("b = 'ABC'").count() == 5
+    assert len(sqlite.SqliteReader({"path": path, "table": "w", "partitions": "20"}, w.schema).partitions()) <= 8  # no more than the values of the key's first column
