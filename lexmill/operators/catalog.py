@@ -244,19 +244,50 @@ def first_of_content(rows: DataFrame, content: str, order: list[str]) -> DataFra
     return found.withColumn("first_key", F.col(f"_first.{order[-1]}")).withColumn("is_first", F.struct(*order) == F.col("_first")).drop("_first")
 
 
+#: Keys in a block of a filter (64 bits), and blocks that are broadcast at most: some 16 bytes each.
+BLOCK_KEYS, MOST_BLOCKS = 4, 2_000_000
+
+
+def may_match(rows: DataFrame, by: str, asked: DataFrame, key: str) -> DataFrame:
+    """Rows whose `by` may be among the values of `key`: all that are, and about one of a hundred others.
+
+    The asked keys set four bits each in one of the 64-bit blocks of a filter, which is broadcast, so rows are dropped where they
+    are read and only what is left is shuffled. With more keys than MOST_BLOCKS hold all rows stay, as a filter would be
+    too large to send; null matches nothing.
+    """
+    blocks = -(-asked.count() // BLOCK_KEYS)
+    if blocks > MOST_BLOCKS:
+        return rows
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(max(1, blocks)))
+
+    def bits(c: Column) -> Column:
+        mixed = F.xxhash64(c, F.lit("bits"))
+        one = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(mixed, 6 * i).bitwiseAND(F.lit(63)).cast("int"))
+        return one(0).bitwiseOR(one(1)).bitwiseOR(one(2)).bitwiseOR(one(3))
+
+    # both sides hash one type, else equal values of two types would differ
+    kind = rows.select(by).dtypes[0][1]
+    given = asked.select(F.col(key).cast(kind).alias("_k")).filter(F.col("_k").isNotNull())
+    sieve = given.groupBy(block(F.col("_k")).alias("_block")).agg(F.bit_or(bits(F.col("_k"))).alias("_bits"))
+    met = rows.filter(F.col(by).isNotNull()).join(F.broadcast(sieve), block(F.col(by)) == F.col("_block"))
+    own = bits(F.col(by))
+    return met.filter(F.col("_bits").bitwiseAND(own) == own).select(*[F.col(f"`{c}`") for c in rows.columns])
+
+
 def duplicate_reason(new: DataFrame, stored: DataFrame, path: str, digest: str, key: str, but_itself: bool = False) -> DataFrame:
     """`new` with reason (`path`, `content` or null) and stored_key, the smallest key of a stored row that it repeats.
 
     With `but_itself`, a stored row with its own key counts as another: `new` may then be among the stored rows.
+    Of the stored rows only those that may meet a new one are shuffled.
     """
 
     def firsts(by: str, name: str) -> DataFrame:
         # the two smallest keys are enough, as a row is left out at most
         two = F.slice(F.array_sort(F.collect_set(key)), 1, 2) if but_itself else F.array(F.min(key))
-        rows = stored
+        rows = may_match(stored.select(by, key), by, new, by)
         if but_itself:
             place = F.row_number().over(Window.partitionBy(by).orderBy(key))
-            rows = stored.select(by, key).distinct().withColumn("_place", place).filter("_place <= 2")
+            rows = rows.distinct().withColumn("_place", place).filter("_place <= 2")
         return rows.groupBy(F.col(by).alias(f"_{name}")).agg(two.alias(f"_by_{name}"))
 
     found = new.join(firsts(path, "path"), F.col(path) == F.col("_path"), "left").join(firsts(digest, "hash"), F.col(digest) == F.col("_hash"), "left")

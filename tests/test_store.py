@@ -206,3 +206,30 @@ def test_a_prefix_reads_the_files_of_its_range(spark, monkeypatch):
     assert some.filter("term LIKE 'c1%'").count() == every.filter("term LIKE 'c1%'").count() > 0
     want = {i for i in range(600) if str((i * 7 + 2) % 50).startswith("1")}
     assert {r.doc_id for r in search_index.bm25(index, asked, 1000).collect()} == want
+
+
+def test_stored_rows_that_no_new_one_repeats_are_not_shuffled(spark):
+    """A filter of the new keys leaves all stored rows that match and few others; nulls, repeats and an empty side are as in a join."""
+    from lexmill.operators import catalog
+
+    stored = spark.range(40_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("p"), "id").alias("path"), F.sha2(F.col("id").cast("string"), 256).alias("digest"))
+    stored = stored.union(spark.createDataFrame([(-1, None, None), (-2, "p7", None)], "doc_id long, path string, digest string"))
+    new = spark.createDataFrame([("p7", "x"), ("q", None), (None, "y"), ("p39999", None), ("p39999", None)], "path string, digest string")
+    left = catalog.may_match(stored, "path", new, "path")
+    assert {(7, "p7"), (-2, "p7"), (39_999, "p39999")} <= {(r.doc_id, r.path) for r in left.collect()} and left.count() < 2_000
+    many = spark.range(0, 80_000, 2).select(F.concat(F.lit("p"), "id").alias("path"))
+    kept = catalog.may_match(stored, "path", many, "path")
+    assert kept.join(many, "path").count() == stored.join(many, "path").count() == 20_000 and kept.count() < 23_000
+    assert catalog.may_match(stored, "path", new.limit(0), "path").count() == 0
+    numbers = spark.createDataFrame([(3,), (5,)], "k int")
+    assert {3, 5} <= {r.doc_id for r in catalog.may_match(stored, "doc_id", numbers, "k").collect()}
+    found = {(r.path, r.digest): (r.reason, r.stored_key) for r in catalog.duplicate_reason(new, stored, "path", "digest", "doc_id").collect()}
+    assert found == {("p7", "x"): ("path", -2), ("q", None): (None, None), (None, "y"): (None, None), ("p39999", None): ("path", 39_999)}
+
+
+def test_filter_is_given_up_beyond_its_bound(spark, monkeypatch):
+    from lexmill.operators import catalog
+
+    monkeypatch.setattr(catalog, "MOST_BLOCKS", 1)
+    rows = spark.range(10).withColumnRenamed("id", "k")
+    assert catalog.may_match(rows, "k", spark.range(5), "id").count() == 10
