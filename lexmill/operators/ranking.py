@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,6 +84,34 @@ def overlap_score(text: Column, query: str) -> Column:
     return found - 0.5 * (F.size(terms) - found)
 
 
+#: Pairs of a question and a text that a model scores at a time.
+MODEL_PAIRS = 16
+
+
+def model_score(text: Column, query: str, load: Callable[[], Callable[[list[tuple[str, str]]], Sequence[float]]], pairs: int = MODEL_PAIRS) -> Column:
+    """What a model says of (query, text) for each row, for `rerank`: `load` gives the model, once per task, and it gets `pairs` at a time.
+
+    Texts of like length are scored together, as models fill the shorter ones of a batch up. A null text is scored as an empty one.
+    """
+
+    def task(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model = load()
+        for batch in batches:
+            texts = [t or "" for t in batch.to_pylist()]
+            order, scores = sorted(range(len(texts)), key=lambda i: len(texts[i])), [0.0] * len(texts)
+            for at in range(0, len(order), pairs):
+                chosen = order[at : at + pairs]
+                found = list(model([(query, texts[i]) for i in chosen]))
+                if len(found) != len(chosen):
+                    raise ValueError(f"{len(chosen)} pairs were given, and {len(found)} scores came back")
+                for i, value in zip(chosen, found, strict=True):
+                    scores[i] = float(value)
+            yield pa.array(scores, pa.float64())
+
+    task.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(task, "double")(text)
+
+
 def pool_size(k: int) -> int:
     return max(LEAST_POOL, POOL * k)
 

@@ -118,3 +118,25 @@ def test_ordinals_are_gapless(spark):
     for _, part in got.groupby(got.key.fillna(-1)):
         assert sorted(part.ordinal) == list(range(len(part)))
     assert sorted(r.ordinal for r in gapless(rows, [], ["id"], ["id"]).collect()) == list(range(1000))
+
+
+def test_a_model_scores_pairs_in_batches(spark):
+    """Loaded once a task, sixteen pairs at a time, of like lengths; scores come back to their rows, and null is empty."""
+    from lexmill.operators import ranking
+
+    def load():
+        seen = []
+
+        def model(pairs):
+            seen.append(len(pairs))
+            assert len(pairs) <= 16 and all(q == "asked" for q, _ in pairs)
+            return [len(t) + len(seen) / 1000 for _, t in pairs]
+
+        return model
+
+    rows = spark.createDataFrame([(i, None if i == 7 else "x" * (i * 37 % 50)) for i in range(50)], "i long, t string").coalesce(1)
+    got = {r.i: r.s for r in rows.withColumn("s", ranking.model_score(F.col("t"), "asked", load)).collect()}
+    assert [int(got[i]) for i in range(50)] == [0 if i == 7 else i * 37 % 50 for i in range(50)]
+    assert max(round(s % 1 * 1000) for s in got.values()) == 4
+    best = ranking.rerank(rows.withColumn("score", F.lit(0.0)), 2, lambda t: ranking.model_score(t, "asked", lambda: lambda pairs: [len(t) / 10 for _, t in pairs]), "t", None, "score", "i").collect()
+    assert [len(r.t) for r in best] == [49, 48]

@@ -197,3 +197,25 @@ def test_sqlite_tables_without_row_ids_and_pruned_columns(spark, tmp_path):
     only = read("t").schema("b string").load()
     assert only.columns == ["b"] and only.filter("b = 'ABC'").count() == 5
     assert len(sqlite.SqliteReader({"path": path, "table": "w", "partitions": "20"}, w.schema).partitions()) <= 8  # no more than the values of the key's first column
+
+
+def test_files_are_copied_into_the_store_once(spark, tmp_path):
+    """Empty files and copies too; what is there stays, and half a file of another run is replaced."""
+    source, base = tmp_path / "in", tmp_path / "store"
+    source.mkdir()
+    held = {"a.txt": b"one", "b.TXT": b"one", "c.pdf": bytes(range(256)) * 500, "empty.md": b"", ".hidden": b"", "_x": b"y"}
+    for name, data in held.items():
+        (source / name).write_bytes(data)
+    rows = files.store(spark, str(source), str(base)).collect()
+    assert sorted(r.original_path.rsplit("/", 1)[-1] for r in rows) == ["a.txt", "b.TXT", "c.pdf", "empty.md"]
+    for r in rows:
+        data = held[r.original_path.rsplit("/", 1)[-1]]
+        path = r.storage_path.removeprefix("file:").replace("//", "/")
+        assert open(path, "rb").read() == data and r.length == len(data) and r.content_hash == hashlib.sha256(data).hexdigest()
+    assert len([p for p in base.rglob("*") if p.is_file()]) == 3
+    assert not any(r.copied for r in files.store(spark, str(source), str(base)).collect())
+    big = next(r for r in rows if r.length == 128_000)
+    open(big.storage_path.removeprefix("file:").replace("//", "/"), "wb").write(b"half")
+    again = files.store(spark, str(source), str(base)).collect()
+    assert [r.original_path.rsplit("/", 1)[-1] for r in again if r.copied] == ["c.pdf"]
+    assert files.acquire(spark, str(source / "empty.md")).first().length == 0
