@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lexmill.functions.expressions import let
+from lexmill.functions.expressions import let, running_sums
 
 # Bounds of a title's length, and the words at the head of a text among which it is looked for.
 SHORTEST, LONGEST, HEAD_WORDS, LONG_LINE = 10, 300, 300, 60
@@ -105,14 +105,14 @@ def title(text: Column) -> Column:
 
 def headings(text: Column) -> Column:
     """level, title and start (in characters) of the headings outside of fenced blocks."""
-    anchor = "struct<level:int,title:string,start:int>"
-    start = F.struct(F.array().cast(f"array<{anchor}>").alias("out"), F.lit(0).alias("at"), F.lit(False).alias("fenced"))
 
-    def step(s: Column, line: Column) -> Column:
-        fence = F.trim(line).rlike("^```|^~~~")
-        marks = F.regexp_extract(line, r"^(#{1,6})\s+\S", 1)
-        found = ~s["fenced"] & ~fence & (marks != "")
-        here = F.struct(F.length(marks).alias("level"), F.trim(F.regexp_replace(line, r"^#{1,6}\s+", "")).alias("title"), s["at"].alias("start"))
-        return F.struct(F.when(found, F.concat(s["out"], F.array(here))).otherwise(s["out"]).alias("out"), (s["at"] + F.length(line) + 1).alias("at"), (s["fenced"] != fence).alias("fenced"))
+    def found(lines: Column) -> Column:
+        fences = F.transform(lines, lambda line: F.trim(line).rlike("^```|^~~~").cast("int"))
+        starts = running_sums(F.transform(lines, lambda line: F.length(line) + 1))
+        rows = F.arrays_zip(lines.alias("line"), fences.alias("fence"), running_sums(fences).alias("before"), starts.alias("start"))
+        # a line is in a block where an odd number of fences stands before it
+        open_lines = F.filter(rows, lambda r: (r["fence"] == 0) & (r["before"] % 2 == 0) & r["line"].rlike(r"^#{1,6}\s+\S"))
+        mark = lambda line: F.regexp_extract(line, r"^(#{1,6})\s+\S", 1)
+        return F.transform(open_lines, lambda r: F.struct(F.length(mark(r["line"])).alias("level"), F.trim(F.regexp_replace(r["line"], r"^#{1,6}\s+", "")).alias("title"), r["start"].cast("int").alias("start")))
 
-    return F.aggregate(F.split(text, "\n", -1), start, step, lambda s: s["out"])
+    return let(F.split(text, "\n", -1), found)

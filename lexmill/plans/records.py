@@ -505,9 +505,9 @@ def price_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def annotated_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with an annotated region before their text and one that is never closed behind it; and what is left without annotations."""
-    d = _read(spark, sf_dir, "documents").filter("text is not null")
-    text = F.concat(F.lit("<!-- feature:table id:t-"), F.col("doc_id"), F.lit(" -->\n| a | b |\n| c |\n<!-- /feature -->\nplain <!-- note -->\n"), F.col("text"), F.lit("\n<!-- feature:list id:l -->\n- x"))
+    """Documents with an annotated region before their text and one that is never closed behind it (null texts are empty); and what is left without annotations."""
+    d = _read(spark, sf_dir, "documents")
+    text = F.concat(F.lit("<!-- feature:table id:t-"), F.col("doc_id"), F.lit(" -->\n| a | b |\n| c |\n<!-- /feature -->\nplain <!-- note -->\n"), F.coalesce("text", F.lit("")), F.lit("\n<!-- feature:list id:l -->\n- x"))
     rows = d.select("doc_id", text.alias("text"))
     found = records.regions(rows, "doc_id", "text")
     bare = rows.select("doc_id", F.sha2(records.without_annotations(F.col("text")), 256).alias("bare_sha256"))
@@ -515,7 +515,7 @@ def annotated_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _REGIONS_SQL = """SELECT doc_id, CAST(0 AS BIGINT) AS place, 'table' AS feature, 't-' || doc_id AS region_id, '| a | b |' || chr(10) || '| c |' AS content,
-  sha256('| a | b |' || chr(10) || '| c |' || chr(10) || 'plain <!-- note -->' || chr(10) || text || chr(10) || '- x') AS bare_sha256 FROM documents WHERE text IS NOT NULL"""
+  sha256('| a | b |' || chr(10) || '| c |' || chr(10) || 'plain <!-- note -->' || chr(10) || coalesce(text, '') || chr(10) || '- x') AS bare_sha256 FROM documents"""
 
 
 def front_matter(spark: SparkSession, sf_dir: str) -> DataFrame:

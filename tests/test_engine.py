@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,3 +105,19 @@ def test_sql_functions(spark):
     sql.register(spark)
     assert tuple(spark.sql("SELECT token_estimate('123456789'), sigmoid(0D), section_path('a', '', 'c', NULL)").first()) == (2, 0.5, "a > c")
     assert [tuple(r) for r in spark.sql("SELECT * FROM chunks('# A\nx\n## B\ny')").collect()] == [(0, "A", "# A\nx"), (1, "A > B", "## B\ny")]
+
+
+def test_headings_against_a_loop(spark):
+    def plain(text):
+        out, at, fenced = [], 0, False
+        for line in text.split("\n"):
+            fence, mark = bool(re.match("```|~~~", line.strip(" "))), re.match(r"(#{1,6})\s+\S", line)
+            if mark and not fenced and not fence:
+                out.append((len(mark[1]), re.sub(r"^#{1,6}\s+", "", line).strip(" "), at))
+            at, fenced = at + len(line) + 1, fenced ^ fence
+        return out
+
+    texts = ["", "# A\n```\n# no\n```\n## B c \nx\n~~~\n# n", "#x\n####### y\n###### z\n#  q", "\n\n# \n# a" * 400, "  ```\n# x\n```\n# y", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for r in df.select("t", titles.headings(df.t).alias("h")).collect():
+        assert (r.h is None) if r.t is None else [tuple(x) for x in r.h] == plain(r.t)
