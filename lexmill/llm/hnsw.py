@@ -31,10 +31,13 @@ from pyspark.sql import functions as F
 from lexmill import session
 from lexmill.llm import memory
 
-#: Neighbours per node and level (twice as many on level 0), and the breadth of search while building and searching.
-DEGREE, BUILD_BREADTH, SEARCH_BREADTH = 16, 64, 96
-#: Shards at least, and vectors per shard at most, on average: this bounds a task's memory at any size.
-LEAST_SHARDS, SHARD_ROWS = 8, 100_000
+#: Neighbours per node and level (twice as many on level 0), and the breadth of search while building.
+DEGREE, BUILD_BREADTH = 16, 96
+#: Breadth of a search: at least so many, and so many times the square root of the graph's nodes, as vectors without
+#: structure need more of a larger graph. `tests/llm/hnsw_recall.py` measures the recall at SHARD_ROWS.
+LEAST_BREADTH, ROOT_BREADTH = 96, 5.0
+#: Shards at least, and vectors per shard on average at most: this bounds a task's memory and time at any size.
+LEAST_SHARDS, SHARD_ROWS = 8, 8_192
 #: The longest vector of a graph is less than this many times as long as the shortest, by their largest components.
 SPAN = 4.0
 #: Queries that meet a shard in one task; the shard is copied once for so many.
@@ -200,23 +203,27 @@ def _level(v: np.ndarray) -> np.ndarray:
     return np.concatenate((v, np.sqrt(np.maximum(squares.max() - squares, 0))[:, None]), axis=1).astype(np.float32)
 
 
-def _search_graph(row: dict, queries: list[tuple[int, np.ndarray]], k: int, breadth: int) -> list[list[tuple[float, int]]]:
+def _search_graph(row: dict, queries: list[tuple[int, np.ndarray]], k: int, breadth: int | None = None) -> list[list[tuple[float, int]]]:
     """For every query (id, vector), its k best (minus the score, id) in a graph, other than itself, in order."""
     original = np.frombuffer(row["vectors"], "<f8").reshape(-1, row["dim"])
     ids, starts = (np.frombuffer(row[c], "<i8") for c in ("ids", "id_starts"))
     graph = Graph(_level(original), np.frombuffer(row["neighbours"], "<i4"), np.frombuffer(row["levels"], "<i4"), row["entry"])
     seen, out = np.zeros(len(original), np.int64), []
+    breadth = max(2 * k, breadth or max(LEAST_BREADTH, math.ceil(ROOT_BREADTH * len(original) ** 0.5)))
     for stamp, (own, exact) in enumerate(queries, 1):
         query = np.append(exact / np.abs(exact).max(), 0).astype(np.float32)
-        found = graph.search(query, graph.descend(query, 0), 0, max(breadth, 2 * k), seen, stamp)
+        found = graph.search(query, graph.descend(query, 0), 0, breadth, seen, stamp)
         nodes = np.array([x for _, x in found])
         scores = original[nodes] @ exact
         out.append(sorted((-s, int(j)) for x, s in zip(nodes.tolist(), scores.tolist(), strict=True) for j in ids[starts[x] : starts[x + 1]] if j != own)[:k])
     return out
 
 
-def search(index: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", breadth: int = SEARCH_BREADTH) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: each query's k nearest over all shards. `index` is read three times, so give it as a table."""
+def search(index: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", breadth: int | None = None) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score: each query's k nearest over all shards. `index` is read three times, so give it as a table.
+
+    breadth: candidates that a search of a graph holds; by default it grows with the graph (LEAST_BREADTH, ROOT_BREADTH).
+    """
     asked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & valid(F.col("v"))).distinct()
     blocks = -(-asked.count() // BLOCK) or 1
     asked = asked.select(F.size("v").alias("dim"), F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).alias("block"), "id", F.xxhash64("v").alias("print"), "v")
