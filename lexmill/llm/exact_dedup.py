@@ -1,11 +1,12 @@
 """Exact dedup by content sort, in DataFrame functions only.
 
-The rows are dealt into ranges of (content key, id) by splitters taken from a sample, sorted within each range, and
+The rows are dealt into ranges of (content key, id, salt) by splitters taken from a sample, sorted within each range, and
 each row's whole normalised text is compared with its neighbour's. The content key is a short prefix and a 64-bit hash
 of the text, so the splitters stay small however long the texts are; after the key the whole text decides the order,
 so equal texts are adjacent. As the id is part of the splitters, a text that a third of all rows share is spread over
-many ranges: runs that touch the edge of a range are joined with those of the same text in other ranges (at most two
-runs per range).
+many ranges, and as the row's number is too, so are rows that repeat text and id: runs that touch the edge of a range are
+joined with those of the same text in other ranges (at most two runs per range). Give the rows as a table, so that a task
+that runs again numbers them as before.
 
 Defined results: a null text counts as empty, empty texts equal each other; only A-Z are lower-cased; a null id comes
 after all ids, so it never stays while another row of its group has an id; of rows with equal text and equal id
@@ -55,7 +56,17 @@ def _range_of(key: Column, splitters: list, kind: str) -> Column:
 
 
 def _json(rows: list) -> str:
-    return json.dumps([{"prefix": r["prefix"], "hash": r["hash"], "id": r["id"]} for r in rows])
+    return json.dumps([r.asDict() for r in rows])
+
+
+def _dealt(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """id, norm, prefix, hash and the range of every row, and the number of ranges."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), normalise(F.col(text_col)).alias("norm"))
+    salt = F.xxhash64(F.monotonically_increasing_id())
+    rows = rows.withColumn("key", F.struct(F.substring("norm", 1, PREFIX).alias("prefix"), F.xxhash64("norm").alias("hash"), "id", salt.alias("salt")))
+    splitters = _splitters(rows.select("key"), session.n_partitions(docs.sparkSession))
+    place = _range_of(F.col("key"), splitters, "struct<prefix:string,hash:bigint,id:bigint,salt:bigint>")
+    return rows.select("id", "norm", "key.prefix", "key.hash", place.alias("range")), len(splitters) + 1
 
 
 def content_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
@@ -63,14 +74,10 @@ def content_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     keep: `min` or `max`, the id that stays of each group of equal texts.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), normalise(F.col(text_col)).alias("norm"))
-    rows = rows.withColumn("key", F.struct(F.substring("norm", 1, PREFIX).alias("prefix"), F.xxhash64("norm").alias("hash"), F.col("id")))
-    ranges = session.n_partitions(spark)
-    splitters = _splitters(rows.select("key"), ranges)
-    rows = rows.withColumn("range", _range_of(F.col("key"), splitters, "struct<prefix:string,hash:bigint,id:bigint>"))
+    rows, ranges = _dealt(docs, id_col, text_col)
+    rows = rows.repartitionById(ranges, "range")
 
-    in_range = Window.partitionBy("range").orderBy("key.prefix", "key.hash", "norm", "id")
+    in_range = Window.partitionBy("range").orderBy("prefix", "hash", "norm", "id")
     before, after = F.lag("norm").over(in_range), F.lead("norm").over(in_range)
     same_id = F.lag("id").over(in_range).eqNullSafe(F.col("id"))
     marked = rows.select("id", "range", F.sha2("norm", 256).alias("sha"), "norm", before.alias("before"), after.alias("after"), same_id.alias("same_id"), F.row_number().over(in_range).alias("at"))
@@ -85,9 +92,16 @@ def content_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     best = F.min if keep == "min" else F.max
     runs = marked.groupBy("range", "run").agg(best("id").alias("keep_id"), F.count("*").alias("n"), F.max("edge").alias("edge"))
     edges = runs.filter(F.col("edge").isNotNull())
-    whole = edges.groupBy("edge").agg(best("keep_id").alias("whole_id"), F.sum("n").alias("whole_n"))
-    edges = edges.join(whole, "edge").select(F.col("range").alias("_range"), F.col("run").alias("_run"), "whole_id", "whole_n")
+    # of rows that repeat the id that stays, in several ranges, the first range's stays
+    if keep == "min":
+        first = F.min(F.struct(F.col("keep_id").isNull().alias("none"), "keep_id", "range"))
+    else:
+        first = F.max(F.struct(F.col("keep_id").isNotNull().alias("some"), "keep_id", (-F.col("range")).alias("range")))
+    whole = edges.groupBy("edge").agg(first.alias("first"), F.sum("n").alias("whole_n"))
+    whole = whole.select("edge", F.col("first.keep_id").alias("whole_id"), F.abs("first.range").alias("keep_range"), "whole_n")
+    edges = edges.join(whole, "edge").select(F.col("range").alias("_range"), F.col("run").alias("_run"), "whole_id", "whole_n", "keep_range")
     runs = runs.drop("edge").join(edges, (F.col("range") == F.col("_range")) & (F.col("run") == F.col("_run")), "left")
-    runs = runs.select("range", "run", F.coalesce("whole_id", "keep_id").alias("keep_id"), F.coalesce("whole_n", "n").alias("group_size"))
+    runs = runs.select("range", "run", F.coalesce("whole_id", "keep_id").alias("keep_id"), F.coalesce("whole_n", "n").alias("group_size"), F.coalesce("keep_range", "range").alias("keep_range"))
     found = marked.join(runs, ["range", "run"])
-    return found.select("id", "keep_id", "group_size", (F.col("id").eqNullSafe(F.col("keep_id")) & ~F.col("repeats")).alias("kept"), F.col("sha").alias("text_sha256"))
+    kept = F.col("id").eqNullSafe(F.col("keep_id")) & ~F.col("repeats") & (F.col("range") == F.col("keep_range"))
+    return found.select("id", "keep_id", "group_size", kept.alias("kept"), F.col("sha").alias("text_sha256"))

@@ -218,6 +218,20 @@ def test_exact_dedup_of_a_hot_text(spark):
     assert got.filter("kept").count() == 1 + rows.filter("doc_id % 3 <> 0").select("text").distinct().count()
 
 
+@pytest.mark.parametrize("keep", ["min", "max"])
+def test_exact_dedup_of_rows_that_repeat_text_and_id(spark, keep, tmp_path):
+    odd = "CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN 5 ELSE id % 700 END"
+    spark.range(9000).selectExpr(f"CAST({odd} AS BIGINT) AS doc_id", "IF(id % 3 = 0, NULL, IF(id % 3 = 1, 'hot Text', concat('t', id % 500))) AS text").write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+    dealt, ranges = exact_dedup._dealt(rows, "doc_id", "text")
+    sizes = [r["count"] for r in dealt.groupBy("range").count().collect()]
+    assert len(sizes) == ranges > 3 and max(sizes) < 2 * 9000 / ranges
+    got = exact_dedup.content_groups(rows, keep=keep)
+    hot = [(r.id, r.keep_id, r.n) for r in got.filter("group_size = 3000 AND kept").groupBy("id", "keep_id").agg(F.count("*").alias("n")).collect()]
+    assert sorted(hot, key=str) == [(5, 5, 1), (None, None, 1)]
+    assert got.count() == 9000 and got.filter("kept").count() == rows.select(F.coalesce("text", F.lit(""))).distinct().count()
+
+
 # near dedup
 
 
