@@ -135,6 +135,30 @@ def text_slice(chunks: DataFrame, total: int, start: int | None = None, end: int
     return "range", chunk_range(rows, index, low, min(high, total - 1))
 
 
+def text_slices(chunks: DataFrame, asked: DataFrame, by: list[str], index: str = "chunk_index") -> DataFrame:
+    """What readers get of many documents, each by what was asked of it: `start` and `end` of `asked`, null where open.
+
+    A row per chunk given, with `asked`'s columns, kind, total, first and last; what gives none is one row without a chunk:
+    `none` (no chunks at all) and `invalid` (no such chunks). Chunks are numbered from 0 in each document; null keys have none.
+    """
+    totals = chunks.groupBy(*by).agg(F.count("*").alias("total"))
+    rows = asked.join(totals, by, "left").withColumn("total", F.coalesce("total", F.lit(0)).cast("long"))
+    low, high = F.coalesce("start", F.lit(0)), F.coalesce("end", F.col("total") - 1)
+    invalid = (low < 0) | (high < 0) | (low > high) | (low >= F.col("total"))
+    open_ = F.col("start").isNull() & F.col("end").isNull()
+    kind = F.when(F.col("total") == 0, "none").when(F.col("total") < SHORT_DOCUMENT, "whole").when(open_, "preview").when(invalid, "invalid").otherwise("range")
+    rows = rows.withColumn("kind", kind)
+    in_range = F.col("kind") == "range"
+    first = F.when(in_range, low).when(F.col("kind").isin("whole", "preview"), 0).cast("long")
+    last = F.when(in_range, F.least(high, F.col("total") - 1)).when(F.col("kind") == "whole", F.col("total") - 1).when(F.col("kind") == "preview", PREVIEW - 1).cast("long")
+    rows = rows.withColumn("first", first).withColumn("last", last)
+    named = chunks.select(*[F.col(c).alias(f"_{c}") for c in by], *[F.col(c) for c in chunks.columns if c not in by])
+    match = F.col(index).between(F.col("first"), F.col("last"))
+    for c in by:
+        match = match & (F.col(c) == F.col(f"_{c}"))
+    return rows.join(named, match, "left").drop(*[f"_{c}" for c in by])
+
+
 def failed_records(paths: DataFrame, documents: DataFrame, path_col: str = "path") -> DataFrame:
     """Records of files that could not be taken up: (path, error_message, error_code) gets a placeholder hash of the path, and state failed.
 

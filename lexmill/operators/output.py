@@ -83,6 +83,65 @@ def documents_markdown(rows: DataFrame) -> DataFrame:
     return made.select(F.concat_ws("\n", head, F.lit(""), F.array_join(F.transform("items", lambda i: i["item"]), "\n")).alias("markdown"))
 
 
+def document_table(rows: DataFrame) -> DataFrame:
+    """A cut page of documents (place, total, citekey, title, authors, status, embedding_status) as one markdown table."""
+    cell = lambda c, most: truncated(F.coalesce(c, F.lit("")), most)
+    key = F.coalesce(F.concat(F.lit("@"), F.col("citekey")), F.lit(""))
+    cells = [key, cell(F.col("title"), 40), cell(F.col("authors"), 25), F.col("status"), F.coalesce("embedding_status", F.lit(""))]
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    made = rows.agg(F.max("total").alias("total"), F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("place", line.alias("line")))).alias("lines"))
+    number = F.format_number("total", 0)
+    head = F.when(F.col("n") < F.col("total"), F.concat(F.lit("### Documents (showing "), F.col("n"), F.lit(" of "), number, F.lit(")"))).otherwise(F.concat(F.lit("### Documents ("), number, F.lit(" total)")))
+    table = F.concat_ws("\n", head, F.lit(""), F.lit("| Citekey | Title | Authors | Status | Embeddings |"), F.lit("|---------|-------|---------|--------|------------|"), F.array_join(F.transform("lines", lambda i: i["line"]), "\n"))
+    return made.select(F.when(F.col("n") == 0, "No documents in the library.").otherwise(table).alias("markdown"))
+
+
+def error_line(message: Column, infrastructure: bool = False) -> Column:
+    """An error that the asker can handle, or one of the `infrastructure` that is to be told to people."""
+    return F.concat(F.lit("\u26a0 USER-FACING ERROR: " if infrastructure else "Error: "), message)
+
+
+def no_results(query: Column) -> Column:
+    """What an asker reads when a search finds nothing."""
+    return F.concat(F.lit('No results found for "'), query, F.lit('". Try different search terms, broader keywords, or search for exact keywords.'))
+
+
+def text_page(head: Column, kind: Column, total: Column, text: Column, bounds: tuple[Column, Column], chunks: Column) -> Column:
+    """What a reader gets of a document: all its text, a range of chunks, or a preview with the sections in it.
+
+    chunks: array of (chunk_index, section, text) in order; kind: as `catalog.text_slices` gives it; bounds: first and last chunk asked.
+    """
+    has = lambda c: F.coalesce(c, F.lit("")) != ""
+
+    def listed(mark: str, end: str) -> Column:
+        named = lambda c: F.when(has(c["section"]), F.concat(F.lit(mark), c["section"], F.lit(end)))
+        label = lambda c: F.concat(F.lit("*[Chunk "), c["chunk_index"].cast("string"), F.lit("]*"))
+        return F.array_join(F.transform(chunks, lambda c: F.concat_ws("\n", named(c), label(c), F.lit(""), F.coalesce(c["text"], F.lit("")), F.lit(""))), "\n")
+
+    line = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    whole = F.concat_ws("\n", head, line("*", total.cast("string"), " chunks*"), F.lit(""), F.coalesce(text, F.lit("")))
+    part = F.concat_ws("\n", head, line("*Chunks ", bounds[0].cast("string"), "\u2013", bounds[1].cast("string"), " of ", total.cast("string"), " total*"), F.lit(""), listed("### ", ""))
+    sections = F.array_distinct(F.filter(F.transform(chunks, lambda c: c["section"]), has))
+    contents = F.when(F.size(sections) > 0, F.concat_ws("\n", F.lit("### Sections"), F.array_join(F.transform(sections, lambda s: F.concat(F.lit("- "), s)), "\n"), F.lit("")))
+    shown = line("### Preview (first ", F.size(chunks).cast("string"), " chunks)")
+    hint = line("Document has ", total.cast("string"), " chunks. A part of it is read by its first and last chunk (from 0, both included), such as 20 to 40.")
+    preview = F.concat_ws("\n", head, line("*", total.cast("string"), " chunks total*"), F.lit(""), contents, shown, F.lit(""), listed("**", "**"), F.lit("---"), hint)
+    wrong = error_line(line("no chunks ", bounds[0].cast("string"), " to ", bounds[1].cast("string"), " of ", total.cast("string")))
+    return F.when(kind == "whole", whole).when(kind == "range", part).when(kind == "preview", preview).when(kind == "invalid", wrong).otherwise(F.concat(head, F.lit("\n\nNo text content available for this document.")))
+
+
+def text_pages(slices: DataFrame, by: list[str]) -> DataFrame:
+    """A markdown text per request: `slices` as `catalog.text_slices` gives them, with citekey, title and text of the documents; by: columns that name a request and its document, the document last."""
+    one = [F.first(c).alias(c) for c in ("kind", "total", "start", "end", "first", "last", "citekey", "title", "text")]
+    given = slices.withColumnRenamed("chunk_text", "_text")
+    chunk = F.struct("chunk_index", "section", F.col("_text").alias("text"))
+    rows = given.groupBy(*by).agg(*one, F.array_sort(F.collect_list(F.when(F.col("chunk_index").isNotNull(), chunk))).alias("chunks"))
+    named = lambda c: F.when(F.coalesce(c, F.lit("")) != "", c)
+    head = F.concat(F.lit("## "), F.coalesce(F.concat(F.lit("@"), named(F.col("citekey"))), named(F.col("title")), F.concat(F.lit("Document "), F.col(by[-1]).cast("string"))))
+    bounds = F.coalesce("start", F.lit(0)), F.coalesce("end", "last", F.col("total") - 1)
+    return rows.select(*by, "kind", text_page(head, F.col("kind"), F.col("total"), F.col("text"), bounds, F.col("chunks")).alias("markdown"))
+
+
 def document_markdown(key: Column, title: Column, fields: Column) -> Column:
     """One document's fields (a map of strings; null values are left out) as markdown."""
     lines = F.transform(F.filter(F.array_sort(F.map_entries(fields)), lambda f: f["value"].isNotNull()), lambda f: F.concat(F.lit("- **"), f["key"], F.lit(":** "), f["value"]))

@@ -96,6 +96,63 @@ def section_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.outline(events, ["user_id"])
 
 
+def _users(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Users' events as chunks of documents, and what is asked of every user: a preview, ranges that are open or closed, chunks that may be none."""
+    rank = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    chunks = _read(spark, sf_dir, "events").select("user_id", rank.alias("chunk_index"), F.when(F.col("event_type") != "click", F.col("event_type")).alias("section"), F.col("props").alias("chunk_text"))
+    k = F.col("user_id") % 5
+    asked = chunks.select("user_id").distinct().select(
+        "user_id", F.when(k == 1, 5).when(k == 3, 40).when(k == 4, 90).alias("start"), F.when(k == 1, 12).when(k == 2, 3).when(k == 4, 95).alias("end"),
+        F.when(F.col("user_id") % 3 > 0, F.concat(F.lit("u"), F.col("user_id"))).alias("citekey"), F.when(F.col("user_id") % 2 > 0, F.concat(F.lit("User "), F.col("user_id"))).alias("title"), F.concat(F.lit("All of "), F.col("user_id")).alias("text"),
+    )
+    return chunks, asked
+
+
+_USERS_SQL = """c AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, CASE WHEN event_type <> 'click' THEN event_type END AS section, props FROM events),
+t AS (SELECT user_id, count(*) AS total, CASE user_id % 5 WHEN 1 THEN 5 WHEN 3 THEN 40 WHEN 4 THEN 90 END AS lo, CASE user_id % 5 WHEN 1 THEN 12 WHEN 2 THEN 3 WHEN 4 THEN 95 END AS hi FROM c GROUP BY 1),
+k AS (SELECT *, CASE WHEN total < 50 THEN 'whole' WHEN lo IS NULL AND hi IS NULL THEN 'preview' WHEN coalesce(lo, 0) >= total THEN 'invalid' ELSE 'range' END AS kind FROM t),
+s AS (SELECT k.*, i, section, props FROM k LEFT JOIN c ON c.user_id = k.user_id AND CASE kind WHEN 'whole' THEN true WHEN 'preview' THEN i < 20 WHEN 'range' THEN i BETWEEN coalesce(lo, 0) AND coalesce(hi, total) ELSE false END)"""
+
+
+def users_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks that readers get of all users at once."""
+    found = catalog.text_slices(*_users(spark, sf_dir), ["user_id"])
+    return found.select("user_id", "kind", "total", F.col("chunk_index").cast("long").alias("chunk_index"))
+
+
+_USERS_SLICES_SQL = f"WITH {_USERS_SQL} SELECT user_id, kind, total, i AS chunk_index FROM s"
+
+
+def text_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as pages of markdown."""
+    return output.text_pages(catalog.text_slices(*_users(spark, sf_dir), ["user_id"]), ["user_id"])
+
+
+_PAGES_SQL = f"""WITH {_USERS_SQL},
+b AS (SELECT user_id, kind, total, any_value(lo) AS lo, any_value(hi) AS hi, count(i) AS n,
+  string_agg(CASE WHEN section IS NULL THEN '' WHEN kind = 'range' THEN '### ' || section || chr(10) ELSE '**' || section || '**' || chr(10) END || '*[Chunk ' || i || ']*' || chr(10) || chr(10) || props || chr(10), chr(10) ORDER BY i) AS body FROM s GROUP BY 1, 2, 3),
+o AS (SELECT user_id, string_agg('- ' || section, chr(10) ORDER BY f) AS outline FROM (SELECT user_id, section, min(i) AS f FROM s WHERE section IS NOT NULL GROUP BY 1, 2) GROUP BY 1),
+h AS (SELECT b.*, outline, '## ' || CASE WHEN b.user_id % 3 > 0 THEN '@u' || b.user_id WHEN b.user_id % 2 > 0 THEN 'User ' || b.user_id ELSE 'Document ' || b.user_id END || chr(10) AS head FROM b LEFT JOIN o USING (user_id))
+SELECT user_id, kind, CASE kind WHEN 'whole' THEN head || '*' || total || ' chunks*' || chr(10) || chr(10) || 'All of ' || user_id
+  WHEN 'range' THEN head || '*Chunks ' || coalesce(lo, 0) || chr(8211) || coalesce(hi, total - 1) || ' of ' || total || ' total*' || chr(10) || chr(10) || body
+  WHEN 'invalid' THEN 'Error: no chunks ' || lo || ' to ' || hi || ' of ' || total
+  ELSE head || '*' || total || ' chunks total*' || chr(10) || chr(10) || coalesce('### Sections' || chr(10) || outline || chr(10) || chr(10), '') || '### Preview (first ' || n || ' chunks)' || chr(10) || chr(10) || body
+    || chr(10) || '---' || chr(10) || 'Document has ' || total || ' chunks. A part of it is read by its first and last chunk (from 0, both included), such as 20 to 40.' END AS markdown FROM h"""
+
+
+def documents_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of the 25 oldest documents as a table."""
+    page = catalog.page(_documents(spark, sf_dir), ["created_at", "doc_id"], 25)
+    rows = page.select(F.row_number().over(Window.orderBy("created_at", "doc_id")).alias("place"), "total", "citekey", F.repeat("text", 4).alias("title"), F.concat(F.lit("By "), F.repeat("text", 2)).alias("authors"), "status", "embedding_status")
+    return output.document_table(rows)
+
+
+_TABLE_SQL = f"""WITH {_DOCS}, p AS (SELECT *, row_number() OVER (ORDER BY created_at, doc_id) AS place FROM d),
+r AS (SELECT *, repeat(text, 4) AS title, 'By ' || repeat(text, 2) AS authors FROM p WHERE place <= 25)
+SELECT '### Documents (showing ' || count(*) || ' of ' || format('{{:,}}', (SELECT count(*) FROM d)) || ')' || chr(10) || chr(10) || '| Citekey | Title | Authors | Status | Embeddings |' || chr(10) || '|---------|-------|---------|--------|------------|' || chr(10)
+  || string_agg('| ' || coalesce('@' || citekey, '') || ' | ' || CASE WHEN length(title) > 40 THEN title[:37] || '...' ELSE title END || ' | ' || CASE WHEN length(authors) > 25 THEN authors[:22] || '...' ELSE authors END || ' | ' || status || ' | ' || coalesce(embedding_status, '') || ' |', chr(10) ORDER BY place) AS markdown FROM r"""
+
+
 def text_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a reader gets of the events of a type, as a document's chunks, by how they were asked for."""
     events = _read(spark, sf_dir, "events")
@@ -268,12 +325,12 @@ SELECT doc_id, refused, CASE WHEN NOT refused THEN coalesce(given, 'Muller' || l
 
 def manual_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fields of all records as an update by hand stores them."""
-    found = _csl(spark, sf_dir).filter("k NOT IN (4, 7)").select("doc_id", metadata.updated_by_hand(F.col("record")).alias("u"))
+    found = _csl(spark, sf_dir).select("doc_id", metadata.updated_by_hand(F.col("record")).alias("u"))
     return found.select("doc_id", "u.title", "u.authors", "u.issued_date", F.col("u.issued_year").cast("long").alias("issued_year"))
 
 
-_MANUAL_SQL = f"""WITH {_CSL} SELECT doc_id, record ->> '$.title' AS title, CASE WHEN json_exists(record, '$.author') THEN 'Jean-Pierre m. Müller-' || lang || '; The ' || source END AS authors,
-  json_extract_string(record, '$.issued."date-parts"[0][0]') AS issued_date, CAST(json_extract_string(record, '$.issued."date-parts"[0][0]') AS BIGINT) AS issued_year FROM c WHERE k NOT IN (4, 7)"""
+_MANUAL_SQL = f"""WITH {_CSL} SELECT doc_id, CASE WHEN k <> 4 THEN record ->> '$.title' END AS title, CASE WHEN k <> 7 AND json_exists(record, '$.author') THEN 'Jean-Pierre m. Müller-' || lang || '; The ' || source END AS authors,
+  json_extract_string(record, '$.issued."date-parts"[0][0]') AS issued_date, CAST(json_extract_string(record, '$.issued."date-parts"[0][0]') AS BIGINT) AS issued_year FROM c"""
 
 
 def edited_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -605,6 +662,9 @@ QUERIES = {
     "chunk_counts": chunk_counts,
     "section_outline": section_outline,
     "text_slices": text_slices,
+    "users_slices": users_slices,
+    "text_pages": text_pages,
+    "documents_table": documents_table,
     "failed_records": failed_records,
     "reextracted": reextracted,
     "migrated": migrated,
@@ -648,6 +708,9 @@ ORACLE_SQL = {
     "chunk_counts": f"WITH {_DOCS} SELECT doc_id, count(l_orderkey) AS chunks, count(l_orderkey) > 0 AS has_embeddings FROM d LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_returnflag <> 'R' GROUP BY doc_id",
     "section_outline": "WITH f AS (SELECT user_id, event_type AS section, min(event_id) AS first_chunk FROM events WHERE event_type <> 'click' AND event_type <> '' GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY first_chunk, section) AS place FROM f",
     "text_slices": _SLICES_SQL,
+    "users_slices": _USERS_SLICES_SQL,
+    "text_pages": _PAGES_SQL,
+    "documents_table": _TABLE_SQL,
     "failed_records": f"WITH {_DOCS}, p AS (SELECT '/in/' || c_custkey || '/' || c_custkey || '.pdf' AS p FROM customer) SELECT p AS original_path, sha256(p) AS content_hash, 'failed' AS status, 'unreadable' AS error_code FROM p WHERE p NOT IN (SELECT original_path FROM d)",
     "reextracted": f"WITH {_DOCS} SELECT doc_id, CASE WHEN left(text, 1) = '5' THEN text ELSE upper(text) END AS text, CASE left(text, 1) WHEN '5' THEN status WHEN '1' THEN 'needs_review' ELSE 'ready' END AS status, CASE left(text, 1) WHEN '5' THEN embedding_status ELSE 'stale' END AS embedding_status, CASE left(text, 1) WHEN '1' THEN 'fall-back' END AS error_message FROM d",
     "migrated": "SELECT o_orderkey AS doc_id, CASE WHEN o_orderstatus <> 'P' THEN year(o_orderdate) END AS issued_year, NULL::VARCHAR AS embedding_status, NULL::VARCHAR AS error_code FROM orders",

@@ -242,7 +242,7 @@ _TITLE_SHAPES = [("A Study Of ", " And Its Many Words"), ("notes on ", " in smal
 
 def _headed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with two headings before them, and 300 words between these and the text, so that no paragraph is a candidate."""
-    docs = _read(spark, sf_dir, "documents").filter("text is not null")
+    docs = _read(spark, sf_dir, "documents")
     shape = lambda k: F.element_at(F.array(*[F.concat(F.lit(a), F.col("source"), F.lit(b)) for a, b in _TITLE_SHAPES]), (k % len(_TITLE_SHAPES) + 1).cast("int"))
     first, second = shape(F.col("doc_id")), shape(F.floor(F.col("doc_id") / 5))
     gap = F.when(F.col("doc_id") % 2 == 0, "\n").otherwise("")
@@ -267,7 +267,7 @@ s AS (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.8::DOUBLE + CASE WHEN
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, i) AS rank, lead(score) OVER (PARTITION BY doc_id ORDER BY score DESC, i) AS second FROM s)
 SELECT d.doc_id, t AS title, coalesce(round_even(CASE WHEN second IS NULL THEN score * 0.9 ELSE score * (0.7 + 0.3 * least(3 * (score - second), 1.0)) END, 2), 0.0)::DOUBLE AS confidence,
   CASE WHEN t IS NULL THEN 'no valid title candidates found' ELSE array_to_string(list_filter(['markdown header', CASE WHEN first THEN 'first content' END, 'isolated line', CASE WHEN n BETWEEN 30 AND 150 THEN 'good length' END, CASE WHEN cased THEN 'title case' END, CASE WHEN meta THEN 'likely metadata' END], lambda x: x IS NOT NULL), '; ') END AS reasoning
-FROM (SELECT doc_id FROM documents WHERE text IS NOT NULL) d LEFT JOIN r ON r.doc_id = d.doc_id AND rank = 1
+FROM (SELECT doc_id FROM documents) d LEFT JOIN r ON r.doc_id = d.doc_id AND rank = 1
 """
 
 
@@ -286,6 +286,20 @@ SELECT doc_id, array_to_string(list_transform(range(i - i % 4, i + 1), lambda j:
 """
 
 
+def chunk_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of documents whose words are replaced by nine letters of their hash, so that all pieces but the last are equally long: which words each chunk holds, those that it repeats included."""
+    words = F.transform(F.split("text", " ", -1), lambda w: F.substring(F.sha2(w, 256), 1, 9))
+    found = chunking.chunk(_read(spark, sf_dir, "documents").select("doc_id", F.array_join(words, " ").alias("text")))
+    return found.select("doc_id", "chunk_index", F.sha2("text", 256).alias("text_sha256"))
+
+
+_OVERLAP_SQL = """
+WITH w AS (SELECT doc_id, list_transform(string_split(text, ' '), lambda x: sha256(x)[1:9]) AS words FROM documents WHERE text IS NOT NULL),
+c AS (SELECT *, unnest(range(0, CAST(1 + ceil(greatest(len(words) - 150, 0) / 130) AS BIGINT))) AS chunk_index FROM w)
+SELECT doc_id, chunk_index, sha256(array_to_string(words[130 * chunk_index + 1 : 130 * chunk_index + 150], ' ')) AS text_sha256 FROM c
+"""
+
+
 def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every heading and every line of the sectioned documents as annotated regions; null texts have none."""
     lines = _read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
@@ -389,6 +403,7 @@ QUERIES = {
     "ir_metrics_rollup": ir_metrics_rollup,
     "title_heuristic": title_heuristic,
     "chunk_cover": chunk_cover,
+    "chunk_overlap": chunk_overlap,
     "region_alignment": region_alignment,
     "damaged_alignment": damaged_alignment,
     "extracted_pages": extracted_pages,
@@ -419,6 +434,7 @@ ORACLE_SQL = {
     "heading_anchors": _ANCHOR_SQL,
     "title_heuristic": _TITLE_SQL,
     "chunk_cover": _COVER_SQL,
+    "chunk_overlap": _OVERLAP_SQL,
     "region_alignment": _ALIGNED_SQL,
     "event_windows": "SELECT strftime(ts, '%Y-%m-%d %H') AS hour, event_type, count(*) AS events, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "rag_context": _bm25_sql(_WORD_PHRASES, 5, tail=f"""SELECT count(*) AS chunks, sha256('Context:' || chr(10) || string_agg('[@doc' || doc_id || ', §' || source || '] ' || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY bm25, doc_id) || chr(10) || chr(10) || 'Question: {WORDS}') AS message_sha256 FROM hits"""),
