@@ -525,7 +525,10 @@ def offers_new_key(old: Column, new: Column, old_key: Column, new_key: Column) -
 
 
 def updated_by_hand(record: Column) -> Column:
-    """The indexed fields of a record given by hand: title, authors as `Given Family`, the year as the date, and issued_year."""
+    """The indexed fields of a record given by hand: title, authors as `Given Family`, the year as the date, and issued_year.
+
+    A title of another kind is stored as its JSON, and authors of another kind as none, as this path checks nothing.
+    """
     r = F.from_json(record, _PROCESSED)
     year = F.get(F.get(r["issued"]["date-parts"], F.lit(0)), F.lit(0))
     return F.struct(r["title"].alias("title"), plain_authors(r["author"]).alias("authors"), year.alias("issued_date"), csl_year(record).alias("issued_year"))

@@ -329,7 +329,7 @@ def manual_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "u.title", "u.authors", "u.issued_date", F.col("u.issued_year").cast("long").alias("issued_year"))
 
 
-_MANUAL_SQL = f"""WITH {_CSL} SELECT doc_id, CASE WHEN k <> 4 THEN record ->> '$.title' END AS title, CASE WHEN k <> 7 AND json_exists(record, '$.author') THEN 'Jean-Pierre m. Müller-' || lang || '; The ' || source END AS authors,
+_MANUAL_SQL = f"""WITH {_CSL} SELECT doc_id, record ->> '$.title' AS title, CASE WHEN k <> 7 AND json_exists(record, '$.author') THEN 'Jean-Pierre m. Müller-' || lang || '; The ' || source END AS authors,
   json_extract_string(record, '$.issued."date-parts"[0][0]') AS issued_date, CAST(json_extract_string(record, '$.issued."date-parts"[0][0]') AS BIGINT) AS issued_year FROM c"""
 
 
