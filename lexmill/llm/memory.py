@@ -19,9 +19,22 @@ def claim(name: str, forget: Callable[[], None]) -> None:
 
 def release(but: str | None = None) -> None:
     """Forget all memories of this worker, but one."""
-    for name in [n for n in _held if n != but]:
+    others = [n for n in _held if n != but]
+    for name in others:
         _held.pop(name)()
-    if but is None or len(_held) == 0:
-        import pyarrow as pa
+    if others or not _held:
+        _give_back()
 
-        pa.default_memory_pool().release_unused()
+
+def _give_back() -> None:
+    """Return to the system what this worker has freed but still holds."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library's own; others have none
+    if trim is not None:
+        trim(0)
