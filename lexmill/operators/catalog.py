@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill import session
 
 STATUSES = ("pending", "ready", "failed", "needs_review")
 EMBEDDING_STATES = ("pending", "current", "stale")
@@ -247,14 +248,29 @@ def suggestions_for(asked: DataFrame, names: DataFrame, asked_col: str, name_col
     """asked, name, distance and place (from 1) of the `most` names within an edit distance of each key, the nearest first.
 
     Two strings within d edits have a string in common that both give without at most d of their characters. So these are
-    the keys of a join, as hashes, for all keys and names at once; what meets is checked by its distance. Equal keys and equal names
+    the keys of a join, as hashes, for all keys and names at once; what meets is checked by its distance before it is shuffled.
+    Keys that have enough names within few edits are done, so only the others are looked up by more. Equal keys and equal names
     are one before they meet. Null keys get nothing.
     """
-    keys = lambda rows, col, out: rows.select(F.col(col).alias(out)).filter(F.col(out).isNotNull()).distinct().select(out, F.explode(F.array_distinct(F.transform(_shortened(F.col(out), distance), lambda x: F.xxhash64(x)))).alias("key"))
-    met = keys(asked, asked_col, "asked").join(keys(names, name_col, "name"), "key").select("asked", "name").distinct()
-    near = met.withColumn("distance", F.levenshtein("asked", "name", distance).cast("long")).filter("distance >= 0")
+    parts = session.n_partitions(asked.sparkSession)
+    # dealt by number, as texts that fit into one task give hundreds of keys each
+    texts = lambda rows, col, out: rows.select(F.col(col).alias(out)).filter(F.col(out).isNotNull()).repartition(parts, out).distinct()
+    left, held, done = session.cut(texts(asked, asked_col, "asked"), "asked"), session.cut(texts(names, name_col, "name"), "names"), []
     order = Window.partitionBy("asked").orderBy("distance", "name")
-    return near.withColumn("place", F.row_number().over(order).cast("long")).filter(F.col("place") <= most)
+    for edits in range(min(1, distance), distance + 1):
+        keys = lambda rows, out: rows.select(out, F.explode(F.array_distinct(F.transform(_shortened(F.col(out), edits), lambda x: F.xxhash64(x)))).alias("key"))  # noqa: B023, E731
+        # the keys are many times the texts that their size is guessed by, so they are never broadcast
+        met = keys(left.repartition(parts, "asked"), "asked").hint("merge").join(keys(held.repartition(parts, "name"), "name"), "key")
+        near = met.select("asked", "name", F.levenshtein("asked", "name", edits).cast("long").alias("distance")).filter("distance >= 0").distinct()
+        best = near.withColumn("place", F.row_number().over(order).cast("long")).filter(F.col("place") <= most)
+        if edits < distance:
+            best = session.cut(best, "near")
+            enough = best.filter(F.col("place") == most).select("asked")
+            done.append(best.join(enough, "asked", "left_semi"))
+            left = session.cut(left.join(enough, "asked", "left_anti"), "asked")
+        else:
+            done.append(best)
+    return reduce(DataFrame.unionByName, done)
 
 
 def first_of_content(rows: DataFrame, content: str, order: list[str]) -> DataFrame:

@@ -211,3 +211,27 @@ def test_alignment_of_odd_texts():
     assert [f["start"] for f in swapped] == [12, 16, 0, 4]
     big = alignment.align_document([{"region_id": "r", "content": "a" * 30_000}], "a" * 20_000 + " " + "a" * 20_000)
     assert len(big) == 1
+
+
+def test_keys_of_suggestions_are_never_broadcast(spark, capsys):
+    rng = random.Random(3)
+    names = sorted({"Name#00" + "".join(rng.choice("0123") for _ in range(3)) for _ in range(50)} | {"", "a", "ab"})
+    asked = [n[:i] + rng.choice(["", "x", "xy"]) + n[i + 1 :] for n in names for i in (0, 3, 8)] + [None]
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+        return row[-1]
+
+    left, right = spark.createDataFrame([(a,) for a in asked], "asked string"), spark.createDataFrame([(n,) for n in names], "name string")
+    for most, edits in ((3, 2), (1, 2), (2, 1), (2, 0)):
+        found = catalog.suggestions_for(left, right, "asked", "name", most, edits)
+        near = {a: sorted((distance(a, n), n) for n in names) for a in set(asked) - {None}}
+        want = {(a, d, n, i + 1) for a in near for i, (d, n) in enumerate(near[a][:most]) if d <= edits}
+        assert {(r["asked"], r["distance"], r["name"], r["place"]) for r in found.collect()} == want
+        capsys.readouterr()
+        found.explain()
+        assert "SortMergeJoin [key" in (plan := capsys.readouterr().out) and "BroadcastHashJoin [key" not in plan
