@@ -69,6 +69,14 @@ def test_people(spark):
     assert none == [[], [], [], []]
 
 
+def test_authors_of_long_lines(spark):
+    """Groups that Java repeats by recursion ended the executor here."""
+    texts = ["By " + "Aaa bbb " * 20_000, "By " + "dr " * 20_000 + "Karl May", "By Karl May" + " jr" * 20_000, "By Karl " + "von " * 20_000 + "May", "By Karl May III"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [[a["value"] for a in r.a] for r in df.select("i", people.authors(F.col("t")).alias("a")).orderBy("i").collect()]
+    assert got == [["bbb, Aaa"], ["May, Karl"], ["May, Karl"], ["von " * 20_000 + "May, Karl"], ["May, Karl"]]
+
+
 def test_similarity_is_that_of_the_longest_common_subsequence():
     def common(a, b):
         row = [0] * (len(b) + 1)
