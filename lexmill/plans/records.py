@@ -646,7 +646,8 @@ def ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = ", ".join(f"`{n}` {t}" for n, t in _read(spark, sf_dir, "documents").dtypes)
     store, check = session.scratch_path(spark, "store"), session.scratch_path(spark, "stream")
     for _ in range(2):
-        ingest.ingest(spark, sf_dir, store, check, schema, pattern="documents.parquet").awaitTermination()
+        # a pattern names the table, be it a file or a folder of files
+        ingest.ingest(spark, f"{sf_dir}/documents.parque[t]", store, check, schema).awaitTermination()
     return spark.read.parquet(store).select("doc_id", "content_hash", F.col("status").isin("ready", "needs_review").alias("has_status"))
 
 

@@ -63,6 +63,21 @@ def test_ingest_takes_each_content_once(spark, tmp_path):
     assert sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{away}/part-*").collect()) == [(7, ""), (8, "new")]
 
 
+@pytest.mark.parametrize("folder", [False, True])
+def test_ingested_takes_a_table_of_one_file_or_of_many(spark, tmp_path, folder):
+    from lexmill.plans import records as plans
+
+    rows = [(i, f"text {i % 7}") for i in range(20)]
+    made = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    if folder:
+        made.write.parquet(f"{tmp_path}/sf/documents.parquet")
+    else:
+        made.coalesce(1).write.parquet(f"{tmp_path}/one")
+        (tmp_path / "sf").mkdir()
+        next((tmp_path / "one").glob("*.parquet")).rename(tmp_path / "sf" / "documents.parquet")
+    assert sorted(r.doc_id for r in plans.ingested(spark, f"{tmp_path}/sf").collect()) == list(range(7))
+
+
 def test_ingest_goes_on_after_a_stop(spark, tmp_path):
     """A run that fails in the middle of a batch leaves no rows and no state behind; the next one takes all."""
     source, store, check = (str(tmp_path / n) for n in ("in", "store", "check"))
