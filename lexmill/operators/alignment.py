@@ -13,6 +13,8 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +42,9 @@ def plain(text: str) -> str:
     return " ".join(filter(None, (_MARKS.sub("", w) for w in text.split()))).lower()
 
 
+@lru_cache(4)
 def _places(text: str) -> dict[str, int]:
-    """For each character the bits of its places."""
+    """For each character the bits of its places. A region is compared with many stretches, so the last ones are kept; none may be changed."""
     found: dict[str, int] = {}
     for i, c in enumerate(text):
         found[c] = found.get(c, 0) | 1 << i
@@ -54,8 +57,8 @@ def similarity(a: str, b: str) -> float:
         return 1.0
     places, full = _places(a), (1 << len(a)) - 1
     row = full
-    for c in b:
-        hit = row & places.get(c, 0)
+    for same in map(places.get, b, repeat(0)):
+        hit = row & same
         row = ((row + hit) | (row - hit)) & full
     return 2 * (len(a) - row.bit_count()) / (len(a) + len(b))
 
@@ -66,18 +69,23 @@ def nearest_end(asked: str, text: str, anchored: bool = False) -> tuple[int, int
     It may begin anywhere, or, anchored, at the beginning of the text. A column of the table is two integers: where it rises, where it falls.
     """
     size = len(asked)
-    places, full, last = _places(asked), (1 << size) - 1, 1 << max(size - 1, 0)
-    rises, falls, edits, best = full, 0, size, (size, 0)
-    for end, c in enumerate(text, 1):
-        same = places.get(c, 0)
+    places, full, top = _places(asked), (1 << size) - 1, size - 1
+    rises, falls, edits, best, at = full, 0, size, size, 0
+    if not size:
+        return 0, 0
+    for end, same in enumerate(map(places.get, text, repeat(0)), 1):
         flat = (((same & rises) + rises) ^ rises) | same
         up = falls | (full & ~(flat | rises))
         down = rises & flat
-        edits += bool(up & last) - bool(down & last)
+        if up >> top:
+            edits += 1
+        elif down >> top & 1:
+            edits -= 1
+            if edits < best:
+                best, at = edits, end
         up, down = (up << 1 | anchored) & full, down << 1 & full
         rises, falls = down | (full & ~(same | falls | up)), up & (same | falls)
-        best = min(best, (edits, end))
-    return best[1], best[0]
+    return at, best
 
 
 def _grams(text: str, q: int) -> np.ndarray:
@@ -102,6 +110,7 @@ class _Text:
                 at += len(word) + 1
         self.plain, self.starts = " ".join(parts), [a for a, _ in self.words]
         self.sorted: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.windows: dict[str, dict[int, tuple[float, int, int]]] = {}  # by region, then place; they hold whatever is taken
         self.headings, self.taken = [], []  # (start, end, plain title), (start, end) in the text
         at, fenced = 0, False
         for line in text.split("\n"):
@@ -169,13 +178,16 @@ class _Text:
         slack = 8 + len(asked) // 8
         if same := self._verbatim(asked, n, *spans[0]):
             return self._take(*same, 1.0, n)
+        windows = self.windows.setdefault(asked, {})
         for q in dict.fromkeys(min(q, len(asked)) for q in GRAMS):
             about, weights = self.votes(asked, q)
             known: dict[int, tuple[float, int, int]] = {}
             for low, high in spans:
                 for place in self._likely(about, weights, bisect_left(self.starts, low), bisect_left(self.starts, high), slack):
                     if place not in known:
-                        known[place] = self.window(asked, place, slack + slack // 2)
+                        if place not in windows:
+                            windows[place] = self.window(asked, place, slack + slack // 2)
+                        known[place] = windows[place]
                     if known[place][0] >= SURE:
                         break
                 for value, a, b in sorted(known.values(), key=lambda f: (-f[0], -f[1])):

@@ -243,3 +243,13 @@ def test_keys_of_suggestions_are_never_broadcast(spark, capsys):
         capsys.readouterr()
         found.explain()
         assert "SortMergeJoin [key" in (plan := capsys.readouterr().out) and "BroadcastHashJoin [key" not in plan
+
+
+def test_no_window_of_a_region_is_searched_twice(monkeypatch):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(40)]
+    line = lambda: " ".join(rng.choice(words) for _ in range(12))
+    lines, searched, window = [line() for _ in range(20)], [], alignment._Text.window
+    monkeypatch.setattr(alignment._Text, "window", lambda self, asked, about, slack: searched.append((asked, about)) or window(self, asked, about, slack))
+    alignment.align_document([{"region_id": str(i), "content": line()} for i in range(6)], "\n".join(lines))
+    assert searched and len(searched) == len(set(searched))
