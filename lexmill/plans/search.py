@@ -277,9 +277,9 @@ def mode_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = _batch(spark, sf_dir).select("query_id", F.col("vec_id").alias("doc_id"), "rank")
     asked = labels.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label", F.when(F.col("vec_id") % 300 == 200, True).alias("unanswerable"))
     asked = quality.answerable(asked).drop("unanswerable")
-    grades = asked.join(labels, "label").filter("query_id <> vec_id").select("query_id", F.col("vec_id").alias("doc_id"), F.lit(1).alias("grade"))
+    grades = labels.select(F.col("label").alias("topic"), F.col("vec_id").alias("doc_id"), F.lit(1).alias("grade"))
     runs = {"first": run.join(asked.select("query_id"), "query_id", "left_semi"), "last": run.join(asked.select("query_id"), "query_id", "left_semi").withColumn("rank", 6 - F.col("rank"))}
-    found = quality.mode_comparison(runs, grades, 3)
+    found = quality.mode_comparison(runs, grades, 3, asked.select("query_id", F.col("label").alias("topic"), F.col("query_id").alias("without")))
     return found.select("mode", "queries", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "mrr", "ndcg")])
 
 

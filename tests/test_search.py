@@ -140,3 +140,19 @@ def test_a_model_scores_pairs_in_batches(spark):
     assert max(round(s % 1 * 1000) for s in got.values()) == 4
     best = ranking.rerank(rows.withColumn("score", F.lit(0.0)), 2, lambda t: ranking.model_score(t, "asked", lambda: lambda pairs: [len(t) / 10 for _, t in pairs]), "t", None, "score", "i").collect()
     assert [len(r.t) for r in best] == [49, 48]
+
+
+def test_grades_of_topics_give_what_grades_of_queries_do(spark):
+    """A query leaves its own document out; queries without a topic, or with one that has no documents, have no relevant ones."""
+    topics = {i: (None if i == 9 else "few" if i in (3, 4) else "none" if i == 5 else "ab"[i % 2]) for i in range(40)}
+    graded = [(topics[d], d, d % 3) for d in range(40) if d != 5] + [("a", 2, 1)]
+    asked = [(q, topics[q], q) for q in range(0, 12)] + [(100, "none", None)]
+    run = [(q, (7 * q + 3 * r) % 40, r) for q, _, _ in asked for r in range(1, 9)]
+    by_topic = spark.createDataFrame(graded, "topic string, doc_id long, grade int")
+    asked_of = spark.createDataFrame(asked, "query_id long, topic string, without long")
+    by_query = spark.createDataFrame([(q, d, g) for q, t, w in asked for u, d, g in graded if t and t == u and d != w], "query_id long, doc_id long, grade int")
+    runs = spark.createDataFrame(run, "query_id long, doc_id long, rank long")
+    rows = lambda found: {r.query_id: [round(x, 9) for x in r[1:]] for r in found.collect()}
+    for k in (1, 3, 5):
+        want = rows(quality.retrieval_metrics(runs, by_query, k))
+        assert rows(quality.retrieval_metrics(runs, by_topic, k, asked=asked_of)) == want and len(want) == 13
