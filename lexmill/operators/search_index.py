@@ -33,14 +33,16 @@ from lexmill import session
 from lexmill.operators.fulltext import Operand, folded, idf, impact, operands, sanitize, tokens, unfolded
 from lexmill.sources.store import Part, State, Store, Table
 
-#: Postings of a block; documents that splitters are chosen from; documents for each range of terms at least.
-BLOCK, SAMPLE, LEAST_RANGE = 256, 1000, 500
+#: Postings of a block; documents that splitters are chosen from; documents for each range of terms at least, and about at most.
+BLOCK, SAMPLE, LEAST_RANGE, MOST_RANGE = 256, 1000, 500, 4000
 #: Postings from which on it pays to look for a bound first.
 PRUNE_FROM = 1000 * BLOCK
 #: Blocks whose sizes may be added up by the driver; of more they are added up before.
 FEW_BLOCKS = 10_000
 #: Rows that a Python worker gets at once when postings are put into blocks.
 BATCH = 4000
+#: Tokens whose postings a Python worker makes at once, unless one document has more.
+MOST_TOKENS = 250_000
 
 #: The empty term, of every document.
 EVERY = ""
@@ -134,12 +136,27 @@ def _splitters(docs: DataFrame, rows: int, ranges: int) -> tuple[list[str], floa
     return [r["term"] for r in found for _ in range(r["times"])], max(1.0, every["size"] / every["n"]) if every else 1.0
 
 
+def _ranges(spark: SparkSession, documents: int) -> int:
+    """Ranges of terms for so many documents: as many as there are partitions, or more, so that none has too much to sort."""
+    return max(min(session.n_partitions(spark), 1 + documents // LEAST_RANGE), documents // MOST_RANGE)
+
+
+def _few_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of (id, salt, tokens) in parts of at most MOST_TOKENS, or of one document."""
+    for batch in batches:
+        ends, at = np.asarray(batch.column(2).offsets), 0
+        while at < len(batch):
+            upto = max(at + 1, int(np.searchsorted(ends, ends[at] + MOST_TOKENS, "right")) - 1)
+            yield batch.slice(at, upto - at)
+            at = upto
+
+
 def _postings(splitters: list[str], base: float):
     """A task: documents (id, salt, unfolded tokens) to postings (range, term, id, length, tf, positions, impact), joined within each document."""
     splits = np.array(splitters, object)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few_tokens(batches):
             ids, salt, lists = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2)
             offsets = np.asarray(lists.offsets)
             sizes = np.diff(offsets)
@@ -216,7 +233,7 @@ def segment(store: Store, base: State, name: str, docs: DataFrame, id_col: str =
     if not n:
         return None
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    splitters, mean = _splitters(rows.select(tokens(F.col("text")).alias("tokens")), n, min(most, 1 + n // LEAST_RANGE))
+    splitters, mean = _splitters(rows.select(tokens(F.col("text")).alias("tokens")), n, _ranges(store.spark, n))
     kind = docs.schema[id_col].dataType.simpleString()
     if rows.rdd.getNumPartitions() < most and n > LEAST_RANGE:
         rows = rows.repartition(most, "id")
@@ -258,7 +275,7 @@ def merged(store: Store, base: State, name: str) -> dict[str, Table] | None:
     rows = index.live(_spread(index.blocks()))
     # their splitters are samples of like size, so every so many of all of them part the whole
     every = sorted(t for s in crowd for t in s.info["splitters"])
-    ranges = min(session.n_partitions(store.spark), 1 + sum(s.rows for s in crowd) // LEAST_RANGE)
+    ranges = _ranges(store.spark, sum(s.rows for s in crowd))
     splitters = [every[i * len(every) // ranges] for i in range(1, ranges)] if every else []
     mean = max(1.0, sum(s.info["tokens"] for s in crowd) / sum(s.rows for s in crowd))
     bounds = F.array(*[F.lit(t) for t in splitters]).cast("array<string>")

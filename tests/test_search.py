@@ -156,3 +156,20 @@ def test_grades_of_topics_give_what_grades_of_queries_do(spark):
     for k in (1, 3, 5):
         want = rows(quality.retrieval_metrics(runs, by_query, k))
         assert rows(quality.retrieval_metrics(runs, by_topic, k, asked=asked_of)) == want and len(want) == 13
+
+
+def test_postings_are_made_of_few_tokens_at_once(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(search_index, "MOST_TOKENS", 5)
+    lists = [["a", "b"], [], ["c"] * 9, ["a"] * 3, ["b"] * 2, [], ["d"]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array([0] * 7), pa.array(lists, pa.list_(pa.string()))], names=["id", "salt", "tokens"])
+    parts = list(search_index._few_tokens([batch, batch.slice(2, 4)]))
+    assert [p.column(2).to_pylist() for p in parts[:4]] == [lists[:2], lists[2:3], lists[3:6], lists[6:]]
+    assert [x for p in parts for x in p.column(0).to_pylist()] == [*range(7), 2, 3, 4, 5]
+    made = [r for p in search_index._postings([], 1.0)([batch]) for r in p.to_pylist()]
+    assert sorted((r["term"], r["id"], r["tf"]) for r in made if r["term"]) == [("a", 0, 1), ("a", 3, 3), ("b", 0, 1), ("b", 4, 2), ("c", 2, 9), ("d", 6, 1)]
+
+
+def test_ranges_grow_with_the_documents(spark):
+    assert [search_index._ranges(spark, n) for n in (1, 1000, 10_000, 400_000)] == [1, 3, 4, 100]
