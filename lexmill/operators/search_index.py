@@ -1,9 +1,9 @@
 """A stored full-text index: segments of sorted postings, each written once, and BM25 over them.
 
 A segment holds the postings of the documents that came with one change. Every document's tokens are joined inside of its row,
-so one shuffle brings the postings to ranges of terms, by splitters from a sample; a term that is a splitter is dealt to
-all ranges that it touches. In a range the postings stand by term, those that add most to a score first, in blocks of BLOCK;
-a block says what its best posting adds at most. So a search for words reads
+and a term's postings inside of a batch, so one shuffle of lists brings the postings to ranges of terms, by splitters from a sample;
+a term that is a splitter is dealt to all ranges that it touches. In a range the postings stand by term, those that add most to a
+score first, in blocks of BLOCK; a block says what its best posting adds at most. So a search for words reads
 
 1. the sizes and bests of the terms' blocks, without their postings,
 2. the best blocks, whose k-th best document is a bound,
@@ -26,6 +26,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,8 +42,12 @@ PRUNE_FROM = 1000 * BLOCK
 FEW_BLOCKS = 10_000
 #: Rows that a Python worker gets at once when postings are put into blocks.
 BATCH = 4000
-#: Tokens whose postings a Python worker makes at once, unless one document has more.
-MOST_TOKENS = 250_000
+#: Tokens whose postings a Python worker makes at once, unless one document has more; postings of a term that it puts in order at once.
+MOST_TOKENS, MOST_HELD = 250_000, 1_000_000
+#: Postings that are joined by term before the shuffle.
+LISTED = 500_000
+#: Partitions of documents for each core, from which on they are not dealt out anew.
+PER_CORE = 4
 
 #: The empty term, of every document.
 EVERY = ""
@@ -124,8 +129,9 @@ def _test(asked: set[tuple[str, bool]]) -> Column:
 
 
 def _splitters(docs: DataFrame, rows: int, ranges: int) -> tuple[list[str], float]:
-    """Terms that part the postings of a sample into ranges of like size, and the sample's mean length. A frequent term stands more than once."""
-    sample = docs.sample(min(1.0, SAMPLE / max(1, rows)), 17).select("tokens") if rows > SAMPLE else docs.select("tokens")
+    """Terms that part the postings of a sample of texts into ranges of like size, and its mean length. A frequent term stands more than once."""
+    sample = docs.sample(min(1.0, SAMPLE / max(1, rows)), 17) if rows > SAMPLE else docs
+    sample = sample.select(tokens(F.col("text")).alias("tokens"))
     counts = sample.select(F.size("tokens").alias("size"), F.explode(F.concat(F.array(F.lit(EVERY)), F.array_distinct("tokens"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
     upto = F.sum("n").over(Window.orderBy("term"))  # the terms of SAMPLE documents
     whole = F.sum("n").over(Window.partitionBy())
@@ -163,7 +169,9 @@ def _postings(splitters: list[str], base: float):
             docs = np.repeat(np.arange(len(ids)), sizes)
             coded = lists.flatten().dictionary_encode()
             # each distinct token is folded once
-            plain = pa.array([*map(folded, coded.dictionary.to_pylist()), EVERY], pa.string()).dictionary_encode()
+            accented = pc.invert(pc.string_is_ascii(coded.dictionary))
+            plain = pc.replace_with_mask(coded.dictionary, accented, pa.array(map(folded, coded.dictionary.filter(accented).to_pylist()), pa.string()))
+            plain = pa.concat_arrays([plain, pa.array([EVERY])]).dictionary_encode()
             names, of = plain.dictionary, plain.indices.to_numpy().astype(np.int64)
             codes = of[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.empty(0, np.int64)
             places = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -187,41 +195,135 @@ def _postings(splitters: list[str], base: float):
     return task
 
 
-def _in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted postings as blocks: a term's postings that follow each other, BLOCK at most."""
+def _dealt(splitters: list[str]):
+    """A task: postings (term, id, salt, length, tf, positions) with the range that each goes to, instead of the salt."""
+    splits = np.array(splitters, object)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            coded = batch.column("term").dictionary_encode()
+            found, code = coded.dictionary.to_numpy(zero_copy_only=False), coded.indices.to_numpy()
+            low, high = np.searchsorted(splits, found, "left"), np.searchsorted(splits, found, "right")
+            where = low[code] + batch.column("salt").to_numpy() % (high - low + 1)[code]
+            names = ["term", "id", "length", "tf", "positions"]
+            yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), *map(batch.column, names)], names=["range", *names])
+
+    return task
+
+
+def _many(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they have LISTED rows; none is empty."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        if not len(batch):
-            continue
-        term, where = batch.column("term").dictionary_encode().indices.to_numpy(), batch.column("range").to_numpy()
-        first = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (where[1:] != where[:-1])))
-        runs = np.diff(np.append(first, len(term)))
-        blocks = -(-runs // BLOCK)
-        starts = np.repeat(first, blocks) + BLOCK * (np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks))
-        ends = pa.array(np.append(starts, len(term)), pa.int32())
-        size = np.diff(np.append(starts, len(term)))
-        lists = [pa.ListArray.from_arrays(ends, batch.column(c)) for c in ("id", "length", "tf", "positions")]
-        top = np.maximum.reduceat(batch.column("impact").to_numpy(), starts)
-        at = pa.array(starts)
-        yield pa.RecordBatch.from_arrays([batch.column("range").take(at), batch.column("term").take(at), pa.array(size, pa.int32()), pa.array(top), *lists], names=["range", "term", "n", "top", "ids", "lengths", "tfs", "positions"])
+        if len(batch):
+            held.append(batch)
+        if sum(map(len, held)) >= LISTED:
+            yield _one(held)
+            held = []
+    if held:
+        yield _one(held)
+
+
+def _in_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings (range, term, id, length, tf, positions) as (range, term, ids, lengths, tfs, places): a row for each term and range of LISTED postings, with all positions in a row."""
+    for batch in _many(batches):
+        coded = batch.column("term").dictionary_encode()
+        key = batch.column("range").to_numpy().astype(np.int64) * len(coded.dictionary) + coded.indices.to_numpy()
+        order = np.argsort(key, kind="stable")
+        first = np.flatnonzero(np.append(True, np.diff(key[order]) != 0))
+        at = pa.array(order)
+        ids, lengths, tfs, positions = (batch.column(c).take(at) for c in ("id", "length", "tf", "positions"))
+        ends = np.append(first, len(order))
+        lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x) for x in (ids, lengths, tfs)]
+        places = pa.ListArray.from_arrays(pa.array(np.asarray(positions.offsets)[ends], pa.int32()), positions.values)
+        heads = pa.array(order[first])
+        yield pa.RecordBatch.from_arrays([batch.column("range").take(heads), batch.column("term").take(heads), *lists, places], names=["range", "term", "ids", "lengths", "tfs", "places"])
+
+
+def _blocks_of(batch: pa.RecordBatch, base: float) -> pa.RecordBatch:
+    """Lists of postings that stand by range and term as blocks: a term's postings, the best first, BLOCK at most."""
+    term, where = batch.column("term").dictionary_encode().indices.to_numpy(), batch.column("range").to_numpy()
+    head = np.append(True, (term[1:] != term[:-1]) | (where[1:] != where[:-1]))
+    group = np.repeat(np.cumsum(head) - 1, np.diff(np.asarray(batch.column("ids").offsets)))
+    ids, lengths, tfs = (batch.column(c).flatten() for c in ("ids", "lengths", "tfs"))
+    tf = tfs.to_numpy()
+    added = impact(tf, lengths.to_numpy(), base)
+    order = pc.sort_indices(pa.table({"group": group, "added": -added, "id": ids}), [("group", "ascending"), ("added", "ascending"), ("id", "ascending")])
+    positions = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(tf)), pa.int32()), batch.column("places").flatten())
+    runs = np.bincount(group)
+    blocks = -(-runs // BLOCK)
+    starts = np.repeat(np.cumsum(runs) - runs, blocks) + BLOCK * (np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks))
+    ends = np.append(starts, len(group))
+    lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), c.take(order)) for c in (ids, lengths, tfs, positions)]
+    rows = pa.array(np.repeat(np.flatnonzero(head), blocks))
+    top = pa.array(added[order.to_numpy()[starts]])
+    return pa.RecordBatch.from_arrays([batch.column("range").take(rows), batch.column("term").take(rows), pa.array(np.diff(ends), pa.int32()), top, *lists], names=["range", "term", "n", "top", "ids", "lengths", "tfs", "positions"])
+
+
+def _in_blocks(base: float):
+    """A task: sorted lists of postings to blocks. A term's lists are put in order together, or MOST_HELD postings of it at once."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # the lists of the last term, which may go on
+        for batch in batches:
+            if not len(batch):
+                continue
+            term, where = batch.column("term").dictionary_encode().indices.to_numpy(), batch.column("range").to_numpy()
+            others = np.flatnonzero((term != term[-1]) | (where != where[-1]))
+            last = int(others[-1]) + 1 if len(others) else 0
+            name = lambda b: (b.column("range")[0].as_py(), b.column("term")[0].as_py())
+            if held and (last or name(held[0]) != name(batch)):
+                yield _blocks_of(_one([*held, batch.slice(0, last)]), base)
+                held = []
+            elif last:
+                yield _blocks_of(_one([batch.slice(0, last)]), base)
+            held.append(batch.slice(last))
+            if sum(len(b.column("ids").flatten()) for b in held) >= MOST_HELD:
+                yield _blocks_of(_one(held), base)
+                held = []
+        if held:
+            yield _blocks_of(_one(held), base)
+
+    return task
+
+
+def _one(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """Batches as one, from its first value on."""
+    whole = pa.concat_arrays([b.to_struct_array() for b in batches if len(b)])
+    return pa.RecordBatch.from_struct_array(whole.take(pa.array(np.arange(len(whole)))))
+
+
+def _salt() -> Column:
+    """By which a document's postings of a term in many ranges are dealt out."""
+    return F.pmod(F.xxhash64("id"), F.lit(1 << 30)).alias("salt")
+
+
+def _lists(id_type: str) -> str:
+    return f"range int, term string, ids array<{id_type}>, lengths array<int>, tfs array<int>, places array<int>"
 
 
 def _write(store: Store, base: State, name: str, rows: DataFrame, id_type: str, splitters: list[str], mean: float, id_col: str) -> Part | None:
-    """Postings (range, term, id, length, tf, positions, impact) as a segment."""
+    """Lists of postings (range, term, ids, lengths, tfs, places) as a segment."""
     spark = store.spark
-    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
+    # a task writes one range, so it needs no sort by it
+    settings = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH), "spark.sql.maxConcurrentOutputFileWriters": "2"}
+    kept = {key: spark.conf.get(key) for key in settings}
     try:
-        dealt = rows.repartitionById(len(splitters) + 1, "range").sortWithinPartitions("range", "term", F.desc("impact"), "id")
-        made = dealt.mapInArrow(_in_blocks, f"range int, term string, n int, top double, ids array<{id_type}>, lengths array<int>, tfs array<int>, positions array<array<int>>")
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        dealt = rows.repartitionById(len(splitters) + 1, "range").sortWithinPartitions("range", "term")
+        made = dealt.mapInArrow(_in_blocks(mean), f"range int, term string, n int, top double, ids array<{id_type}>, lengths array<int>, tfs array<int>, positions array<array<int>>")
         path = store.folder(name)
         made.write.partitionBy("range").parquet(f"{store.path}/{path}")
     finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+        for key, value in kept.items():
+            spark.conf.set(key, value)
     files, place = session.files(spark, f"{store.path}/{path}")
     ranges = sorted(int(f.getPath().getName().removeprefix("range=")) for f in files.listStatus(place) if f.isDirectory() and f.getPath().getName().startswith("range="))
     if not ranges:
         return None
-    written = spark.read.schema(f"term string, n int, lengths array<int>, range int").option("basePath", f"{store.path}/{path}").parquet(*[f"{store.path}/{path}/range={r}" for r in ranges])
+    first = [r for r in ranges if r <= bisect_right(splitters, EVERY)]
+    written = spark.read.schema(f"term string, n int, lengths array<int>, range int").option("basePath", f"{store.path}/{path}").parquet(*[f"{store.path}/{path}/range={r}" for r in first])
     total = written.filter(F.col("term") == EVERY).agg(F.sum("n").alias("n"), F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("tokens")).first()
     info = {"documents": total["n"], "tokens": total["tokens"], "splitters": splitters, "ranges": ranges, "base": mean, "id_col": id_col, "id_type": id_type}
     return Part(path, base.version + 1, total["n"], info)
@@ -233,12 +335,13 @@ def segment(store: Store, base: State, name: str, docs: DataFrame, id_col: str =
     if not n:
         return None
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    splitters, mean = _splitters(rows.select(tokens(F.col("text")).alias("tokens")), n, _ranges(store.spark, n))
+    splitters, mean = _splitters(rows.select("text"), n, _ranges(store.spark, n))
     kind = docs.schema[id_col].dataType.simpleString()
-    if rows.rdd.getNumPartitions() < most and n > LEAST_RANGE:
+    if rows.rdd.getNumPartitions() < min(most, PER_CORE * store.spark.sparkContext.defaultParallelism) and n > LEAST_RANGE:
         rows = rows.repartition(most, "id")
-    rows = rows.select("id", F.pmod(F.xxhash64("id"), F.lit(1 << 30)).alias("salt"), unfolded(F.col("text")).alias("tokens"))
-    made = rows.mapInArrow(_postings(splitters, mean), f"range int, term string, id {kind}, length int, tf int, positions array<int>, impact double")
+    rows = rows.select("id", _salt(), unfolded(F.col("text")).alias("tokens"))
+    postings = _postings(splitters, mean)
+    made = rows.mapInArrow(lambda batches: _in_lists(postings(batches)), _lists(kind))
     return _write(store, base, name, made, kind, splitters, mean, id_col)
 
 
@@ -278,10 +381,9 @@ def merged(store: Store, base: State, name: str) -> dict[str, Table] | None:
     ranges = _ranges(store.spark, sum(s.rows for s in crowd))
     splitters = [every[i * len(every) // ranges] for i in range(1, ranges)] if every else []
     mean = max(1.0, sum(s.info["tokens"] for s in crowd) / sum(s.rows for s in crowd))
-    bounds = F.array(*[F.lit(t) for t in splitters]).cast("array<string>")
-    low, high = F.size(F.filter(bounds, lambda t: t < F.col("term"))), F.size(F.filter(bounds, lambda t: t <= F.col("term")))
-    where = (low + F.pmod(F.xxhash64("id"), high - low + 1)).cast("int").alias("range")
-    made = rows.select(where, "term", "id", "length", "tf", "positions", impact(F.col("tf"), F.col("length"), F.lit(mean)).alias("impact"))
+    dealt = _dealt(splitters)
+    rows = rows.select("term", "id", _salt(), "length", "tf", "positions")
+    made = rows.mapInArrow(lambda batches: _in_lists(dealt(batches)), _lists(index.id_type))
     part = _write(store, base, name, made, index.id_type, splitters, mean, index.id_col)
     left = Table(tuple(s for s in table.parts if s not in crowd), table.gone).plus(part).minus(None)
     live = {s.seq for s in left.parts}

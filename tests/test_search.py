@@ -173,3 +173,39 @@ def test_postings_are_made_of_few_tokens_at_once(monkeypatch):
 
 def test_ranges_grow_with_the_documents(spark):
     assert [search_index._ranges(spark, n) for n in (1, 1000, 10_000, 400_000)] == [1, 3, 4, 100]
+
+
+def test_postings_are_shuffled_as_lists(spark, tmp_path):
+    """A row for each term and task, not one for each posting, and none for a task's share of the text."""
+    docs = spark.range(0, 3000, numPartitions=2).select(F.col("id").alias("doc_id"), F.lit("one two three four two").alias("text"))
+
+    def records() -> int:
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = records()
+    index = search_index.build_index(docs, str(tmp_path / "index"))
+    assert records() - before < 6000  # 15,000 postings, and the documents dealt out
+    found = index.blocks().filter("term = 'two'").selectExpr("sum(n)", "min(tfs[0])", "max(array_max(tfs))", "min(to_json(positions[0]))").first()
+    assert tuple(found) == (3000, 2, 2, "[1,4]") and index.documents == 3000
+
+
+def test_blocks_of_a_term_hold_its_best_postings_first_over_all_batches(monkeypatch):
+    import pyarrow as pa
+
+    names = ["range", "term", "id", "length", "tf", "positions"]
+    rows = [(1, t, i, 40, 1 + (7 * i) % 5, list(range(1 + (7 * i) % 5))) for t in ("a", "b", "c") for i in range(300 if t == "b" else 3)]
+    kinds = (pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()))
+    postings = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+    monkeypatch.setattr(search_index, "LISTED", 50)
+    lists = [r for p in search_index._in_lists(postings.slice(i, 20) for i in range(0, len(rows), 20)) for r in p.to_pylist()]
+    assert len(lists) < 12 and sum(len(r["ids"]) for r in lists) == len(rows)
+    lists.sort(key=lambda r: r["term"])
+    sent = pa.RecordBatch.from_pylist(lists, schema=pa.schema([("range", pa.int32()), ("term", pa.string()), ("ids", pa.list_(pa.int64())), *[(c, pa.list_(pa.int32())) for c in ("lengths", "tfs", "places")]]))
+    for held, sizes in ((1_000_000, [3, 256, 44, 3]), (60, None)):
+        monkeypatch.setattr(search_index, "MOST_HELD", held)
+        blocks = [r for p in search_index._in_blocks(40.0)(sent.slice(i, 2) for i in range(0, len(sent), 2)) for r in p.to_pylist()]
+        assert sizes is None or [b["n"] for b in blocks] == sizes
+        back = sorted((b["term"], *x) for b in blocks for x in zip(b["ids"], b["lengths"], b["tfs"], map(tuple, b["positions"]), strict=True))
+        assert back == sorted((t, i, n, tf, tuple(p)) for _, t, i, n, tf, p in rows)
+        assert all(b["tfs"] == sorted(b["tfs"], reverse=True) and b["top"] == pytest.approx(search_index.impact(b["tfs"][0], 40, 40.0)) for b in blocks)
