@@ -548,7 +548,7 @@ def author_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, case in enumerate(cases):
         found = found.when(F.col("k") == i, case)
     rows = c.select("c_custkey", accuracy.author_score(found, known).alias("score"), (F.col("k") < 4).alias("extracted"), accuracy.years_match(F.when(F.col("k") > 1, F.lit(" 2001")), F.lit("2001")).alias("year_ok"), F.lit(1.0).alias("title_similarity"))
-    return accuracy.report(rows.withColumn("authors_ok", F.col("score") == 1)).withColumn("mean_score", F.lit(rows.agg(F.round(F.avg("score"), 6)).first()[0])).select("documents", *[F.round(x, 6).alias(x) for x in ("extraction_rate", "title_accuracy", "author_accuracy", "year_accuracy", "mean_score")])
+    return accuracy.report(rows.withColumn("authors_ok", F.col("score") == 1), mean_score=F.avg("score")).select("documents", *[F.round(x, 6).alias(x) for x in ("extraction_rate", "title_accuracy", "author_accuracy", "year_accuracy", "mean_score")])
 
 
 _ACCURACY_SQL = """WITH k AS (SELECT c_custkey % 6 AS k FROM customer), s AS (SELECT k, CASE k WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 WHEN 3 THEN 0.5 ELSE 0.0 END AS score FROM k)

@@ -112,6 +112,15 @@ def test_author_scores_count_each_name_once(spark):
     assert all(r.s == r.w for r in df.withColumn("s", accuracy.author_score(F.col("a"), F.col("b"))).collect())
 
 
+def test_author_scores_part_each_name_once(spark):
+    """What a name is compared by is made once for it, not again for each comparison."""
+    df = spark.createDataFrame([(["Doe, J."], ["Doe, Jane", None, "Roe"])], "a array<string>, b array<string>")
+    found = df.select(accuracy.author_score(F.col("a"), F.col("b")).alias("s"), accuracy.names_match(F.element_at("a", 1), F.element_at("b", 1)).alias("m"), accuracy.names_match(F.element_at("a", 1), F.element_at("b", 2)).alias("n"))
+    row = found.first()
+    assert (round(row.s, 6), row.m, row.n) == (0.333333, True, None)
+    assert str(df.select(accuracy.author_score(F.col("a"), F.col("b")).alias("s"))._jdf.queryExecution().optimizedPlan()).count("regexp_replace") <= 4
+
+
 def test_word_list(spark, tmp_path):
     (tmp_path / "words").write_text("cooperate\nwell-known\nExample\n")
     join = cleanup.dehyphenator(spark, str(tmp_path / "words"))
