@@ -33,28 +33,36 @@ def sections(text: str) -> Iterator[tuple[str, str]]:
         yield " > ".join(filter(None, path)), "\n".join(body).strip()
 
 
-def _parts(text: str, size: int, separators: tuple[str, ...]) -> Iterator[str]:
+def _parts(text: str, size: int, separators: tuple[str, ...]) -> list[str]:
     """Pieces of at most `size` characters, cut at the coarsest separator that does it."""
     if len(text) <= size:
-        yield text
-    elif not separators:
-        yield from (text[i : i + size] for i in range(0, len(text), size))
-    else:
-        cut = text.split(separators[0])
-        for i, part in enumerate(cut):
-            yield from _parts(part + separators[0] * (i < len(cut) - 1), size, separators[1:])
+        return [text]
+    for at, separator in enumerate(separators, 1):
+        if separator in text:
+            *cut, last = text.split(separator)
+            found: list[str] = []
+            for part in [part + separator for part in cut] + [last]:
+                if len(part) <= size:
+                    found.append(part)
+                else:
+                    found += _parts(part, size, separators[at:])
+            return found
+    return [text[i : i + size] for i in range(0, len(text), size)]
 
 
 def split(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[str]:
     """Chunks of at most `size` characters; each begins with up to `overlap` characters of whole pieces before it."""
-    chunks, held = [], []
-    for part in _parts(text, size, SEPARATORS):
-        if held and sum(map(len, held)) + len(part) > size:
-            chunks.append("".join(held).strip())
-            while held and (sum(map(len, held)) > overlap or sum(map(len, held)) + len(part) > size):
-                held.pop(0)
-        held.append(part)
-    chunks.append("".join(held).strip())
+    chunks, parts = [], _parts(text, size, SEPARATORS)
+    first = total = 0  # the chunk holds the parts from `first` on, of so many characters
+    for at, part in enumerate(parts):
+        n = len(part)
+        if first < at and total + n > size:
+            chunks.append("".join(parts[first:at]).strip())
+            while first < at and (total > overlap or total + n > size):
+                total -= len(parts[first])
+                first += 1
+        total += n
+    chunks.append("".join(parts[first:]).strip())
     return [c for c in chunks if c]
 
 

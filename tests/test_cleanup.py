@@ -145,3 +145,17 @@ def test_word_errors_of_large_vocabularies_and_accents(spark, tmp_path):
         assert quality._distance(a.split(), b.split()) == n
     spark.createDataFrame([(1, "caf\u00e9 noir"), (2, "caf\u00e8 noir")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert [r.wer for r in texts.word_errors(spark, str(tmp_path)).collect()] == [0.5]
+
+
+def test_split_takes_time_by_the_text_not_by_the_pieces_held():
+    import time
+
+    from lexmill.operators import chunking
+
+    text = "a " * 300_000
+    began = time.process_time()
+    found = chunking.split(text)
+    assert time.process_time() - began < 2.5
+    # 1,500 characters of pieces of two, then 100 pieces of them again
+    assert {len(c) for c in found[:-1]} == {1499} and len(found) == 1 + -(-(len(text) - 1500) // 1300)
+    assert chunking.split("one. two\nthree four", 9, 4) == ["one. two", "three", "four"]
