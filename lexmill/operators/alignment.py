@@ -32,6 +32,8 @@ TRIED, SURE = 4, 0.8
 
 _HEADING = re.compile(r"(#{1,6})\s+(.+)$")
 _WORD = re.compile(r"\S+")
+#: Without one of these there is no mark.
+_MARKED = re.compile(r"[*_`~#]")
 _MARKS = re.compile(r"\*{1,3}|_{1,3}|`{1,3}|~~|^#{1,6}$")
 RESULT = "array<struct<region_id:string,matched:string,start:int,similarity:double,coverage:double,failure:string>>"
 _ARROW = pa.list_(pa.struct([("region_id", pa.string()), ("matched", pa.string()), ("start", pa.int32()), ("similarity", pa.float64()), ("coverage", pa.float64()), ("failure", pa.string())]))
@@ -39,7 +41,10 @@ _ARROW = pa.list_(pa.struct([("region_id", pa.string()), ("matched", pa.string()
 
 def plain(text: str) -> str:
     """Without marks of markdown, with single spaces, in lower case."""
-    return " ".join(filter(None, (_MARKS.sub("", w) for w in text.split()))).lower()
+    words = text.split()
+    if _MARKED.search(text):
+        words = filter(None, (_MARKS.sub("", w) if _MARKED.search(w) else w for w in words))
+    return " ".join(words).lower()
 
 
 @lru_cache(4)
@@ -103,8 +108,9 @@ class _Text:
     def __init__(self, text: str):
         self.text, self.words, self.begins, parts, at = text, [], [], [], 0
         for m in _WORD.finditer(text):
-            if word := plain(m[0]):
-                self.words.append((m.start(), m.end()))
+            word = m[0]
+            if word := plain(word) if _MARKED.search(word) else word.lower():
+                self.words.append(m.span())
                 self.begins.append(at)
                 parts.append(word)
                 at += len(word) + 1

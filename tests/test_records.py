@@ -262,3 +262,21 @@ def test_no_window_of_a_region_is_searched_twice(monkeypatch):
     monkeypatch.setattr(alignment._Text, "window", lambda self, asked, about, slack: searched.append((asked, about)) or window(self, asked, about, slack))
     alignment.align_document([{"region_id": str(i), "content": line()} for i in range(6)], "\n".join(lines))
     assert searched and len(searched) == len(set(searched))
+
+
+def test_alignment_looks_for_marks_only_where_there_are_some(monkeypatch):
+    class Counted:
+        def __init__(self, pattern):
+            self.pattern, self.calls = pattern, 0
+
+        def sub(self, *args):
+            self.calls += 1
+            return self.pattern.sub(*args)
+
+    counted = Counted(alignment._MARKS)
+    monkeypatch.setattr(alignment, "_MARKS", counted)
+    lines = [" ".join(f"Word{i}x{j}" for j in range(50)) for i in range(20)] + ["a **Bold** ~~x~~ _ ~ # `c` ___ end"]
+    found = alignment.align_document([{"region_id": str(i), "content": line} for i, line in enumerate(lines)], "\n".join(lines))
+    assert [f["similarity"] for f in found] == [1.0] * 21 and found[-1]["matched"] == " ".join(lines[-1].split())
+    assert alignment.plain(lines[-1]) == "a bold x ~ c end" and alignment.plain("  A\tB\n") == "a b"
+    assert counted.calls < 40  # about 2,000 words
