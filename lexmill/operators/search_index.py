@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from lexmill import session
 from lexmill.operators.fulltext import Operand, folded, idf, impact, operands, sanitize, tokens, unfolded
+from lexmill.operators.fulltext import postings as fulltext_postings
 from lexmill.sources.store import Part, State, Store, Table
 
 #: Postings of a block; documents that splitters are chosen from; documents for each range of terms at least, and about at most.
@@ -329,17 +330,38 @@ def _write(store: Store, base: State, name: str, rows: DataFrame, id_type: str,
     return Part(path, base.version + 1, total["n"], info)
 
 
+def _unfolded(rows: DataFrame, n: int) -> DataFrame:
+    """id, salt and unfolded tokens of n rows (id, text), dealt out anew if partitions are few for the cores."""
+    spark = rows.sparkSession
+    most = session.n_partitions(spark)
+    if rows.rdd.getNumPartitions() < min(most, PER_CORE * spark.sparkContext.defaultParallelism) and n > LEAST_RANGE:
+        rows = rows.repartition(most, "id")
+    return rows.select("id", _salt(), unfolded(F.col("text")).alias("tokens"))
+
+
+def inverted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`fulltext.postings`: term, id, tf and positions. Postings of an id are made where its text is, without a shuffle; only rows whose ids repeat, null ones too, meet."""
+    again = session.cut(docs.groupBy(F.col(id_col).alias("again")).agg(F.count("*").alias("rows")).filter("rows > 1"), "again")
+    n, kind = docs.count(), docs.schema[id_col].dataType.simpleString()
+    rows, repeated = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), None
+    if not again.isEmpty():
+        same = F.col("id").eqNullSafe(F.col("again"))
+        rows, repeated = rows.join(again, same, "left_anti"), rows.join(again, same, "left_semi")
+    postings = _postings([], 1.0)
+    made = _unfolded(rows, n).mapInArrow(postings, f"range int, term string, id {kind}, length int, tf int, positions array<int>, impact double")
+    found = made.filter(F.col("term") != EVERY).select("term", F.col("id").alias(id_col), F.col("tf").cast("long").alias("tf"), "positions")
+    return found if repeated is None else found.unionByName(fulltext_postings(repeated, "id", "text").withColumnRenamed("id", id_col))
+
+
 def segment(store: Store, base: State, name: str, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Part | None:
     """A segment of documents, to be committed after `base`. Ids should be unique; null texts count as empty."""
-    n, most = docs.count(), session.n_partitions(store.spark)
+    n = docs.count()
     if not n:
         return None
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     splitters, mean = _splitters(rows.select("text"), n, _ranges(store.spark, n))
     kind = docs.schema[id_col].dataType.simpleString()
-    if rows.rdd.getNumPartitions() < min(most, PER_CORE * store.spark.sparkContext.defaultParallelism) and n > LEAST_RANGE:
-        rows = rows.repartition(most, "id")
-    rows = rows.select("id", _salt(), unfolded(F.col("text")).alias("tokens"))
+    rows = _unfolded(rows, n)
     postings = _postings(splitters, mean)
     made = rows.mapInArrow(lambda batches: _in_lists(postings(batches)), _lists(kind))
     return _write(store, base, name, made, kind, splitters, mean, id_col)

@@ -151,7 +151,7 @@ def index_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def postings_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The inverted index with the first position of every posting."""
-    found = fulltext.postings(_read(spark, sf_dir, "documents"))
+    found = search_index.inverted(_read(spark, sf_dir, "documents"))
     return found.select("term", "doc_id", "tf", F.element_at("positions", 1).cast("long").alias("first_position"))
 
 

@@ -209,3 +209,19 @@ def test_blocks_of_a_term_hold_its_best_postings_first_over_all_batches(monkeypa
         back = sorted((b["term"], *x) for b in blocks for x in zip(b["ids"], b["lengths"], b["tfs"], map(tuple, b["positions"]), strict=True))
         assert back == sorted((t, i, n, tf, tuple(p)) for _, t, i, n, tf, p in rows)
         assert all(b["tfs"] == sorted(b["tfs"], reverse=True) and b["top"] == pytest.approx(search_index.impact(b["tfs"][0], 40, 40.0)) for b in blocks)
+
+
+def test_postings_of_ids_that_do_not_repeat_are_not_shuffled(spark):
+    rows = [(i, text) for i, text in enumerate(TEXTS)]
+
+    def found(rows, how):
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        return how(df), sorted(((r.term, r.doc_id, r.tf, r.positions) for r in how(df).collect()), key=str)
+
+    made, got = found(rows, search_index.inverted)
+    assert got == found(rows, fulltext.postings)[1] and ("cat", 3, 3, [1, 2, 3]) in got
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    # rows of one id, and those without, are one document
+    odd = [*rows, (3, "cat new"), (None, "cat"), (None, "a cat"), (9, "cat")]
+    assert found(odd, search_index.inverted)[1] == found(odd, fulltext.postings)[1]
+    assert found([], search_index.inverted)[1] == []
