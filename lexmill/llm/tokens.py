@@ -24,8 +24,9 @@ from lexmill.llm import memory
 #: Entries in each of the two generations of one Python worker's memory, some 60 MB each. When the young one is full it
 #: becomes the old one, whose entries live on if they are met again.
 CACHE = 400_000
-#: Bytes of text that are encoded at a time.
-GROUP = 8 << 20
+#: Bytes of text that are encoded at a time, and characters that the library encodes whole at a time: its own result takes
+#: some 100 bytes a token.
+GROUP, WHOLE = 4 << 20, 1 << 18
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _WORD = re.compile(rf"([{_LETTERS}]+)([.,;:!?]*)\Z")
@@ -76,7 +77,13 @@ class Encoder(dict):
         self.clear()
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [_packed(e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        out, at, size = [], 0, 0
+        for i, text in enumerate(texts, 1):
+            size += len(text)
+            if size >= WHOLE or i == len(texts):
+                out += [_packed(e.ids) for e in self.library.encode_batch_fast(texts[at:i], add_special_tokens=False)]
+                at, size = i, 0
+        return out
 
     def forget(self) -> None:
         self.clear()
@@ -144,8 +151,11 @@ class Encoder(dict):
         which = coded.indices.to_numpy()
         lengths = sizes[which]
         ends = np.cumsum(lengths)
-        places = np.arange(ends[-1]) + np.repeat(starts[which] - (ends - lengths), lengths)
+        small = np.int32 if ends[-1] < 1 << 31 else np.int64  # `starts` are below too, as each unit stands somewhere
+        places = np.arange(ends[-1], dtype=small)
+        places += np.repeat((starts[which] - (ends - lengths)).astype(small), lengths)
         ids = np.frombuffer(b"".join(known), "<u4")[places].tobytes()
+        del places
         offsets = units.offsets.to_numpy()
         cuts = (4 * np.append(0, ends)[offsets - offsets[0]]).tolist()
         return [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]

@@ -499,3 +499,20 @@ def test_whole_moves_even_out(counts):
         assert 0 <= first < last <= counts[i, x] and not used[i, x] & set(range(first, last))
         used[i, x] |= set(range(first, last))
     assert all(n <= t for n, t in zip(load, targets, strict=True))
+
+
+def test_texts_encoded_whole_go_to_the_library_in_small_parts(monkeypatch):
+    encoder = _encoder("byte_bpe_50k.json")
+    texts = [f"two  spaces {i} " * 500 for i in range(200)]
+    given, library = [], encoder.library
+
+    class Counted:
+        def encode_batch_fast(self, part, **how):
+            given.append(sum(map(len, part)))
+            return library.encode_batch_fast(part, **how)
+
+    monkeypatch.setattr(encoder, "library", Counted())
+    got = encoder.encode(texts)
+    assert sum(given) == sum(map(len, texts)) and max(given) < (1 << 18) + len(max(texts, key=len))
+    assert got[:3] == [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts[:3]]
+    assert len(got) == len(texts) and encoder.whole([]) == []
