@@ -33,9 +33,13 @@ from lexmill.llm import memory
 
 #: Neighbours per node and level (twice as many on level 0), and the breadth of search while building.
 DEGREE, BUILD_BREADTH = 16, 96
-#: Breadth of a search: at least so many, and so many times the square root of the graph's nodes, as vectors without
+#: Breadth of a search: at least so many, and at most so many times the square root of the graph's nodes, as vectors without
 #: structure need more of a larger graph. `tests/llm/hnsw_recall.py` measures the recall at SHARD_ROWS.
 LEAST_BREADTH, ROOT_BREADTH = 96, 5.0
+#: Between these, the least that finds this share of the k best nodes of so many of a task's queries, by a full scan for them.
+ENOUGH, PROBES = 0.98, 48
+#: Nodes whose neighbours a search looks at together, the most promising ones: fewer and larger steps for the same breadth.
+WIDTH = 8
 #: Shards at least, and vectors per shard on average at most: this bounds a task's memory and time at any size.
 LEAST_SHARDS, SHARD_ROWS = 8, 8_192
 #: The longest vector of a graph is less than this many times as long as the shortest, by their largest components.
@@ -79,14 +83,19 @@ class Graph:
         seen[entry] = stamp
         open_, found = [(-first, entry)], [(first, entry)]
         while open_:
-            away, node = heapq.heappop(open_)
-            if len(found) >= breadth and -away < found[0][0]:
+            nodes = []
+            while open_ and len(nodes) < WIDTH and (len(found) < breadth or -open_[0][0] >= found[0][0]):
+                nodes.append(heapq.heappop(open_)[1])
+            if not nodes:
                 break
-            near = table[node]
+            near = table[nodes].ravel()
             near = near[near >= 0]
             near = near[seen[near] != stamp]
             if not len(near):
                 continue
+            if len(nodes) > 1:
+                near.sort()
+                near = near[np.append(True, near[1:] != near[:-1])]
             seen[near] = stamp
             scores = vectors[near] @ query
             if len(found) >= breadth:
@@ -203,16 +212,43 @@ def _level(v: np.ndarray) -> np.ndarray:
     return np.concatenate((v, np.sqrt(np.maximum(squares.max() - squares, 0))[:, None]), axis=1).astype(np.float32)
 
 
+def _found(graph: Graph, exact: np.ndarray, breadth: int, seen: np.ndarray, stamp: int) -> list[tuple[float, int]]:
+    query = np.append(exact / np.abs(exact).max(), 0).astype(np.float32)
+    return graph.search(query, graph.descend(query, 0), 0, breadth, seen, stamp)
+
+
+def _enough(graph: Graph, original: np.ndarray, queries: list[tuple[int, np.ndarray]], k: int, seen: np.ndarray) -> int:
+    """The breadth for these queries: measured on some of them if there are many, else the most. Stamps below 0 are used."""
+    breadth, most = max(2 * k, LEAST_BREADTH), max(2 * k, LEAST_BREADTH, math.ceil(ROOT_BREADTH * len(original) ** 0.5))
+    if breadth == most or len(queries) < 4 * PROBES:
+        return most
+    # the same ones whatever the order of rows
+    order = sorted(range(len(queries)), key=lambda i: (queries[i][0], queries[i][1].tobytes()))
+    probes = [queries[i][1] for i in order[:: len(order) // PROBES][:PROBES]]
+    best = min(k, len(original))
+    least = [np.partition(original @ x, -best)[-best] for x in probes]
+    stamp = 0
+    while breadth < most:
+        hits = 0
+        for x, score in zip(probes, least, strict=True):
+            stamp -= 1
+            nodes = [node for _, node in _found(graph, x, breadth, seen, stamp)]
+            hits += min(best, int((original[nodes] @ x >= score - 1e-9 * abs(score)).sum()))
+        if hits >= ENOUGH * best * len(probes):
+            break
+        breadth = min(most, math.ceil(1.4 * breadth))
+    return breadth
+
+
 def _search_graph(row: dict, queries: list[tuple[int, np.ndarray]], k: int, breadth: int | None = None) -> list[list[tuple[float, int]]]:
     """For every query (id, vector), its k best (minus the score, id) in a graph, other than itself, in order."""
     original = np.frombuffer(row["vectors"], "<f8").reshape(-1, row["dim"])
     ids, starts = (np.frombuffer(row[c], "<i8") for c in ("ids", "id_starts"))
     graph = Graph(_level(original), np.frombuffer(row["neighbours"], "<i4"), np.frombuffer(row["levels"], "<i4"), row["entry"])
     seen, out = np.zeros(len(original), np.int64), []
-    breadth = max(2 * k, breadth or max(LEAST_BREADTH, math.ceil(ROOT_BREADTH * len(original) ** 0.5)))
+    breadth = max(2 * k, breadth) if breadth else _enough(graph, original, queries, k, seen)
     for stamp, (own, exact) in enumerate(queries, 1):
-        query = np.append(exact / np.abs(exact).max(), 0).astype(np.float32)
-        found = graph.search(query, graph.descend(query, 0), 0, breadth, seen, stamp)
+        found = _found(graph, exact, breadth, seen, stamp)
         nodes = np.array([x for _, x in found])
         scores = original[nodes] @ exact
         out.append(sorted((-s, int(j)) for x, s in zip(nodes.tolist(), scores.tolist(), strict=True) for j in ids[starts[x] : starts[x + 1]] if j != own)[:k])
@@ -222,7 +258,7 @@ def _search_graph(row: dict, queries: list[tuple[int, np.ndarray]], k: int, brea
 def search(index: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", breadth: int | None = None) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k nearest over all shards. `index` is read three times, so give it as a table.
 
-    breadth: candidates that a search of a graph holds; by default it grows with the graph (LEAST_BREADTH, ROOT_BREADTH).
+    breadth: candidates that a search of a graph holds; by default as many as the task's queries need (ENOUGH), between LEAST_BREADTH and what ROOT_BREADTH gives.
     """
     asked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & valid(F.col("v"))).distinct()
     blocks = -(-asked.count() // BLOCK) or 1

@@ -516,3 +516,20 @@ def test_texts_encoded_whole_go_to_the_library_in_small_parts(monkeypatch):
     assert sum(given) == sum(map(len, texts)) and max(given) < (1 << 18) + len(max(texts, key=len))
     assert got[:3] == [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts[:3]]
     assert len(got) == len(texts) and encoder.whole([]) == []
+
+
+def test_a_search_is_no_broader_than_its_queries_need(monkeypatch):
+    random = np.random.default_rng(5)
+    v = np.repeat(random.normal(size=(60, 16)), 25, axis=0) + 0.1 * random.normal(size=(1500, 16))
+    row = hnsw._graph_row(v, np.arange(1500), np.ones(1500, int)) | {"dim": 16}
+    used, search = Counter(), hnsw.Graph.search
+    monkeypatch.setattr(hnsw.Graph, "search", lambda self, query, entry, level, breadth, seen, stamp: used.update([breadth]) or search(self, query, entry, level, breadth, seen, stamp))
+    queries = [(i, v[i]) for i in range(0, 1500, 5)]
+    found = hnsw._search_graph(row, queries, 20)
+    assert max(used) == hnsw.LEAST_BREADTH < hnsw.ROOT_BREADTH * 1500**0.5  # a full share of the 20 best is found with this
+    exact = [set(sorted((j for j in range(1500) if j != i), key=lambda j, x=x: -(v[j] @ x))[:20]) for i, x in queries]
+    assert np.mean([len(e & {j for _, j in f}) / 20 for e, f in zip(exact, found, strict=True)]) >= 0.97
+    assert hnsw._search_graph(row, queries[::-1], 20) == found[::-1]
+    used.clear()
+    hnsw._search_graph(row, queries[:3], 20)  # few queries: as broad as vectors without structure need it
+    assert set(used) == {194}
