@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from lexmill import session
 from lexmill.functions.expressions import ClashingColumn
-from lexmill.llm import chat, exact_dedup, hnsw, language, near_dedup, packing, quality, sharding, token_file, unigram
+from lexmill.llm import chat, exact_dedup, hnsw, language, near_dedup, packing, quality, sharding, token_file, tokens, unigram
 from lexmill.llm.tokens import Encoder
 
 DOCS = "doc_id long, text string, id string, key string"
@@ -533,3 +533,23 @@ def test_a_search_is_no_broader_than_its_queries_need(monkeypatch):
     used.clear()
     hnsw._search_graph(row, queries[:3], 20)  # few queries: as broad as vectors without structure need it
     assert set(used) == {194}
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+@pytest.mark.parametrize(("most", "hashes"), [(1_000_000, None), (40, None), (1_000_000, 7)])
+def test_words_are_looked_up_as_arrays(name, most, hashes, monkeypatch):
+    """None goes through the memory of units, whatever marks follow it; also when words are forgotten, or share their hashes."""
+    encoder, asked, missing = Encoder(public_tokenizers.path(name)), [], Encoder.__missing__
+    monkeypatch.setattr(tokens, "WORDS", most, raising=False)
+    if hashes:
+        monkeypatch.setattr(tokens._Words, "_hashed", classmethod(lambda cls, words: np.array([sum(w.encode()) % hashes for w in words.to_pylist()], np.uint64)))
+    monkeypatch.setattr(Encoder, "__missing__", lambda self, unit: asked.append(unit) or missing(self, unit))
+    random = np.random.default_rng(3)
+    word = lambda: "".join(random.choice(list("abeistÄßéñ"), random.integers(1, 9)))
+    pool = [word() for _ in range(150)]
+    for _ in range(4):
+        texts = ["\n".join(" ".join(random.choice(pool).title() + random.choice(["", "", ".", ",", "?!", "***"]) for _ in range(9)) for _ in range(5)) for _ in range(12)]
+        assert encoder.encode(texts) == [np.array(fresh(name).encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        pool[::3] = [word() for _ in pool[::3]]
+    assert len(asked) < 10  # marks and line breaks
+    assert len(encoder.words.words) > 100
