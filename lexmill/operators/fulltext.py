@@ -63,14 +63,27 @@ def unfolded(text: Column) -> Column:
     return _cut(F.lower(F.coalesce(text, F.lit(""))))
 
 
+def unfolded_text(text: Column) -> Column:
+    """`unfolded` as one text, with a space between two."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _BETWEEN, " "))
+
+
+_BETWEEN = r"[^\p{L}\p{N}\p{Co}]+"
+
+
 def _cut(text: Column) -> Column:
-    return F.array_remove(F.split(text, r"[^\p{L}\p{N}\p{Co}]+"), "")
+    return F.array_remove(F.split(text, _BETWEEN), "")
 
 
 def folded(token: str) -> str:
     return token if token.isascii() else token.translate(_FOLDS)
 
 
+def all_folded(found: list[str]) -> list[str]:
+    """`folded` for each token, at once."""
+    return " ".join(found).translate(_FOLDS).split(" ") if found else []
+
+
 def sanitize(query: str) -> list[str]:
     """The operands of a raw query: quoted phrases, in quotes, and words that are no stop words.
 

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill import session
-from lexmill.operators.fulltext import Operand, folded, idf, impact, operands, sanitize, tokens, unfolded
+from lexmill.operators.fulltext import Operand, all_folded, idf, impact, operands, sanitize, tokens, unfolded_text
 from lexmill.operators.fulltext import postings as fulltext_postings
 from lexmill.sources.store import Part, State, Store, Table
 
@@ -158,6 +158,16 @@ def _few_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = upto
 
 
+def _tokens(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """(id, salt, text of unfolded tokens with a space between) as (id, salt, tokens)."""
+    found = pc.split_pattern(batch.column(2).cast(pa.string()), " ")
+    flat = found.flatten()
+    sizes = np.diff(np.asarray(found.offsets))
+    sizes[pc.equal(batch.column(2), "").to_numpy(zero_copy_only=False)] = 0
+    lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), flat.filter(pc.not_equal(flat, "")))
+    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["id", "salt", "tokens"])
+
+
 def _postings(splitters: list[str], base: float):
     """A task: documents (id, salt, unfolded tokens) to postings (range, term, id, length, tf, positions, impact), joined within each document."""
     splits = np.array(splitters, object)
@@ -171,7 +181,7 @@ def _postings(splitters: list[str], base: float):
             coded = lists.flatten().dictionary_encode()
             # each distinct token is folded once
             accented = pc.invert(pc.string_is_ascii(coded.dictionary))
-            plain = pc.replace_with_mask(coded.dictionary, accented, pa.array(map(folded, coded.dictionary.filter(accented).to_pylist()), pa.string()))
+            plain = pc.replace_with_mask(coded.dictionary, accented, pa.array(all_folded(coded.dictionary.filter(accented).to_pylist()), pa.string()))
             plain = pa.concat_arrays([plain, pa.array([EVERY])]).dictionary_encode()
             names, of = plain.dictionary, plain.indices.to_numpy().astype(np.int64)
             codes = of[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.empty(0, np.int64)
@@ -241,6 +251,27 @@ def _in_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("range").take(heads), batch.column("term").take(heads), *lists, places], names=["range", "term", "ids", "lengths", "tfs", "places"])
 
 
+def _packed(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Lists of postings whose lengths, tfs and places are bytes of 32-bit integers, which Spark moves at once and not one by one."""
+    columns = {name: batch.column(name) for name in batch.schema.names}
+    for name in ("lengths", "tfs", "places"):
+        ends = np.asarray(columns[name].offsets).astype(np.int64)
+        data = pa.py_buffer(np.ascontiguousarray(columns[name].flatten().to_numpy(), "<i4"))
+        columns[name] = pa.Array.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer((4 * (ends - ends[0])).astype(np.int32)), data])
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
+def _unpacked(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """What `_packed` was made of."""
+    columns = {name: batch.column(name) for name in batch.schema.names}
+    for name in ("lengths", "tfs", "places"):
+        _, ends, data = columns[name].cast(pa.binary()).buffers()
+        ends = np.frombuffer(ends, np.int32)[batch.column(name).offset :][: len(batch) + 1] // 4 if len(batch) else np.zeros(1, np.int32)
+        values = np.frombuffer(data or b"", "<i4", int(ends[-1] - ends[0]), 4 * int(ends[0])).astype(np.int32, copy=False)
+        columns[name] = pa.ListArray.from_arrays(pa.array(ends - ends[0]), pa.array(values))
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
 def _blocks_of(batch: pa.RecordBatch, base: float) -> pa.RecordBatch:
     """Lists of postings that stand by range and term as blocks: a term's postings, the best first, BLOCK at most."""
     term, where = batch.column("term").dictionary_encode().indices.to_numpy(), batch.column("range").to_numpy()
@@ -300,20 +331,20 @@ def _salt() -> Column:
 
 
 def _lists(id_type: str) -> str:
-    return f"range int, term string, ids array<{id_type}>, lengths array<int>, tfs array<int>, places array<int>"
+    return f"range int, term string, ids array<{id_type}>, lengths binary, tfs binary, places binary"
 
 
 def _write(store: Store, base: State, name: str, rows: DataFrame, id_type: str, splitters: list[str], mean: float, id_col: str) -> Part | None:
-    """Lists of postings (range, term, ids, lengths, tfs, places) as a segment."""
-    spark = store.spark
+    """Packed lists of postings (range, term, ids, lengths, tfs, places) as a segment."""
+    spark, blocks = store.spark, _in_blocks(mean)
     # a task writes one range, so it needs no sort by it
     settings = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH), "spark.sql.maxConcurrentOutputFileWriters": "2"}
     kept = {key: spark.conf.get(key) for key in settings}
     try:
         for key, value in settings.items():
             spark.conf.set(key, value)
-        dealt = rows.repartitionById(len(splitters) + 1, "range").sortWithinPartitions("range", "term")
-        made = dealt.mapInArrow(_in_blocks(mean), f"range int, term string, n int, top double, ids array<{id_type}>, lengths array<int>, tfs array<int>, positions array<array<int>>")
+        dealt = rows.repartitionById(len(splitters) + 1, "range").sortWithinPartitions("term", "range")  # first by what differs in a partition
+        made = dealt.mapInArrow(lambda batches: blocks(map(_unpacked, batches)), f"range int, term string, n int, top double, ids array<{id_type}>, lengths array<int>, tfs array<int>, positions array<array<int>>")
         path = store.folder(name)
         made.write.partitionBy("range").parquet(f"{store.path}/{path}")
     finally:
@@ -331,12 +362,12 @@ def _write(store: Store, base: State, name: str, rows: DataFrame, id_type: str,
 
 
 def _unfolded(rows: DataFrame, n: int) -> DataFrame:
-    """id, salt and unfolded tokens of n rows (id, text), dealt out anew if partitions are few for the cores."""
+    """id, salt and the text of unfolded tokens of n rows (id, text), dealt out anew if partitions are few for the cores."""
     spark = rows.sparkSession
     most = session.n_partitions(spark)
     if rows.rdd.getNumPartitions() < min(most, PER_CORE * spark.sparkContext.defaultParallelism) and n > LEAST_RANGE:
         rows = rows.repartition(most, "id")
-    return rows.select("id", _salt(), unfolded(F.col("text")).alias("tokens"))
+    return rows.select("id", _salt(), unfolded_text(F.col("text")).alias("tokens"))
 
 
 def inverted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -348,7 +379,7 @@ def inverted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         same = F.col("id").eqNullSafe(F.col("again"))
         rows, repeated = rows.join(again, same, "left_anti"), rows.join(again, same, "left_semi")
     postings = _postings([], 1.0)
-    made = _unfolded(rows, n).mapInArrow(postings, f"range int, term string, id {kind}, length int, tf int, positions array<int>, impact double")
+    made = _unfolded(rows, n).mapInArrow(lambda batches: postings(map(_tokens, batches)), f"range int, term string, id {kind}, length int, tf int, positions array<int>, impact double")
     found = made.filter(F.col("term") != EVERY).select("term", F.col("id").alias(id_col), F.col("tf").cast("long").alias("tf"), "positions")
     return found if repeated is None else found.unionByName(fulltext_postings(repeated, "id", "text").withColumnRenamed("id", id_col))
 
@@ -363,7 +394,7 @@ def segment(store: Store, base: State, name: str, docs: DataFrame, id_col: str =
     kind = docs.schema[id_col].dataType.simpleString()
     rows = _unfolded(rows, n)
     postings = _postings(splitters, mean)
-    made = rows.mapInArrow(lambda batches: _in_lists(postings(batches)), _lists(kind))
+    made = rows.mapInArrow(lambda batches: map(_packed, _in_lists(postings(map(_tokens, batches)))), _lists(kind))
     return _write(store, base, name, made, kind, splitters, mean, id_col)
 
 
@@ -405,7 +436,7 @@ def merged(store: Store, base: State, name: str) -> dict[str, Table] | None:
     mean = max(1.0, sum(s.info["tokens"] for s in crowd) / sum(s.rows for s in crowd))
     dealt = _dealt(splitters)
     rows = rows.select("term", "id", _salt(), "length", "tf", "positions")
-    made = rows.mapInArrow(lambda batches: _in_lists(dealt(batches)), _lists(index.id_type))
+    made = rows.mapInArrow(lambda batches: map(_packed, _in_lists(dealt(batches))), _lists(index.id_type))
     part = _write(store, base, name, made, index.id_type, splitters, mean, index.id_col)
     left = Table(tuple(s for s in table.parts if s not in crowd), table.gone).plus(part).minus(None)
     live = {s.seq for s in left.parts}

@@ -225,3 +225,26 @@ def test_postings_of_ids_that_do_not_repeat_are_not_shuffled(spark):
     odd = [*rows, (3, "cat new"), (None, "cat"), (None, "a cat"), (9, "cat")]
     assert found(odd, search_index.inverted)[1] == found(odd, fulltext.postings)[1]
     assert found([], search_index.inverted)[1] == []
+
+
+def test_lists_are_packed_for_the_shuffle():
+    """And come back the same, also from parts of a batch and from an empty one."""
+    import pyarrow as pa
+
+    rows = [(i, f"t{i}", [f"d{i}"] * i, [-i] * i, [i, 1 << 30][:i], list(range(3 * i))) for i in range(5)]
+    kinds = (pa.int32(), pa.string(), pa.list_(pa.string()), *[pa.list_(pa.int32())] * 3)
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["range", "term", "ids", "lengths", "tfs", "places"])
+    for part in (batch, batch.slice(2), batch.slice(1, 3), batch.slice(0, 1), batch.slice(0, 0)):
+        packed = search_index._packed(part)
+        assert [pa.types.is_binary(c.type) for c in packed.columns] == [False] * 3 + [True] * 3
+        assert search_index._unpacked(packed).to_pylist() == part.to_pylist()
+        assert search_index._unpacked(packed.slice(1)).to_pylist() == part.slice(1).to_pylist()
+
+
+def test_texts_of_tokens_are_the_tokens(spark):
+    texts = [None, "", "  ", "..", "One, two  three.", "İstanbul\tÉtÉ ΣΑΣ\n", "x\x00y", "日本 ½ a_b", "  lead and end "]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    want = {r.id: r.tokens for r in rows.select("id", fulltext.unfolded(F.col("text")).alias("tokens")).collect()}
+    made = rows.select("id", F.lit(0).alias("salt"), fulltext.unfolded_text(F.col("text")).alias("tokens")).toArrow().to_batches()
+    assert {r["id"]: r["tokens"] for b in made for r in search_index._tokens(b).to_pylist()} == want
+    assert fulltext.all_folded(["été", "", "x", "İ"]) == [fulltext.folded(t) for t in ("été", "", "x", "İ")] and fulltext.all_folded([]) == []
