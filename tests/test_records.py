@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexmill.functions.expressions import running_sums
-from lexmill.operators import accuracy, alignment, catalog, cleanup, metadata, people
+from lexmill.operators import accuracy, alignment, catalog, cleanup, edits, metadata, people
 from lexmill.sources import files, records, sqlite
 
 
@@ -280,3 +280,48 @@ def test_alignment_looks_for_marks_only_where_there_are_some(monkeypatch):
     assert [f["similarity"] for f in found] == [1.0] * 21 and found[-1]["matched"] == " ".join(lines[-1].split())
     assert alignment.plain(lines[-1]) == "a bold x ~ c end" and alignment.plain("  A\tB\n") == "a b"
     assert counted.calls < 40  # about 2,000 words
+
+
+def test_edits_of_many_pairs_are_those_of_each_pair():
+    r = random.Random(12)
+    make = lambda n, letters: "".join(r.choice(letters) for _ in range(n))
+    pairs = []
+    for size in [1, 2, 63, 64, 65, 128, 129, 200, 300, 700] * 15:
+        asked = make(size, "abcdefgh é\0")
+        near = make(r.randrange(50), "abcdefgh") + "".join(c for c in asked if r.random() > 0.1) + make(r.randrange(90), "abcxyz\U0001f600\ud800")
+        pairs.append((asked, near if r.random() > 0.05 else ""))
+    pairs += [("a" * 5000, "ba" * 3000), ("ab", "")]
+    for anchored in (False, True):
+        assert edits.nearest_ends(pairs, anchored) == [edits.nearest_end(a, b, anchored) for a, b in pairs]
+    tries = [(a, b, tuple(r.randrange(len(b) + 1) for _ in range(r.randrange(1, 4)))) for a, b in pairs]
+    assert edits.commons(tries) == [[edits.common(a, b[:end]) for end in ends] for a, b, ends in tries]
+    assert edits.nearest_ends([]) == edits.commons([]) == []
+
+
+def test_documents_aligned_side_by_side(monkeypatch):
+    """Windows of all documents are searched together, none twice, and the results are those of each document alone, searched window by window."""
+    r = random.Random(13)
+    words = ["".join(r.choice("abcdefghijklmnopé") for _ in range(r.randrange(2, 9))) for _ in range(200)]
+    documents = []
+    for d in range(40):
+        lines = [" ".join(r.choice(words) for _ in range(r.randrange(1, 40))) for _ in range(r.randrange(3, 25))]
+        regions, text = [], "" if d % 9 else "# front\n~~~\n# no heading\n~~~\n**İ** _  Σας\n"
+        for i, line in enumerate(lines):
+            regions += [{"region_id": f"h{i}", "content": f"# H{i}"}, {"region_id": f"p{i}", "content": line}]
+            hurt = "".join(c if c == " " or r.random() > 0.15 else r.choice(["", c + c, "z"]) for c in line) if i % 4 else line
+            text += "" if i % 7 == 6 else (" " if i % 3 == 2 else f"\n## H{i}\n") + hurt
+        documents.append((regions[:: -1 if d % 10 == 9 else 1], text))
+    documents += [([{"region_id": "r", "content": "x"}], None), ([], "text"), (documents[3][0], documents[5][1])]
+    alone, window = [], alignment._Text.window
+    calls, searched, together = [], [], alignment._searched
+    monkeypatch.setattr(alignment._Text, "window", lambda self, asked, about, slack: calls.append(asked) or window(self, asked, about, slack))
+    with monkeypatch.context() as m:
+        m.setattr(alignment, "FEW", 10**9)
+        for regions, text in documents:
+            alone.append(alignment.align_document(regions, text))
+    one_by_one = len(calls)
+    calls.clear()
+    monkeypatch.setattr(alignment, "_searched", lambda wanted: together([searched.append((id(w[0]), *w[1:])) or w for w in wanted]))
+    assert alignment.align_documents(documents) == alone
+    assert one_by_one > 500 and len(calls) < one_by_one / 20
+    assert len(set(searched)) >= one_by_one
