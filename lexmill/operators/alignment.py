@@ -28,6 +28,8 @@ LEAST, LEAST_HEADING, LEAST_UNEDITED = 0.3, 0.5, 0.5
 GRAMS = (6, 3)
 #: Places of q-grams that vote for a region, the rarest q-grams first. All of one vote, however many it has.
 MOST_VOTES = 1_000_000
+#: Votes that are counted at once, about.
+COUNTED = 50_000
 #: Places around which a region is searched in each stretch of the text, and the similarity that needs no look at further ones.
 TRIED, SURE = 4, 0.8
 #: Characters of texts and regions that are aligned side by side, about, and the least number of windows that are searched together.
@@ -261,7 +263,7 @@ def _located(wanted: Iterable[tuple[_Text, str, int, int, int]]) -> None:
             held.append((page, region, q, list(spans), order, begin[low:high][shared], own[shared], shared))
             votes += total
             low = high + q
-            if votes > MOST_VOTES:
+            if votes > COUNTED:
                 _count(held)
                 held, votes = [], 0
     _count(held)
@@ -285,25 +287,30 @@ def _count(held: list[tuple]) -> None:
     # the rarest q-grams first, and each with one vote in all; of equally rare ones any order gives the same sums
     rare = np.argsort(region << 32 | count)
     begin, count, place, region = begin[rare], count[rare], place[rare], region[rare]
-    own = np.repeat(np.arange(len(count), dtype=np.int32), count)
-    about = np.concatenate(orders).take(np.arange(len(own)) + (begin - (np.cumsum(count) - count)).take(own)).astype(np.int32) - place.astype(np.int32).take(own)
-    weight, region = (1.0 / count).take(own), region.astype(np.int32).take(own)
+    weight, own = 1.0 / count, np.repeat(np.arange(len(count), dtype=np.int32), count)
+    nth = np.arange(len(own))
+    nth += (begin - (np.cumsum(count) - count)).take(own)
+    at_text = np.concatenate(orders).astype(np.int32).take(nth)
     for k in range(max(len(h[3]) for h in held)):
         chosen = [h for h in held if len(h[3]) > k]
-        number = np.full(len(held), len(chosen))
-        number[[i for i, h in enumerate(held) if len(h[3]) > k]] = np.arange(len(chosen))
-        slack = np.array([_slack(h[1]) for h in chosen] + [1], np.int32)
-        lows = np.array([h[0].begins[h[3][k][0]] for h in chosen] + [0], np.int32) - 2 * slack
-        highs = np.array([h[0]._end(h[3][k][1]) for h in chosen] + [-3], np.int32) + slack
-        of = number.astype(np.int32).take(region)
-        nth = about - lows.take(of)
-        inside = np.flatnonzero((nth >= 0) & (nth < (highs - lows).take(of)))
-        of, nth = of.take(inside), nth.take(inside).view(np.uint32)
+        slack = np.array([_slack(h[1]) for h in chosen])
+        lows = np.array([h[0].begins[h[3][k][0]] for h in chosen]) - 2 * slack
+        sizes = np.array([h[0]._end(h[3][k][1]) for h in chosen]) + slack - lows
         # bins as wide as a place may be off; neighbours count together, as votes for one place may stand on both sides of an edge. Behind a region's bins is an empty one
-        width, slack, lows, highs = slack.view(np.uint32), slack[:-1], lows[:-1], highs[:-1]
-        bins = (highs - 1 - lows) // slack + 2
+        bins = (sizes - 1) // slack + 2
         first = np.cumsum(bins) - bins
-        votes = np.bincount(nth // width.take(of) + first.take(of), weight.take(inside), int(bins.sum()))
+        # what holds for a region by its q-grams; those without such a span have none inside
+        number = np.full(len(held), len(chosen))
+        number[[i for i, h in enumerate(held) if len(h[3]) > k]] = np.arange(len(chosen))
+        of = number[region]
+        begins, limit, width, bin_at = (np.append(x, last).astype(np.int32)[of] for x, last in ((lows, 0), (sizes, 0), (slack, 1), (first, 0)))
+        nth = (at_text - (place + begins).astype(np.int32).take(own)).view(np.uint32)
+        inside = np.flatnonzero(nth < limit.view(np.uint32).take(own))
+        gram = own.take(inside)
+        nth = nth.take(inside)
+        nth //= width.view(np.uint32).take(gram)
+        nth += bin_at.view(np.uint32).take(gram)
+        votes = np.bincount(nth, weight.take(gram), int(bins.sum()))
         votes[:-1] += votes[1:]
         votes[first + bins - 1] = 0.0
         at: list[list[int]] = [[] for _ in chosen]
@@ -470,12 +477,26 @@ def align(documents: DataFrame, regions: DataFrame, key: str = "doc_id", text: s
     rows = held.join(documents.select(key, F.col(text).alias("text")), key, "left")
 
     def task(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for asked, texts in batches:
-            documents, found = list(zip(asked.to_pylist(), texts.to_pylist(), strict=True)), []
+        # some batches are read ahead, as more documents side by side take less time each
+        documents, sizes, length = [], [], 0
+
+        def ready() -> Iterator[pa.Array]:
             at = np.cumsum([len(t or "") + sum(len(r["content"] or "") for r in rs) for rs, t in documents]) // TOGETHER
+            found: list[list[dict]] = []
             for low, high in pairwise([0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(documents)]):
                 found += align_documents(documents[low:high])
-            yield pa.array(found, _ARROW)
+            for low, high in pairwise(np.cumsum([0, *sizes]).tolist()):
+                yield pa.array(found[low:high], _ARROW)
+
+        for asked, texts in batches:
+            documents += zip(asked.to_pylist(), texts.to_pylist(), strict=True)
+            sizes.append(len(texts))
+            length += asked.nbytes + texts.nbytes
+            if length >= TOGETHER:
+                yield from ready()
+                documents, sizes, length = [], [], 0
+        if sizes:
+            yield from ready()
 
     task.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
     matched = rows.select(key, "regions", F.arrow_udf(task, RESULT)("regions", "text").alias("found"))
