@@ -419,22 +419,37 @@ def _aligned(regions: list[dict], text: str | None, alike: dict[tuple[str, str],
     def spans(i: int, behind: int) -> list[tuple[int, int]]:
         return list(dict.fromkeys([(max(behind, lows[i]), highs[i]), (lows[i], highs[i]), (0, len(text))]))
 
+    guessed: dict[int, tuple[list[tuple[int, int]], dict | None, bool]] = {}
+
     def ahead(chosen: range) -> Generator[list, None, None]:
-        """Asks for the windows of regions in a row as if those before them stood before their heading and took nothing of theirs."""
+        """Places regions in a row as if those before them stood before their heading and took nothing of theirs."""
         behind, taken = 0, _Taken()
         for i in chosen:
-            if titles[i] is None and (hit := (yield from page.region(asked[i], spans(i, behind), SURE, taken))):
-                behind = hit["end"]
+            if titles[i] is None:
+                hit = yield from page.region(asked[i], about := spans(i, behind), SURE, taken)
+                guessed[i] = about, hit, i == chosen[0]
+                behind = hit["end"] if hit else behind
+            elif i == chosen[0]:
+                guessed[i] = [], None, True
 
     # where there is no text between the headings around a region, it doesn't matter where those before it stand
     edges = [0, *(i for i in range(1, len(lows)) if lows[i] > lows[i - 1] or lows[i] >= highs[i]), len(lows)]
     yield from _together(ahead(range(*edge)) for edge in pairwise(edges))
     # what is sure goes first, so that a region that the text lacks doesn't take another's place
     for least in (SURE, LEAST):
-        behind = 0
+        behind, same = 0, False
         for i, title in enumerate(titles):
+            about, hit, first = guessed.pop(i, (None, None, False))
+            # a guess holds where all of its row before it did, and what it takes is free: what else is taken now could only take places from it
+            same |= first
             if title is None and not hits[i]:
-                hits[i] = yield from page.region(asked[i], spans(i, behind), least, page.taken)
+                now = spans(i, behind)
+                if same := same and about == now and not (hit and not page.taken.free(hit["start"], hit["end"])):
+                    hits[i] = hit
+                    if hit:
+                        page.taken.add(hit["start"], hit["end"])
+                else:
+                    hits[i] = yield from page.region(asked[i], now, least, page.taken)
             behind = hits[i]["end"] if hits[i] and "end" in hits[i] else behind
     for r, hit in zip(regions, hits, strict=True):
         hit = hit or {"failure": "no sufficiently similar region"}
