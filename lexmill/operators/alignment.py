@@ -249,41 +249,53 @@ def _located(wanted: Iterable[tuple[_Text, str, int, int, int]]) -> None:
                 page.likely[region].update({(q, *span): [] for span in spans})
             continue
         # a q-gram that holds a line break is of no region
-        own = _grams("\n".join(regions), q)
+        names = list(regions)
+        own = _grams("\n".join(names), q)
         at = np.minimum(np.searchsorted(values, own), len(values) - 1)
-        count = np.where(values[at] == own, counts[at], 0)
-        begin, low = begins[at], 0
-        for region, spans in regions.items():
-            high = low + len(region) - q + 1
-            own = count[low:high]
-            shared, total = np.flatnonzero(own), int(own.sum())
-            if total > MOST_VOTES:
-                shared = shared[np.argsort(own[shared], kind="stable")]
-                shared = shared[: max(1, int(np.searchsorted(np.cumsum(own[shared]), MOST_VOTES, "right")))]
-            held.append((page, region, q, list(spans), order, begin[low:high][shared], own[shared], shared))
-            votes += total
-            low = high + q
+        lengths = np.array([len(name) + 1 for name in names])
+        ends = np.cumsum(lengths)
+        begin = ends - lengths
+        number = np.repeat(np.arange(len(names)), lengths)[: len(own)]
+        place = np.arange(len(own)) - begin[number]
+        shared = np.flatnonzero((values[at] == own) & (place <= lengths[number] - 1 - q))
+        number, place, at = number[shared], place[shared], at[shared]
+        count = counts[at]
+        totals = np.bincount(number, count, len(names))
+        for k in np.flatnonzero(totals > MOST_VOTES).tolist():
+            # the rarest as far as votes go
+            rare = np.flatnonzero(number == k)
+            rare = rare[np.argsort(count[rare], kind="stable")]
+            dropped = rare[max(1, int(np.searchsorted(np.cumsum(count[rare]), MOST_VOTES, "right"))) :]
+            number, place, at, count = (np.delete(x, dropped) for x in (number, place, at, count))
+        # as many regions at once as have some votes
+        low = 0
+        for k in [*(np.flatnonzero(np.diff((np.cumsum(totals) + votes) // COUNTED)) + 1).tolist(), len(names)]:
+            first, last = np.searchsorted(number, (low, k)).tolist()
+            held.append((page, q, [(name, list(regions[name])) for name in names[low:k]], order, number[first:last] - low, begins[at[first:last]], count[first:last], place[first:last]))
+            votes += totals[low:k].sum()
+            low = k
             if votes > COUNTED:
                 _count(held)
                 held, votes = [], 0
     _count(held)
 
 
-def _count(held: list[tuple]) -> None:
-    """Counts the votes of regions, given with their spans and the shared q-grams: where their places begin in an order, how many they are, where they are in the region."""
-    if not held:
+def _count(parts: list[tuple]) -> None:
+    """Counts the votes of regions, given by text with their spans and the shared q-grams: whose they are, where their places begin in an order, how many they are, where they are in the region."""
+    if not parts:
         return
+    held = [(page, name, q, spans) for page, q, regions, *_ in parts for name, spans in regions]
+    sizes = [len(p[4]) for p in parts]
+    region, begin, count, place = (np.concatenate([p[i] for p in parts]) for i in (4, 5, 6, 7))
+    region += np.repeat(np.cumsum([0] + [len(p[2]) for p in parts[:-1]]), sizes)
     bases: dict[int, int] = {}
     orders, size = [], 0
-    for _, _, _, _, order, *_ in held:
+    for _, _, _, order, *_ in parts:
         if id(order) not in bases:
             bases[id(order)] = size
             orders.append(order)
             size += len(order)
-    sizes = [len(h[6]) for h in held]
-    begin, count, place = (np.concatenate([h[i] for h in held]) for i in (5, 6, 7))
-    begin += np.repeat([bases[id(h[4])] for h in held], sizes)
-    region = np.repeat(np.arange(len(held)), sizes)
+    begin += np.repeat([bases[id(p[3])] for p in parts], sizes)
     # the rarest q-grams first, and each with one vote in all; of equally rare ones any order gives the same sums
     rare = np.argsort(region << 32 | count)
     begin, count, place, region = begin[rare], count[rare], place[rare], region[rare]
@@ -325,7 +337,7 @@ def _count(held: list[tuple]) -> None:
             for i, about_there in zip(voted.tolist(), (lows[voted] + (hits - first[voted] + 1) * slack[voted]).tolist(), strict=True):
                 at[i].append(about_there)
             votes[hits - 1] = votes[hits] = votes[hits + 1] = 0.0
-        for (page, asked, q, spans, *_), found in zip(chosen, at, strict=True):
+        for (page, asked, q, spans), found in zip(chosen, at, strict=True):
             page.likely[asked][(q, *spans[k])] = found
 
 
