@@ -33,7 +33,7 @@ COUNTED = 50_000
 #: Places around which a region is searched in each stretch of the text, and the similarity that needs no look at further ones.
 TRIED, SURE = 4, 0.8
 #: Characters of texts and regions that are aligned side by side, about, and the least number of windows that are searched together.
-TOGETHER, FEW = 4_000_000, 12
+TOGETHER, FEW = 8_000_000, 12
 #: Pairs of titles of a document that are compared together, about.
 MOST_TITLES = 10_000
 
@@ -147,7 +147,7 @@ class _Text:
             order = np.argsort(grams)
             held = grams[order]
             first = np.flatnonzero(np.append(True, held[1:] != held[:-1])[: len(held)])
-            self.sorted[q] = held[first], first, np.diff(np.append(first, len(held))), order
+            self.sorted[q] = held[first], first.astype(np.int32), np.diff(np.append(first, len(held))).astype(np.int32), order.astype(np.int32)
         return self.sorted[q]
 
     def window(self, asked: str, about: int, slack: int) -> tuple[float, int, int]:
@@ -295,14 +295,14 @@ def _count(parts: list[tuple]) -> None:
             bases[id(order)] = size
             orders.append(order)
             size += len(order)
-    begin += np.repeat([bases[id(p[3])] for p in parts], sizes)
+    begin = begin + np.repeat([bases[id(p[3])] for p in parts], sizes)
     # the rarest q-grams first, and each with one vote in all; of equally rare ones any order gives the same sums
     rare = np.argsort(region << 32 | count)
     begin, count, place, region = begin[rare], count[rare], place[rare], region[rare]
     weight, own = 1.0 / count, np.repeat(np.arange(len(count), dtype=np.int32), count)
     nth = np.arange(len(own))
     nth += (begin - (np.cumsum(count) - count)).take(own)
-    at_text = np.concatenate(orders).astype(np.int32).take(nth)
+    at_text = np.concatenate(orders).take(nth)
     for k in range(max(len(h[3]) for h in held)):
         chosen = [h for h in held if len(h[3]) > k]
         slack = np.array([_slack(h[1]) for h in chosen])
